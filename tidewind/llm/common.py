@@ -51,3 +51,10 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
 def without_spaces(text: str = "text") -> F.Column:
     """The text without white space; null as empty."""
     return F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "")
+
+
+def by_rows(rows: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
+    """rows.mapInPandas(run) where run gets the key as text and returns it first: whole numbers of any size keep their digits beside nulls."""
+    kind = rows.schema[key].dataType
+    out = rows.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"{key} string, {schema}")
+    return out.withColumn(key, F.col(key).cast(kind))
