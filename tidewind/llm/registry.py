@@ -6,6 +6,7 @@ from .decontamination import OP3_SQL, op3_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .pii import op4_pii
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .warc_archive import OP2_SQL, op2_warc_archive
 
 QUERIES = {
@@ -13,7 +14,8 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
-SQL = {"op2_warc_archive": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+SQL = {"op2_warc_archive": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL}
