@@ -6,6 +6,7 @@ from .decontamination import OP3_SQL, op3_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .near_dedup import OP9_SQL, op9_near_dedup
+from .packing import op8_packing
 from .pii import op4_pii
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .warc_archive import OP2_SQL, op2_warc_archive
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
 }
 
