@@ -9,9 +9,11 @@ from .near_dedup import OP9_SQL, op9_near_dedup
 from .packing import op8_packing
 from .pii import op4_pii
 from .substring_dedup import OP6_SQL, op6_substring_dedup
+from .toxicity import op1_toxicity
 from .warc_archive import OP2_SQL, op2_warc_archive
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc_archive": op2_warc_archive,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
