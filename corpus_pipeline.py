@@ -1,11 +1,63 @@
-"""The corpus pipeline: its stages are added as the operators are."""
+"""The corpus pipeline: from documents to packed token sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return the columns of
+documents. run() writes each stage's rows to the shared folder and reads them again, so a lost executor costs no more than a stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewind.llm.common import columns, hinted, shared_dir, table, written
+from tidewind.llm.decontamination import counted, match
+from tidewind.llm.line_dedup import line_dedup
+from tidewind.llm.near_dedup import near_dedup
+from tidewind.llm.packing import pack_documents
+from tidewind.llm.toxicity import without_toxic
+
+BROADCAST_ROWS = 1_000_000
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose restored text scores below one half; labels are learned outside the held-out rows."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without boilerplate lines; n_chars follows the text."""
+    cleaned = line_dedup(docs)
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    gone = written(near_dedup(docs).where("NOT kept").select("doc_id").distinct(), "gone", shared_dir(spark))
+    return docs.join(hinted(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated: benchmark windows hit less than a twentieth of their words."""
+    found = counted(match(docs, table(spark, sf_dir, "benchmark")))
+    return found.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: where it is in which sequence."""
+    return pack_documents(columns(docs, doc_id="doc_id", text="text"))
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("near_dedup", near), ("decontamination", benchmark), ("packing", packing)]
+
+#: The first and the last stage can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name, folder)
     return docs

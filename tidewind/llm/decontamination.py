@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -173,19 +174,19 @@ def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     shape = df.schema
 
     def through(automaton):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = automaton.value
-            for pdf in batches:
+            for batch in batches:
                 out = []
-                for text, was in zip(pdf[text_col], pdf["__found"], strict=True):
+                for text, was in zip(batch.column(text_col).to_pylist(), batch.column("__found").to_pylist(), strict=True):
                     words = words_of(text)
                     found = set(was["items"]) if was is not None else set()
                     hit = bytearray(was["hit"]) if was is not None and was["hit"] is not None else None
                     hit, longest = a.hits(words, hit, found) if a else (None, 0)
                     longest = max(longest, was["longest"] if was is not None else 0)
                     out.append({"n_words": len(words), "n_hit": sum(hit) if hit else 0, "hit": bytes(hit) if hit else None, "items": sorted(found), "longest": longest})
-                pdf["__found"] = out
-                yield pdf
+                k = batch.schema.get_field_index("__found")
+                yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
 
         return run
 
@@ -194,8 +195,8 @@ def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     for k, block in enumerate(blocks(((str(r.item), r.text) for r in rows.toLocalIterator())), 1):
         if k > 1 and k % BLOCKS_A_PASS == 1:
             df = written(df, f"pass{k}")
-        df = df.mapInPandas(through(spark.sparkContext.broadcast(Automaton(block))), shape)
-    return df if k else df.mapInPandas(through(spark.sparkContext.broadcast(None)), shape)
+        df = df.mapInArrow(through(spark.sparkContext.broadcast(Automaton(block))), shape)
+    return df if k else df.mapInArrow(through(spark.sparkContext.broadcast(None)), shape)
 
 
 @F.pandas_udf(StringType())

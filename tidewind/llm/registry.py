@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP3_SQL, op3_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_extraction import op10_html_extraction
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .packing import op8_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL = {"op2_warc_archive": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL}

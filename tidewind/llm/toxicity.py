@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -313,6 +314,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return by_rows(docs, run, "score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below one half."""
+    model = train(columns(docs, doc_id=id_col, text=text_col), columns(labels, doc_id=id_col, toxic=label_col))
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(model.channel.cost, np.float32), model.weights, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     docs, labels = columns(docs, doc_id=id_col, text=text_col), columns(labels, doc_id=id_col, toxic=label_col)
