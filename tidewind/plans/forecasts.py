@@ -1,0 +1,387 @@
+"""Queries on covariances, volatilities, neighbours, regimes and portfolios."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import entropy, one_hot, smoothed, softmax_by_distance
+from ..operators import knn, portfolio, regime, windows
+from ..sources import panels as src
+from .catalog import FLAGS, HOURS, STATUS, VECTORS, query, sql_cov, sql_windows
+from .panels import flags_panel, hours_panel, last_anchor, status_panel
+
+L, H, STRIDE = 50, 20, 60
+
+
+def _past_future(spark, d, panel=flags_panel, lookback=L, horizon=H, stride=STRIDE):
+    p = panel(spark, d)
+    last = last_anchor(p, horizon)
+    return windows.past(p, lookback, stride, last), windows.future(p, lookback, horizon, stride, last)
+
+
+def covs(spark, d, panel=flags_panel):
+    """Rolling covariance, persistence (last H rows) and truth (next H rows) of each anchor."""
+    past, ahead = _past_future(spark, d, panel)
+    return windows.covariance(past), windows.covariance(past.where(F.col("t") > F.col("anchor") - H)), windows.covariance(ahead)
+
+
+_COV = f"{FLAGS}, {sql_windows('panel', L, STRIDE, H)}, {sql_cov('w', 'roll')}"
+_PERS = sql_cov(f"(SELECT * FROM w WHERE t > anchor - {H})", "pers")
+_ALL = f"{_COV}, {_PERS}, {sql_cov('f', 'truth')}"
+_CORR = "SELECT s.anchor, s.i, s.j, s.v / sqrt(greatest(a.v, 1e-12) * greatest(b.v, 1e-12)) AS v FROM {0} s JOIN {0} a ON a.anchor = s.anchor AND a.i = s.i AND a.j = s.i JOIN {0} b ON b.anchor = s.anchor AND b.i = s.j AND b.j = s.j"
+_SCALED = "v * 1e6 AS v"
+
+
+def big(df, c="v"):
+    """Variances are of the order of 1e-4: results are compared in millionths."""
+    return df.withColumn(c, F.col(c) * 1e6)
+
+
+@query("cov_long", f"WITH {_COV} SELECT anchor, i, j, {_SCALED} FROM roll", "v", "anchor")
+def _(spark, d):
+    return big(windows.covariance(_past_future(spark, d)[0]))
+
+
+@query("corr_long", f"WITH {_COV} {_CORR.format('roll')}", "v", "anchor")
+def _(spark, d):
+    return windows.correlation(covs(spark, d)[0])
+
+
+@query("cov_shrink", f"WITH {_COV} SELECT anchor, i, j, 1e6 * v * CASE WHEN i = j THEN 1 ELSE 0.7 END AS v FROM roll", "v", "anchor")
+def _(spark, d):
+    return big(windows.shrunk(covs(spark, d)[0], 0.3))
+
+
+@query("cov_mix", f"WITH {_ALL} SELECT anchor, i, j, 1e6 * (0.25 * roll.v + 0.35 * roll.v * CASE WHEN i = j THEN 1 ELSE 0.7 END + 0.4 * pers.v) AS v FROM roll JOIN pers USING (anchor, i, j)", "v", "anchor")
+def _(spark, d):
+    roll, pers, _ = covs(spark, d)
+    return big(windows.mixed({"model": roll, "shrink": windows.shrunk(roll, 0.3), "pers": pers}, {"model": 0.25, "shrink": 0.35, "pers": 0.4}))
+
+
+_TRACE = "(SELECT anchor, sum(v) AS trace FROM {} WHERE i = j GROUP BY anchor)"
+_GUARD = f"""{_ALL}, g AS (SELECT anchor, p.trace / r.trace AS ratio FROM {_TRACE.format('pers')} p JOIN {_TRACE.format('roll')} r USING (anchor)),
+gs AS (SELECT anchor, ratio, least(greatest(ratio, 0.8), 1.2) / ratio AS scale, ratio < 0.8 OR ratio > 1.2 AS triggered, CASE WHEN ratio < 0.8 OR ratio > 1.2 THEN 'ratio' ELSE 'none' END AS reason FROM g)"""
+
+
+@query("cov_trace_guardrail", f"WITH {_GUARD} SELECT anchor, i, j, 1e6 * CASE WHEN triggered THEN roll.v * CASE WHEN i = j THEN 1 ELSE 0.7 END ELSE pers.v * scale END AS v, ratio, scale, triggered, reason FROM pers JOIN roll USING (anchor, i, j) JOIN gs USING (anchor)", "v ratio scale", "anchor")
+def _(spark, d):
+    roll, pers, _ = covs(spark, d)
+    return big(windows.guarded(pers, roll, windows.shrunk(roll, 0.3), 0.8, 1.2, "ratio_or_invalid"))
+
+
+@query("vol_target", f"WITH {_ALL} SELECT anchor, i AS asset, 0.5 * ln(greatest(v, 1e-12)) AS v FROM truth WHERE i = j", "v", "anchor")
+def _(spark, d):
+    return windows.log_vol(covs(spark, d)[2])
+
+
+_VOLS = f"""{_ALL}, vr AS (SELECT anchor, i AS asset, 0.5 * ln(greatest(v, 1e-12)) AS v FROM roll WHERE i = j), vp AS (SELECT anchor, i AS asset, 0.5 * ln(greatest(v, 1e-12)) AS v FROM pers WHERE i = j),
+vt AS (SELECT anchor, i AS asset, 0.5 * ln(greatest(v, 1e-12)) AS v FROM truth WHERE i = j), vs AS (SELECT anchor, asset, 0.7 * v + 0.3 * avg(v) OVER (PARTITION BY anchor) AS v FROM vr),
+vd AS (SELECT anchor, asset, 0.35 * vp.v + 0.5 * vr.v + 0.15 * vs.v AS v FROM vp JOIN vr USING (anchor, asset) JOIN vs USING (anchor, asset))"""
+
+
+def vols(spark, d):
+    roll, pers, truth = (windows.log_vol(c) for c in covs(spark, d))
+    shrink = windows.vol_to_mean(roll, 0.3)
+    return {"roll": roll, "pers": pers, "shrink": shrink, "damped": windows.damped(pers, roll, shrink, 0.5, 0.15)}, truth
+
+
+@query("vol_baselines", f"WITH {_VOLS} SELECT 'roll' AS method, * FROM vr UNION ALL SELECT 'pers', * FROM vp UNION ALL SELECT 'shrink', * FROM vs UNION ALL SELECT 'damped', * FROM vd", "v", "anchor")
+def _(spark, d):
+    out = None
+    for name, v in vols(spark, d)[0].items():
+        one = v.select(F.lit(name).alias("method"), "anchor", "asset", "v")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_METRIC = """SELECT '{0}' AS method, anchor, avg((h.v - t.v) ** 2) AS mse, avg(abs(h.v - t.v)) AS mae, avg(ln(greatest(exp(2 * h.v), 1e-12)) + exp(2 * t.v) / greatest(exp(2 * h.v), 1e-12)) AS qlike,
+1 - sum((h.v - t.v) ** 2) / nullif(var_pop(t.v) * count(*), 0) AS r2, sqrt(avg((h.v - t.v) ** 2)) AS rmse FROM {1} h JOIN vt t USING (anchor, asset) GROUP BY anchor"""
+
+
+@query("vol_metrics", f"WITH {_VOLS} {' UNION ALL '.join(_METRIC.format(m, 'v' + m[0]) for m in ('roll', 'pers', 'shrink', 'damped'))}", "mse mae qlike r2 rmse", "anchor")
+def _(spark, d):
+    forecasts, truth = vols(spark, d)
+    out = None
+    for name, v in forecasts.items():
+        one = windows.vol_metrics(v, truth).select(F.lit(name).alias("method"), "anchor", "mse", "mae", "qlike", "r2", "rmse")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("cov_fro", f"WITH {_ALL} SELECT anchor, 1e6 * sqrt(sum((roll.v - truth.v) ** 2)) AS value FROM roll JOIN truth USING (anchor, i, j) GROUP BY anchor", "value", "anchor")
+def _(spark, d):
+    roll, _, truth = covs(spark, d)
+    return big(windows.frobenius(roll, truth), "value")
+
+
+@query("cov_corr_offdiag", f"WITH {_ALL}, a AS ({_CORR.format('roll')}), b AS ({_CORR.format('truth')}) SELECT anchor, sqrt(sum((a.v - b.v) ** 2)) AS value FROM a JOIN b USING (anchor, i, j) WHERE i <> j GROUP BY anchor", "value", "anchor")
+def _(spark, d):
+    roll, _, truth = covs(spark, d)
+    return windows.frobenius(windows.correlation(roll, clipped=True), windows.correlation(truth, clipped=True), off_diagonal=True)
+
+
+@query(
+    "cov_spearman",
+    f"""WITH {_ALL}, a AS ({_CORR.format('roll')}), b AS ({_CORR.format('truth')}),
+k AS (SELECT anchor, rank() OVER (PARTITION BY anchor ORDER BY a.v) + (count(*) OVER (PARTITION BY anchor, a.v) - 1) / 2.0 AS x, rank() OVER (PARTITION BY anchor ORDER BY b.v) + (count(*) OVER (PARTITION BY anchor, b.v) - 1) / 2.0 AS y
+  FROM a JOIN b USING (anchor, i, j) WHERE i < j) SELECT anchor, corr(x, y) AS value FROM k GROUP BY anchor""",
+    "value", "anchor",
+)
+def _(spark, d):
+    roll, _, truth = covs(spark, d)
+    return windows.spearman(windows.correlation(roll), windows.correlation(truth))
+
+
+@query(
+    "vol_stats_embedding",
+    f"""WITH {FLAGS}, {sql_windows("panel", L, STRIDE, H)},
+x AS (SELECT anchor, asset, t - anchor + {L} - 1 >= {L // 2} AS late, coalesce(r, avg(r) OVER (PARTITION BY anchor, asset), 0) AS r FROM w),
+s AS (SELECT anchor, asset, greatest(stddev_samp(r), 1e-12) AS s, greatest(stddev_samp(r) FILTER (NOT late), 1e-12) AS s1, greatest(stddev_samp(r) FILTER (late), 1e-12) AS s2 FROM x GROUP BY ALL)
+SELECT anchor, avg(ln(s)) AS mean, stddev_samp(ln(s)) AS sd, quantile_cont(ln(s), 0.05) AS q05, quantile_cont(ln(s), 0.25) AS q25, quantile_cont(ln(s), 0.5) AS q50, quantile_cont(ln(s), 0.75) AS q75, quantile_cont(ln(s), 0.95) AS q95,
+  quantile_cont(ln(s), 0.75) - quantile_cont(ln(s), 0.25) AS iqr, avg(ln(s2)) - avg(ln(s1)) AS change, sum(s * s) / (sum(s) + 1e-12) ** 2 AS hhi FROM s GROUP BY anchor""",
+    "mean sd q05 q25 q50 q75 q95 iqr change hhi", "anchor",
+)
+def _(spark, d):
+    return windows.vol_statistics(_past_future(spark, d)[0])
+
+
+# neighbours --------------------------------------------------------------------------------------------------------------------------
+
+K = 5
+#: Every twentieth vector is a query, against all vectors.
+_DIST = {
+    "l1": "list_sum(list_transform(list_zip(a.z, b.z), lambda p: abs(p[1] - p[2])))",
+    "l2": "list_distance(a.z, b.z)",
+    "lp3": "list_sum(list_transform(list_zip(a.z, b.z), lambda p: abs(p[1] - p[2]) ** 3)) ** (1.0 / 3)",
+    "chebyshev": "list_max(list_transform(list_zip(a.z, b.z), lambda p: abs(p[1] - p[2])))",
+    "cosine": "1 - least(greatest(list_dot_product(a.z, b.z) / greatest(sqrt(list_dot_product(a.z, a.z)) * sqrt(list_dot_product(b.z, b.z)), 1e-12), -1), 1)",
+    "angular": "acos(least(greatest(list_dot_product(a.z, b.z) / greatest(sqrt(list_dot_product(a.z, a.z)) * sqrt(list_dot_product(b.z, b.z)), 1e-12), -1), 1))",
+}
+
+
+def _near_sql(name: str, k: int = K) -> str:
+    return f"{VECTORS}, pairs AS (SELECT a.id AS q, b.id, {_DIST[name]} AS dist FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0), near AS (SELECT q, id, dist, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM pairs QUALIFY rank <= {k})"
+
+
+def near(spark, d, name="l2", k=K):
+    v = src.vectors(spark, d)
+    return knn.neighbours(v.where("id % 20 = 0"), v, k, "lp" if name == "lp3" else name, 3.0 if name == "lp3" else None)
+
+
+for _name in _DIST:
+
+    @query(f"knn_{_name}", f"WITH {_near_sql(_name)} SELECT q, id, dist, rank FROM near", "dist", "rank")
+    def _(spark, d, name=_name):
+        return near(spark, d, name)
+
+
+@query(
+    "knn_eligible",
+    f"WITH {_near_sql('l2', 25)} SELECT q, id, dist, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM near WHERE id <= q - 20 - 10 QUALIFY rank <= 5",
+    "dist", "rank",
+)
+def _(spark, d):
+    return knn.eligible(near(spark, d, k=5 * K), K, 20, 10)
+
+
+for _name, _sql in (("kernel", "exp(-dist / 2.0)"), ("inverse", "1.0 / (dist + 1e-8)"), ("rank", "1.0 / rank")):
+
+    @query(f"{_name}_weights", f"WITH {_near_sql('l2')} SELECT q, id, {_sql} / sum({_sql}) OVER (PARTITION BY q) AS kappa FROM near", "kappa")
+    def _(spark, d, name=_name):
+        n = near(spark, d)
+        return {"kernel": lambda: knn.kernel_weights(n, 2.0), "inverse": lambda: knn.inverse_weights(n), "rank": lambda: knn.rank_weights(n)}[name]().select("q", "id", "kappa")
+
+
+#: Memberships of three regimes, made of a vector's label: four parts for its own, one for each other one.
+_PI = "pi AS (SELECT id, [CASE WHEN label % 3 = k THEN 4.0 ELSE 1.0 END / 6.0 FOR k IN range(3)] AS p FROM v)"
+
+
+def pi(spark, d):
+    return src.vectors(spark, d).select(F.col("id").alias("anchor"), F.array(*[F.when(F.col("label") % 3 == k, 4.0).otherwise(1.0) / 6.0 for k in range(3)]).alias("p"))
+
+
+_RW = f"{_near_sql('l2')}, {_PI}, kw AS (SELECT q, id, exp(-dist / 2.0) / sum(exp(-dist / 2.0)) OVER (PARTITION BY q) AS kappa FROM near), ex AS (SELECT q, id, kappa, unnest(range(3)) AS k, unnest(p) AS pk FROM kw JOIN pi USING (id)), rw AS (SELECT q, id, k, kappa, pk, kappa * pk / greatest(sum(kappa * pk) OVER (PARTITION BY q, k), 1e-12) AS w FROM ex)"
+
+
+def _regime_weights(spark, d):
+    return knn.regime_weights(knn.kernel_weights(near(spark, d), 2.0), pi(spark, d))
+
+
+@query("regime_weights", f"WITH {_RW} SELECT * FROM rw", "kappa pk w", "k")
+def _(spark, d):
+    return _regime_weights(spark, d)
+
+
+_FORECAST = f"{_RW}, y AS (SELECT q, k, dim, sum(w * x) AS y FROM rw JOIN (SELECT id, unnest(z) AS x, unnest(range(len(z))) AS dim FROM v) USING (id) WHERE dim < 8 GROUP BY ALL)"
+
+
+def _targets(spark, d):
+    return src.vectors(spark, d).select("id", F.posexplode("z").alias("dim", "v")).where("dim < 8")
+
+
+@query("euclidean_forecast", f"WITH {_FORECAST} SELECT q, dim, sum(y * p[k + 1]) AS v FROM y JOIN pi ON pi.id = q GROUP BY ALL", "v", "dim")
+def _(spark, d):
+    per = knn.euclidean_mean(_regime_weights(spark, d), _targets(spark, d), ["dim"])
+    return knn.regime_mix(per, pi(spark, d).withColumnRenamed("p", "alpha"), ["dim"])
+
+
+@query("neighbour_export", f"WITH {_RW} SELECT q, id, q - id AS lag, dist, rank, total_weight FROM near JOIN (SELECT q, rw.id, sum(w * p[k + 1]) AS total_weight FROM rw JOIN pi ON pi.id = q GROUP BY ALL) USING (q, id)", "dist total_weight", "rank lag")
+def _(spark, d):
+    return knn.exported(_regime_weights(spark, d), near(spark, d), pi(spark, d).withColumnRenamed("p", "alpha"))
+
+
+@query(
+    "prototype_softmax",
+    f"""WITH {VECTORS}, c AS (SELECT k, dim, avg(x) AS c FROM (SELECT label % 3 AS k, unnest(z) AS x, unnest(range(len(z))) AS dim FROM v) GROUP BY ALL),
+e AS (SELECT id, k, sum((x - c) ** 2) AS d2 FROM (SELECT id, unnest(z) AS x, unnest(range(len(z))) AS dim FROM v) JOIN c USING (dim) GROUP BY ALL)
+SELECT id, k, exp(-d2) / sum(exp(-d2)) OVER (PARTITION BY id) AS p FROM (SELECT id, k, d2 - min(d2) OVER (PARTITION BY id) AS d2 FROM e)""",
+    "p", "k",
+)
+def _(spark, d):
+    v = src.vectors(spark, d)
+    means = v.select((F.col("label") % 3).alias("k"), F.posexplode("z").alias("dim", "x")).groupBy("k", "dim").agg(F.avg("x").alias("c"))
+    centres = means.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("c")).select("k", F.col("c.c").alias("c"))
+    centres = centres.agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("centres"))
+    d2 = F.transform("centres", lambda s: F.aggregate(F.zip_with("z", s["c"], lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x))
+    return v.crossJoin(F.broadcast(centres)).select("id", F.posexplode(softmax_by_distance(d2, 1.0)).alias("k", "p"))
+
+
+@query(
+    "two_stage_outlier_flag",
+    f"""WITH {VECTORS}, m AS (SELECT dim, avg(x) AS m FROM (SELECT unnest(z) AS x, unnest(range(len(z))) AS dim FROM v) GROUP BY dim),
+e AS (SELECT id, sum((x - m) ** 2) AS d2 FROM (SELECT id, unnest(z) AS x, unnest(range(len(z))) AS dim FROM v) JOIN m USING (dim) GROUP BY id)
+SELECT id, d2, d2 >= (SELECT quantile_cont(d2, 0.9) FROM e) AS outlier FROM e""",
+    "d2",
+)
+def _(spark, d):
+    x = src.vectors(spark, d).select("id", F.posexplode("z").alias("dim", "x"))
+    e = x.join(F.broadcast(x.groupBy("dim").agg(F.avg("x").alias("m"))), "dim").groupBy("id").agg(F.sum(F.pow(F.col("x") - F.col("m"), F.lit(2.0))).alias("d2"))
+    return e.crossJoin(F.broadcast(e.agg(F.percentile("d2", 0.9).alias("q")))).select("id", "d2", (F.col("d2") >= F.col("q")).alias("outlier"))
+
+
+# regimes -----------------------------------------------------------------------------------------------------------------------------
+
+#: Memberships of three regimes by hour: shares of three event types' mean values (1 where one is missing).
+_MEMBER = f"{HOURS}, pi AS (SELECT t AS anchor, [c / (c + v + s), v / (c + v + s), s / (c + v + s)] AS p FROM (SELECT t, coalesce(max(x) FILTER (asset = 'click'), 1) AS c, coalesce(max(x) FILTER (asset = 'view'), 1) AS v, coalesce(max(x) FILTER (asset = 'signup'), 1) AS s FROM hours GROUP BY t))"
+_STATES = "states AS (SELECT anchor, list_position(p, list_max(p)) - 1 AS state FROM pi)"
+_GRID = "g AS (SELECT i, j FROM (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j))"
+
+
+def memberships(spark, d):
+    x = lambda name: F.coalesce(F.max(F.when(F.col("asset") == name, F.col("x"))), F.lit(1.0))
+    rows = hours_panel(spark, d).groupBy(F.col("t").alias("anchor")).agg(x("click").alias("a"), x("view").alias("b"), x("signup").alias("c"))
+    s = F.col("a") + F.col("b") + F.col("c")
+    return rows.select("anchor", F.array(F.col("a") / s, F.col("b") / s, F.col("c") / s).alias("p"))
+
+
+_HARD = f"{_MEMBER}, {_STATES}, {_GRID}, n AS (SELECT i, j, count(*) AS n FROM (SELECT lag(state) OVER (ORDER BY anchor) AS i, state AS j FROM states) WHERE i IS NOT NULL GROUP BY ALL), hard AS (SELECT i, j, (coalesce(n, 0) + {{0}}) / nullif(sum(coalesce(n, 0) + {{0}}) OVER (PARTITION BY i), 0) AS a FROM g LEFT JOIN n USING (i, j))"
+
+
+@query("transition_hard", f"WITH {_HARD.format('10.0')} SELECT * FROM hard", "a", "i j")
+def _(spark, d):
+    return regime.transition_hard(regime.assigned(memberships(spark, d)), 3)
+
+
+@query("transition_empirical", f"WITH {_HARD.format('0.0')} SELECT i, j, coalesce(a, 0) AS a FROM hard", "a", "i j")
+def _(spark, d):
+    return regime.transition_hard(regime.assigned(memberships(spark, d)), 3, 0.0, empty_uniform=False)
+
+
+_SOFT = f"{_MEMBER}, {_GRID}, st AS (SELECT lag(p) OVER (ORDER BY anchor) AS b, p AS a FROM pi), sn AS (SELECT i, j, sum(b[i + 1] * a[j + 1]) + 10.0 AS n FROM st, g WHERE b IS NOT NULL GROUP BY ALL), soft AS (SELECT i, j, n / sum(n) OVER (PARTITION BY i) AS a FROM sn)"
+
+
+@query("transition_soft", f"WITH {_SOFT} SELECT * FROM soft", "a", "i j")
+def _(spark, d):
+    return regime.transition_soft(memberships(spark, d), 3)
+
+
+@query("transition_given_switch", f"WITH {_SOFT} SELECT i, j, a / sum(a) OVER (PARTITION BY i) AS a FROM soft WHERE i <> j", "a", "i j")
+def _(spark, d):
+    return regime.given_switch(regime.transition_soft(memberships(spark, d), 3))
+
+
+_U = "(p[{0}] * (x[1] * m[1][{0}] + x[2] * m[2][{0}] + x[3] * m[3][{0}]))"
+_S = " + ".join(_U.format(k) for k in (1, 2, 3))
+_FILTER = f"""{_SOFT}, tm AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(a ORDER BY j) AS r FROM soft GROUP BY i)),
+fw AS (SELECT anchor, p AS x FROM pi WHERE anchor = 0 UNION ALL SELECT pi.anchor, [{', '.join(f'{_U.format(k)} / ({_S})' for k in (1, 2, 3))}] FROM fw JOIN pi ON pi.anchor = fw.anchor + 1, tm)"""
+
+
+def filtered(spark, d):
+    p = memberships(spark, d)
+    return regime.forward_filter(p, regime.as_matrix(regime.transition_soft(p, 3)))
+
+
+@query("forward_filter", f"WITH RECURSIVE {_FILTER} SELECT anchor, unnest(range(3)) AS k, unnest(x) AS alpha FROM fw", "alpha", "anchor k")
+def _(spark, d):
+    return filtered(spark, d).select("anchor", F.posexplode("alpha").alias("k", "alpha"))
+
+
+@query("asof_alpha", f"WITH RECURSIVE {_FILTER}, s AS (SELECT * FROM fw WHERE anchor % 10 = 0), q AS (SELECT anchor FROM pi WHERE anchor % 7 = 3) SELECT q.anchor, unnest(range(3)) AS k, unnest(s.x) AS alpha FROM q ASOF JOIN s ON s.anchor < q.anchor", "alpha", "anchor k")
+def _(spark, d):
+    p = memberships(spark, d)
+    found = regime.as_of(p.where("anchor % 7 = 3").select("anchor"), filtered(spark, d).where("anchor % 10 = 0"))
+    return found.select("anchor", F.posexplode("alpha").alias("k", "alpha"))
+
+
+@query("alpha_smooth_hard", f"WITH {_MEMBER} SELECT anchor, unnest(range(3)) AS k, unnest([0.92 * x + 0.08 / 3 FOR x IN p]) AS smooth, unnest([CASE WHEN i = list_position(p, list_max(p)) THEN 1.0 ELSE 0.0 END FOR i IN range(1, 4)]) AS hard FROM pi", "smooth hard", "anchor k")
+def _(spark, d):
+    both = memberships(spark, d).select("anchor", F.arrays_zip(smoothed(F.col("p"), 0.08).alias("smooth"), one_hot(F.col("p")).alias("hard")).alias("z"))
+    return both.select("anchor", F.posexplode("z").alias("k", "s")).select("anchor", "k", "s.smooth", "s.hard")
+
+
+@query("regime_entropy", f"WITH {_MEMBER}, {_STATES} SELECT anchor, state, -list_sum([x * ln(x) FOR x IN p]) AS entropy FROM pi JOIN states USING (anchor)", "entropy", "anchor state")
+def _(spark, d):
+    return regime.diagnostics(memberships(spark, d)).select("anchor", "state", "entropy")
+
+
+@query("regime_counts", f"WITH {_MEMBER}, {_STATES} SELECT state, count(*) AS n, min(list_sum(p)) AS least, max(list_sum(p)) AS most FROM pi JOIN states USING (anchor) GROUP BY state", "least most", "state n")
+def _(spark, d):
+    p = memberships(spark, d)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return p.join(regime.assigned(p), "anchor").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min(total).alias("least"), F.max(total).alias("most"))
+
+
+# portfolios --------------------------------------------------------------------------------------------------------------------------
+
+_W = f"{FLAGS}, {sql_windows('panel', L, STRIDE, H)}, wt AS (SELECT anchor, asset, method, CASE method WHEN 'equal' THEN 1.0 / n ELSE rk / (n * (n + 1) / 2) END AS w FROM (SELECT anchor, asset, n, CASE WHEN anchor // {STRIDE} % 2 = 0 THEN rk ELSE n + 1 - rk END AS rk FROM ends, (SELECT asset, row_number() OVER (ORDER BY asset) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT asset FROM panel))), (VALUES ('equal'), ('tilted')) m(method))"
+
+
+def fixed_weights(spark, d):
+    """Equal weights, and weights tilted by the assets' names, upwards and downwards in turn."""
+    from pyspark.sql import Window
+
+    past, ahead = _past_future(spark, d)
+    assets = past.select("asset").distinct().withColumn("rk", F.row_number().over(Window.orderBy("asset")))
+    n = assets.count()
+    rows = past.select("anchor").distinct().crossJoin(F.broadcast(assets))
+    rk = F.when(F.floor(F.col("anchor") / STRIDE) % 2 == 0, F.col("rk")).otherwise(n + 1 - F.col("rk"))
+    equal = rows.select("anchor", "asset", F.lit("equal").alias("method"), F.lit(1.0 / n).alias("w"))
+    return equal.unionByName(rows.select("anchor", "asset", F.lit("tilted").alias("method"), (rk / (n * (n + 1) / 2)).alias("w"))), ahead, n
+
+
+@query(
+    "portfolio_stats",
+    f"""WITH {_W}, rp AS (SELECT anchor, method, t, CASE WHEN count(r) = (SELECT count(DISTINCT asset) FROM panel) THEN sum(w * r) END AS rp FROM wt JOIN f USING (anchor, asset) GROUP BY ALL),
+s AS (SELECT anchor, method, count(rp) AS days, product(1 + rp) - 1 AS cumret, avg(rp) AS mean, 1e3 * var_samp(rp) AS var, stddev_samp(rp) AS vol FROM rp GROUP BY ALL)
+SELECT *, mean / (vol + 1e-12) * sqrt(252.0) AS sharpe FROM s""",
+    "cumret mean var vol sharpe", "anchor days",
+)
+def _(spark, d):
+    w, ahead, n = fixed_weights(spark, d)
+    return portfolio.hold_stats(w, ahead, n).withColumn("var", 1e3 * F.col("var"))
+
+
+@query("turnover", f"WITH {_W}, x AS (SELECT anchor, method, abs(w - lag(w) OVER (PARTITION BY method, asset ORDER BY anchor)) AS d FROM wt) SELECT anchor, method, sum(d) AS turnover FROM x GROUP BY ALL", "turnover", "anchor")
+def _(spark, d):
+    return portfolio.turnover(fixed_weights(spark, d)[0])
+
+
+@query("weight_concentration", f"WITH {_W} SELECT anchor, method, sum(w * w) AS hhi, max(abs(w)) AS max_abs, sum(abs(w)) AS l1 FROM wt GROUP BY ALL", "hhi max_abs l1", "anchor")
+def _(spark, d):
+    return portfolio.concentration(fixed_weights(spark, d)[0])
+
+
+@query("portfolio_variance", f"WITH {_W}, {sql_cov('f', 'truth')} SELECT a.anchor, a.method, 1e6 * sum(a.w * v * b.w) AS variance FROM truth JOIN wt a ON a.anchor = truth.anchor AND a.asset = i JOIN wt b ON b.anchor = truth.anchor AND b.asset = j AND b.method = a.method GROUP BY ALL", "variance", "anchor")
+def _(spark, d):
+    w, ahead, _ = fixed_weights(spark, d)
+    return big(portfolio.portfolio_variance(w, windows.covariance(ahead)), "variance")
