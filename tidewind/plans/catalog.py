@@ -86,8 +86,8 @@ def sql_cov(windows: str, name: str) -> str:
     """CTE <name>: covariances of imputed windows with the ridge."""
     return f"""{name}_x AS (SELECT anchor, t, asset, x - avg(x) OVER (PARTITION BY anchor, asset) AS x
   FROM (SELECT anchor, t, asset, coalesce(r, avg(r) OVER (PARTITION BY anchor, asset), 0) AS x FROM {windows})),
-{name} AS (SELECT a.anchor, a.asset AS i, b.asset AS j, sum(a.x * b.x) / greatest(1, count(*) - 1) + CASE WHEN a.asset = b.asset THEN 1e-8 ELSE 0 END AS v
-  FROM {name}_x a JOIN {name}_x b ON a.anchor = b.anchor AND a.t = b.t GROUP BY ALL)"""
+{name} AS (SELECT anchor, i, j, s / greatest(1, n - 1) + CASE WHEN i = j THEN 1e-8 ELSE 0 END AS v FROM (
+  SELECT a.anchor AS anchor, a.asset AS i, b.asset AS j, sum(a.x * b.x) AS s, count(*) AS n FROM {name}_x a JOIN {name}_x b ON a.anchor = b.anchor AND a.t = b.t GROUP BY 1, 2, 3))"""
 
 
 def all_queries() -> tuple[dict[str, Plan], dict[str, str]]:

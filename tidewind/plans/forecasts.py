@@ -177,7 +177,7 @@ for _name in _DIST:
 
 @query(
     "knn_eligible",
-    f"WITH {_near_sql('l2', 25)} SELECT q, id, dist, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM near WHERE id <= q - 20 - 10 QUALIFY rank <= 5",
+    f"WITH {_near_sql('l2', 25)} SELECT q, id, dist, k AS rank FROM (SELECT q, id, dist, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS k FROM near WHERE id <= q - 20 - 10) WHERE k <= 5",
     "dist", "rank",
 )
 def _(spark, d):
@@ -323,7 +323,7 @@ def _(spark, d):
     return found.select("anchor", F.posexplode("alpha").alias("k", "alpha"))
 
 
-@query("alpha_smooth_hard", f"WITH {_MEMBER} SELECT anchor, unnest(range(3)) AS k, unnest([0.92 * x + 0.08 / 3 FOR x IN p]) AS smooth, unnest([CASE WHEN i = list_position(p, list_max(p)) THEN 1.0 ELSE 0.0 END FOR i IN range(1, 4)]) AS hard FROM pi", "smooth hard", "anchor k")
+@query("alpha_smooth_hard", f"WITH {_MEMBER} SELECT anchor, unnest(range(3)) AS k, unnest([0.92 * x + 0.08 / 3 FOR x IN p]) AS smooth, unnest([CASE WHEN i = list_position(p, list_max(p)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR i IN range(1, 4)]) AS hard FROM pi", "smooth hard", "anchor k")
 def _(spark, d):
     both = memberships(spark, d).select("anchor", F.arrays_zip(smoothed(F.col("p"), 0.08).alias("smooth"), one_hot(F.col("p")).alias("hard")).alias("z"))
     return both.select("anchor", F.posexplode("z").alias("k", "s")).select("anchor", "k", "s.smooth", "s.hard")

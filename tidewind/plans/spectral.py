@@ -1,0 +1,178 @@
+"""Queries on the spectral operators. On panels of two assets closed forms say in SQL what the general code computes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import linalg, portfolio
+from . import backtest
+from .catalog import STATUS, query, sql_cov, sql_windows
+from .forecasts import H, L, STRIDE, covs
+from .panels import flags_panel, hours_panel, status_panel
+from ..sources import panels as src
+
+_PERS = sql_cov(f"(SELECT * FROM w WHERE t > anchor - {H})", "pers")
+_TWO = "(SELECT anchor, max(v) FILTER (i = 'F' AND j = 'F') AS a, max(v) FILTER (i = 'F' AND j = 'O') AS b, max(v) FILTER (i = 'O' AND j = 'O') AS d FROM {} GROUP BY anchor)"
+_EIG = "SELECT anchor, a, b, d, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS hi, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS lo FROM {}"
+#: CTEs e_<name>: entries and eigenvalues; l_<name>: entries of the logarithm.
+_LOG = "SELECT anchor, (ln(hi) + ln(lo)) / 2 + k * (a - d) / 2 AS a, k * b AS b, (ln(hi) + ln(lo)) / 2 - k * (a - d) / 2 AS d FROM (SELECT *, (ln(hi) - ln(lo)) / nullif(hi - lo, 0) AS k FROM e_{})"
+
+
+def _two(name: str) -> str:
+    return f"e_{name} AS ({_EIG.format(_TWO.format(name))}), l_{name} AS ({_LOG.format(name)})"
+
+
+_BASE = f"{STATUS}, {sql_windows('panel', L, STRIDE, H)}, {sql_cov('w', 'roll')}, {_PERS}, {sql_cov('f', 'truth')}, {_two('roll')}, {_two('pers')}, {_two('truth')}"
+_LONG = "SELECT anchor, 'F' AS i, 'F' AS j, {0} * a AS v FROM {1} UNION ALL SELECT anchor, 'F', 'O', {0} * b FROM {1} UNION ALL SELECT anchor, 'O', 'F', {0} * b FROM {1} UNION ALL SELECT anchor, 'O', 'O', {0} * d FROM {1}"
+
+
+def two(spark, d):
+    """Packed roll, pers and truth of the panel of two assets."""
+    return [linalg.packed(c, "anchor") for c in covs(spark, d, status_panel)]
+
+
+@query("spd_project_2", f"WITH {_BASE} {_LONG.format('1e6', 'e_roll')}", "v", "anchor")
+def _(spark, d):
+    out = linalg.mapped(two(spark, d)[0], ["anchor"], linalg.project_spd)
+    return linalg.unpacked(out, ["anchor"]).withColumn("v", 1e6 * F.col("v"))
+
+
+@query("logm_2", f"WITH {_BASE} {_LONG.format('1', 'l_roll')}", "v", "anchor")
+def _(spark, d):
+    return linalg.unpacked(linalg.mapped(two(spark, d)[0], ["anchor"], linalg.logm), ["anchor"])
+
+
+@query("eigenvalues_2", f"WITH {_BASE} SELECT anchor, 1e6 * hi AS hi, 1e6 * lo AS lo FROM e_roll", "hi lo", "anchor")
+def _(spark, d):
+    import numpy as np
+
+    out = linalg.mapped(two(spark, d)[0], ["anchor"], lambda a: np.linalg.eigvalsh(linalg.sym(a)), "w array<double>", "w")
+    return out.select("anchor", (1e6 * F.element_at("w", 2)).alias("hi"), (1e6 * F.element_at("w", 1)).alias("lo"))
+
+
+_MEAN = """lm AS (SELECT anchor, 0.4 * x.a + 0.6 * y.a AS a, 0.4 * x.b + 0.6 * y.b AS b, 0.4 * x.d + 0.6 * y.d AS d FROM l_roll x JOIN l_pers y USING (anchor)),
+le AS (SELECT anchor, (exp(hi) + exp(lo)) / 2 + k * (a - d) / 2 AS a, k * b AS b, (exp(hi) + exp(lo)) / 2 - k * (a - d) / 2 AS d FROM (SELECT *, (exp(hi) - exp(lo)) / nullif(hi - lo, 0) AS k FROM (""" + _EIG.format("lm") + ")))"
+
+
+@query("logeuc_mean_2", f"WITH {_BASE}, {_MEAN} {_LONG.format('1e6', 'le')}", "v", "anchor")
+def _(spark, d):
+    roll, pers, _ = covs(spark, d, status_panel)
+    # the logarithm of each matrix is made once; means of logarithms are relational
+    logs = [linalg.unpacked(linalg.mapped(linalg.packed(c, "anchor"), ["anchor"], linalg.logm), ["anchor"]) for c in (roll, pers)]
+    mean = logs[0].withColumn("v", 0.4 * F.col("v")).unionByName(logs[1].withColumn("v", 0.6 * F.col("v"))).groupBy("anchor", "i", "j").agg(F.sum("v").alias("v"))
+    out = linalg.mapped(linalg.packed(mean, "anchor"), ["anchor"], lambda a: linalg.project_spd(linalg.expm(a)))
+    return linalg.unpacked(out, ["anchor"]).withColumn("v", 1e6 * F.col("v"))
+
+
+_DET = "(({0}.a + 1e-10) * ({0}.d + 1e-10) - {0}.b * {0}.b)"
+_TR = f"(((s.d + 1e-10) * (y.a + 1e-10) - 2 * s.b * y.b + (s.a + 1e-10) * (y.d + 1e-10)) / {_DET.format('s')})"
+_LOSSES = f"""WITH {_BASE} SELECT s.anchor, 0.5 * ({_TR} - 2 + ln({_DET.format('s')}) - ln({_DET.format('y')})) AS kl, {_TR} - ln({_DET.format('y')} / {_DET.format('s')}) - 2 AS stein,
+sqrt((ls.a - ly.a) ** 2 + 2 * (ls.b - ly.b) ** 2 + (ls.d - ly.d) ** 2) AS logeuc, ((ln(s.hi) - ln(y.hi)) ** 2 + (ln(s.lo) - ln(y.lo)) ** 2) / 2 AS eig_mse, s.hi / s.lo AS cond, s.hi / s.lo / (y.hi / y.lo) AS cond_ratio
+FROM e_roll s JOIN e_truth y USING (anchor) JOIN l_roll ls ON ls.anchor = s.anchor JOIN l_truth ly ON ly.anchor = s.anchor"""
+
+for _name, _columns in (("kl_2", ["kl"]), ("stein_2", ["stein"]), ("logeuc_dist_2", ["logeuc"]), ("eig_mse_2", ["eig_mse"]), ("cond_2", ["cond", "cond_ratio"])):
+
+    @query(_name, f"SELECT anchor, {', '.join(_columns)} FROM ({_LOSSES})", " ".join(_columns), "anchor")
+    def _(spark, d, columns=_columns):
+        roll, _, truth = two(spark, d)
+        return linalg.losses(roll, truth, ["anchor"]).select("anchor", *columns)
+
+
+@query(
+    "nll_2",
+    f"""WITH {_BASE}, x AS (SELECT anchor, t, max(r) FILTER (asset = 'F') AS x, max(r) FILTER (asset = 'O') AS y FROM f GROUP BY ALL HAVING count(r) = 2)
+SELECT anchor, avg(0.5 * (2 * ln(2 * pi()) + ln({_DET.format('s')}) + ((s.d + 1e-10) * x * x - 2 * s.b * x * y + (s.a + 1e-10) * y * y) / {_DET.format('s')})) AS nll FROM x JOIN e_roll s USING (anchor) GROUP BY anchor HAVING count(*) = {H}""",
+    "nll", "anchor",
+)
+def _(spark, d):
+    import numpy as np
+    import pandas as pd
+
+    from ..operators import windows
+    from .forecasts import _past_future
+
+    past, ahead = _past_future(spark, d, status_panel)
+    rows = ahead.groupBy("anchor", "t").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("x")).groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("t", F.col("x.r").alias("x")))).alias("x"))
+    both = linalg.packed(windows.covariance(past), "anchor").join(rows.select("anchor", F.col("x.x").alias("x")), "anchor").select("anchor", "m", "x")
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                s = linalg.stack(pdf["m"])
+                yield pd.DataFrame({"anchor": pdf["anchor"], "nll": [linalg.nll(a, np.array([list(r) for r in x], float)) for a, x in zip(s, pdf["x"], strict=True)]})
+
+    return both.mapInPandas(run, "anchor int, nll double").where("nll IS NOT NULL AND NOT isnan(nll)")
+
+
+@query("gmvp_2", f"WITH {_BASE} SELECT anchor, 'F' AS asset, (d + 1e-8 - b) / (a + d + 2e-8 - 2 * b) AS w FROM e_roll UNION ALL SELECT anchor, 'O', (a + 1e-8 - b) / (a + d + 2e-8 - 2 * b) FROM e_roll", "w", "anchor")
+def _(spark, d):
+    out = linalg.mapped(two(spark, d)[0], ["anchor"], linalg.gmvp, "w array<double>", "w")
+    return out.select("anchor", F.explode(F.arrays_zip("assets", "w")).alias("z")).select("anchor", F.col("z.assets").alias("asset"), "z.w")
+
+
+_INV = "((a + 1e-8) * (d + 1e-8) - b * b)"
+
+
+@query("precision_2", f"WITH {_BASE}, p AS (SELECT anchor, (d + 1e-8) / {_INV} AS a, -b / {_INV} AS b, (a + 1e-8) / {_INV} AS d FROM e_roll) {_LONG.format('1e-4', 'p')}", "v", "anchor")
+def _(spark, d):
+    out = linalg.mapped(two(spark, d)[0], ["anchor"], linalg.precision)
+    return linalg.unpacked(out, ["anchor"]).withColumn("v", 1e-4 * F.col("v"))
+
+
+@query("precision_weights_2", f"WITH {_BASE} SELECT anchor, 'F' AS asset, (d + 1e-8 - b) / (a + d + 2e-8 - 2 * b) AS w FROM e_roll UNION ALL SELECT anchor, 'O', (a + 1e-8 - b) / (a + d + 2e-8 - 2 * b) FROM e_roll", "w", "anchor")
+def _(spark, d):
+    return portfolio.precision_weights(linalg.unpacked(linalg.mapped(two(spark, d)[0], ["anchor"], linalg.precision), ["anchor"]))
+
+
+@query(
+    "gmvp_long_only_2",
+    f"WITH {_BASE}, x AS (SELECT anchor, least(greatest((d - b) / (a + d - 2 * b), 0), 1) AS w FROM e_roll) SELECT anchor, 'F' AS asset, round(w, 4) AS w FROM x UNION ALL SELECT anchor, 'O', round(1 - w, 4) FROM x",
+    "w", "anchor",
+)
+def _(spark, d):
+    import numpy as np
+
+    out = linalg.mapped(two(spark, d)[0], ["anchor"], lambda a: np.stack([linalg.gmvp_long_only(x) for x in a]), "w array<double>", "w")
+    return out.select("anchor", F.explode(F.arrays_zip("assets", "w")).alias("z")).select("anchor", F.col("z.assets").alias("asset"), F.round("z.w", 4).alias("w"))
+
+
+# whole fits, without SQL: iterative numerics ------------------------------------------------------------------------------------------
+
+
+def _fit(name):
+    def run(spark, d):
+        return backtest.fitted(src.vectors(spark, d), name, 4, backtest.OPTIONS.get(name, {}))
+
+    return run
+
+
+for _name, _short in (("gmm", "gmm_fit"), ("kmeans_soft", "kmeans_fit"), ("fuzzy_cmeans", "fcm_fit"), ("agglomerative_ward", "ward_fit"), ("spectral_rbf", "spectral_fit"), ("spectral_knn", "spectral_knn_fit"), ("signed_knn_spectral", "signed_spectral_fit"), ("modified_two_stage", "two_stage_fit")):
+    query(_short)(_fit(_name))
+
+
+def _embed(name):
+    def run(spark, d):
+        return backtest.embedded(flags_panel(spark, d), name, 50, 20, 30, {"k": 5} if name != "vol_stats" else {})
+
+    return run
+
+
+for _name, _short in (("pca", "pca_embed"), ("corr_eigen", "corr_eig_embed"), ("hybrid", "hybrid_embed"), ("vol_stats", "vol_stats_embed")):
+    query(_short)(_embed(_name))
+
+
+@query("backtest_cov")
+def _(spark, d):
+    return backtest.run(flags_panel(spark, d), backtest.Config(stride=150, sample_stride=15, refit=150)).select("anchor", "method", "metric", "value")
+
+
+@query("backtest_vol")
+def _(spark, d):
+    return backtest.run(flags_panel(spark, d), backtest.Config(target="vol", embedder="vol_stats", embed_options={}, clusterer="gmm", metric="l2", stride=60, sample_stride=9, refit=60)).select("anchor", "method", "metric", "value")
+
+
+@query("ablation_grid")
+def _(spark, d):
+    base = backtest.Config(target="vol", embedder="vol_stats", embed_options={}, stride=120, sample_stride=12, refit=240)
+    runs = backtest.grid(base, {"metric": ["l1", "l2"], "tau": [1.0, 2.0]})
+    return backtest.ablation(flags_panel(spark, d), runs)
