@@ -90,10 +90,11 @@ class PcaWindow:
         self.mean, sd = flat.mean(0), flat.std(0)
         self.sd = np.where(sd > 0, sd, 1.0)
         z = (flat - self.mean) / self.sd
-        w, u = np.linalg.eigh(z @ z.T)
+        wide = z.shape[1] > len(z)
+        w, u = np.linalg.eigh(z @ z.T if wide else z.T @ z)  # the smaller of both
         order = np.argsort(w)[::-1][: min(max(self.k, 1), len(z) - 1)]
         order = order[w[order] > 1e-10 * max(w.max(), FLOOR)]
-        axes = (z.T @ u[:, order]) / np.sqrt(w[order])
+        axes = (z.T @ u[:, order]) / np.sqrt(w[order]) if wide else u[:, order]
         self.axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
         return self
 
