@@ -1,0 +1,247 @@
+"""The operators on Spark: against SQL, against brute force, and on odd tables."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidewind.llm import registry
+from tidewind.llm.components import components
+from tidewind.llm.decontamination import decontaminate
+from tidewind.llm.exact_dedup import exact_dedup
+from tidewind.llm.html_extraction import extract, template
+from tidewind.llm.line_dedup import line_dedup
+from tidewind.llm.near_dedup import near_dedup
+from tidewind.llm.packing import pack_documents, sequences, tokenized
+from tidewind.llm.pii import find_pii
+from tidewind.llm.substring_dedup import substring_dedup
+from tidewind.llm.toxicity import toxicity, without_toxic
+from tidewind.llm.warc_archive import export_files, read_records, reconstruct, write_archive
+
+DOCS = "doc_id long, text string, source string, n_chars long, digest string, h long, doc string, key long, length long, n string"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, s, None, "x", 1, "y", 2, 3, "z") for i, t, s in rows], DOCS)
+
+
+ODD = [(1, None, "a"), (2, "", "b"), (3, " \n ", None), (None, "alone", "a"), (None, None, None), (4, "same text", "a"), (4, "same text", "a"), (5, "same  text", "c"), (2**60 + 1, "é" * 5, "a"), (6, "long word " * 3000, "b")]
+SPACES = r"[\x20\x09-\x0D]"
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_queries_match_their_sql(name, same):
+    assert same(registry.QUERIES[name], registry.SQL[name]) > 0
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return docs_of(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return docs_of(spark, [])
+
+
+def test_exact_dedup_on_odd_rows(spark, odd, none):
+    rows = exact_dedup(odd).collect()
+    assert len(rows) == len(ODD) and exact_dedup(none).count() == 0
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    assert [(r.keep_id, r.group_size, r.kept) for r in by[4]] == [(5, 3, False)] * 2 and by[5][0].kept and by[1][0].keep_id == 3 and by[1][0].group_size == 4
+    assert by[2**60 + 1][0].kept and by[2**60 + 1][0].text_sha256 == hashlib.sha256(("é" * 5).encode()).hexdigest()
+
+
+def test_line_dedup_on_odd_rows(spark, odd, none):
+    rows = {r.doc_id: r for r in line_dedup(odd).collect()}
+    assert line_dedup(odd).columns == [*odd.columns, "n_lines", "n_removed"] and line_dedup(none).count() == 0
+    assert rows[1].text is None and rows[1].n_lines == 0 and rows[2].n_lines == 1 and rows[4].text == "same text"
+    spread = docs_of(spark, [(k, f"own {k}\nboiler plate\nmore {k}", f"s{k % 12}") for k in range(24)] + [(100 + k, "copied\ntext here\nend", f"s{k % 12}") for k in range(24)])
+    out = {r.doc_id: r.text for r in line_dedup(spread).collect()}
+    assert out[3] == "own 3\nmore 3" and out[105] == "copied\ntext here\nend"
+
+
+def test_near_dedup_against_brute_force(spark, odd, none):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows, k = [], 0
+    for _ in range(25):
+        own = [rng.choice(vocabulary) for _ in range(rng.randint(3, 120))]
+        for _ in range(rng.randint(1, 5)):
+            text = [rng.choice(vocabulary) if rng.random() < 0.012 else w for w in own]
+            rows.append((k, (" ".join(text)).upper() if k % 2 else "  ".join(text), "a"))
+            k += 1
+    sets = {}
+    for i, t, _ in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = {r.doc_id: r for r in near_dedup(docs_of(spark, rows)).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {i: top(i) for i in sets}
+    assert all(r.n_shingles == len(sets[i]) and r.kept == (r.component_id == i) for i, r in got.items())
+    rows = near_dedup(odd).collect()
+    assert len(rows) == len(ODD) and near_dedup(none).count() == 0
+    assert {(r.component_id, r.kept) for r in rows if r.doc_id is None} == {(None, True)} and [(r.component_id, r.kept) for r in rows if r.doc_id == 5] == [(4, False)]
+    assert all(r.n_shingles == 0 and r.kept for r in rows if r.doc_id in (1, 2, 3))
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (8, 7), (20, 21)] + [(30 + k, 31 + k) for k in range(20)] + [(100, 100 + k) for k in range(1, 40)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got[3] == 1 and got[9] == 7 and got[50] == 30 and got[139] == 100 and 1 not in got
+
+
+def test_substring_dedup_against_brute_force(spark, odd, none):
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(70)]
+    rows = []
+    for i in range(30):
+        w = [rng.choice("abcdefgh") + str(rng.randint(0, 50)) for _ in range(rng.randint(0, 150))]
+        if i % 3 == 0:
+            at = rng.randint(0, len(w))
+            w[at:at] = passage[rng.randint(0, 10) : rng.randint(55, 70)]
+        if i % 7 == 0:
+            w += ["again"] * rng.randint(40, 70)
+        rows.append((i, " \n".join(w) if i != 20 else " ".join(passage), "a"))
+    rows.append((31, rows[9][1], "a"))
+    first, expected = {}, {}
+    texts = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t, _ in rows}
+    for i in sorted(texts):
+        for j in range(len(texts[i]) - 49):
+            first.setdefault(tuple(texts[i][j : j + 50]), i)
+    for i, w in texts.items():
+        gone = {p for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < i for p in range(j, j + 50)}
+        expected[i] = (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup(docs_of(spark, rows)).collect()}
+    assert got == expected and any(n for _, n, _ in expected.values())
+    rows = substring_dedup(odd).collect()
+    assert len(rows) == len(ODD) and substring_dedup(none).count() == 0 and all(r.n_removed == 0 for r in rows) and {r.text for r in rows if r.doc_id == 4} == {"same text"}
+
+
+def test_decontamination_on_odd_rows(spark, odd, none):
+    bench = spark.createDataFrame([(1, "Same, text"), (None, "alone"), (2, None), (1, "same text"), (3, "")], "item_id long, text string")
+    rows = decontaminate(odd, bench).collect()
+    assert [r.n_hit for r in rows if r.doc_id == 4] == [2, 2] and all(r.contaminated and r["items"] == ["1"] and r.clean_text == "same text" for r in rows if r.doc_id in (4, 5) and r.text == "same text")
+    assert all(r.n_words == 0 and not r.contaminated for r in rows if r.text is None) and len(rows) == len(ODD)
+    assert decontaminate(none, bench).count() == 0 and decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_pii_on_odd_rows(spark, odd, none):
+    assert find_pii(odd).count() == len(ODD) and find_pii(none).count() == 0 and {r.doc_id for r in find_pii(odd).collect()} == {i for i, _, _ in ODD}
+
+
+def test_packing_round_trip(spark, odd, none):
+    packed = pack_documents(odd, capacity=64)
+    rows = packed.collect()
+    assert pack_documents(none).count() == 0
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 64
+    plain = docs_of(spark, [(k, f"some words of {k} " * (k + 1), "a") for k in range(20)]).select("doc_id", "text")
+    ids = tokenized(plain, capacity=64, with_ids=True)
+    full = sequences(ids, pack_documents(plain, capacity=64)).collect()
+    assert sum(len(r.ids) for r in full) == sum(len(r.ids) for r in ids.collect()) and max(len(r.ids) for r in full) <= 4 * 64
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(1, "http://a/1", "<p>x</p>", 5), (2, "http://a/2", "<p>x</p>", 5), (3, None, None, 5), (4, "u\r\nv", "", 5), (None, "n", "é\r\n\r\nz", 5), (2, "http://a/2", "<p>x</p>", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, address int")
+    write_archive(pages, str(tmp_path / "one"))
+    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in read_records(spark, str(tmp_path / "one")).collect()}
+    assert got == {(1, "revisit", 2, 8), (2, "response", None, 8), (3, "revisit", 4, 0), (4, "response", None, 0), (None, "response", None, 7)}
+    back = reconstruct(spark, str(tmp_path / "one")).collect()
+    assert sorted(bytes(r.payload).decode() for r in back) == sorted(r[2] or "" for r in rows) and all(bytes(r.record).startswith(b"WARC/1.1\r\n") and bytes(r.record).endswith(b"\r\n\r\n") for r in back)
+    assert spark.read.parquet(str(tmp_path / "one" / "payloads")).count() == 3
+    write_archive(pages, str(tmp_path / "two"), min_bytes=8)
+    assert {(r.page_id, r.record_type) for r in read_records(spark, str(tmp_path / "two")).collect() if r.payload_bytes < 8} == {(3, "response"), (4, "response"), (None, "response")}
+    export_files(spark, str(tmp_path / "one"), str(tmp_path / "warc"))
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "warc").glob("part-*")))
+    n, at = 0, 0
+    while at < len(raw):  # each record's length says where it ends
+        head = raw.index(b"\r\n\r\n", at) + 4
+        at = head + int(re.search(rb"Content-Length: (\d+)", raw[at:head])[1]) + 4
+        n += 1
+    assert n == 6
+    write_archive(pages.limit(0), str(tmp_path / "none"))
+    assert read_records(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_damaged_payloads_stop_the_read(spark, tmp_path):
+    write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), str(tmp_path / "a"))
+    good = spark.read.parquet(str(tmp_path / "a" / "payloads")).withColumn("payload", F.encode(F.lit("y"), "UTF-8")).toPandas()
+    spark.createDataFrame(good, spark.read.parquet(str(tmp_path / "a" / "payloads")).schema).write.mode("overwrite").parquet(str(tmp_path / "a" / "payloads"))
+    with pytest.raises(Exception, match="damaged payload"):
+        read_records(spark, str(tmp_path / "a")).collect()
+
+
+def test_page_text(spark, sf):
+    page = lambda k: f"<html><body><nav>Menu here</nav><div class=x><p>Say no to spam</p></div><article><p>Join us today</p><p>Story {k} tells of {k * 7}.</p></article></body></html>"
+    rows = [(k, f"https://Host.org:80/{k}", page(k), 1) for k in range(8)] + [(90, None, None, 1), (91, "http://x/", "", 1), (92, "http://host.org/", page(3), 1), (None, "http://y", "<p>a</p>", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert got[3] == got[92] == "Story 3 tells of 21." and got[90] == got[91] == "" and got[None] == "a" and len(got) == len(rows)
+    kinds = template(spark.createDataFrame([("h", r[2]) for r in rows[:8]], "host string, html string"))
+    assert kinds.where("text").count() == 3 and extract(pages.limit(0)).count() == 0
+    # on the test pages, against their article elements
+    import html as entities
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    texts = {r.page_id: r.text for r in extract(pages).collect()}
+    for r in pages.collect():
+        body = re.sub(r"<(?!/?(?:p|h1)\b)[^>]*>", "", re.sub(r"<br>", " ", re.search(r"<article>(.*?)</article>", r.html, re.S)[1]))
+        parts = [re.sub(r"\s+", " ", entities.unescape(x)).strip() for x in re.split(r"</?(?:p|h1)[^>]*>", body)]
+        assert texts[r.page_id] == "\n\n".join(x for x in parts if x)
+
+
+def test_toxicity_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n.get((1, 1), 0) > 0.88 * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) < 0.01 * n[0, 0]
+
+
+def test_toxicity_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(4, 1, 0), (5, None, 1), (None, 1, 1), (1, 0, 0), (4, 0, 0)], "doc_id long, toxic int, quality int")
+    rows = toxicity(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    assert toxicity(none, labels).count() == 0 and toxicity(odd, labels.limit(0)).where("score > 0.01").count() == 0
+    assert without_toxic(odd, labels.limit(0)).columns == odd.columns and without_toxic(odd, labels.limit(0)).count() == len(ODD)
+
+
+def test_pipeline(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, now = docs.columns, docs
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in now.collect()}
+        now = stage(spark, now, sf)
+        after = {r.doc_id for r in now.collect()}
+        assert now.columns == columns and after <= before and (name != "line_dedup" or after == before), name
+    packed = corpus_pipeline.run(spark, sf)
+    assert {r.doc_id for r in packed.collect()} == after
+    texts = {r.doc_id: r.text for r in now.collect()}
+    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in texts.items() if t and t.split()}
+    assert not [(a, b) for a in sets for b in sets if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]

@@ -263,11 +263,12 @@ def fit(rows: list[tuple[int, list[str]]], steps: int = 300, ridge: float = 0.5)
     own = [sorted(place[f] for f in found) for _, found in known_features(rows, place)]
     at, row = np.concatenate([np.array(x, np.int64) for x in own]) if own else np.empty(0, np.int64), np.repeat(np.arange(len(rows)), [len(x) for x in own])
     y = np.array([label for label, _ in rows], float)
+    weight = np.where(y == 1, max(1.0, math.sqrt(n[0] / n[1])), 1.0)  # toxic rows are few
     w, bias = np.zeros(len(names)), math.log(n[1] / n[0])
     g2, b2 = np.full(len(names), 1e-6), 1e-6
     for _ in range(steps):  # AdaGrad over all rows at once
         z = bias + np.bincount(row, w[at], minlength=len(rows))
-        d = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
+        d = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         g = np.bincount(at, d[row], minlength=len(names)) + ridge * w
         g2 += g * g
         w -= 0.3 * g / np.sqrt(g2)
