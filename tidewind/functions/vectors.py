@@ -47,10 +47,11 @@ def angular(a: Column, b: Column) -> Column:
     return F.acos(cosine_similarity(a, b))
 
 
+_L1, _L2, _LARGEST = lp(1), lp(2), lp(float("inf"))
 #: Names of distances and their other names (fixed values).
 METRICS = {
-    "l1": lp(1), "manhattan": lp(1), "cityblock": lp(1), "l2": lp(2), "euclidean": lp(2), "chebyshev": lp(float("inf")),
-    "linf": lp(float("inf")), "l-inf": lp(float("inf")), "l_inf": lp(float("inf")), "infinity": lp(float("inf")), "cosine": cosine, "angular": angular,
+    "l1": _L1, "manhattan": _L1, "cityblock": _L1, "l2": _L2, "euclidean": _L2, "chebyshev": _LARGEST, "linf": _LARGEST,
+    "l-inf": _LARGEST, "l_inf": _LARGEST, "infinity": _LARGEST, "cosine": cosine, "angular": angular,
 }
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.stats import stars, t_pvalue, wilcoxon_pvalue
 
-BY_METHOD = Window.partitionBy("method").orderBy("date")
+
+def by_method() -> WindowSpec:
+    return Window.partitionBy("method").orderBy("date")
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -76,12 +79,12 @@ def correlations(rows: DataFrame, least: int = 3) -> DataFrame:
 
 def wealth(rows: DataFrame) -> DataFrame:
     """wealth: product of 1 + value along each method's dates; missing values count as 0."""
-    return rows.withColumn("wealth", F.product(1 + F.coalesce("value", F.lit(0.0))).over(BY_METHOD.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("wealth", F.product(1 + F.coalesce("value", F.lit(0.0))).over(by_method().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def max_drawdown(rows: DataFrame, from_one: bool = False) -> DataFrame:
     """method, drawdown: least (wealth - peak) / peak; the peak starts at the first wealth, or at 1."""
-    peak = F.max("wealth").over(BY_METHOD.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("wealth").over(by_method().rowsBetween(Window.unboundedPreceding, 0))
     peak = F.greatest(peak, F.lit(1.0)) if from_one else peak
     return wealth(rows).withColumn("dd", (F.col("wealth") - peak) / peak).groupBy("method").agg(F.min("dd").alias("drawdown"))
 
@@ -94,13 +97,13 @@ def terminal_wealth(rows: DataFrame, base: str) -> DataFrame:
 
 def rolling(rows: DataFrame, window: int = 21, kind: str = "median", least: int | None = None) -> DataFrame:
     """Rolling median or mean of value; NULL until there are least values (the window's size by default)."""
-    frame = BY_METHOD.rowsBetween(1 - window, 0)
+    frame = by_method().rowsBetween(1 - window, 0)
     out = F.percentile("value", 0.5).over(frame) if kind == "median" else F.avg("value").over(frame)
     return rows.withColumn("rolled", F.when(F.count("value").over(frame) >= (window if least is None else least), out))
 
 
 def cumulative_advantage(rows: DataFrame, base: str) -> DataFrame:
-    return paired(rows, base).withColumn("advantage", F.sum(F.col("base") - F.col("value")).over(BY_METHOD.rowsBetween(Window.unboundedPreceding, 0)))
+    return paired(rows, base).withColumn("advantage", F.sum(F.col("base") - F.col("value")).over(by_method().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def information_ratio(rows: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.nulls import clip
 
-BY_ASSET = Window.partitionBy("asset").orderBy("t")
+
+def by_asset() -> WindowSpec:
+    return Window.partitionBy("asset").orderBy("t")
 
 
 def date_flags(panel: DataFrame, q99: float = 0.5, largest: float = 1.0, least_filled: float = 0.0) -> DataFrame:
@@ -49,7 +52,7 @@ def cell_mask(panel: DataFrame, volatile: list[tuple[str, str]], huge: float = 5
     n = F.count_if(big).over(Window.partitionBy("date"))
     reason = (
         F.when(F.abs("r") > huge, "huge")
-        .when(big & (F.coalesce(beside(F.lead("r").over(BY_ASSET)), F.lit(False)) | F.coalesce(beside(F.lag("r").over(BY_ASSET)), F.lit(False))), "split_pair")
+        .when(big & (F.coalesce(beside(F.lead("r").over(by_asset())), F.lit(False)) | F.coalesce(beside(F.lag("r").over(by_asset())), F.lit(False))), "split_pair")
         .when(big & ~in_periods(F.col("date"), volatile) & (n >= 2), "suspicious_multi")
     )
     return panel.withColumn("reason", reason)
@@ -65,7 +68,7 @@ def mask_summary(cells: DataFrame) -> DataFrame:
 
 def extreme_days(panel: DataFrame, least: float = 0.5) -> DataFrame:
     """Per date with a value over least: the asset with the largest one (ties: first by name), its neighbours in time, how many are large."""
-    near = panel.withColumns({"before": F.lag("r").over(BY_ASSET), "next1": F.lead("r", 1).over(BY_ASSET), "next2": F.lead("r", 2).over(BY_ASSET)})
+    near = panel.withColumns({"before": F.lag("r").over(by_asset()), "next1": F.lead("r", 1).over(by_asset()), "next2": F.lead("r", 2).over(by_asset())})
     per = near.where(F.abs("r") > least)
     # the largest value; of equal ones the name that comes first
     best = F.min_by(F.struct("asset", "r", "before", "next1", "next2"), F.struct(-F.abs("r"), "asset"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.vectors import metric
 
@@ -25,23 +26,24 @@ def eligible(near: DataFrame, k: int, horizon: int, gap: int, overshoot: int = 5
     return ok.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).where(F.col("rank") <= k)
 
 
-BY_QUERY = Window.partitionBy("q")
+def by_query() -> WindowSpec:
+    return Window.partitionBy("q")
 
 
 def kernel_weights(near: DataFrame, tau: float) -> DataFrame:
     """kappa: exp(-dist / tau), normalised for each query."""
     e = F.exp(-F.col("dist") / max(tau, 1e-12))
-    return near.withColumn("kappa", e / F.sum(e).over(BY_QUERY))
+    return near.withColumn("kappa", e / F.sum(e).over(by_query()))
 
 
 def inverse_weights(near: DataFrame, eps: float = 1e-8) -> DataFrame:
     e = 1.0 / (F.col("dist") + eps)
-    return near.withColumn("kappa", e / F.sum(e).over(BY_QUERY))
+    return near.withColumn("kappa", e / F.sum(e).over(by_query()))
 
 
 def rank_weights(near: DataFrame) -> DataFrame:
     e = 1.0 / F.col("rank")
-    return near.withColumn("kappa", e / F.sum(e).over(BY_QUERY))
+    return near.withColumn("kappa", e / F.sum(e).over(by_query()))
 
 
 def regime_weights(weighted: DataFrame, pi: DataFrame) -> DataFrame:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.nulls import ratio
 
-BY_ASSET = Window.partitionBy("asset").orderBy("t")
+
+def by_asset() -> WindowSpec:
+    return Window.partitionBy("asset").orderBy("t")
 
 
 def log_returns(panel: DataFrame, scale: float = 1.0, value: str = "close") -> DataFrame:
     """r = scale * ln(value / value on the previous row of the grid); NULL where either is missing or not positive."""
-    before = F.lag(value).over(BY_ASSET)
+    before = F.lag(value).over(by_asset())
     return panel.withColumn("r", F.when((F.col(value) > 0) & (before > 0), scale * F.log(F.col(value) / before)))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.vectors import entropy, normalised, total
 
-#: One series of memberships: as many rows as the series has anchors.
-SERIES = Window.orderBy("anchor")
+def in_order() -> WindowSpec:
+    """One series of memberships: as many rows as the series has anchors."""
+    return Window.orderBy("anchor")
 
 
 def assigned(pi: DataFrame) -> DataFrame:
@@ -28,13 +30,13 @@ def _row_normalised(counts: DataFrame, k: int, smooth: float, empty_uniform: boo
 
 def transition_hard(states: DataFrame, k: int, smooth: float = 10.0, empty_uniform: bool = True) -> DataFrame:
     """From (anchor, state): counts of consecutive states, smoothed and normalised by row."""
-    steps = states.select(F.lag("state").over(SERIES).alias("i"), F.col("state").alias("j")).where("i IS NOT NULL")
+    steps = states.select(F.lag("state").over(in_order()).alias("i"), F.col("state").alias("j")).where("i IS NOT NULL")
     return _row_normalised(steps.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("n")), k, smooth, empty_uniform)
 
 
 def transition_soft(pi: DataFrame, k: int, smooth: float = 10.0) -> DataFrame:
     """From (anchor, p): sums of products of consecutive memberships, smoothed and normalised by row."""
-    steps = pi.select(F.lag("p").over(SERIES).alias("b"), F.col("p").alias("a")).where("b IS NOT NULL")
+    steps = pi.select(F.lag("p").over(in_order()).alias("b"), F.col("p").alias("a")).where("b IS NOT NULL")
     cells = F.flatten(F.transform("b", lambda x, i: F.transform("a", lambda y, j: F.struct(i.alias("i"), j.alias("j"), (x * y).alias("x")))))
     return _row_normalised(steps.select(F.inline(cells)).groupBy("i", "j").agg(F.sum("x").alias("n")), k, smooth)
 

@@ -27,8 +27,9 @@ def epoch_date(x: Column, first: str = "2000-01-01") -> Column:
     """Date of an epoch number in s, ms, us or ns: the first unit that gives a date from first to today."""
     out = None
     for unit in (1, 1_000, 1_000_000, 1_000_000_000):
-        d = F.to_date(F.timestamp_seconds(F.floor(x / unit)))
-        ok = F.when((F.floor(x / unit) < 4_102_444_800) & d.between(F.lit(first).cast("date"), F.current_date()), d)
+        seconds = F.floor(x / unit)
+        d = F.to_date(F.timestamp_seconds(F.when(seconds.between(0, 4_102_444_800), seconds)))  # within this century's end
+        ok = F.when(d.between(F.lit(first).cast("date"), F.current_date()), d)
         out = ok if out is None else F.coalesce(out, ok)
     return out
 
@@ -45,7 +46,7 @@ def read_daily_csv(spark: SparkSession, glob: str, value: str = "pvCLCL") -> Dat
     """Daily files YYYYMMDD.csv with ticker and value: date, asset, value; of an asset's rows in a file the last one that is a number counts."""
     rows = spark.read.option("header", True).csv(glob).withColumn("file", F.col("_metadata.file_path"))
     rows = rows.select(
-        F.try_to_date(F.regexp_extract("file", r"(\d{8})\.csv$", 1), F.lit("yyyyMMdd")).alias("date"), F.trim("ticker").alias("asset"), F.expr(f"try_cast(`{value}` AS DOUBLE)").alias("value"),
+        F.try_to_date(F.regexp_extract("file", r"(\d{8})\.csv$", 1), "yyyyMMdd").alias("date"), F.trim("ticker").alias("asset"), F.expr(f"try_cast(`{value}` AS DOUBLE)").alias("value"),
         F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k")).alias("place"),
     ) if "ticker" in rows.columns else rows.limit(0)
     return rows.where("asset <> '' AND value IS NOT NULL AND date IS NOT NULL").groupBy("date", "asset").agg(F.max_by("value", "place").alias("value"))

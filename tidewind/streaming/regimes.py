@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def panel_stream(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window start (date), asset, x: the average value of each window and event type; a window is final once events are later by the given delay."""
-    x = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("asset")).agg(F.avg("value").alias("x"), F.count(F.lit(1)).alias("n"))
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("asset")).agg(F.avg("value").alias("x"), F.count(F.lit(1)).alias("n"))
     return x.select(F.col("w.start").alias("date"), "asset", "x", "n")
 
 
