@@ -184,3 +184,33 @@ def ranked_runs(runs: DataFrame, objective: str) -> DataFrame:
     """Runs in order of an objective: descending if its name holds "mean" and isn't vol_mse's, missing values last."""
     down = "mean" in objective and "vol_mse" not in objective
     return runs.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(objective) if down else F.asc_nulls_last(objective), "run")))
+
+
+def mean_advantage(rows: DataFrame, of: str) -> DataFrame:
+    """method, advantage, n: how much smaller the values of one method are than each other's, on dates that have both."""
+    return paired(rows, of).groupBy("method").agg(F.avg(F.col("value") - F.col("base")).alias("advantage"), F.count(F.lit(1)).alias("n"))
+
+
+def k_ablation(runs: DataFrame, up: bool = True) -> DataFrame:
+    """From (k, value): each k's gain over the one before, and whether it is the best (the smallest of equals)."""
+    every = Window.orderBy("k")
+    order = F.struct(F.col("value"), -F.col("k")) if up else F.struct(-F.col("value"), -F.col("k"))
+    best = runs.agg(F.max_by("k", order).alias("best"))
+    return runs.withColumn("gain", F.col("value") - F.lag("value").over(every)).crossJoin(F.broadcast(best)).select("k", "value", "gain", (F.col("k") == F.col("best")).alias("best"))
+
+
+def overlay(neighbours: DataFrame, series: DataFrame, ahead: int) -> DataFrame:
+    """q, step, value, total_weight: what followed each neighbour (q, id, total_weight), moved to the query's time; series: t, value."""
+    steps = neighbours.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(ahead))))
+    moved = steps.withColumn("t", (F.col("id") + F.col("step")).cast("int"))
+    return moved.join(series, "t").select("q", "id", "step", (F.col("q") + F.col("step")).alias("moved"), "value", "total_weight")
+
+
+def evaluation_window(rows: DataFrame, first: str, last: str) -> DataFrame:
+    return rows.where(F.col("date").between(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp")))
+
+
+def summary_quantiles(rows: DataFrame) -> DataFrame:
+    """method and the numbers of a box plot: n, least, quartiles, largest."""
+    q = lambda p: F.percentile("value", p)
+    return rows.groupBy("method").agg(F.count("value").alias("n"), F.min("value").alias("least"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("value").alias("largest"))

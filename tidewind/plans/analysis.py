@@ -284,3 +284,41 @@ def _(spark, d):
     r = an.paired(results(spark, d), "roll").select(F.try_divide("value", "base").alias("ratio"))
     bad = F.col("ratio").isNull() | (F.col("ratio") <= 0)
     return an.guardrail_stats(r.select("ratio", bad.alias("triggered"), F.when(bad, "invalid").otherwise("none").alias("reason")))
+
+
+@query("mix_advantage", f"WITH {RESULTS} SELECT a.method, avg(a.value - b.value) AS advantage, count(*) AS n FROM rows a JOIN rows b ON a.date = b.date AND b.method = 'mix' WHERE a.method <> 'mix' AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.method", "advantage", "n")
+def _(spark, d):
+    return an.mean_advantage(results(spark, d), "mix")
+
+
+@query(
+    "k_ablation",
+    f"""WITH {RESULTS}, k AS (SELECT hour(date) % 6 + 1 AS k, avg(value) AS value FROM rows GROUP BY 1)
+SELECT k, value, value - lag(value) OVER (ORDER BY k) AS gain, k = (SELECT arg_max(k, value) FROM k) AS best FROM k""",
+    "value gain", "k",
+)
+def _(spark, d):
+    """Six groups of hours stand for runs with one to six regimes."""
+    runs = results(spark, d).groupBy((F.hour("date") % 6 + 1).alias("k")).agg(F.avg("value").alias("value"))
+    return an.k_ablation(runs)
+
+
+@query("evaluation_window", f"WITH {RESULTS} SELECT method, count(value) AS n, avg(value) AS mean FROM rows WHERE date BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' GROUP BY method", "mean", "n")
+def _(spark, d):
+    return an.evaluation_window(results(spark, d), "2024-01-05 00:00:00", "2024-01-20 00:00:00").groupBy("method").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+
+
+@query("box_summary", f"WITH {RESULTS} SELECT method, count(value) AS n, min(value) AS least, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, max(value) AS largest FROM rows GROUP BY method", "least q25 q50 q75 largest", "n")
+def _(spark, d):
+    return an.summary_quantiles(results(spark, d))
+
+
+@query(
+    "neighbour_overlay",
+    f"""WITH {RESULTS}, s AS (SELECT t, value FROM rows WHERE method = 'model'), n AS (SELECT q, q - 24 * k AS id, 1.0 / k AS total_weight FROM (SELECT unnest([200, 300]) AS q), (SELECT unnest([1, 2, 3]) AS k))
+SELECT q, id, step, q + step AS moved, value, total_weight FROM n, (SELECT unnest(range(6)) AS step), s WHERE s.t = id + step""",
+    "value total_weight", "q id step moved",
+)
+def _(spark, d):
+    near = spark.createDataFrame([(q, q - 24 * k, 1.0 / k) for q in (200, 300) for k in (1, 2, 3)], "q int, id int, total_weight double")
+    return an.overlay(near, results(spark, d).where("method = 'model'").select("t", "value"), 5)
