@@ -7,7 +7,7 @@ near to a threshold that the sketch can't decide get exact distinct counts. Ever
 
 Defined results: null text gives null text and no lines; a line is what stands between line feeds, compared after trimming white space;
 empty lines are never boilerplate; a null site counts as one site of its own; repeated rows add no sites; an empty table gives an
-empty result; other columns are passed on, whatever their names.
+empty result; other columns are passed on, whatever their names, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         {"__lines": every, "__left": F.when(F.col("__gone").isNull(), every).otherwise(F.filter(every, lambda x: ~F.array_contains("__gone", line_hash(x))))}
     )
     text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join("__left", "\n"))
-    same = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in docs.columns]
+    same = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in docs.columns if c not in ("n_lines", "n_removed")]
     n = F.when(F.col(f"`{text_col}`").isNull(), F.lit(0)).otherwise(F.size("__lines"))
     return joined.select(*same, n.cast("long").alias("n_lines"), (n - F.coalesce(F.when(F.col(f"`{text_col}`").isNull(), F.lit(0)).otherwise(F.size("__left")), F.lit(0))).cast("long").alias("n_removed"))
 
