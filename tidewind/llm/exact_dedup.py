@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, shared_dir, table, without_spaces, written
+from .common import columns, hinted, shared_dir, table, without_spaces, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Settings of the stream, put back afterwards. One RocksDB cache for all of an executor's stores keeps memory bounded.
@@ -28,6 +28,9 @@ SETTINGS = {
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
+#: Up to so many digests of hits are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 LEDGER = "digest binary, doc_id bigint, n_chars bigint, locator string"
 
 
@@ -75,7 +78,7 @@ def stream(rows: DataFrame, folder: str) -> DataFrame:
 def false_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """Digests whose rows have not all the same bytes: least and greatest text of each hit differ."""
     texts = docs.select(F.unhex(F.sha2(F.encode(without_spaces(), "UTF-8"), 256)).alias("digest"), without_spaces().alias("norm"))
-    own = texts.join(hits.select("digest"), "digest", "left_semi")
+    own = texts.join(hinted(hits.select("digest"), BROADCAST_ROWS), "digest", "left_semi")
     # texts of a digest that are equal are merged before the shuffle; a hot group sends one text for each task
     return own.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest")
 
