@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 RIDGE = 1e-8
 
@@ -33,17 +34,25 @@ def validity(windows: DataFrame, most_na: float = 0.3, least_assets: float = 0.8
     return out.withColumn("valid", (F.col("na") <= most_na) & (F.col("assets") >= least_assets) & (F.col("dates") >= least_dates))
 
 
+def one_asset() -> WindowSpec:
+    """An asset's rows of one window: lookback rows, so one shuffle serves imputation and demeaning."""
+    return Window.partitionBy("anchor", "asset")
+
+
 def imputed(windows: DataFrame) -> DataFrame:
     """Missing values become the asset's mean over the window; 0 if it has none."""
-    mean = windows.groupBy("anchor", "asset").agg(F.avg("r").alias("m"))
-    return windows.join(mean, ["anchor", "asset"]).withColumn("r", F.coalesce("r", "m", F.lit(0.0))).drop("m")
+    return windows.withColumn("r", F.coalesce("r", F.avg("r").over(one_asset()), F.lit(0.0)))
+
+
+def variances(windows: DataFrame, ddof: int = 1, ridge: float = RIDGE) -> DataFrame:
+    """The diagonal of covariance(), without the rest of it."""
+    full = imputed(windows).groupBy("anchor", "asset").agg((F.var_pop("r") * F.count(F.lit(1)) / F.greatest(F.lit(1), F.count(F.lit(1)) - ddof) + ridge).alias("v"))
+    return full.select("anchor", F.col("asset").alias("i"), F.col("asset").alias("j"), "v")
 
 
 def covariance(windows: DataFrame, ddof: int = 1, ridge: float = RIDGE) -> DataFrame:
     """anchor, i, j, v for all pairs of assets (both orders), of imputed windows; ridge on the diagonal."""
-    full = imputed(windows)
-    mean = full.groupBy("anchor", "asset").agg(F.avg("r").alias("m"))
-    x = full.join(mean, ["anchor", "asset"]).select("anchor", "t", "asset", (F.col("r") - F.col("m")).alias("x"))
+    x = imputed(windows).select("anchor", "t", "asset", (F.col("r") - F.avg("r").over(one_asset())).alias("x"))
     # the assets of a date side by side: each pair is made once, next to its data
     rows = x.groupBy("anchor", "t").agg(F.array_sort(F.collect_list(F.struct("asset", "x"))).alias("a"))
     pairs = F.flatten(F.transform("a", lambda p, k: F.transform(F.slice("a", k + 1, F.size("a") - k), lambda q: F.struct(p["asset"].alias("i"), q["asset"].alias("j"), (p["x"] * q["x"]).alias("xx")))))
@@ -155,8 +164,6 @@ def frobenius(one: DataFrame, two: DataFrame, off_diagonal: bool = False) -> Dat
 
 def spearman(one: DataFrame, two: DataFrame) -> DataFrame:
     """Rank correlation of the upper triangles; ties get their mean rank."""
-    from pyspark.sql import Window
-
     both = one.where("i < j").join(two.select("anchor", "i", "j", F.col("v").alias("w")), ["anchor", "i", "j"])
 
     def ranked(c: str) -> Column:

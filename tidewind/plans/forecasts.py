@@ -71,7 +71,7 @@ def _(spark, d):
 
 @query("vol_target", f"WITH {_ALL} SELECT anchor, i AS asset, 0.5 * ln(greatest(v, 1e-12)) AS v FROM truth WHERE i = j", "v", "anchor")
 def _(spark, d):
-    return windows.log_vol(covs(spark, d)[2])
+    return windows.log_vol(windows.variances(_past_future(spark, d)[1]))
 
 
 _VOLS = f"""{_ALL}, vr AS (SELECT anchor, i AS asset, 0.5 * ln(greatest(v, 1e-12)) AS v FROM roll WHERE i = j), vp AS (SELECT anchor, i AS asset, 0.5 * ln(greatest(v, 1e-12)) AS v FROM pers WHERE i = j),
@@ -80,7 +80,9 @@ vd AS (SELECT anchor, asset, 0.35 * vp.v + 0.5 * vr.v + 0.15 * vs.v AS v FROM vp
 
 
 def vols(spark, d):
-    roll, pers, truth = (windows.log_vol(c) for c in covs(spark, d))
+    past, ahead = _past_future(spark, d)
+    parts = (past, past.where(F.col("t") > F.col("anchor") - H), ahead)
+    roll, pers, truth = (windows.log_vol(windows.variances(x)) for x in parts)
     shrink = windows.vol_to_mean(roll, 0.3)
     return {"roll": roll, "pers": pers, "shrink": shrink, "damped": windows.damped(pers, roll, shrink, 0.5, 0.15)}, truth
 
