@@ -4,8 +4,8 @@ A document is the set of its shingles. Each of ORDERS orders of the signature gi
 prefix of DEPTH values there make up a region, and the neighbours in a region are candidates, those with the longest common prefix
 first. In regions of more than REGION documents the prefix gets longer, and the least document of each longer prefix stands for it in
 the region above. Candidates whose sketches differ too much are left out, the others are confirmed on the full sets. Links that
-confirmed ones already imply are not confirmed one by one: rounds take the best candidate of each document first and go on with what
-still joins two components. Sets that are equal are one node, so copies are never paired.
+confirmed ones already imply are not confirmed one by one: rounds take the best candidate of each document first, and the last takes
+all that still join two components. Sets that are equal are one node, so copies are never paired.
 
 At a similarity of 0.75, a pair shares a region with a probability of 1 - (1 - 0.75 ** DEPTH) ** ORDERS, over 0.9999.
 
@@ -37,8 +37,8 @@ VALUES, ORDERS, DEPTHS = 96, 32, (4, 8, 16)
 REGION = 2048
 #: In regions of up to so many documents all neighbours are compared (in memory, by sketch); in larger ones the next AHEAD in the order.
 SMALL, AHEAD = 32, 8
-#: Sketch estimates: below the first a pair is no candidate (4 standard errors below THRESHOLD), from the second on it joins for good.
-MAYBE, SURE = 0.57, 0.92
+#: Sketch estimate below which a pair is no candidate: 4 standard errors below THRESHOLD.
+MAYBE = 0.57
 BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(20240229)
@@ -70,11 +70,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(size: int):
-    """doc, n (size of the set), digest (of the set; null if empty), signature (null if empty)."""
+    """doc, n (size of the set), digest (of the set; null if empty), signature and sketch (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, signed = [], [], []
+            n, digests, signed, sketches = [], [], [], []
             for _, _, h, edges in pieces(batch.column("text"), lower=True):
                 sets = shingles(h, edges, size)
                 full = [s for s in sets if len(s)]
@@ -82,8 +82,11 @@ def _sign(size: int):
                 for s in sets:
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    signed.append(next(made).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary())], names=["doc", "n", "digest", "signature"])
+                    values = next(made) if len(s) else None
+                    signed.append(values.tobytes() if len(s) else None)
+                    sketches.append(sketch(values) if len(s) else None)
+            arrays = [pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, signed, sketches))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *arrays], names=["doc", "n", "digest", "signature", "sketch"])
 
     return run
 
@@ -106,10 +109,10 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(docs), *keys, pa.array((rest >> np.uint64(1)).view(np.int64))], names=["doc", "k0", "k1", "k2", "rest"])
 
 
-def sketch(signature: bytes) -> int:
+def sketch(values: np.ndarray) -> bytes:
     """The lowest 4 bits of each value."""
-    low = (np.frombuffer(signature, np.uint32) & 15).astype(np.uint8)
-    return int.from_bytes((low[0::2] << 4 | low[1::2]).tobytes(), "big")
+    low = (values & 15).astype(np.uint8)
+    return (low[0::2] << 4 | low[1::2]).tobytes()
 
 
 def estimate(a: int, b: int) -> float:
@@ -119,66 +122,62 @@ def estimate(a: int, b: int) -> float:
     return (same / VALUES - 1 / 16) / (15 / 16)
 
 
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of neighbours in each region; rows come sorted by region and, there, by the order's values."""
-
-    def pairs_of(region: list[tuple[int, int]], last: bool) -> None:
-        """Compares region[done:]; of a long region all but the hub and the last few documents are given up as they are done."""
-        n = len(region)
-        small = last and n <= SMALL and not state["long"]
-        group: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while group.get(x, x) != x:
-                x = group[x]
-            return x
-
-        near = []
-        for i in range(state["done"], n):
-            others = range(i) if small else {0, *range(max(0, i - AHEAD), i)}
-            for j in others:
-                if j < i and region[j][0] != region[i][0] and (e := estimate(region[i][1], region[j][1])) >= MAYBE:
-                    near.append((e, region[j][0], region[i][0]))
-        for e, a, b in sorted(near, reverse=True):  # what sure links imply already isn't listed
-            ra, rb = top(a), top(b)
-            if ra != rb or e < SURE and not small:
-                found.append((min(a, b), max(a, b), e))
-            if e >= SURE and ra != rb:
-                group[max(ra, rb)] = min(ra, rb)
-
-    state = {"done": 1, "long": False}
-    key, region, found = None, [], []
-    for pdf in batches:
-        for k, doc, signature in zip(pdf["key"].tolist(), pdf["doc"].tolist(), pdf["signature"], strict=True):
-            if k != key:
-                if len(region) > 1:
-                    pairs_of(region, True)
-                key, region = k, []
-                state["done"], state["long"] = 1, False
-            region.append((doc, sketch(signature)))
-            if len(region) > 1024:
-                pairs_of(region, False)
-                region = [region[0], *region[-AHEAD:]]
-                state["done"], state["long"] = len(region), True
-        if len(found) > 20_000:
-            yield pd.DataFrame(found, columns=["a", "b", "e"])
-            found.clear()
-    if len(region) > 1:
-        pairs_of(region, True)
-    yield pd.DataFrame(found, columns=["a", "b", "e"]).astype({"a": "int64", "b": "int64", "e": "float64"})
-
-
-def candidates(nodes: DataFrame, folder: str) -> DataFrame:
-    """a, b, e: pairs of nodes (doc, signature) that are neighbours in the forest, with their estimate."""
+def _neighbours(every: bool):
+    """doc, e, a, b: pairs of neighbours in each region that are not in one component yet; of each document the best, or with every all.
+
+    Rows come sorted by region and, there, by the order's values."""
+
+    def compare(region: list[tuple[int, int, int]], done: int, small: bool, found: list) -> None:
+        """Compares region[done:] with what is near before them."""
+        best: dict[int, tuple] = {}
+        for i in range(done, len(region)):
+            doc, component, own = region[i]
+            for j in range(i) if small else {0, *range(max(0, i - AHEAD), i)}:
+                other, its, theirs = region[j]
+                if its == component or j >= i or (e := estimate(own, theirs)) < MAYBE:
+                    continue
+                pair = (e, min(doc, other), max(doc, other))
+                if every:
+                    found.append((doc, *pair))
+                else:
+                    for d in (doc, other):
+                        if d not in best or pair > best[d]:
+                            best[d] = pair
+        found += [(d, *pair) for d, pair in best.items()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, region, found, done, long = None, [], [], 1, False
+        for pdf in batches:
+            for k, doc, component, own in zip(pdf["key"].tolist(), pdf["doc"].tolist(), pdf["component"].tolist(), pdf["sketch"], strict=True):
+                if k != key:
+                    if len(region) > done:
+                        compare(region, done, not long and len(region) <= SMALL, found)
+                    key, region, done, long = k, [], 1, False
+                region.append((doc, component, int.from_bytes(own, "big")))
+                if len(region) > 1024:  # of a long region the hub and the last few documents go on
+                    compare(region, done, False, found)
+                    region = [region[0], *region[-AHEAD:]]
+                    done, long = len(region), True
+            if len(found) > 20_000:
+                yield pd.DataFrame(found, columns=["doc", "e", "a", "b"])
+                found = []
+        if len(region) > done:
+            compare(region, done, not long and len(region) <= SMALL, found)
+        yield pd.DataFrame(found, columns=["doc", "e", "a", "b"]).astype({"doc": "int64", "e": "float64", "a": "int64", "b": "int64"})
+
+    return run
+
+
+def forest(nodes: DataFrame, folder: str) -> DataFrame:
+    """key, rest, doc, sketch: the documents of each region of the forest over nodes (doc, signature, sketch); those alone in theirs are left out."""
     trees = nodes.select("doc", "signature").mapInArrow(_grow, "doc long, k0 long, k1 long, k2 long, rest long")
     several = lambda rows, k: rows.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     trees = written(trees, "trees", folder)
-    regions = several(trees, "k0")
-    shared = written(trees.join(regions, "k0"), "regions", folder)  # documents alone in their region end here
-    deeper = lambda rows, k, above: rows.join(hinted(written(several(rows, k), f"n_{k}", folder).where(F.col("n") > REGION).select(F.col(k).alias(above), F.lit(True).alias("deep")), BROADCAST_ROWS), above, "left")
-    levels, rows = [], shared.select("k0", "k1", "k2", "doc", "rest")
+    shared = written(trees.join(written(several(trees, "k0").select("k0"), "several", folder), "k0"), "shared", folder)
+    rows, levels = shared.select("k0", "k1", "k2", "doc", "rest"), []
     for upper, lower in (("k0", "k1"), ("k1", "k2")):
-        sized = deeper(rows, upper, upper)
+        large = written(several(rows, upper).where(F.col("n") > REGION).select(upper, F.lit(True).alias("deep")), f"large_{upper}", folder)
+        sized = rows.join(hinted(large, BROADCAST_ROWS), upper, "left")
         levels.append(sized.where("deep IS NULL").select(F.col(upper).alias("key"), "doc", "rest"))
         rows = sized.where("deep").drop("deep")
         heads = rows.groupBy(upper, lower).agg(F.min(F.struct("doc", "rest")).alias("head"))
@@ -187,9 +186,20 @@ def candidates(nodes: DataFrame, folder: str) -> DataFrame:
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    own = out.join(nodes.select("doc", "signature"), "doc")
-    sorted_rows = own.repartition("key").sortWithinPartitions("key", "rest", "doc").select("key", "doc", "signature")
-    return sorted_rows.mapInPandas(_neighbours, "a long, b long, e double").groupBy("a", "b").agg(F.max("e").alias("e"))
+    return written(out.join(nodes.select("doc", "sketch"), "doc"), "forest", folder)
+
+
+def candidates(regions: DataFrame, labels: DataFrame | None, every: bool) -> DataFrame:
+    """a, b: neighbours in the forest that are not in one component; of each document the best one, or all."""
+    if labels is None:
+        rows = regions.withColumn("component", F.col("doc"))
+    else:
+        rows = regions.join(hinted(labels, BROADCAST_ROWS), regions["doc"] == labels["node"], "left").withColumn("component", F.coalesce("component", "doc"))
+    rows = rows.select("key", "rest", "doc", "component", "sketch").repartition("key").sortWithinPartitions("key", "rest", "doc")
+    pairs = rows.mapInPandas(_neighbours(every), "doc long, e double, a long, b long")
+    if not every:
+        pairs = pairs.groupBy("doc").agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.a", "p.b")
+    return pairs.select("a", "b").distinct()
 
 
 def _sets(size: int):
@@ -215,44 +225,43 @@ def _linked(threshold: int):
     return run
 
 
-def links(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, folder: str) -> DataFrame:
-    """component of each node that confirmed candidates join to a smaller one."""
-    spark = docs.sparkSession
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, folder: str) -> DataFrame:
+    """u, v: the pairs (a, b) whose full sets are similar enough."""
     ids = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids", folder)
-    sets = written(docs.join(hinted(ids, BROADCAST_ROWS), "doc", "left_semi").mapInArrow(_sets(size), "doc long, set binary").groupBy("doc").agg(F.first("set").alias("set")), "sets", folder)
-    edges, labels, k = None, None, 0
-    while True:
-        rest = pairs
-        if labels is not None:  # what joins no two components is settled
-            for end in ("a", "b"):
-                rest = rest.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-            rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "e")
-        best = rest
-        if k < 2:
-            ends = rest.select(F.col("a").alias("doc"), "a", "b", "e").union(rest.select("b", "a", "b", "e"))
-            best = ends.groupBy("doc").agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        best = written(best.select("a", "b"), f"try{k}", folder)
-        if not best.head(1):
-            return labels if labels is not None else spark.createDataFrame([], "node long, component long")
-        both = best.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
-        new = written(both.mapInPandas(_linked(round(100 * threshold)), "u long, v long"), f"links{k}", folder)
-        edges = new if edges is None else edges.union(new)
-        labels = components(edges)
-        pairs = written(rest.join(best, ["a", "b"], "left_anti"), f"rest{k}", folder)
-        k += 1
+    sets = docs.join(hinted(ids, BROADCAST_ROWS), "doc", "left_semi").mapInArrow(_sets(size), "doc long, set binary").groupBy("doc").agg(F.first("set").alias("set"))
+    sets = written(sets, "sets", folder)
+    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
+    return written(both.select("a", "b", "x", "y").mapInPandas(_linked(round(100 * threshold)), "u long, v long"), "links", folder)
+
+
+def links(regions: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """node, component of each node that confirmed candidates join to a smaller one.
+
+    Three rounds: the best candidate of each document; the best that leads out of its component; all that still do."""
+    spark = docs.sparkSession
+    edges = labels = tried = None
+    for every in (False, False, True):
+        folder = shared_dir(spark)
+        pairs = candidates(regions, labels, every)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", folder)
+        tried = pairs if tried is None else tried.union(pairs)
+        if pairs.head(1):
+            new = confirmed(pairs, docs, size, threshold, folder)
+            edges = new if edges is None else edges.union(new)
+            labels = components(edges)
+    return labels if labels is not None else spark.createDataFrame([], "node long, component long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest identifier that links reach), kept (it is its own component's)."""
     folder = shared_dir(docs.sparkSession)
     rows = columns(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
-    signed = written(rows.mapInArrow(_sign(size), "doc long, n long, digest binary, signature binary"), "signed", folder)
+    signed = written(rows.mapInArrow(_sign(size), "doc long, n long, digest binary, signature binary, sketch binary"), "signed", folder)
     known = signed.where("doc IS NOT NULL AND digest IS NOT NULL")
     # equal sets are one node, named by their smallest document
-    classes = written(known.groupBy("digest").agg(F.min("doc").alias("node"), F.first("signature").alias("signature")), "classes", folder)
-    nodes = classes.groupBy(F.col("node").alias("doc")).agg(F.first("signature").alias("signature"))
-    pairs = written(candidates(nodes, folder), "pairs", folder)
-    labels = links(pairs, rows, size, threshold, folder)
+    classes = written(known.groupBy("digest").agg(F.min("doc").alias("node"), F.first(F.struct("signature", "sketch")).alias("s")), "classes", folder)
+    nodes = classes.groupBy(F.col("node").alias("doc")).agg(F.first("s").alias("s")).select("doc", "s.signature", "s.sketch")
+    labels = links(forest(nodes, folder), rows, size, threshold)
     named = signed.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "node", "doc"))
     kept = F.coalesce(F.col("doc") == component, F.lit(True))
