@@ -61,6 +61,7 @@ def test_line_dedup_on_odd_rows(spark, odd, none):
     rows = {r.doc_id: r for r in line_dedup(odd).collect()}
     assert line_dedup(odd).columns == [*odd.columns, "n_lines", "n_removed"] and line_dedup(none).count() == 0
     assert rows[1].text is None and rows[1].n_lines == 0 and rows[2].n_lines == 1 and rows[4].text == "same text"
+    assert line_dedup(odd.withColumn("n_lines", F.lit("x"))).select("n_lines", "n_removed").count() == len(ODD)
     spread = docs_of(spark, [(k, f"own {k}\nboiler plate\nmore {k}", f"s{k % 12}") for k in range(24)] + [(100 + k, "copied\ntext here\nend", f"s{k % 12}") for k in range(24)])
     out = {r.doc_id: r.text for r in line_dedup(spread).collect()}
     assert out[3] == "own 3\nmore 3" and out[105] == "copied\ntext here\nend"
@@ -103,7 +104,9 @@ def test_near_dedup_against_brute_force(spark, odd, none):
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (20, 21)] + [(30 + k, 31 + k) for k in range(20)] + [(100, 100 + k) for k in range(1, 40)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    table = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.component for r in components(table).collect()}
+    assert got == {r.node: r.component for r in components(table, 0).collect()}
     assert got[3] == 1 and got[9] == 7 and got[50] == 30 and got[139] == 100 and 1 not in got
 
 
