@@ -68,7 +68,7 @@ def _blocks(size: int):
 
 
 def _windows(size: int):
-    """doc, rev, at (first word), h1, h2 of each window whose least block is among the document's live ones."""
+    """doc, rev, h1, h2 of each distinct window whose least block is among the document's live ones, at (its first place), more (others, if any)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,8 +82,14 @@ def _windows(size: int):
                         continue
                     at = np.flatnonzero(np.isin(least[a:b], live[first + k].values.to_numpy()))
                     if len(at):
-                        doc, rev = (pa.array(np.full(len(at), x[first + k].as_py()), x.type) for x in (docs, revs))
-                        yield pa.RecordBatch.from_arrays([doc, rev, pa.array(at.astype(np.int32)), pa.array(one[a:b][at]), pa.array(two[a:b][at])], names=["doc", "rev", "at", "h1", "h2"])
+                        x, y = one[a:b][at], two[a:b][at]
+                        order = np.lexsort((at, y, x))  # a window that a document repeats is one row
+                        x, y, at = x[order], y[order], at[order].astype(np.int32)
+                        begin = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+                        end_of = np.append(begin[1:], len(at))
+                        more = pa.array([at[i + 1 : j] if j - i > 1 else None for i, j in zip(begin.tolist(), end_of.tolist(), strict=True)], pa.list_(pa.int32()))
+                        doc, rev = (pa.array(np.full(len(begin), c[first + k].as_py()), c.type) for c in (docs, revs))
+                        yield pa.RecordBatch.from_arrays([doc, rev, pa.array(at[begin]), more, pa.array(x[begin]), pa.array(y[begin])], names=["doc", "rev", "at", "more", "h1", "h2"])
 
     return run
 
@@ -95,7 +101,7 @@ def repeats(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     folder = shared_dir(docs.sparkSession)
     shape = "doc long, rev int, n_words long, digest binary, blocks array<long>"
     blocks = written(docs.mapInArrow(_blocks(size), shape), "blocks", folder).where(F.col("n_words") >= size)
-    owners = blocks.groupBy("digest").agg(F.min("doc").alias("owner"))
+    owners = written(blocks.groupBy("digest").agg(F.min("doc").alias("owner")), "owners", folder)
     owned = blocks.join(owners, "digest")
     equal = written(owned.where("doc > owner").select("doc", "rev").distinct(), "equal", folder)
     # one document of each group of equal ones goes on
@@ -103,10 +109,13 @@ def repeats(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     shared = first.groupBy("block").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("block")
     live = written(first.join(shared, "block", "left_semi").groupBy("doc", "rev").agg(F.collect_set("block").alias("live")), "live", folder)
     probed = docs.join(hinted(live.select("doc", "rev"), BROADCAST_ROWS), ["doc", "rev"], "left_semi").join(live, ["doc", "rev"])
-    windows = written(probed.select("doc", "rev", "text", "live").mapInArrow(_windows(size), "doc long, rev int, at int, h1 long, h2 long"), "windows", folder)
+    windows = written(probed.select("doc", "rev", "text", "live").mapInArrow(_windows(size), "doc long, rev int, at int, more array<int>, h1 long, h2 long"), "windows", folder)
     least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    again = windows.join(least.select("h1", "h2", "low"), ["h1", "h2"]).where("doc > low")
-    starts = written(again.groupBy("doc", "rev").agg(F.sort_array(F.collect_set("at")).alias("starts")), "starts", folder)
+    # as a table of its own, so that the join's other side can be split where a window is very common
+    least = written(least.select("h1", "h2", "low"), "least", folder)
+    again = windows.join(least, ["h1", "h2"]).where("doc > low")
+    starts = F.array_sort(F.array_union(F.collect_set("at"), F.flatten(F.collect_list("more"))))
+    starts = written(again.groupBy("doc", "rev").agg(starts.alias("starts")), "starts", folder)
     return equal, starts
 
 
