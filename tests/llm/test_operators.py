@@ -102,6 +102,24 @@ def test_near_dedup_against_brute_force(spark, odd, none):
     assert all(r.n_shingles == 0 and r.kept for r in rows if r.doc_id in (1, 2, 3))
 
 
+def test_near_dedup_of_many_that_share_a_passage(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(74)]
+    rows, expected = [], {}
+    for k in range(0, 600, 2):
+        tail = [f"w{rng.randrange(10**6)}" for _ in range(15)]
+        other = tail[:4] + [f"w{rng.randrange(10**6)}" for _ in range(11)] if k % 8 == 0 else [f"w{rng.randrange(10**6)}" for _ in range(15)]
+        rows += [(k, " ".join(passage + tail), "a"), (k + 1, " ".join(passage + other), "a")]
+        expected |= {k: k, k + 1: k if k % 8 == 0 else k + 1}
+    rng.shuffle(rows)
+    docs = docs_of(spark, rows)
+    assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == expected
+    # regions that are split have all their pairs compared too
+    monkeypatch.setattr("tidewind.llm.near_dedup.REGION", 64)
+    monkeypatch.setattr("tidewind.llm.near_dedup.BLOCK", 32, raising=False)
+    assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == expected
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (20, 21)] + [(30 + k, 31 + k) for k in range(20)] + [(100, 100 + k) for k in range(1, 40)]
     table = spark.createDataFrame(edges, "u long, v long")

@@ -4,10 +4,11 @@ A document is the set of its shingles. Each of ORDERS orders of the signature gi
 prefix of DEPTH values there make up a region, and the neighbours in a region are candidates, those with the longest common prefix
 first. In regions of more than REGION documents the prefix gets longer, and the least document of each longer prefix stands for it in
 the region above. Candidates whose sketches differ too much are left out, the others are confirmed on the full sets. Links that
-confirmed ones already imply are not confirmed one by one: rounds take the best candidate of each document first, and the last takes
-all that still join two components. Sets that are equal are one node, so copies are never paired.
+confirmed ones already imply are not confirmed one by one: two rounds take the best candidate of each document among its neighbours. The
+last leaves no pair out: it compares all documents that share the shortest prefix and are not in one component, however many they are,
+large regions in pairs of blocks. Sets that are equal are one node, so copies are never paired.
 
-At a similarity of 0.75, a pair shares a region with a probability of 1 - (1 - 0.75 ** DEPTH) ** ORDERS, over 0.9999.
+A pair of similarity 0.75 is lost if it shares a shortest prefix in no order or if its sketches differ too much (see missed()).
 
 Defined results: a document of fewer words than a shingle is the one sequence of its words; without words its set is empty and it is
 linked with nothing; a null identifier gives a component of its own (null, kept); rows that share an identifier count as one document;
@@ -17,12 +18,13 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import columns, hinted, shared_dir, table, written
@@ -35,8 +37,10 @@ THRESHOLD = 0.75
 VALUES, ORDERS, DEPTHS = 96, 32, (4, 8, 16)
 #: Documents of a region beyond which its prefix gets longer.
 REGION = 2048
-#: In regions of up to so many documents all neighbours are compared (in memory, by sketch); in larger ones the next AHEAD in the order.
+#: The first rounds compare all documents of regions of up to SMALL, in larger ones the next AHEAD in the order.
 SMALL, AHEAD = 32, 8
+#: Documents of a block in the last round, and rows of it that are compared with others at once.
+BLOCK, CHUNK = 1024, 128
 #: Sketch estimate below which a pair is no candidate: 4 standard errors below THRESHOLD.
 MAYBE = 0.57
 BROADCAST_ROWS = 1_000_000
@@ -48,6 +52,18 @@ _ORDER = np.array([_RANDOM.permutation(VALUES)[: DEPTHS[-1] + 2] for _ in range(
 _NIBBLES = int("1" * VALUES, 16)
 
 
+def missed(similarity: float) -> float:
+    """Probability that the last round doesn't compare a pair of this similarity on the full sets."""
+    out = 0.0
+    for k in range(VALUES + 1):
+        p = math.comb(VALUES, k) * similarity**k * (1 - similarity) ** (VALUES - k)
+        apart = (1 - math.comb(k, DEPTHS[0]) / math.comb(VALUES, DEPTHS[0])) ** ORDERS
+        least = math.ceil(VALUES * (MAYBE * 15 / 16 + 1 / 16)) - k  # values that must agree in their low bits alone
+        unlike = sum(math.comb(VALUES - k, j) * 15 ** (VALUES - k - j) / 16 ** (VALUES - k) for j in range(max(0, min(least, VALUES - k + 1))))
+        out += p * (1 - (1 - apart) * (1 - unlike))
+    return out
+
+
 def shingles(h: np.ndarray, edges: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a piece."""
     all_of = mix(rolling(h, size))
@@ -92,7 +108,7 @@ def _sign(size: int):
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, k0, k1, k2 (hash of the order and its first DEPTHS values), rest (next values, for sorting): a row for each order."""
+    """doc, k0, k1, k2 (hash of the order and its first DEPTHS values), rest (the value after each of DEPTHS, for sorting): a row for each order."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
@@ -105,8 +121,9 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, d])
                     if d + 1 in DEPTHS:
                         keys.append(pa.array(key.view(np.int64)))
-                rest = (values[:, DEPTHS[0]] << np.uint64(31)) | (values[:, DEPTHS[0] + 1] >> np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(docs), *keys, pa.array((rest >> np.uint64(1)).view(np.int64))], names=["doc", "k0", "k1", "k2", "rest"])
+                # 21 bits of each: those within a region's own prefix are constant there
+                rest = sum((values[:, d] >> np.uint64(11)) << np.uint64(21 * (2 - k)) for k, d in enumerate(DEPTHS))
+                yield pa.RecordBatch.from_arrays([pa.array(docs), *keys, pa.array(rest.view(np.int64))], names=["doc", "k0", "k1", "k2", "rest"])
 
 
 def sketch(values: np.ndarray) -> bytes:
@@ -122,8 +139,8 @@ def estimate(a: int, b: int) -> float:
     return (same / VALUES - 1 / 16) / (15 / 16)
 
 
-def _neighbours(every: bool):
-    """doc, e, a, b: pairs of neighbours in each region that are not in one component yet; of each document the best, or with every all.
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc, e, a, b: the best pair of each document among its neighbours in each region that are not in one component yet.
 
     Rows come sorted by region and, there, by the order's values."""
 
@@ -137,69 +154,137 @@ def _neighbours(every: bool):
                 if its == component or j >= i or (e := estimate(own, theirs)) < MAYBE:
                     continue
                 pair = (e, min(doc, other), max(doc, other))
-                if every:
-                    found.append((doc, *pair))
-                else:
-                    for d in (doc, other):
-                        if d not in best or pair > best[d]:
-                            best[d] = pair
+                for d in (doc, other):
+                    if d not in best or pair > best[d]:
+                        best[d] = pair
         found += [(d, *pair) for d, pair in best.items()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, region, found, done, long = None, [], [], 1, False
-        for pdf in batches:
-            for k, doc, component, own in zip(pdf["key"].tolist(), pdf["doc"].tolist(), pdf["component"].tolist(), pdf["sketch"], strict=True):
-                if k != key:
-                    if len(region) > done:
-                        compare(region, done, not long and len(region) <= SMALL, found)
-                    key, region, done, long = k, [], 1, False
-                region.append((doc, component, int.from_bytes(own, "big")))
-                if len(region) > 1024:  # of a long region the hub and the last few documents go on
-                    compare(region, done, False, found)
-                    region = [region[0], *region[-AHEAD:]]
-                    done, long = len(region), True
-            if len(found) > 20_000:
-                yield pd.DataFrame(found, columns=["doc", "e", "a", "b"])
-                found = []
-        if len(region) > done:
-            compare(region, done, not long and len(region) <= SMALL, found)
-        yield pd.DataFrame(found, columns=["doc", "e", "a", "b"]).astype({"doc": "int64", "e": "float64", "a": "int64", "b": "int64"})
-
-    return run
-
-
-def forest(nodes: DataFrame, folder: str) -> DataFrame:
-    """key, rest, doc, sketch: the documents of each region of the forest over nodes (doc, signature, sketch); those alone in theirs are left out."""
+    key, region, found, done, long = None, [], [], 1, False
+    for pdf in batches:
+        for k, doc, component, own in zip(pdf["key"].tolist(), pdf["doc"].tolist(), pdf["component"].tolist(), pdf["sketch"], strict=True):
+            if k != key:
+                if len(region) > done:
+                    compare(region, done, not long and len(region) <= SMALL, found)
+                key, region, done, long = k, [], 1, False
+            region.append((doc, component, int.from_bytes(own, "big")))
+            if len(region) > 1024:  # of a long region the hub and the last few documents go on
+                compare(region, done, False, found)
+                region = [region[0], *region[-AHEAD:]]
+                done, long = len(region), True
+        if len(found) > 20_000:
+            yield pd.DataFrame(found, columns=["doc", "e", "a", "b"])
+            found = []
+    if len(region) > done:
+        compare(region, done, not long and len(region) <= SMALL, found)
+    yield pd.DataFrame(found, columns=["doc", "e", "a", "b"]).astype({"doc": "int64", "e": "float64", "a": "int64", "b": "int64"})
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of x and y (sketches as rows of words) have an estimate of MAYBE at least."""
+    differ = np.zeros((len(x), len(y)), np.uint8)
+    for w in range(x.shape[1]):
+        z = x[:, w, None] ^ y[None, :, w]
+        z |= z >> np.uint64(1)
+        z |= z >> np.uint64(2)
+        z &= np.uint64(0x1111111111111111)
+        differ += np.bitwise_count(z)
+    return ((VALUES - differ.astype(np.float64)) / VALUES - 1 / 16) / (15 / 16) >= MAYBE
+
+
+def _all_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b: all pairs of each group (key, i, j) of sufficient estimate that are not in one component; between its blocks i and j if i < j.
+
+    Rows come sorted by group and, there, by component."""
+
+    def compare(doc: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: np.ndarray, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(doc), -1)
+        first = int((block == block[0]).sum()) if across else len(doc)  # components are in the order of blocks
+        for at in range(0, first, CHUNK):
+            end = min(first, at + CHUNK)
+            begin = max(first if across else 0, int(np.searchsorted(component, component[at], "right")))
+            for to in range(begin, len(doc), 8 * CHUNK):
+                part = slice(to, to + 8 * CHUNK)
+                u, v = np.nonzero(alike(x[at:end], x[part]) & (component[at:end, None] < component[None, part]))
+                yield doc[at:end][u], doc[part][v]
+
+    names = ["key", "i", "j", "block", "component", "doc"]
+    kept: pd.DataFrame | None = None
+
+    def full(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+        nonlocal kept
+        n = {c: pdf[c].to_numpy() for c in names}
+        sketches = pdf["sketch"].to_numpy()
+        new = np.flatnonzero((np.diff(n["key"]) != 0) | (np.diff(n["i"]) != 0) | (np.diff(n["j"]) != 0)) + 1
+        edges = np.concatenate(([0], new, [len(pdf)])) if last else np.concatenate(([0], new))
+        kept = None if last else pdf.iloc[edges[-1] :]
+        begin, end = edges[:-1], edges[1:]
+        several = n["component"][begin] != n["component"][end - 1]
+        for s, e in zip(begin[several].tolist(), end[several].tolist(), strict=True):
+            for a, b in compare(n["doc"][s:e], n["component"][s:e], n["block"][s:e], sketches[s:e], n["i"][s] < n["j"][s]):
+                if len(a):
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    for pdf in batches:
+        yield from full(pdf if kept is None else pd.concat([kept, pdf], ignore_index=True), False)
+    if kept is not None:
+        yield from full(kept.reset_index(drop=True), True)
+
+
+def forest(nodes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The documents of each region of the forest over nodes (doc, signature, sketch); those alone in theirs are left out.
+
+    The first table (key, rest, doc, whole, sketch) has the regions as they are split, and whether they are whole, that is, of the shortest
+    prefix; the second (key, doc, sketch) has those of the shortest prefix that are split."""
     trees = nodes.select("doc", "signature").mapInArrow(_grow, "doc long, k0 long, k1 long, k2 long, rest long")
     several = lambda rows, k: rows.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     trees = written(trees, "trees", folder)
     shared = written(trees.join(written(several(trees, "k0").select("k0"), "several", folder), "k0"), "shared", folder)
-    rows, levels = shared.select("k0", "k1", "k2", "doc", "rest"), []
+    rows, levels, split = shared.select("k0", "k1", "k2", "doc", "rest"), [], None
     for upper, lower in (("k0", "k1"), ("k1", "k2")):
         large = written(several(rows, upper).where(F.col("n") > REGION).select(upper, F.lit(True).alias("deep")), f"large_{upper}", folder)
         sized = rows.join(hinted(large, BROADCAST_ROWS), upper, "left")
-        levels.append(sized.where("deep IS NULL").select(F.col(upper).alias("key"), "doc", "rest"))
+        levels.append(sized.where("deep IS NULL").select(F.col(upper).alias("key"), "doc", "rest", F.lit(split is None).alias("whole")))
         rows = sized.where("deep").drop("deep")
+        split = rows if split is None else split
         heads = rows.groupBy(upper, lower).agg(F.min(F.struct("doc", "rest")).alias("head"))
-        levels.append(heads.select(F.col(upper).alias("key"), "head.doc", "head.rest"))
-    levels.append(rows.select(F.col("k2").alias("key"), "doc", "rest"))
+        levels.append(heads.select(F.col(upper).alias("key"), "head.doc", "head.rest", F.lit(False).alias("whole")))
+    levels.append(rows.select(F.col("k2").alias("key"), "doc", "rest", F.lit(False).alias("whole")))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return written(out.join(nodes.select("doc", "sketch"), "doc"), "forest", folder)
+    sketches = nodes.select("doc", "sketch")
+    split = written(split.select(F.col("k0").alias("key"), "doc").join(sketches, "doc"), "split", folder)
+    return written(out.join(sketches, "doc"), "forest", folder), split
 
 
-def candidates(regions: DataFrame, labels: DataFrame | None, every: bool) -> DataFrame:
-    """a, b: neighbours in the forest that are not in one component; of each document the best one, or all."""
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        rows = regions.withColumn("component", F.col("doc"))
-    else:
-        rows = regions.join(hinted(labels, BROADCAST_ROWS), regions["doc"] == labels["node"], "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = rows.select("key", "rest", "doc", "component", "sketch").repartition("key").sortWithinPartitions("key", "rest", "doc")
-    pairs = rows.mapInPandas(_neighbours(every), "doc long, e double, a long, b long")
-    if not every:
-        pairs = pairs.groupBy("doc").agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.a", "p.b")
-    return pairs.select("a", "b").distinct()
+        return rows.withColumn("component", F.col("doc"))
+    return rows.join(hinted(labels, BROADCAST_ROWS), rows["doc"] == labels["node"], "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
+
+
+def candidates(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """a, b: of each document the best neighbour in the forest that is not in its component."""
+    rows = _labelled(regions, labels).select("key", "rest", "doc", "component", "sketch").repartition("key").sortWithinPartitions("key", "rest", "doc")
+    pairs = rows.mapInPandas(_neighbours, "doc long, e double, a long, b long")
+    return pairs.groupBy("doc").agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def all_candidates(regions: DataFrame, split: DataFrame, labels: DataFrame | None, folder: str) -> DataFrame:
+    """a, b: all documents that share a shortest prefix, have similar sketches and are not in one component."""
+    zero = F.lit(0).cast("long")
+    rows = _labelled(regions.where("whole"), labels).select("key", zero.alias("i"), zero.alias("j"), zero.alias("block"), "component", "doc", "sketch")
+    if split.head(1):
+        order = Window.partitionBy("key").orderBy("component", "doc")
+        parts = _labelled(split, labels).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("long"))
+        parts = written(parts.select("key", "block", "component", "doc", "sketch"), "blocks", folder)
+        ends = parts.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        low, high = ends.select("key", F.col("block").alias("i"), "lo"), ends.select("key", F.col("block").alias("j"), "hi")
+        # blocks come in the order of components: if the first and the last are equal, all are
+        both = low.join(high, "key").where("i <= j AND lo <> hi").select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        rows = rows.unionByName(both.join(parts, ["key", "block"]).select(rows.columns))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "component", "doc")
+    return rows.mapInPandas(_all_pairs, "a long, b long").distinct()
 
 
 def _sets(size: int):
@@ -234,15 +319,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, fo
     return written(both.select("a", "b", "x", "y").mapInPandas(_linked(round(100 * threshold)), "u long, v long"), "links", folder)
 
 
-def links(regions: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+def links(regions: DataFrame, split: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
     """node, component of each node that confirmed candidates join to a smaller one.
 
-    Three rounds: the best candidate of each document; the best that leads out of its component; all that still do."""
+    Three rounds: the best candidate of each document; the best that leads out of its component; all pairs that still do."""
     spark = docs.sparkSession
     edges = labels = tried = None
     for every in (False, False, True):
         folder = shared_dir(spark)
-        pairs = candidates(regions, labels, every)
+        pairs = all_candidates(regions, split, labels, folder) if every else candidates(regions, labels)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", folder)
         tried = pairs if tried is None else tried.union(pairs)
         if pairs.head(1):
@@ -261,7 +346,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal sets are one node, named by their smallest document
     classes = written(known.groupBy("digest").agg(F.min("doc").alias("node"), F.first(F.struct("signature", "sketch")).alias("s")), "classes", folder)
     nodes = classes.groupBy(F.col("node").alias("doc")).agg(F.first("s").alias("s")).select("doc", "s.signature", "s.sketch")
-    labels = links(forest(nodes, folder), rows, size, threshold)
+    labels = links(*forest(nodes, folder), rows, size, threshold)
     named = signed.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "node", "doc"))
     kept = F.coalesce(F.col("doc") == component, F.lit(True))
