@@ -179,3 +179,6 @@ def test_disguised_words_are_restored():
 def test_fit_without_both_labels():
     assert toxicity.fit([]) [0] == {} and toxicity.fit([(0, ["a"])])[0] == {}
     assert zlib.crc32(b"5") % 5 in range(5)
+    assert "idiot" in channel.words("idiiot") and "stupid" in channel.words("stuupid") and "moron" in channel.words("mo-ron")
+    spaced = {"m o r": "mor", "m  o  r  o  n": "moron", "$ t u p i d": "stupid", "you $ t . . u": "stu", "i.d.i.o.t": "idiot"}
+    assert all(word in channel.restore(text) for text, word in spaced.items()), [channel.restore(t) for t in spaced]

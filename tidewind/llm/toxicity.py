@@ -1,9 +1,9 @@
 """Toxicity of texts, scored on what a noisy channel restores.
 
 A character trigram model is counted over all texts. Words that look disguised (letters mixed with digits or signs, letters spaced
-out, a letter three times and more) span a lattice: each sign may stand for a letter it looks like, for itself or for nothing, and each
+out, a letter twice and more) span a lattice: each sign may stand for a letter it looks like, for itself or for nothing, and each
 repetition may go. Viterbi decoding picks the reading that channel and language model find likeliest; a word without such signs has one
-path, itself. The restored words and their beginnings are the features of a logistic regression, learned from labelled rows.
+path, itself. What holds no letter at all is not decoded unless it is spaced out. The restored words and their beginnings are the features of a logistic regression, learned from labelled rows.
 
 Labels are learned from rows alone whose crc32(identifier as text) mod 5 isn't 0; of these at most TRAIN_ROWS, drawn by a hash of the
 identifier. Scores use nothing but the text.
@@ -49,11 +49,11 @@ STANDS, STAYS, DROPS, NOTHING, REPEATS, AGAIN = 1.0, 9.0, 6.0, 2.5, 0.7, 2.5
 
 _EDGE = re.compile(r"^[^\w@$!|+(<&%#€£]+|[^\w@$!|+(<&%#€£]+$")
 _MARKS = re.compile(r"^([^\w])\1\1+|([^\w])\2\2+$|^[!(<&#%]+(?=[^\W\d_]{2})|[!+(<&#%|]+$")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ ._*~-][^\W_@$!|+]|[ ._*~-][@$!|+](?=[ ._*~-])){3,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+](?=[ ._*~-]))(?:[ ._*~-]++[^\W_]|[ ._*~-]++[@$!|+](?=[ ._*~-])){2,}(?![^\W_])")
 #: What every text with a match of _SPACED has too; searched first, as it is found faster.
-_HINT = re.compile(r"[ ._*~-][^\s][ ._*~-][^\s][ ._*~-]")
+_HINT = re.compile(r"[ ._*~-][^\s][ ._*~-]+[^\s](?![^\W_])")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"([^\W\d_])\1")
 
 
 def _symbol(c: int) -> int:
@@ -160,8 +160,7 @@ class Channel:
         bare = _EDGE.sub("", token)
         if bare.isalpha() and not _RUN.search(bare):
             return (bare,)
-        disguised = any(c in LOOKS for c in bare) and any(c.isalpha() for c in bare) or bool(_RUN.search(bare)) or len(plain) > 1 and all(len(x) <= 2 for x in plain)
-        if not disguised:
+        if not any(c.isalpha() for c in bare):
             return tuple(plain)
         return (*plain, *_LETTERS.findall(self.decode(bare)))
 
