@@ -165,6 +165,15 @@ def test_broken_pages_end(text):
 def test_disguised_words_are_restored():
     rng = random.Random(2)
     clean = ["the nice house stands there", "a stone and a stand near the idle house", "this man lost his other coat"]
+def test_main_text_without_an_article_element():
+    parts = ["Head", "First paragraph of it.", "one", "two", "A quotation.", "Of a section.", "Linked words"]
+    body = "<h2>{}</h2><p>{}</p><ul><li>{}<li>{}</ul><blockquote><p>{}</p></blockquote><section><p>{}</p><p><a href=x>{}</a></p></section>".format(*parts)
+    page = f"<body><div class=top><a href=y>Elsewhere</a></div><div>{body}</div><footer>x</footer></body>"
+    assert he.main_text(page) == "\n\n".join(parts)
+    assert he.main_text("<div><section><p>A short one.</p></section><section><p>A section that is longer.</p></section></div>") == "A short one.\n\nA section that is longer."
+    assert he.main_text("<div><a href=x>All links</a></div>") == "All links"
+
+
     bad = ["idiot", "moron", "stupid", "pathetic"]
     texts = [(0, rng.choice(clean) + " " + rng.choice(clean)) for _ in range(200)] + [(1, rng.choice(clean) + " " + " ".join(rng.sample(bad, 2))) for _ in range(100)]
     total = sum((toxicity._trigrams([t]) for _, t in texts), np.zeros(toxicity.SYMBOLS**3))

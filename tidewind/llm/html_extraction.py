@@ -75,6 +75,7 @@ class Block(NamedTuple):
     links: int  # code points of it that are links
     content: bool  # it is in no menu, advert and so on
     article: bool  # it is in an article
+    element: int  # number of the element around it, in page order
 
 
 class _Open(NamedTuple):
@@ -83,6 +84,7 @@ class _Open(NamedTuple):
     around: int
     content: bool
     article: bool
+    element: int
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -101,8 +103,14 @@ def token(block: Block) -> int:
 
 def blocks(source: str | None) -> list[Block]:
     """The text blocks of a page, in page order. The time is linear in the page's length."""
+    return _read(source)[0]
+
+
+def _read(source: str | None) -> tuple[list[Block], list[int]]:
+    """The blocks of a page, and for each element the number of the one around it (which is smaller; that of the page itself is 0)."""
     out: list[Block] = []
-    stack = [_Open("", 0, 0, True, False)]
+    parents = [0]
+    stack = [_Open("", 0, 0, True, False, 0)]
     count: dict[str, int] = {}
     paths: dict[tuple[int, str, str], int] = {}
     parts: list[str] = []
@@ -114,7 +122,7 @@ def blocks(source: str | None) -> list[Block]:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
                 top = stack[-1]
-                out.append(Block(top.path, top.around, text, min(links, len(text)), top.content, top.article))
+                out.append(Block(top.path, top.around, text, min(links, len(text)), top.content, top.article, top.element))
             parts.clear()
         links = 0
 
@@ -178,25 +186,31 @@ def blocks(source: str | None) -> list[Block]:
             key = (path, tag, names)
             around = path
             path = paths.get(key) or paths.setdefault(key, _hash(*key))
-        stack.append(_Open(tag, path, around, content, article))
+        stack.append(_Open(tag, path, around, content, article, len(parents)))
+        parents.append(top.element)
         count[tag] = count.get(tag, 0) + 1
     end()
-    return out
+    return out, parents
 
 
 def main_text(source: str | None, constant: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks in content slots: those of the article if there is one, else those of the part of the page with most text."""
-    found = [b for b in blocks(source) if b.content]
+    """The blocks in content slots: those of the article if there is one, else all in the smallest element that holds every block which is not mostly links."""
+    found, parents = _read(source)
+    found = [b for b in found if b.content]
     inside = [b for b in found if b.article]
-    if inside:
-        kept = [b for b in inside if token(b) not in constant]
-    else:
-        kept = [b for b in found if token(b) not in constant and len(b.text) > 2 * b.links]
-        weight: dict[int, int] = {}
-        for b in kept:  # the element that holds most of what is left
-            weight[b.around] = weight.get(b.around, 0) + len(b.text)
-        best = max(weight, key=lambda p: (weight[p], p), default=0)
-        kept = [b for b in kept if b.around == best or b.path == best]
+    kept = [b for b in inside or found if token(b) not in constant]
+    prose = [b.element for b in kept if len(b.text) > 2 * b.links]
+    if not inside and prose:
+        holds = [0] * len(parents)
+        for e in prose:
+            holds[e] += 1
+        for e in range(len(parents) - 1, 0, -1):
+            holds[parents[e]] += holds[e]
+        best = max(e for e, n in enumerate(holds) if n == len(prose))
+        below = [e == best for e in range(len(parents))]
+        for e in range(best + 1, len(parents)):
+            below[e] = below[parents[e]]
+        kept = [b for b in kept if below[b.element]]
     return "\n\n".join(b.text for b in kept)
 
 
