@@ -47,6 +47,14 @@ def test_more_spans_stand_beside_the_base_ones():
     assert pii.redact("call +49 30 1234567 now") == "call <phone> now" and pii.redact(None) is None and pii.spans("") == []
 
 
+def test_ibans_before_capitals_and_digits():
+    for number in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
+        for after in ("", ".", " BIC COBADEFFXXX", " Please pay", " 2024", " DE89370400440532013000", " GB82 WEST 1234 5698 7654 32"):
+            text = f"IBAN {number}{after}"
+            assert ("iban", 5, 5 + len(number)) in [s[:3] for s in pii.spans(text)] and pii.redact(text).startswith("IBAN <iban>")
+    assert pii.redact("DE89370400440532013000 GB82WEST12345698765432") == "<iban> <iban>" and "<" not in pii.redact("IBAN DE88370400440532013000 BIC COBADEFFXXX")
+
+
 @pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000 + "@", "1." * 200_000, "+1 " * 100_000, "@" * 100_000, "DE12" + "A1" * 100_000])
 def test_long_texts_take_linear_time(text):
     pii.spans(text)
@@ -157,14 +165,6 @@ def test_main_text():
     assert he.main_text("<div><p>long text of a page that stands alone</p><p>and more</p></div><nav>x</nav>") == "long text of a page that stands alone\n\nand more"
 
 
-@pytest.mark.parametrize("text", ["<p>" * 50_000, "<div>" * 50_000 + "x", '<a href="' * 50_000, "<!--" * 50_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "</b>" * 50_000, "<script>" * 20_000])
-def test_broken_pages_end(text):
-    he.main_text(text)
-
-
-def test_disguised_words_are_restored():
-    rng = random.Random(2)
-    clean = ["the nice house stands there", "a stone and a stand near the idle house", "this man lost his other coat"]
 def test_main_text_without_an_article_element():
     parts = ["Head", "First paragraph of it.", "one", "two", "A quotation.", "Of a section.", "Linked words"]
     body = "<h2>{}</h2><p>{}</p><ul><li>{}<li>{}</ul><blockquote><p>{}</p></blockquote><section><p>{}</p><p><a href=x>{}</a></p></section>".format(*parts)
@@ -174,6 +174,14 @@ def test_main_text_without_an_article_element():
     assert he.main_text("<div><a href=x>All links</a></div>") == "All links"
 
 
+@pytest.mark.parametrize("text", ["<p>" * 50_000, "<div>" * 50_000 + "x", '<a href="' * 50_000, "<!--" * 50_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "</b>" * 50_000, "<script>" * 20_000])
+def test_broken_pages_end(text):
+    he.main_text(text)
+
+
+def test_disguised_words_are_restored():
+    rng = random.Random(2)
+    clean = ["the nice house stands there", "a stone and a stand near the idle house", "this man lost his other coat"]
     bad = ["idiot", "moron", "stupid", "pathetic"]
     texts = [(0, rng.choice(clean) + " " + rng.choice(clean)) for _ in range(200)] + [(1, rng.choice(clean) + " " + " ".join(rng.sample(bad, 2))) for _ in range(100)]
     total = sum((toxicity._trigrams([t]) for _, t in texts), np.zeros(toxicity.SYMBOLS**3))
@@ -181,6 +189,9 @@ def test_main_text_without_an_article_element():
     cost = -np.log((three + 0.1) / (three.sum(2, keepdims=True) + 0.1 * toxicity.SYMBOLS)).astype(np.float32)
     channel = toxicity.Channel(cost)
     assert channel.decode("m0r0n") == "moron" and channel.decode("s t u p i d") == "stupid" and "idiot" in channel.words("idiiiiot") and channel.words("house,") == ("house",)
+    assert "idiot" in channel.words("idiiot") and "stupid" in channel.words("stuupid") and "moron" in channel.words("mo-ron")
+    spaced = {"m o r": "mor", "m  o  r  o  n": "moron", "$ t u p i d": "stupid", "you $ t . . u": "stu", "i.d.i.o.t": "idiot"}
+    assert all(word in channel.restore(text) for text, word in spaced.items()), [channel.restore(t) for t in spaced]
     model = toxicity.Model(cost, *toxicity.fit([(y, sorted(channel.restore(t))) for y, t in texts]))
     assert model.score("the nice house m0r0n and s t u p i d") > 0.5 > model.score("a nice house") and 0 <= model.score(None) == model.score("") < 0.5
 
@@ -188,6 +199,3 @@ def test_main_text_without_an_article_element():
 def test_fit_without_both_labels():
     assert toxicity.fit([]) [0] == {} and toxicity.fit([(0, ["a"])])[0] == {}
     assert zlib.crc32(b"5") % 5 in range(5)
-    assert "idiot" in channel.words("idiiot") and "stupid" in channel.words("stuupid") and "moron" in channel.words("mo-ron")
-    spaced = {"m o r": "mor", "m  o  r  o  n": "moron", "$ t u p i d": "stupid", "you $ t . . u": "stu", "i.d.i.o.t": "idiot"}
-    assert all(word in channel.restore(text) for text, word in spaced.items()), [channel.restore(t) for t in spaced]

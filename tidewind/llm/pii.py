@@ -34,13 +34,21 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+")
+#: Characters of an IBAN by country (fixed values of the registry); those of other countries may have any number.
+_IBAN_LENGTH = dict(
+    x.split(":")
+    for x in "NO:15 BE:16 DK:18 FI:18 FO:18 GL:18 NL:18 MK:19 SI:19 AT:20 BA:20 EE:20 KZ:20 LT:20 LU:20 XK:20 CH:21 HR:21 LI:21 LV:21 BG:22 BH:22 CR:22 DE:22 GB:22 GE:22 IE:22 ME:22 RS:22 VA:22 AE:23 GI:23 IL:23 IQ:23 "
+    "TL:23 AD:24 CZ:24 ES:24 MD:24 PK:24 RO:24 SA:24 SE:24 SK:24 TN:24 VG:24 PT:25 IS:26 TR:26 FR:27 GR:27 IT:27 MC:27 MR:27 SM:27 AL:28 AZ:28 CY:28 DO:28 GT:28 HU:28 LB:28 PL:28 BR:29 PS:29 QA:29 JO:30 KW:30 MU:30 MT:31".split()
+)
+
 #: kind, score, pattern, words that raise the score, words that lower it.
 _MORE = (
     ("email", 0.5, re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+ ?[(\[{](?:at|AT)[)\]}] ?[A-Za-z0-9-]{1,63}+(?: ?[(\[{](?:dot|DOT)[)\]}] ?[A-Za-z0-9-]{1,63}+){1,6}"), r"e-?mail|contact|write|reach", r"$^"),
     ("card", 0.6, re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"), r"card|visa|master|amex|credit|debit|carte|karte|tarjeta", r"isbn|order|invoice|tracking|serial|sku"),
     ("phone", 0.6, re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"), r"tel|phone|call|mobile|fax|cell|whatsapp", r"isbn|order|version"),
     ("phone", 0.3, re.compile(r"(?<![0-9+(.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"), r"tel|phone|call|mobile|fax|cell|whatsapp", r"isbn|order|version|invoice"),
-    ("iban", 0.7, re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+"), r"iban|account|bank|konto|compte|cuenta", r"$^"),
+    ("iban", 0.7, _IBAN, r"iban|account|bank|konto|compte|cuenta", r"$^"),
     ("ssn", 0.4, re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), r"ssn|social|security|taxpayer", r"phone|tel|part|order"),
 )
 _WORDS = {(kind, k): (re.compile(up, re.I), re.compile(down, re.I)) for k, (kind, _, _, up, down) in enumerate(_MORE)}
@@ -91,13 +99,37 @@ def base(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers with a right checksum. What follows a number may look like more of it: the country's length goes first, then what ends with a word."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        a, b = m.span()
+        own = int(_IBAN_LENGTH.get(m[0][:2], 0))
+        borders = [e for e in range(b, a + 14, -1) if text[e - 1] != " " and not text[e : e + 1].isalnum()]
+        ends = [e for e in borders if len(text[a:e].replace(" ", "")) == own] if own else borders
+        at = next((e for e in (*ends, b) if mod97(text[a:e])), 0)
+        if at:
+            yield a, at
+        else:
+            at = a + 4
+
+
+def _proposals(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    if kind == "iban":
+        yield from _ibans(text)
+        return
+    for m in pattern.finditer(text):
+        if _valid(kind, m[0]):
+            yield m.span()
+
+
 def _valid(kind: str, span: str) -> bool:
     digits = "".join(_DIGITS.findall(span))
     if kind == "card":
         return luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
-    return kind != "iban" or mod97(span)
+    return True
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float, bool]]:
@@ -115,9 +147,8 @@ def spans(text: str | None) -> list[tuple[str, int, int, float, bool]]:
             continue
         up, down = _WORDS[kind, k]
         added = []
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if not _valid(kind, m[0]) or _overlaps(taken.get(kind, []), a, b):
+        for a, b in _proposals(kind, pattern, text):
+            if _overlaps(taken.get(kind, []), a, b):
                 continue
             near = text[max(0, a - NEARBY) : a] + " " + text[b : b + NEARBY]
             now = min(1.0, max(0.0, score + RAISE * bool(up.search(near)) - LOWER * bool(down.search(near))))
