@@ -334,12 +334,12 @@ def fitted(vectors: DataFrame, name: str, k: int, options: dict) -> DataFrame:
 
 
 def embedded(panel: DataFrame, name: str, lookback: int, horizon: int, stride: int, options: dict) -> DataFrame:
-    """anchor, z: embeddings of a panel's windows."""
+    """anchor, z: embeddings of a panel's windows. Embedders are fitted on the windows of all rows, whatever the stride."""
     r, _ = matrix(panel)
     spark = panel.sparkSession
     made = EMBEDDERS[name](**options)
     if hasattr(made, "fit"):
-        made.fit(np.stack([r[a - lookback : a] for a in range(lookback, len(r), stride)]))
+        made.fit(np.stack([r[a - lookback : a] for a in range(lookback, len(r))]))
     shared = spark.sparkContext.broadcast((r, made))
 
     def run(batches):

@@ -152,7 +152,7 @@ for _name, _short in (("gmm", "gmm_fit"), ("kmeans_soft", "kmeans_fit"), ("fuzzy
 
 def _embed(name):
     def run(spark, d):
-        return backtest.embedded(flags_panel(spark, d), name, 50, 20, 30, {"k": 5} if name != "vol_stats" else {})
+        return backtest.embedded(flags_panel(spark, d), name, 50, 20, 5, {"k": 5} if name != "vol_stats" else {})
 
     return run
 
@@ -163,16 +163,16 @@ for _name, _short in (("pca", "pca_embed"), ("corr_eigen", "corr_eig_embed"), ("
 
 @query("backtest_cov")
 def _(spark, d):
-    return backtest.run(flags_panel(spark, d), backtest.Config(stride=150, sample_stride=15, refit=150)).select("anchor", "method", "metric", "value")
+    return backtest.run(flags_panel(spark, d), backtest.Config()).select("anchor", "method", "metric", "value")
 
 
 @query("backtest_vol")
 def _(spark, d):
-    return backtest.run(flags_panel(spark, d), backtest.Config(target="vol", embedder="vol_stats", embed_options={}, clusterer="gmm", metric="l2", stride=60, sample_stride=9, refit=60)).select("anchor", "method", "metric", "value")
+    return backtest.run(flags_panel(spark, d), backtest.Config(target="vol", embedder="vol_stats", embed_options={}, clusterer="gmm", metric="l2")).select("anchor", "method", "metric", "value")
 
 
 @query("ablation_grid")
 def _(spark, d):
-    base = backtest.Config(target="vol", embedder="vol_stats", embed_options={}, stride=120, sample_stride=12, refit=240)
+    base = backtest.Config(target="vol", embedder="vol_stats", embed_options={})
     runs = backtest.grid(base, {"metric": ["l1", "l2"], "tau": [1.0, 2.0]})
     return backtest.ablation(flags_panel(spark, d), runs)
