@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewind.llm import registry
+from tidewind.llm import packing, registry
 from tidewind.llm.components import components
 from tidewind.llm.decontamination import decontaminate
 from tidewind.llm.exact_dedup import exact_dedup
@@ -116,7 +116,11 @@ def test_near_dedup_of_many_that_share_a_passage(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == expected
     # regions that are split have all their pairs compared too
     monkeypatch.setattr("tidewind.llm.near_dedup.REGION", 64)
-    monkeypatch.setattr("tidewind.llm.near_dedup.BLOCK", 32, raising=False)
+    monkeypatch.setattr("tidewind.llm.near_dedup.BLOCK", 32)
+    assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == expected
+    # and regions whose sets take too much room
+    monkeypatch.setattr("tidewind.llm.near_dedup.REGION", 2048)
+    monkeypatch.setattr("tidewind.llm.near_dedup.BLOCK_BYTES", 20_000)
     assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == expected
 
 
@@ -186,6 +190,39 @@ def test_packing_round_trip(spark, odd, none):
     assert sum(len(r.ids) for r in full) == sum(len(r.ids) for r in ids.collect()) and max(len(r.ids) for r in full) <= 4 * 64
 
 
+def test_islands_are_tasks_that_trade_elites(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(0, k, rng.randint(256, 512)) for k in range(900)] + [(1, k, rng.randint(200, 500)) for k in range(900)]
+    plain = {}
+    for s in (0, 1):
+        lengths = [n for t, _, n in rows if t == s]
+        found = packing.best_fit_decreasing(lengths)
+        plain[s] = len(found.bins), packing._numbers(found, len(lengths)).tolist()
+    shards = spark.createDataFrame([(s, k, n, plain[s][1][k]) for s, k, n in rows], "shard long, at int, length long, bin int")
+    got = packing.evolved(shards, 1024, str(tmp_path)).collect()
+    for s in (0, 1):
+        own = {r["at"]: r.bin for r in got if r.shard == s}
+        fill = {}
+        for k, b in own.items():
+            fill[b] = fill.get(b, 0) + rows[900 * s + k][2]
+        assert len(own) == 900 and max(fill.values()) <= 1024 and len(fill) < plain[s][0]
+    # each epoch is written by a task for each island, and an island's best of one epoch is never worse than the elite that came to it
+    states = [spark.read.parquet(f"{tmp_path}/epoch{k}").groupBy("shard", "island").agg(F.first(F.struct("n", "square")).alias("s")).collect() for k in range(packing.EPOCHS)]
+    for before, after in zip(states[:-1], states[1:], strict=True):
+        score = {(r.shard, r.island): tuple(r.s) for r in before}
+        assert len(score) == 2 * packing.ISLANDS and all(tuple(r.s) <= score[r.shard, (r.island - 1) % packing.ISLANDS] for r in after)
+
+
+def test_packing_of_many_equal_rows_and_small_shards(spark):
+    rows = docs_of(spark, [(None, "the same words " * 40, "a")] * 300 + [(k, "w " * (k % 300), "a") for k in range(300)])
+    pieces = tokenized(rows.select("doc_id", "text"))
+    out = packing.pack(pieces, size=150).collect()
+    fill = {}
+    for r in out:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert len(out) == 600 and max(fill.values()) <= 1024 and len(fill) <= 1.01 * sum(fill.values()) / 1024 + 4
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>x</p>", 5), (2, "http://a/2", "<p>x</p>", 5), (3, None, None, 5), (4, "u\r\nv", "", 5), (None, "n", "é\r\n\r\nz", 5), (2, "http://a/2", "<p>x</p>", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, address int")

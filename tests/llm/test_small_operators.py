@@ -138,22 +138,72 @@ def test_tokens_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     path = packing.default_vocabulary()
-    model, mine = Tokenizer.from_file(path), packing.encoder(path)
+    model, mine = Tokenizer.from_file(path), packing.Encoder(path)
     texts = ["", "a", " a  b   c ", "x\n y\t z", "don't stop 123 !!", "<|endoftext|> a", "é à b  c", "a " * 50, "\n\n  x", "日本 語"]
     for text in texts * 2:
         assert np.frombuffer(mine(text), np.uint32).tolist() == model.encode(text, add_special_tokens=False).ids
 
 
+def run_islands(lengths, capacity, epochs=packing.EPOCHS):
+    """What the islands do, without Spark."""
+    least, start = packing.least_bins(lengths, capacity), packing.best_fit_decreasing(lengths, capacity)
+    rngs = [random.Random(i) for i in range(packing.ISLANDS)]
+    islands = [packing.population(start, lengths, capacity, r) for r in rngs]
+    for k in range(epochs):
+        if k:
+            elite = [p[0] for p in islands]
+            islands = [[*p, e] for p, e in zip(islands, elite[-1:] + elite[:-1], strict=True)]
+        islands = [packing.epoch(p, lengths, capacity, r, least) for p, r in zip(islands, rngs, strict=True)]
+    return min((p[0] for p in islands), key=lambda p: p.score)
+
+
+def fewest(lengths, capacity):
+    """The exact optimum of a small input."""
+    best, order = len(lengths), sorted(lengths, reverse=True)
+
+    def place(k, fill):
+        nonlocal best
+        if len(fill) >= best:
+            return
+        if k == len(order):
+            best = len(fill)
+            return
+        for f in {f: None for f in fill if f + order[k] <= capacity}:
+            rest = list(fill)
+            rest[rest.index(f)] += order[k]
+            place(k + 1, rest)
+        place(k + 1, [*fill, order[k]])
+
+    place(0, [])
+    return best
+
+
 def test_packings_are_whole_and_tight():
     rng = random.Random(1)
-    lengths = [rng.randint(1, 1023) for _ in range(600)]
-    found = packing.evolve(lengths, seed=3)
-    assert sorted(p for b in found.bins for p in b) == list(range(600)) and all(sum(lengths[p] for p in b) == f <= 1024 for b, f in zip(found.bins, found.fill, strict=True))
-    assert len(found.bins) <= -(-sum(lengths) // 1024) * 1.03
-    assert len(packing.evolve([512] * 10).bins) == 5 and packing.evolve([]).bins == []
+    for low, high in ((1, 1023), (200, 500), (256, 512), (5, 60)):
+        lengths = [rng.randint(low, high) for _ in range(1500)]
+        plain, found = packing.best_fit_decreasing(lengths), run_islands(lengths, 1024)
+        exact = packing.fill_exactly(lengths, 1024, rng)
+        for packed in (plain, found, exact):
+            assert sorted(p for b in packed.bins for p in b) == list(range(1500)) and all(sum(lengths[p] for p in b) == f <= 1024 for b, f in zip(packed.bins, packed.fill, strict=True))
+        assert packing.least_bins(lengths) <= len(found.bins) <= len(plain.bins)
+        if low in (200, 256):
+            assert len(found.bins) < 0.97 * len(plain.bins)
+    assert packing.least_bins([512] * 10) == 5 and packing.least_bins([]) == 0 and packing.least_bins([600] * 7 + [1]) == 7
     assert packing.cut(1025) == [(0, 1), (1, 1024)] and packing.cut(2048) == [(0, 1024), (1024, 1024)] and packing.cut(1) == [(0, 1)]
 
 
+def test_islands_reach_the_optimum_of_small_inputs():
+    rng, missed = random.Random(8), 0
+    for _ in range(40):
+        capacity = 30
+        lengths = [rng.randint(4, 16) for _ in range(12)]
+        best = fewest(lengths, capacity)
+        assert packing.least_bins(lengths, capacity) <= best == len(run_islands(lengths, capacity).bins)
+        missed += len(packing.best_fit_decreasing(lengths, capacity).bins) > best
+    assert missed  # by the plain pass
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="ad">Buy</div><article><header><h1>Big &amp; small</h1></header><p>One <b>bold</b>
  word.<br><p>Two &eacute;<form><input><button>Go</button></form></p><aside>See also</aside><ul><li>a<li>b</ul><section class="comments"><p>First!</p></section></article><footer>&copy; me</footer>"""

@@ -2,25 +2,82 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows and bytes that Python workers get at once, where the session has no bounds of its own; what they hold doesn't grow with the rows.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": (None, BATCH_BYTES)}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches bounded in rows and bytes unless it bounds them itself."""
+    for name, (default, value) in _BOUNDS.items():
+        now = spark.conf.get(name, None)
+        if now == default or now is None or not now.isdigit() or int(now) >= 2**31 - 1:
+            spark.conf.set(name, str(value))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir); a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir). Where that is unset, a temporary one for a local master; an error on a cluster."""
+    base = bounded(spark).conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidewind-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidewind-{uuid.uuid4().hex}"
 
 
+class Remembered(dict):
+    """What a task has worked out for short strings, up to a number of bytes; put() forgets all when that is reached."""
+
+    def __init__(self, most: int = 24 << 20, longest: int = 48):
+        super().__init__()
+        self.most, self.longest, self.held = most, longest, 0
+
+    def put(self, key: str, value):
+        if len(key) <= self.longest:
+            self.held += 160 + len(key) + (sum(map(sys.getsizeof, value)) if isinstance(value, tuple) else sys.getsizeof(value))
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[key] = value
+        return value
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each changed until no column has it, whatever its case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands in an expression, with dots or back quotes in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def every(df: DataFrame, but: Iterable[str] = ()) -> list[Column]:
+    """All columns of df, whatever their names, but for those in but."""
+    gone = {c.lower() for c in but}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """df, written to the shared folder and read again: the lineage ends there, so a lost executor costs no more than the last step."""
     spark = df.sparkSession
@@ -31,11 +88,11 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
 
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the given columns (new name = old name); whatever else a table has can't clash then."""
-    return df.select(*[df[f"`{old}`"].alias(new) for new, old in named.items()])
+    return df.select(*[F.col(quoted(old)).alias(new) for new, old in named.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

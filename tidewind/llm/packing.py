@@ -1,9 +1,11 @@
 """Best-fit packing of tokenised documents with a grouping genetic algorithm.
 
-Pieces are dealt evenly into shards; in each shard several islands of packings evolve. Crossover injects whole well-filled bins of one
-packing into another, takes out the bins that hold the same pieces, and puts the pieces that this displaces where they fit best. The
-best packing of an island moves to the next one every few generations. The bins that stay poorly filled are opened, their pieces are
-dealt anew into fewer shards, and these evolve again, so that pieces of different shards meet.
+Pieces are dealt evenly into shards. A shard whose plain best-fit packing meets a lower bound of the bins that can do is done. Each
+other shard evolves on several islands, each island a task of its own with its own population: crossover injects whole well-filled bins
+of one packing into another, takes out the bins that hold the same pieces, and puts the pieces that this displaces where they fit best.
+After each epoch the islands' populations go through a shuffle, in which each island gets the elite of the one before it. A shard's best
+packing stays. Its bins that are poorly filled are opened, their pieces are dealt anew into fewer shards, and these evolve again, so that
+pieces of different shards meet.
 
 Defined results: a null text is empty and gives the end token alone; rows with equal identifiers are packed each for itself; a null
 identifier stays null; an empty table gives an empty result; other columns are ignored.
@@ -16,31 +18,36 @@ import random
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_rows, columns, shared_dir, table, written
+from .common import Remembered, by_rows, columns, shared_dir, table, written
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of a shard; islands, packings of an island, generations, and generations between migrations.
-SHARD, ISLANDS, PACKINGS, GENERATIONS, MIGRATE = 8192, 3, 4, 12, 4
+#: Pieces of a shard, islands of a shard, packings of an island, generations of an epoch, and epochs.
+SHARD, ISLANDS, PACKINGS, GENERATIONS, EPOCHS = 8192, 3, 4, 8, 3
 #: Bins that are less full are opened and packed again.
 WELL_FILLED = 0.99
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Lengths among which a bin's exact fill is looked for.
+TRIED = 48
+#: Bytes of words' ids that a task remembers.
+REMEMBERED = 32 << 20
 
 #: Pre-tokenisation of the byte-level BPE vocabulary (a fixed value of its format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The vocabulary file writes bytes as printable characters: these stand for themselves, the others for U+0100 onwards (fixed values).
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-_ENCODERS: dict = {}
+#: The last vocabulary that a worker read.
+_MODELS: dict = {}
 
 
 def default_vocabulary() -> str:
@@ -49,22 +56,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocabulary(path: str):
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    others = [b for b in range(256) if b not in set(PRINTABLE)]
+    byte_of = {chr(b): b for b in PRINTABLE} | {chr(256 + k): b for k, b in enumerate(others)}
+    special = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): rank for token, rank in told["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
 class Encoder:
     """Token ids of texts, in 4 bytes each, least first. What lies between single spaces is encoded once and remembered: a token never
     reaches over the border between a character and a space after it."""
 
     def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        others = [b for b in range(256) if b not in set(PRINTABLE)]
-        byte_of = {chr(b): b for b in PRINTABLE} | {chr(256 + k): b for k, b in enumerate(others)}
-        special = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in token): rank for token, rank in told["model"]["vocab"].items() if token not in special}
-        self.model = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.known: dict[str, bytes] = {}
-        self.plain = re.compile(r"\s ").search
+        if path not in _MODELS:
+            _MODELS.clear()
+            _MODELS[path] = vocabulary(path)
+        self.model, self.known, self.plain = _MODELS[path], Remembered(REMEMBERED), re.compile(r"\s ").search
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.model.encode(text, allowed_special="all")).tobytes()
@@ -80,19 +92,11 @@ class Encoder:
         for word in parts[1:]:
             got = known.get(word)
             if got is None:
-                got = self._ids(" " + word)
-                if len(known) < REMEMBERED:
-                    known[word] = got
+                got = known.put(word, self._ids(" " + word))
             out.append(got)
         return b"".join(out)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids; of a longer document, the first piece takes what full ones leave."""
     if n <= capacity:
@@ -109,7 +113,7 @@ def tokenized(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(path), END_ID.to_bytes(4, "little")
+        encode, end = Encoder(path), END_ID.to_bytes(4, "little")
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -178,69 +182,194 @@ def crossover(one: Packing, two: Packing, lengths: list[int], capacity: int, rng
     return best_fit(bins, fill, displaced, lengths, capacity)
 
 
-def evolve(lengths: list[int], capacity: int = CAPACITY, seed: int = 0, generations: int = GENERATIONS) -> Packing:
-    """The best packing that the islands find. It stops early where it meets the least number of bins that could do."""
-    rng = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
+def fill_exactly(lengths: list[int], capacity: int, rng: random.Random) -> Packing:
+    """Bins that start with the longest piece left and are filled up as far as some of TRIED lengths, longer ones first, can add up to."""
+    own: dict[int, list[int]] = {}
+    for p, n in enumerate(lengths):
+        own.setdefault(n, []).append(p)
+    sizes = sorted(own)
+    bins, fill = [], []
+
+    def take(n: int) -> int:
+        p = own[n].pop()
+        if not own[n]:
+            del own[n]
+            sizes.pop(bisect_left(sizes, n))
+        return p
+
+    while sizes:
+        room = capacity - sizes[-1]
+        bins.append([take(sizes[-1])])
+        below = bisect_right(sizes, room)
+        tried = sorted(rng.sample(range(below), min(below, TRIED)), reverse=True)
+        reach, ways = [1], []
+        for n in (sizes[k] for k in tried for _ in range(min(4, len(own[sizes[k]])))):
+            reach.append((reach[-1] | reach[-1] << n) & ((2 << room) - 1))
+            ways.append(n)
+            if reach[-1] >> room:
+                break
+        at = reach[-1].bit_length() - 1
+        fill.append(capacity - room + at)
+        for k in range(len(ways), 0, -1):
+            if not reach[k - 1] >> at & 1:
+                bins[-1].append(take(ways[k - 1]))
+                at -= ways[k - 1]
+    return Packing(bins, fill)
+
+
+def least_bins(lengths, capacity: int = CAPACITY) -> int:
+    """A lower bound of the bins that can do: pieces longer than half a bin need one each, and what their bins can't take of the others needs more, whatever short pieces are left out."""
+    n = np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1)[: capacity + 1]
+    if not n.sum():
+        return 0
+    count, total = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * np.arange(capacity + 1)))
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    long_ = count[capacity + 1] - count[half + 1]
+    # pieces of half a bin to capacity - k can take others of k at least
+    room = (count[capacity - k + 1] - count[half + 1]) * capacity - (total[capacity - k + 1] - total[half + 1])
+    return int(long_ + max(0, (-(-(total[half + 1] - total[k] - room) // capacity)).max()))
+
+
+def best_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> Packing:
+    return best_fit([], [], sorted(range(len(lengths)), key=lambda p: -lengths[p]), lengths, capacity)
+
+
+def of_bins(bins, lengths: list[int]) -> Packing:
+    """The packing that puts each piece in the bin of that number."""
+    out: dict[int, list[int]] = {}
+    for p, b in enumerate(bins):
+        out.setdefault(b, []).append(p)
+    return Packing(list(out.values()), [sum(lengths[p] for p in own) for own in out.values()])
+
+
+def population(start: Packing, lengths: list[int], capacity: int, rng: random.Random) -> list[Packing]:
+    """An island's first packings: the plain one, one of exact fills, and best fits in disturbed orders."""
     order = sorted(range(len(lengths)), key=lambda p: -lengths[p])
-    islands = []
-    for i in range(ISLANDS):
-        packings = []
-        for k in range(PACKINGS):
-            own = order if i + k == 0 else sorted(order, key=lambda p: -lengths[p] * rng.uniform(0.8 + 0.05 * k, 1.0))
-            packings.append(best_fit([], [], own, lengths, capacity))
-        islands.append(packings)
-    best = min((p for packings in islands for p in packings), key=lambda p: p.score)
-    for g in range(generations):
-        if best.score[0] <= least:
+    out = [start, fill_exactly(lengths, capacity, rng)]
+    for k in range(PACKINGS - 2):
+        out.append(best_fit([], [], sorted(order, key=lambda p: -lengths[p] * rng.uniform(0.85 + 0.1 * k, 1.0)), lengths, capacity))
+    return out
+
+
+def epoch(packings: list[Packing], lengths: list[int], capacity: int, rng: random.Random, least: int, generations: int = GENERATIONS) -> list[Packing]:
+    """An island's packings after so many generations, the best first. It stops where the bound is met."""
+    packings = sorted(packings, key=lambda p: p.score)
+    for _ in range(generations):
+        if packings[0].score[0] <= least or len(packings) < 2:
             break
-        for packings in islands:
-            one, two = rng.sample(packings, 2)
-            child = crossover(min(one, two, key=lambda p: p.score), max(one, two, key=lambda p: p.score), lengths, capacity, rng)
-            worst = max(range(len(packings)), key=lambda k: packings[k].score)
-            if child.score < packings[worst].score:
-                packings[worst] = child
-        if g % MIGRATE == MIGRATE - 1:
-            elite = [min(packings, key=lambda p: p.score) for packings in islands]
-            for packings, comes in zip(islands, elite[-1:] + elite[:-1], strict=True):
-                packings[max(range(len(packings)), key=lambda k: packings[k].score)] = comes
-        best = min([best, *(p for packings in islands for p in packings)], key=lambda p: p.score)
-    return best
-
-
-def _packed(first_id: int, capacity: int, last: bool):
+        one, two = sorted(rng.sample(packings, 2), key=lambda p: p.score)
+        child = min(crossover(one, two, lengths, capacity, rng), crossover(two, one, lengths, capacity, rng), key=lambda p: p.score)
+        if child.score < packings[-1].score:
+            packings = sorted([*packings[:-1], child], key=lambda p: p.score)
+    return packings[:PACKINGS]
+
+
+def _numbers(found: Packing, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int32)
+    for b, own in enumerate(found.bins):
+        out[own] = b
+    return out
+
+
+def _plain(capacity: int):
+    """The shard with at (number of a piece in it), bin (of the plain best fit) and whether that may be too many bins."""
+
     def run(key: tuple, shard: pa.Table) -> pa.Table:
-        found = evolve(shard.column("length").to_pylist(), capacity, seed=key[0].as_py())
-        seq, offset = np.full(shard.num_rows, -1, np.int64), np.zeros(shard.num_rows, np.int64)
-        lengths = shard.column("length").to_numpy()
-        for b, own in enumerate(found.bins):
-            if last or found.fill[b] >= WELL_FILLED * capacity:
-                at = 0
-                for p in own:
-                    seq[p], offset[p] = first_id + (key[0].as_py() << 20) + b, at
-                    at += int(lengths[p])
-        return shard.drop_columns(["shard"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
+        lengths = shard.column("length").to_pylist()
+        found = best_fit_decreasing(lengths, capacity)
+        n, open_ = shard.num_rows, len(found.bins) > least_bins(lengths, capacity)
+        for name, values in (("at", np.arange(n, dtype=np.int32)), ("bin", _numbers(found, n)), ("open", np.full(n, open_))):
+            shard = shard.append_column(name, pa.array(values))
+        return shard
+
+    return run
+
+
+def _island(capacity: int, number: int):
+    """One epoch of one island. Rows: shard, island, elite (whether it comes from the island before), at, length, bins (of each packing), n (bins of the best), least."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        shard, island = key[0].as_py(), key[1].as_py()
+        rows = rows.sort_by([("elite", "ascending"), ("at", "ascending")])
+        mine = rows.filter(pc.invert(rows.column("elite")))
+        lengths = mine.column("length").to_pylist()
+        rng = random.Random(f"{shard} {island} {number}")
+        packings = []
+        for part in (mine, rows.filter(rows.column("elite"))):
+            if part.num_rows:
+                each = np.array(part.column("bins").to_pylist(), np.int32).T
+                packings += [of_bins(bins.tolist(), lengths) for bins in each]
+        if number == 0:
+            packings = population(packings[0], lengths, capacity, rng)
+        least = least_bins(lengths, capacity)
+        packings = epoch(packings, lengths, capacity, rng, least)
+        bins = np.stack([_numbers(p, len(lengths)) for p in packings], axis=1)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(bins.ravel()), bins.shape[1]).cast(pa.list_(pa.int32()))
+        same = lambda x, kind: pa.array(np.full(len(lengths), x), kind)
+        return pa.table(
+            {"shard": same(shard, pa.int64()), "island": same(island, pa.int32()), "elite": same(False, pa.bool_()), "at": mine.column("at"), "length": mine.column("length"), "bins": lists,
+             "n": same(packings[0].score[0], pa.int32()), "square": same(packings[0].score[1], pa.int64()), "least": same(least, pa.int32())}
+        )
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. sequence_id -1 never leaves."""
+_STATE = "shard long, island int, elite boolean, at int, length long, bins array<int>, n int, square long, least int"
+
+
+def evolved(shards: DataFrame, capacity: int, folder: str, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """shard, at, bin: the best packing that a shard's islands find, for each piece of shards (shard, at, length, bin).
+
+    The islands are tasks; after each epoch their packings are written, and the elite of each goes to the next one through the shuffle."""
+    zero = F.lit(0).cast("int")
+    state = shards.select("shard", F.explode(F.array(*[F.lit(i).cast("int") for i in range(islands)])).alias("island"), F.lit(False).alias("elite"), "at", "length", F.array("bin").alias("bins"), zero.alias("n"), zero.cast("long").alias("square"), zero.alias("least"))
+    for k in range(epochs):
+        if k:
+            moved = state.withColumns({"island": ((F.col("island") + 1) % islands).cast("int"), "elite": F.lit(True), "bins": F.slice("bins", 1, 1)})
+            state = state.unionByName(moved)
+        state = written(state.groupBy("shard", "island").applyInArrow(_island(capacity, k), _STATE), f"epoch{k}", folder)
+        best = state.groupBy("shard").agg(F.min(F.struct("n", "square", "island")).alias("b"), F.first("least").alias("least"))
+        if not best.where("b.n > least").head(1):
+            break
+    best = best.select("shard", F.col("b.island").alias("island"))
+    return state.join(best, ["shard", "island"]).select("shard", "at", F.element_at("bins", 1).alias("bin"))
+
+
+def packed(pieces: DataFrame, capacity: int, folder: str, size: int = SHARD, **islands: int) -> DataFrame:
+    """pieces with shard, bin (in the shard) and filled (tokens of the bin) after plain best fit and, where that may be too many bins, evolution."""
+    shards = max(1, -(-pieces.count() // size))
+    # repeated rows are told apart by where they are written, so that they are dealt out too
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    shape = f"doc_id {kind}, {PIECES}, shard long, at int, bin int, open boolean"
+    plain = written(dealt.groupBy("shard").applyInArrow(_plain(capacity), shape), "plain", folder)
+    still = plain.where("open")
+    found = plain.where("NOT open").drop("open", "at")
+    if still.head(1):
+        better = evolved(still, capacity, folder, **islands)
+        found = found.unionByName(still.drop("bin", "open").join(better, ["shard", "at"]).drop("at").select(found.columns))
+    bins = found.groupBy("shard", "bin").agg(F.sum("length").alias("filled"))
+    return written(found.join(bins, ["shard", "bin"]), "packed", folder)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, size: int = SHARD, **islands: int) -> DataFrame:
+    """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     folder = shared_dir(pieces.sparkSession)
     pieces = written(pieces, "pieces", folder)
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, {PIECES}, sequence_id long, offset long"
+    names = pieces.columns
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-
-    def dealt(rows: DataFrame, size: int) -> DataFrame:
-        shards = max(1, -(-rows.count() // size))
-        return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-
-    one = dealt(pieces.where(F.col("length") < capacity), SHARD).groupBy("shard").applyInArrow(_packed(0, capacity, False), shape)
-    one = written(one, "one", folder)
-    rest = one.where("sequence_id < 0").drop("sequence_id", "offset")
-    two = dealt(rest, SHARD).groupBy("shard").applyInArrow(_packed(1 << 61, capacity, True), shape)
-    return full.unionByName(one.where("sequence_id >= 0")).unionByName(two)
+    one = packed(pieces.where(F.col("length") < capacity), capacity, f"{folder}/one", size, **islands)
+    rest = written(one.where(F.col("filled") < WELL_FILLED * capacity).select(names), "rest", folder)
+    two = packed(rest, capacity, f"{folder}/two", size, **islands)
+    before = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("doc_id", "piece", "ids_crc32"))
+    out = full
+    for first, rows in ((0, one.where(F.col("filled") >= WELL_FILLED * capacity)), (1 << 61, two)):
+        # a bin has no more rows than capacity, so its window is bounded
+        rows = rows.withColumn("k", before)
+        at = F.sum("length").over(Window.partitionBy("shard", "bin").orderBy("k")) - F.col("length")
+        number = F.lit(first) + F.shiftleft("shard", 20) + F.col("bin")
+        out = out.unionByName(rows.select(*names, number.alias("sequence_id"), at.alias("offset")))
+    return out
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
