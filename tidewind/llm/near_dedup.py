@@ -1,12 +1,15 @@
 """Near-duplicates with an LSH forest over MinHash signatures.
 
-A document is the set of its shingles. Each of ORDERS orders of the signature gives a sorted list of documents; documents that share a
-prefix of DEPTH values there make up a region, and the neighbours in a region are candidates, those with the longest common prefix
-first. In regions of more than REGION documents the prefix gets longer, and the least document of each longer prefix stands for it in
-the region above. Candidates whose sketches differ too much are left out, the others are confirmed on the full sets. Links that
-confirmed ones already imply are not confirmed one by one: two rounds take the best candidate of each document among its neighbours. The
-last leaves no pair out: it compares all documents that share the shortest prefix and are not in one component, however many they are,
-large regions in pairs of blocks. Sets that are equal are one node, so copies are never paired.
+A document is the set of its shingles. Each of ORDERS orders of the signature gives a sorted list of documents. Documents that share a
+prefix of DEPTHS[0] values there make up a region; in regions of more than REGION documents the prefix gets longer, and the least
+document of each longer prefix stands for it in the region above. Within a region, documents are sorted by the values after its prefix,
+so neighbours are those with the longest common prefix. Two rounds take each document's neighbours as candidates and confirm, on the
+full sets, the best of them, then the best that leads out of its component.
+
+The last round leaves no pair out: it looks at every region of the shortest prefix that still holds several components. Documents with a
+similar sketch in another component are found first; their full sets then go to the tasks of their regions (large regions are dealt into
+pairs of blocks), where all such pairs are confirmed and only links that join components leave. No pair is ever written; a pair that
+several orders share is compared in the first of them alone. Sets that are equal are one node, so copies are never paired.
 
 A pair of similarity 0.75 is lost if it shares a shortest prefix in no order or if its sketches differ too much (see missed()).
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +43,8 @@ VALUES, ORDERS, DEPTHS = 96, 32, (4, 8, 16)
 REGION = 2048
 #: The first rounds compare all documents of regions of up to SMALL, in larger ones the next AHEAD in the order.
 SMALL, AHEAD = 32, 8
-#: Documents of a block in the last round, and rows of it that are compared with others at once.
-BLOCK, CHUNK = 1024, 128
+#: Documents of a block in the last round, bytes of sets in one, and rows of it that are compared with others at once.
+BLOCK, BLOCK_BYTES, CHUNK = 1024, 16 << 20, 128
 #: Sketch estimate below which a pair is no candidate: 4 standard errors below THRESHOLD.
 MAYBE = 0.57
 BROADCAST_ROWS = 1_000_000
@@ -49,6 +53,8 @@ _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _ORDER = np.array([_RANDOM.permutation(VALUES)[: DEPTHS[-1] + 2] for _ in range(ORDERS)])
+#: Values that documents are sorted by after the prefixes of DEPTHS, and bits of each.
+_AFTER = ((4, 5, 6, 7), (8, 9), (16, 17))
 _NIBBLES = int("1" * VALUES, 16)
 
 
@@ -108,7 +114,7 @@ def _sign(size: int):
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, k0, k1, k2 (hash of the order and its first DEPTHS values), rest (the value after each of DEPTHS, for sorting): a row for each order."""
+    """doc, k0, k1, k2 (hash of the order and its first DEPTHS values), r0, r1 (the values that follow, 16 bits each): a row for each order."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
@@ -120,10 +126,15 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for d in range(DEPTHS[-1]):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, d])
                     if d + 1 in DEPTHS:
-                        keys.append(pa.array(key.view(np.int64)))
-                # 21 bits of each: those within a region's own prefix are constant there
-                rest = sum((values[:, d] >> np.uint64(11)) << np.uint64(21 * (2 - k)) for k, d in enumerate(DEPTHS))
-                yield pa.RecordBatch.from_arrays([pa.array(docs), *keys, pa.array(rest.view(np.int64))], names=["doc", "k0", "k1", "k2", "rest"])
+                        # the low bits tell the order
+                        keys.append(pa.array((key // np.uint64(ORDERS) * np.uint64(ORDERS) + np.uint64(t)).view(np.int64)))
+                rests = []
+                for after in (_AFTER[0], _AFTER[1] + _AFTER[2]):
+                    rest = np.zeros(len(sig), np.uint64)
+                    for d in after:
+                        rest = rest << np.uint64(16) | values[:, d] >> np.uint64(16)
+                    rests.append(pa.array(rest.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(docs), *keys, *rests], names=["doc", "k0", "k1", "k2", "r0", "r1"])
 
 
 def sketch(values: np.ndarray) -> bytes:
@@ -191,70 +202,130 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((VALUES - differ.astype(np.float64)) / VALUES - 1 / 16) / (15 / 16) >= MAYBE
 
 
-def _all_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """a, b: all pairs of each group (key, i, j) of sufficient estimate that are not in one component; between its blocks i and j if i < j.
-
-    Rows come sorted by group and, there, by component."""
-
-    def compare(doc: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: np.ndarray, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(doc), -1)
-        first = int((block == block[0]).sum()) if across else len(doc)  # components are in the order of blocks
-        for at in range(0, first, CHUNK):
-            end = min(first, at + CHUNK)
-            begin = max(first if across else 0, int(np.searchsorted(component, component[at], "right")))
-            for to in range(begin, len(doc), 8 * CHUNK):
-                part = slice(to, to + 8 * CHUNK)
-                u, v = np.nonzero(alike(x[at:end], x[part]) & (component[at:end, None] < component[None, part]))
-                yield doc[at:end][u], doc[part][v]
-
-    names = ["key", "i", "j", "block", "component", "doc"]
-    kept: pd.DataFrame | None = None
-
-    def full(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-        nonlocal kept
-        n = {c: pdf[c].to_numpy() for c in names}
-        sketches = pdf["sketch"].to_numpy()
-        new = np.flatnonzero((np.diff(n["key"]) != 0) | (np.diff(n["i"]) != 0) | (np.diff(n["j"]) != 0)) + 1
-        edges = np.concatenate(([0], new, [len(pdf)])) if last else np.concatenate(([0], new))
-        kept = None if last else pdf.iloc[edges[-1] :]
-        begin, end = edges[:-1], edges[1:]
-        several = n["component"][begin] != n["component"][end - 1]
-        for s, e in zip(begin[several].tolist(), end[several].tolist(), strict=True):
-            for a, b in compare(n["doc"][s:e], n["component"][s:e], n["block"][s:e], sketches[s:e], n["i"][s] < n["j"][s]):
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
+def _groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each group (by names), of rows that come sorted by them."""
+    kept: list[pd.DataFrame] = []
     for pdf in batches:
-        yield from full(pdf if kept is None else pd.concat([kept, pdf], ignore_index=True), False)
-    if kept is not None:
-        yield from full(kept.reset_index(drop=True), True)
+        if not len(pdf):
+            continue
+        new = np.zeros(len(pdf), bool)
+        for c in names:
+            v = pdf[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+            new[0] |= bool(kept) and kept[-1][c].iloc[-1] != v[0]
+        edges = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), len(pdf)]
+        if kept and new[0]:
+            yield pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+            kept = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if kept and a:
+                yield pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+                kept = []
+            kept.append(pdf.iloc[a:b])
+    if kept:
+        yield pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
+
+
+def _across(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a group (sorted by component) with similar sketches and in two components; between its blocks i and j if i < j."""
+    component, block = group["component"].to_numpy(), group["block"].to_numpy()
+    x = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
+    across = group["i"].iloc[0] < group["j"].iloc[0]
+    first = int((block == block[0]).sum()) if across else len(group)  # components are in the order of blocks
+    for at in range(0, first, CHUNK):
+        end = min(first, at + CHUNK)
+        begin = max(first if across else 0, int(np.searchsorted(component, component[at], "right")))
+        for to in range(begin, len(group), 8 * CHUNK):
+            part = slice(to, to + 8 * CHUNK)
+            u, v = np.nonzero(alike(x[at:end], x[part]) & (component[at:end, None] < component[None, part]))
+            if len(u):
+                yield u + at, v + to
+
+
+_GROUP = ["key", "i", "j"]
+
+
+def _wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, i, j, block, component, doc of those documents of a group that have a similar sketch in another component: a row each."""
+    for group in _groups(batches, _GROUP):
+        if group["component"].iloc[0] == group["component"].iloc[-1]:
+            continue
+        mark = np.zeros(len(group), bool)
+        for u, v in _across(group):
+            mark[u] = mark[v] = True
+        if mark.any():
+            yield group.loc[mark, [*_GROUP, "block", "component", "doc"]]
+
+
+def _joined(threshold: int):
+    """u, v: links between components of a group, as many as join them. Rows have signature and set too."""
+
+    def similar(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
+            return False
+        both = np.sort(np.concatenate((x, y)), kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= threshold * (len(x) + len(y) - common)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, _GROUP):
+            component, doc, sets = group["component"].tolist(), group["doc"].tolist(), group["set"].tolist()
+            signed = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(len(group), VALUES)
+            order = int(group["key"].iloc[0]) % ORDERS
+            root: dict[int, int] = {}
+            found = []
 
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while (up := root.get(c, c)) != c:
+                    root[c] = root.get(up, up)
+                    c = up
+                return c
+
+            for u, v in _across(group):
+                first = np.ones(len(u), bool)  # whether no earlier order has both in one region
+                for t in range(order):
+                    first &= ~(signed[u][:, _ORDER[t, : DEPTHS[0]]] == signed[v][:, _ORDER[t, : DEPTHS[0]]]).all(1)
+                for a, b in zip(u[first].tolist(), v[first].tolist(), strict=True):
+                    p, q = top(component[a]), top(component[b])
+                    if p != q and similar(sets[a], sets[b]):
+                        root[max(p, q)] = min(p, q)
+                        found.append((doc[a], doc[b]))
+            if found:
+                yield pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-def forest(nodes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The documents of each region of the forest over nodes (doc, signature, sketch); those alone in theirs are left out.
+    return run
 
-    The first table (key, rest, doc, whole, sketch) has the regions as they are split, and whether they are whole, that is, of the shortest
-    prefix; the second (key, doc, sketch) has those of the shortest prefix that are split."""
-    trees = nodes.select("doc", "signature").mapInArrow(_grow, "doc long, k0 long, k1 long, k2 long, rest long")
+
+def forest(nodes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents of each region of the forest over nodes (doc, n, signature, sketch); those alone in theirs are left out.
+
+    The first table (key, rest, doc, sketch, n) has the regions as they are split. The others have the regions of the shortest prefix: the second
+    those whose documents and sets one task can hold, the third those that must be dealt into blocks."""
+    trees = nodes.select("doc", "signature").mapInArrow(_grow, "doc long, k0 long, k1 long, k2 long, r0 long, r1 long")
     several = lambda rows, k: rows.groupBy(k).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     trees = written(trees, "trees", folder)
     shared = written(trees.join(written(several(trees, "k0").select("k0"), "several", folder), "k0"), "shared", folder)
-    rows, levels, split = shared.select("k0", "k1", "k2", "doc", "rest"), [], None
-    for upper, lower in (("k0", "k1"), ("k1", "k2")):
+    rows, levels, split = shared.select("k0", "k1", "k2", "doc", "r0", "r1"), [], None
+    for upper, lower, rest in (("k0", "k1", F.col("r0")), ("k1", "k2", F.shiftrightunsigned("r1", 32))):
         large = written(several(rows, upper).where(F.col("n") > REGION).select(upper, F.lit(True).alias("deep")), f"large_{upper}", folder)
         sized = rows.join(hinted(large, BROADCAST_ROWS), upper, "left")
-        levels.append(sized.where("deep IS NULL").select(F.col(upper).alias("key"), "doc", "rest", F.lit(split is None).alias("whole")))
+        levels.append(sized.where("deep IS NULL").select(F.col(upper).alias("key"), "doc", rest.alias("rest"), F.lit(split is None).alias("whole")))
         rows = sized.where("deep").drop("deep")
         split = rows if split is None else split
-        heads = rows.groupBy(upper, lower).agg(F.min(F.struct("doc", "rest")).alias("head"))
+        heads = rows.groupBy(upper, lower).agg(F.min(F.struct(F.col("doc"), rest.alias("rest"))).alias("head"))
         levels.append(heads.select(F.col(upper).alias("key"), "head.doc", "head.rest", F.lit(False).alias("whole")))
-    levels.append(rows.select(F.col("k2").alias("key"), "doc", "rest", F.lit(False).alias("whole")))
+    levels.append(rows.select(F.col("k2").alias("key"), "doc", F.col("r1").bitwiseAND(F.lit(0xFFFFFFFF)).alias("rest"), F.lit(False).alias("whole")))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    sketches = nodes.select("doc", "sketch")
-    split = written(split.select(F.col("k0").alias("key"), "doc").join(sketches, "doc"), "split", folder)
-    return written(out.join(sketches, "doc"), "forest", folder), split
+    sketches = nodes.select("doc", "sketch", "n")
+    out = written(out.join(sketches, "doc"), "forest", folder)
+    whole = out.where("whole").select("key", "doc", "sketch", "n")
+    heavy = written(whole.groupBy("key").agg(F.sum(8 * F.col("n")).alias("bytes")).where(F.col("bytes") > 2 * BLOCK_BYTES).select("key"), "heavy", folder)
+    heavy = hinted(heavy, BROADCAST_ROWS)
+    split = split.select(F.col("k0").alias("key"), "doc").join(sketches, "doc").unionByName(whole.join(heavy, "key", "left_semi"))
+    return out, whole.join(heavy, "key", "left_anti"), written(split, "split", folder)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -270,21 +341,29 @@ def candidates(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.groupBy("doc").agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def all_candidates(regions: DataFrame, split: DataFrame, labels: DataFrame | None, folder: str) -> DataFrame:
-    """a, b: all documents that share a shortest prefix, have similar sketches and are not in one component."""
+def last_links(whole: DataFrame, split: DataFrame, labels: DataFrame | None, nodes: DataFrame, docs: DataFrame, size: int, threshold: float, folder: str) -> DataFrame:
+    """u, v: links of all documents that share a shortest prefix and are in two components, as many as join the components of each region."""
     zero = F.lit(0).cast("long")
-    rows = _labelled(regions.where("whole"), labels).select("key", zero.alias("i"), zero.alias("j"), zero.alias("block"), "component", "doc", "sketch")
+    rows = _labelled(whole, labels).select("key", zero.alias("i"), zero.alias("j"), zero.alias("block"), "component", "doc", "sketch")
     if split.head(1):
         order = Window.partitionBy("key").orderBy("component", "doc")
-        parts = _labelled(split, labels).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("long"))
+        parts = _labelled(split, labels)
+        parts = parts.withColumn("block", F.floor(F.greatest((F.row_number().over(order) - 1) / BLOCK, F.sum(8 * F.col("n")).over(order) / BLOCK_BYTES)).cast("long"))
         parts = written(parts.select("key", "block", "component", "doc", "sketch"), "blocks", folder)
         ends = parts.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         low, high = ends.select("key", F.col("block").alias("i"), "lo"), ends.select("key", F.col("block").alias("j"), "hi")
         # blocks come in the order of components: if the first and the last are equal, all are
         both = low.join(high, "key").where("i <= j AND lo <> hi").select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         rows = rows.unionByName(both.join(parts, ["key", "block"]).select(rows.columns))
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "component", "doc")
-    return rows.mapInPandas(_all_pairs, "a long, b long").distinct()
+    sort = [*_GROUP, "component", "doc"]
+    wanted = rows.repartition(*_GROUP).sortWithinPartitions(*sort).mapInPandas(_wanted, "key long, i long, j long, block long, component long, doc long")
+    wanted = written(wanted, "wanted", folder)
+    if not wanted.head(1):
+        return docs.sparkSession.createDataFrame([], "u long, v long")
+    sets = written(sets_of(wanted.select("doc").distinct(), docs, size, folder), "last_sets", folder)
+    own = nodes.select("doc", "signature", "sketch").join(sets, "doc")
+    full = wanted.join(own, "doc").repartition(*_GROUP).sortWithinPartitions(*sort)
+    return written(full.mapInPandas(_joined(round(100 * threshold)), "u long, v long"), "last", folder)
 
 
 def _sets(size: int):
@@ -310,28 +389,36 @@ def _linked(threshold: int):
     return run
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, size: int, folder: str) -> DataFrame:
+    """doc, set: the full sets of the documents in ids (doc)."""
+    ids = written(ids, f"ids_{uuid.uuid4().hex[:6]}", folder)
+    rows = docs.join(hinted(ids, BROADCAST_ROWS), "doc", "left_semi").mapInArrow(_sets(size), "doc long, set binary")
+    return rows.groupBy("doc").agg(F.first("set").alias("set"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, folder: str) -> DataFrame:
     """u, v: the pairs (a, b) whose full sets are similar enough."""
-    ids = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids", folder)
-    sets = docs.join(hinted(ids, BROADCAST_ROWS), "doc", "left_semi").mapInArrow(_sets(size), "doc long, set binary").groupBy("doc").agg(F.first("set").alias("set"))
-    sets = written(sets, "sets", folder)
+    sets = written(sets_of(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), docs, size, folder), "sets", folder)
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInPandas(_linked(round(100 * threshold)), "u long, v long"), "links", folder)
 
 
-def links(regions: DataFrame, split: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """node, component of each node that confirmed candidates join to a smaller one.
+def links(regions: DataFrame, whole: DataFrame, split: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """node, component of each node that confirmed links join to a smaller one.
 
     Three rounds: the best candidate of each document; the best that leads out of its component; all pairs that still do."""
     spark = docs.sparkSession
     edges = labels = tried = None
-    for every in (False, False, True):
+    for last in (False, False, True):
         folder = shared_dir(spark)
-        pairs = all_candidates(regions, split, labels, folder) if every else candidates(regions, labels)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", folder)
-        tried = pairs if tried is None else tried.union(pairs)
-        if pairs.head(1):
+        if last:
+            new = last_links(whole, split, labels, nodes, docs, size, threshold, folder)
+        else:
+            pairs = candidates(regions, labels)
+            pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", folder)
+            tried = pairs
             new = confirmed(pairs, docs, size, threshold, folder)
+        if new.head(1):
             edges = new if edges is None else edges.union(new)
             labels = components(edges)
     return labels if labels is not None else spark.createDataFrame([], "node long, component long")
@@ -344,9 +431,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = written(rows.mapInArrow(_sign(size), "doc long, n long, digest binary, signature binary, sketch binary"), "signed", folder)
     known = signed.where("doc IS NOT NULL AND digest IS NOT NULL")
     # equal sets are one node, named by their smallest document
-    classes = written(known.groupBy("digest").agg(F.min("doc").alias("node"), F.first(F.struct("signature", "sketch")).alias("s")), "classes", folder)
-    nodes = classes.groupBy(F.col("node").alias("doc")).agg(F.first("s").alias("s")).select("doc", "s.signature", "s.sketch")
-    labels = links(*forest(nodes, folder), rows, size, threshold)
+    classes = written(known.groupBy("digest").agg(F.min("doc").alias("node"), F.first(F.struct("n", "signature", "sketch")).alias("s")), "classes", folder)
+    nodes = written(classes.groupBy(F.col("node").alias("doc")).agg(F.first("s").alias("s")).select("doc", "s.n", "s.signature", "s.sketch"), "nodes", folder)
+    labels = links(*forest(nodes, folder), nodes, rows, size, threshold)
     named = signed.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "node", "doc"))
     kept = F.coalesce(F.col("doc") == component, F.lit(True))
