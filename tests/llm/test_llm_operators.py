@@ -155,6 +155,10 @@ def test_substring_dedup_against_brute_force(spark, odd, none):
         expected[i] = (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup(docs_of(spark, rows)).collect()}
     assert got == expected and any(n for _, n, _ in expected.values())
+    # the same without a Bloom filter of the index
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup(docs_of(spark, rows), bloom_bytes=0).collect()} == expected
+    big = docs_of(spark, [(None, rows[9][1], "a"), (2**63 - 1, "short", "b")])
+    assert {r.doc_id: r.n_removed for r in substring_dedup(big).collect()} == {None: 0, 2**63 - 1: 0}
     rows = substring_dedup(odd).collect()
     assert len(rows) == len(ODD) and substring_dedup(none).count() == 0 and all(r.n_removed == 0 for r in rows) and {r.text for r in rows if r.doc_id == 4} == {"same text"}
 

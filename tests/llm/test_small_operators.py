@@ -13,6 +13,7 @@ from tidewind.llm import decontamination as dc
 from tidewind.llm import html_extraction as he
 from tidewind.llm import near_dedup as nd
 from tidewind.llm import packing, pii, tokens, toxicity
+from tidewind.llm import substring_dedup as sd
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -118,7 +119,23 @@ def test_word_hashes_and_windows():
     assert (got[0] == got[4][:3]).all() and len(set(got[4].tolist())) == 3
     h = np.arange(40, dtype=np.uint64)
     for k in (1, 2, 7, 40, 41):
-        assert len(tokens.rolling(h, k)) == max(0, 41 - k) and tokens.sliding_min(h, k).tolist() == list(range(max(0, 41 - k)))
+        assert len(tokens.rolling(h, k)) == max(0, 41 - k)
+    words = pa.array(["a" * 5000 + " " + "a" * 9000 + " " + "a" * 5000 + " ba ab"])
+    one, two = ([h for _, _, h, _ in tokens.pieces(words, kind=k)][0].tolist() for k in (0, 1))
+    assert len(set(one)) == len(set(two)) == 4 and not set(one) & set(two) and one[0] == one[2]
+
+
+def test_bloom_filter_has_all_it_was_given():
+    rng = np.random.default_rng(0)
+    h = rng.integers(-(2**63), 2**63 - 1, 30_000)
+    other = rng.integers(-(2**63), 2**63 - 1, 30_000)
+    filter_ = np.zeros((2, sd.SEGMENT_BITS // 8), np.uint8)
+    for k in range(2):
+        bits = np.zeros(sd.SEGMENT_BITS, np.uint8)
+        for at in sd._bits(h[h % 2 == k]):
+            bits[at] = 1
+        filter_[k] = np.packbits(bits)
+    assert sd.may_hold(filter_, h).all() and sd.may_hold(filter_, other).mean() < 0.02
 
 
 def test_sketch_estimates_similarity():

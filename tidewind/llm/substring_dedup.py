@@ -1,15 +1,18 @@
 """Substring deduplication: removal of every 50-word window that starts in a document with a smaller identifier too.
 
-The anchors are blocks of half a window. A block stands in the index if it is one of a document's reference blocks; which of a
-document's blocks those are is settled by the words themselves (the least hash among the blocks of a window, so reference blocks are
-a few dozen words apart and two copies of a window have the same one at the same place). Every rolling window is then probed by its
-least block: only windows whose block stands in two documents can repeat. Such hits are extended to whole windows, which are compared
-by 128-bit hashes, and runs of repeated windows make up the maximal repeats. Documents that are equal word for word are merged
-beforehand. Nothing is paired within a group: each block or window hash is aggregated to the smallest identifier it stands in.
+The reference blocks are the non-overlapping blocks of half a window that begin at words 0, 25, 50 and so on of each document; the index
+has each block's hash and the smallest identifier that it stands in. A window of 50 words holds one of them whole wherever it starts, so
+every rolling block of every document is probed against the index: a probe hits if its block is a reference block of a document with a
+smaller identifier. Hits are extended to the windows around them, which are compared by two independent 64-bit hashes of their words, and
+runs of repeated windows make up the maximal repeats. Documents that are equal word for word are merged beforehand. Nothing is paired
+within a group: each block or window hash is aggregated to the smallest identifier it stands in.
+
+Probes that can't hit are left out before they are shuffled by a Bloom filter of the index, as long as that stays below BLOOM_BYTES;
+beyond, all probes are shuffled. The result is the same.
 
 Defined results: null and empty texts have no words; documents of fewer words than a window keep all of them; rows that share an
-identifier count as one document, so they don't repeat each other; a null identifier is larger than all others; an empty table gives
-an empty result; other columns are ignored.
+identifier count as one document, so they don't repeat each other; a null identifier is larger than all others (2^63 - 1 ranks with it);
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,40 +27,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_rows, columns, hinted, shared_dir, table, written
-from .tokens import mix, pieces, rolling, sliding_min, whole
+from .tokens import SECOND_BASE, mix, pieces, rolling, whole
 
 WINDOW = 50
 #: Up to so many identifiers are sent to every executor to thin a scan; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_SECOND = np.uint64(0xA0761D6478BD642F)
-_SECOND_BASE = 0xE7037ED1A0B428DB
+#: A Bloom filter is made of segments of so many bits, each for SEGMENT_BLOCKS blocks on average, and has so many bytes at most.
+SEGMENT_BITS, SEGMENT_BLOCKS, BLOOM_BYTES = 1 << 19, 40_000, 64 << 20
 #: What a null identifier counts as.
 LAST = (1 << 63) - 1
 
 
-def probes(h: np.ndarray, size: int) -> np.ndarray:
-    """For each window of size words, the least hash of its blocks of half as many words."""
-    half = size // 2
-    return sliding_min(mix(rolling(h, half)), size - half + 1)
-
-
-def _blocks(size: int):
+def _index(size: int):
     """doc, rev, n_words, digest (of all words) and the reference blocks of each document."""
+    half = size // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, digests, blocks = [], [], []
             for first, end, h, edges in pieces(batch.column("text")):
-                least = probes(h, size)
-                ok = whole(edges, size, len(least))
-                change = ok.copy()  # one for each run of windows with the same block
-                change[1:] &= (least[1:] != least[:-1]) | ~ok[:-1]
+                rolled = mix(rolling(h, half)).view(np.int64)
                 for k in range(end - first):
                     a, b = int(edges[k]), int(edges[k + 1])
                     n_words.append(b - a)
                     digests.append(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest())
-                    m = max(a, b - size + 1)
-                    blocks.append(least[a:m][change[a:m]].view(np.int64))
+                    blocks.append(rolled[a : max(a, b - half + 1) : half] if b - a >= size else rolled[:0])
             edges = np.cumsum([0, *map(len, blocks)]).astype(np.int32)
             flat = np.concatenate(blocks) if blocks else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -67,20 +61,84 @@ def _blocks(size: int):
     return run
 
 
+def _bits(h: np.ndarray) -> list[np.ndarray]:
+    """The places of a block's bits in its segment."""
+    x = mix(h.view(np.uint64))
+    return [((x >> np.uint64(19 * k)) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for k in range(3)]
+
+
+def _segment(key: tuple, rows: pa.Table) -> pa.Table:
+    bits = np.zeros(SEGMENT_BITS, np.uint8)
+    h = rows.column("block").to_numpy()
+    for at in _bits(h):
+        bits[at] = 1
+    return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def bloom(index: DataFrame, most: int = BLOOM_BYTES) -> np.ndarray | None:
+    """A Bloom filter of index (block), a row of bytes for each segment; None if it would take more than so many bytes."""
+    segments = max(1, index.count() // SEGMENT_BLOCKS)
+    if segments * SEGMENT_BITS // 8 > most:
+        return None
+    dealt = index.select("block", F.pmod("block", F.lit(segments)).alias("segment"))
+    out = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+    for r in dealt.groupBy("segment").applyInArrow(_segment, "segment long, bits binary").toLocalIterator():
+        out[r.segment] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def may_hold(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the blocks h may be in the index."""
+    row = h % len(filter_)
+    ok = np.ones(len(h), bool)
+    for at in _bits(h):
+        ok &= (filter_[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def _probes(size: int, shared):
+    """doc, rev, block: the distinct rolling blocks of each document that may be in the index."""
+    half = size // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = shared.value if shared is not None else None
+        for batch in batches:
+            docs, revs = batch.column("doc"), batch.column("rev")
+            for first, end, h, edges in pieces(batch.column("text")):
+                rolled = mix(rolling(h, half)).view(np.int64)
+                ok = whole(edges, half, len(rolled)) & (may_hold(filter_, rolled) if filter_ is not None else True)
+                own, rows = [], []
+                for k in range(end - first):
+                    a, b = int(edges[k]), int(edges[k + 1])
+                    if b - a >= size:
+                        own.append(np.unique(rolled[a : b - half + 1][ok[a : b - half + 1]]))
+                        rows.append(np.full(len(own[-1]), first + k))
+                if own:
+                    rows = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([docs.take(rows), revs.take(rows), pa.array(np.concatenate(own))], names=["doc", "rev", "block"])
+
+    return run
+
+
 def _windows(size: int):
-    """doc, rev, h1, h2 of each distinct window whose least block is among the document's live ones, at (its first place), more (others, if any)."""
+    """doc, rev, h1, h2 of each distinct window that holds one of the document's live blocks, at (its first place), more (others, if any)."""
+    half = size // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, revs, live = batch.column("doc"), batch.column("rev"), batch.column("live")
-            for first, end, h, edges in pieces(batch.column("text")):
-                least = probes(h, size).view(np.int64)
-                one, two = mix(rolling(h, size)).view(np.int64), mix(rolling(mix(h ^ _SECOND), size, _SECOND_BASE)).view(np.int64)
+            for (first, end, h, edges), (_, _, g, _) in zip(pieces(batch.column("text")), pieces(batch.column("text"), kind=1), strict=True):
+                rolled = mix(rolling(h, half)).view(np.int64)
+                one, two = mix(rolling(h, size)).view(np.int64), mix(rolling(g, size, SECOND_BASE)).view(np.int64)
                 for k in range(end - first):
                     a, b = int(edges[k]), int(edges[k + 1]) - size + 1
                     if b <= a:
                         continue
-                    at = np.flatnonzero(np.isin(least[a:b], live[first + k].values.to_numpy()))
+                    hit = np.flatnonzero(np.isin(rolled[a : b + size - half], live[first + k].values.to_numpy()))
+                    edge = np.zeros(b - a + size + 1, np.int32)  # starts of the windows that hold a hit
+                    np.add.at(edge, np.maximum(hit - (size - half), 0), 1)
+                    np.add.at(edge, hit + 1, -1)
+                    at = np.flatnonzero(np.cumsum(edge)[: b - a] > 0)
                     if len(at):
                         x, y = one[a:b][at], two[a:b][at]
                         order = np.lexsort((at, y, x))  # a window that a document repeats is one row
@@ -94,22 +152,29 @@ def _windows(size: int):
     return run
 
 
-def repeats(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, size: int = WINDOW, bloom_bytes: int = BLOOM_BYTES) -> tuple[DataFrame, DataFrame]:
     """(doc, rev of documents whose words are all those of a smaller one), (doc, rev, starts of repeated windows).
 
-    docs: doc (long, not null), rev (int; tells rows of one identifier apart), text."""
-    folder = shared_dir(docs.sparkSession)
-    shape = "doc long, rev int, n_words long, digest binary, blocks array<long>"
-    blocks = written(docs.mapInArrow(_blocks(size), shape), "blocks", folder).where(F.col("n_words") >= size)
+    docs: doc (long, not null), rev (long; tells rows of one identifier apart), text."""
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    shape = "doc long, rev long, n_words long, digest binary, blocks array<long>"
+    blocks = written(docs.mapInArrow(_index(size), shape), "blocks", folder).where(F.col("n_words") >= size)
     owners = written(blocks.groupBy("digest").agg(F.min("doc").alias("owner")), "owners", folder)
     owned = blocks.join(owners, "digest")
     equal = written(owned.where("doc > owner").select("doc", "rev").distinct(), "equal", folder)
     # one document of each group of equal ones goes on
-    first = owned.where("doc = owner").select("doc", "rev", F.explode("blocks").alias("block"))
-    shared = first.groupBy("block").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("block")
-    live = written(first.join(shared, "block", "left_semi").groupBy("doc", "rev").agg(F.collect_set("block").alias("live")), "live", folder)
-    probed = docs.join(hinted(live.select("doc", "rev"), BROADCAST_ROWS), ["doc", "rev"], "left_semi").join(live, ["doc", "rev"])
-    windows = written(probed.select("doc", "rev", "text", "live").mapInArrow(_windows(size), "doc long, rev int, at int, more array<int>, h1 long, h2 long"), "windows", folder)
+    index = owned.where("doc = owner").select("doc", F.explode("blocks").alias("block")).groupBy("block").agg(F.min("doc").alias("low"))
+    index = written(index, "index", folder)
+    filter_ = bloom(index, bloom_bytes)
+    shared = spark.sparkContext.broadcast(filter_) if filter_ is not None else None
+    probed = docs.join(hinted(equal, BROADCAST_ROWS), ["doc", "rev"], "left_anti").select("doc", "rev", "text")
+    probes = written(probed.mapInArrow(_probes(size, shared), "doc long, rev long, block long"), "probes", folder)
+    if shared is not None:
+        shared.destroy()
+    hits = written(probes.join(index, "block").where("doc > low").select("block").distinct(), "hits", folder)
+    live = written(probes.join(hits, "block", "left_semi").groupBy("doc", "rev").agg(F.collect_set("block").alias("live")), "live", folder)
+    found = docs.join(hinted(live.select("doc", "rev"), BROADCAST_ROWS), ["doc", "rev"], "left_semi").join(live, ["doc", "rev"])
+    windows = written(found.select("doc", "rev", "text", "live").mapInArrow(_windows(size), "doc long, rev long, at int, more array<int>, h1 long, h2 long"), "windows", folder)
     least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     # as a table of its own, so that the join's other side can be split where a window is very common
     least = written(least.select("h1", "h2", "low"), "least", folder)
@@ -128,11 +193,11 @@ def removed(n: int, starts, size: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, bloom_bytes: int = BLOOM_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, removed (ranges of words, end exclusive), text (kept words joined by one space)."""
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), F.hash("text").alias("rev"), "text")
-    equal, starts = repeats(rows, size)
+    rows = rows.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "rev": F.xxhash64("text")})
+    equal, starts = repeats(rows.select("doc", "rev", "text"), size, bloom_bytes)
     gone = equal.withColumn("all", F.lit(True)).join(starts, ["doc", "rev"], "full_outer")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,10 +218,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_removed.append(n - len(keep))
                 ranges.append([{"start": a, "end": b} for a, b in spans])
                 kept.append(b" ".join(keep).decode("utf-8", "surrogatepass"))
-            yield pd.DataFrame({"doc": pdf["doc"], "n_words": n_words, "n_removed": n_removed, "removed": ranges, "text": kept})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n_words, "n_removed": n_removed, "removed": ranges, "text": kept})
 
-    out = by_rows(rows.join(gone, ["doc", "rev"], "left").drop("rev"), run, "n_words long, n_removed long, removed array<struct<start: int, end: int>>, text string", "doc")
-    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).cast(docs.schema[id_col].dataType).alias("doc_id"), "n_words", "n_removed", "removed", "text")
+    joined = rows.join(gone, ["doc", "rev"], "left").select("doc_id", "text", "starts", "all")
+    return by_rows(joined, run, "n_words long, n_removed long, removed array<struct<start: int, end: int>>, text string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

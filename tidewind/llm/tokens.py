@@ -25,23 +25,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
+_BASE, SECOND_BASE = 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB
+#: What a byte counts as, and the base of its place's power: two hashes of a word that don't depend on each other.
+_VALUES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)]
+_BASES = (_BASE, SECOND_BASE)
+#: Of a word that is longer, the powers of its places begin anew, each time with another factor.
+_LONGEST = 4096
+_POWERS = [np.multiply.accumulate(np.array([1] + [b] * (_LONGEST - 1), np.uint64)) for b in _BASES]
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.empty(max(n, 4096), np.uint64)
-        out[0], out[1:] = 1, _BASE
-        _POWERS = np.multiply.accumulate(out)
-    return _POWERS
+def _weights(offset: np.ndarray, kind: int) -> np.ndarray:
+    """The weight of each place of a word."""
+    if not len(offset) or offset.max() < _LONGEST:
+        return _POWERS[kind][offset]
+    return _POWERS[kind][offset % _LONGEST] * mix((offset // _LONGEST + 1).astype(np.uint64))
 
 
-_POWERS = np.empty(0, np.uint64)
-
-
-def _hash(buf: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash(buf: np.ndarray, starts: np.ndarray, lower: bool, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of buf, and where it begins; starts: bytes at which documents begin."""
     inside = ~_SPACE[buf]
     first = inside.copy()
@@ -55,11 +55,11 @@ def _hash(buf: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarray,
     lengths = np.diff(np.append(begin, len(at)))
     offset = np.arange(len(at)) - np.repeat(begin, lengths)
     data = _LOWER[buf[at]] if lower else buf[at]
-    sums = np.add.reduceat(_VALUE[data] * _powers(int(lengths.max()))[offset], begin)
+    sums = np.add.reduceat(_VALUES[kind][data] * _weights(offset, kind), begin)
     return mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at[begin]
 
 
-def _hash_long(buf: np.ndarray, lower: bool) -> np.ndarray:
+def _hash_long(buf: np.ndarray, lower: bool, kind: int = 0) -> np.ndarray:
     """Hashes of one long document, part by part."""
     out, a = [], 0
     while a < len(buf):
@@ -67,13 +67,15 @@ def _hash_long(buf: np.ndarray, lower: bool) -> np.ndarray:
         while b < len(buf) and not (spaces := np.flatnonzero(_SPACE[buf[b : b + 4096]])).size:
             b = min(len(buf), b + 4096)
         b = b + int(spaces[0]) if b < len(buf) else b
-        out.append(_hash(buf[a:b], np.zeros(1, np.int64), lower)[0])
+        out.append(_hash(buf[a:b], np.zeros(1, np.int64), lower, kind)[0])
         a = b
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def pieces(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, hashes, edges) for groups of rows: row first + k has the words hashes[edges[k] : edges[k + 1]]. Nulls have none."""
+def pieces(texts: pa.Array, lower: bool = False, kind: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, hashes, edges) for groups of rows: row first + k has the words hashes[edges[k] : edges[k + 1]]. Nulls have none.
+
+    kind: 0 or 1, which of two independent hashes."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = texts.fill_null("").cast(pa.large_string())
     n = len(texts)
@@ -87,11 +89,11 @@ def pieces(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.
         end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + PIECE, "right")) - 1)
         buf = data[offsets[k] : offsets[end]]
         if end == k + 1 and len(buf) > PIECE:
-            hashes = _hash_long(buf, lower)
+            hashes = _hash_long(buf, lower, kind)
             edges = np.array([0, len(hashes)])
         else:
             begins = (offsets[k:end] - offsets[k]).astype(np.int64)
-            hashes, at = _hash(buf, begins, lower)
+            hashes, at = _hash(buf, begins, lower, kind)
             edges = np.append(np.searchsorted(at, begins, "left"), len(hashes))
         yield k, end, hashes, edges
         k = end
@@ -118,17 +120,6 @@ def rolling(h: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     return total[: len(h) - size + 1]
 
 
-def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
-    """result[i] = min(x[i : i + size])."""
-    if len(x) < size:
-        return np.empty(0, x.dtype)
-    width, m = 1, x
-    while width * 2 <= size:
-        m = np.minimum(m[:-width], m[width:])
-        width *= 2
-    return np.minimum(m[: len(x) - size + 1], m[size - width : size - width + len(x) - size + 1])
-
-
 def whole(edges: np.ndarray, size: int, n: int) -> np.ndarray:
     """Of n window starts, which windows of size words stay in one document."""
     ok = np.ones(n, bool)
