@@ -34,8 +34,10 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of a shard, islands of a shard, packings of an island, generations of an epoch, and epochs.
 SHARD, ISLANDS, PACKINGS, GENERATIONS, EPOCHS = 8192, 3, 4, 8, 3
+#: In the first round, whose poor bins are opened anyway, a shard evolves if its plain packing has so much more than the bound. In the last one, any excess counts.
+SLACK = 0.002
 #: Bins that are less full are opened and packed again.
-WELL_FILLED = 0.99
+WELL_FILLED = 0.998
 #: Lengths among which a bin's exact fill is looked for.
 TRIED = 48
 #: Bytes of words' ids that a task remembers.
@@ -271,13 +273,13 @@ def _numbers(found: Packing, n: int) -> np.ndarray:
     return out
 
 
-def _plain(capacity: int):
-    """The shard with at (number of a piece in it), bin (of the plain best fit) and whether that may be too many bins."""
+def _plain(capacity: int, slack: float):
+    """The shard with at (number of a piece in it), bin (of the plain best fit) and whether that may be too many bins, by more than a share of slack."""
 
     def run(key: tuple, shard: pa.Table) -> pa.Table:
         lengths = shard.column("length").to_pylist()
         found = best_fit_decreasing(lengths, capacity)
-        n, open_ = shard.num_rows, len(found.bins) > least_bins(lengths, capacity)
+        n, open_ = shard.num_rows, len(found.bins) > (1 + slack) * least_bins(lengths, capacity)
         for name, values in (("at", np.arange(n, dtype=np.int32)), ("bin", _numbers(found, n)), ("open", np.full(n, open_))):
             shard = shard.append_column(name, pa.array(values))
         return shard
@@ -335,14 +337,14 @@ def evolved(shards: DataFrame, capacity: int, folder: str, islands: int = ISLAND
     return state.join(best, ["shard", "island"]).select("shard", "at", F.element_at("bins", 1).alias("bin"))
 
 
-def packed(pieces: DataFrame, capacity: int, folder: str, size: int = SHARD, **islands: int) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int, folder: str, size: int = SHARD, slack: float = 0.0, **islands: int) -> DataFrame:
     """pieces with shard, bin (in the shard) and filled (tokens of the bin) after plain best fit and, where that may be too many bins, evolution."""
     shards = max(1, -(-pieces.count() // size))
     # repeated rows are told apart by where they are written, so that they are dealt out too
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     kind = pieces.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, {PIECES}, shard long, at int, bin int, open boolean"
-    plain = written(dealt.groupBy("shard").applyInArrow(_plain(capacity), shape), "plain", folder)
+    plain = written(dealt.groupBy("shard").applyInArrow(_plain(capacity, slack), shape), "plain", folder)
     still = plain.where("open")
     found = plain.where("NOT open").drop("open", "at")
     if still.head(1):
@@ -358,7 +360,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, size: int = SHARD, **islan
     pieces = written(pieces, "pieces", folder)
     names = pieces.columns
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    one = packed(pieces.where(F.col("length") < capacity), capacity, f"{folder}/one", size, **islands)
+    one = packed(pieces.where(F.col("length") < capacity), capacity, f"{folder}/one", size, SLACK, **islands)
     rest = written(one.where(F.col("filled") < WELL_FILLED * capacity).select(names), "rest", folder)
     two = packed(rest, capacity, f"{folder}/two", size, **islands)
     before = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("doc_id", "piece", "ids_crc32"))
