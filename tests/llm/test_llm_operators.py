@@ -12,7 +12,7 @@ from tidewind.llm import packing, registry
 from tidewind.llm.components import components
 from tidewind.llm.decontamination import decontaminate
 from tidewind.llm.exact_dedup import exact_dedup
-from tidewind.llm.html_extraction import extract, template
+from tidewind.llm.html_extraction import extract, parsed, read, template
 from tidewind.llm.line_dedup import line_dedup
 from tidewind.llm.near_dedup import near_dedup
 from tidewind.llm.packing import pack_documents, sequences, tokenized
@@ -258,13 +258,14 @@ def test_damaged_payloads_stop_the_read(spark, tmp_path):
         read_records(spark, str(tmp_path / "a")).collect()
 
 
-def test_page_text(spark, sf):
+def test_page_text(spark, sf, tmp_path):
     page = lambda k: f"<html><body><nav>Menu here</nav><div class=x><p>Say no to spam</p></div><article><p>Join us today</p><p>Story {k} tells of {k * 7}.</p></article></body></html>"
     rows = [(k, f"https://Host.org:80/{k}", page(k), 1) for k in range(8)] + [(90, None, None, 1), (91, "http://x/", "", 1), (92, "http://host.org/", page(3), 1), (None, "http://y", "<p>a</p>", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
     got = {r.page_id: r.text for r in extract(pages).collect()}
     assert got[3] == got[92] == "Story 3 tells of 21." and got[90] == got[91] == "" and got[None] == "a" and len(got) == len(rows)
-    kinds = template(spark.createDataFrame([("h", r[2]) for r in rows[:8]], "host string, html string"))
+    assert {r.page_id: r.text for r in extract(pages, broadcast_tokens=0).collect()} == got
+    kinds = template(parsed(pages.where("page_id < 9"), str(tmp_path)))
     assert kinds.where("text").count() == 3 and extract(pages.limit(0)).count() == 0
     # on the test pages, against their article elements
     import html as entities
@@ -277,6 +278,61 @@ def test_page_text(spark, sf):
         assert texts[r.page_id] == "\n\n".join(x for x in parts if x)
 
 
+def brute_template(pages):
+    """The constant texts of a host's pages, straight from the definitions; pages: those that differ."""
+    own = [{t.token: t for t in read(p).tokens} for p in pages]
+    vector = {t: tuple(o[t].n if t in o else 0 for o in own) for t in set().union(*own)}
+    pages_of = {t: sum(x > 0 for x in v) for t, v in vector.items()}
+    some = {t: next(o[t] for o in own if t in o) for t in vector}
+    classes = {}
+    for t, v in vector.items():
+        if pages_of[t] >= 4:
+            classes.setdefault(v, set()).add(t)
+    classes = {v: c for v, c in classes.items() if len(c) >= 2}
+    of = {t: v for v, c in classes.items() for t in c}
+    parents, good = {}, set()
+    for v, c in classes.items():
+        orders, around, inside = set(), set(), True
+        for o in own:
+            here = sorted((o[t] for t in c if t in o), key=lambda t: t.first)
+            if here:
+                orders.add(tuple(t.token for t in here))
+                up = here[0].above
+                while up in of and of[up] == v:
+                    up = o[up].above
+                around.add(of.get(up))
+                low, high = here[0].first, max(t.last for t in here)
+                inside &= not any(low < x < high for t in classes.get(of.get(up), ()) if t in o for x in (o[t].first, o[t].last))
+        parents[v] = around
+        if len(orders) == 1 and len(around) == 1 and inside:
+            good.add(v)
+    valid = {v for v in good if parents[v] == {None} or parents[v] <= good}
+    return {t for t, v in of.items() if v in valid and some[t].text and pages_of[t] >= 0.5 * pages_of.get(some[t].above, 0)}
+
+
+def test_template_against_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+
+    def page(k, layout):
+        notice = "<div class=hint><p>Read this first.</p><p>It matters.</p></div>"
+        body = "".join(f"<p>Story {k} part {j} {rng.random()}</p>" for j in range(rng.randint(1, 4)))
+        rare = "<p>Seen on some pages.</p>" if k % 3 == 0 else ""
+        swapped = "<i>x</i><section><p>One way</p></section><section><p>or another</p></section>" if k % 2 else "<section><p>or another</p></section><section><p>One way</p></section>"
+        extra = f"<ul>{''.join(f'<li>Item {j}</li>' for j in range(k % 3))}</ul>"
+        return f"<html><body><div class=top>Welcome</div><article class=l{layout}>{notice if layout else ''}<h1>Head {k}</h1>{body}{rare}{swapped if k % 5 else ''}{extra}</article><div>Bye</div></body></html>"
+
+    pages = {host: [page(k, k % 4 == 0) for k in range(n)] for host, n in (("a", 24), ("b", 7), ("c", 3))}
+    table = spark.createDataFrame([(k, f"http://{h}/{k}", p) for h, own in pages.items() for k, p in enumerate([*own, own[0]])], "page_id long, url string, html string")
+    got = {}
+    for r in template(parsed(table, str(tmp_path))).where("constant").collect():
+        got.setdefault(r.host, set()).add(r.token)
+    assert got == {h: t for h, own in pages.items() if (t := brute_template(own))}
+    texts = {(r.url, r.text) for r in extract(table).collect()}
+    # the notice of a layout on a quarter of the pages is template, the passage that a third of the pages share is content
+    assert not any("It matters" in t for u, t in texts if u.startswith("http://a/")) and sum("Seen on some" in t for u, t in texts if u.startswith("http://a/")) == 9
+    assert extract(table).exceptAll(extract(table, broadcast_tokens=0)).count() == 0
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

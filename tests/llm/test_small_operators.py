@@ -241,6 +241,19 @@ def test_main_text_without_an_article_element():
     assert he.main_text("<div><a href=x>All links</a></div>") == "All links"
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    ["<div class='layout no-sidebar'>{}</div>", "<div class='content-with-sidebar'>{}</div>", "<div class='post comments-open'>{}</div>", "<div class='has-banner site'>{}</div>", "<div id=main class='main side'>{}</div>",
+     "<div class='search-results-off page'>{}</div>", "<form id=aspnetForm>{}</form>", "<div class=sidebar>{}</div>"],
+)
+def test_what_holds_the_article_is_kept(wrap):
+    article = "<h2 class='share price'>Prices</h2><p class=notice>Take notice.</p><div class='side by side'><p>Text</p></div>"
+    out = "Prices\n\nTake notice.\n\nText"
+    tail = "<div class=cookie-notice>Cookies</div><section class=comments><article class=comment><p>First!</p></article></section>"
+    assert he.main_text(wrap.format(f"<article>{article}<p class=share-links><a href=x>Share this</a></p><div class='ad-box'>Buy</div></article>") + tail) == out
+    assert he.main_text(wrap.format(f"<div>{article}</div>") + "<footer>x</footer>").endswith("Text")
+
+
 @pytest.mark.parametrize("text", ["<p>" * 50_000, "<div>" * 50_000 + "x", '<a href="' * 50_000, "<!--" * 50_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "</b>" * 50_000, "<script>" * 20_000])
 def test_broken_pages_end(text):
     he.main_text(text)
