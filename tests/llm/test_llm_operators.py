@@ -11,7 +11,7 @@ import corpus_pipeline
 from tidewind.llm import packing, registry
 from tidewind.llm.components import components
 from tidewind.llm.decontamination import decontaminate
-from tidewind.llm.exact_dedup import exact_dedup
+from tidewind.llm.exact_dedup import exact_dedup, false_hits, keyed, ledger, located
 from tidewind.llm.html_extraction import extract, parsed, read, template
 from tidewind.llm.line_dedup import line_dedup
 from tidewind.llm.near_dedup import near_dedup
@@ -57,14 +57,55 @@ def test_exact_dedup_on_odd_rows(spark, odd, none):
     assert by[2**60 + 1][0].kept and by[2**60 + 1][0].text_sha256 == hashlib.sha256(("é" * 5).encode()).hexdigest()
 
 
+def test_exact_dedup_follows_locators(spark, odd, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    own, copied = located(docs, str(tmp_path)), located(odd.select("doc_id", "text"), str(tmp_path))
+    assert own.where("file LIKE '%documents.parquet%'").select("file", "row").distinct().count() == docs.count() and copied.count() == len(ODD)
+    rows = ledger(own)
+    # a digest that two different texts share is found by following their locators
+    one = rows.limit(1).select("digest").first().digest
+    wrong = rows.withColumn("digest", F.when(F.col("row") < 3, F.lit(one)).otherwise(F.col("digest")))
+    hits = keyed(wrong).where("n > 1")
+    assert [r.digest for r in false_hits(own, wrong, hits, f"{tmp_path}/x").collect()] == [one]
+    assert false_hits(own, rows, keyed(rows).where("n > 1"), f"{tmp_path}/y").count() == 0
+
+
 def test_line_dedup_on_odd_rows(spark, odd, none):
     rows = {r.doc_id: r for r in line_dedup(odd).collect()}
     assert line_dedup(odd).columns == [*odd.columns, "n_lines", "n_removed"] and line_dedup(none).count() == 0
     assert rows[1].text is None and rows[1].n_lines == 0 and rows[2].n_lines == 1 and rows[4].text == "same text"
     assert line_dedup(odd.withColumn("n_lines", F.lit("x"))).select("n_lines", "n_removed").count() == len(ODD)
-    spread = docs_of(spark, [(k, f"own {k}\nboiler plate\nmore {k}", f"s{k % 12}") for k in range(24)] + [(100 + k, "copied\ntext here\nend", f"s{k % 12}") for k in range(24)])
-    out = {r.doc_id: r.text for r in line_dedup(spread).collect()}
-    assert out[3] == "own 3\nmore 3" and out[105] == "copied\ntext here\nend"
+    block = "Follow us\nAll rights reserved\n  Printed on paper\nVisit again\nThe end"
+    rows = [(k, f"own {k}\n{block}\n" + "\n".join(f"more {k} {j}" for j in range(6)), f"s{k % 12}") for k in range(24)]
+    rows += [(100 + k, "copied\ntext here\nend", f"s{k % 12}") for k in range(24)] + [(200 + k, f"copied\ntext here\nend {k}\nFollow us", f"s{k % 12}") for k in range(24)]
+    rows += [(300 + k, f"nine sites\nrow {k}", f"s{k % 9}") for k in range(30)]
+    spread = docs_of(spark, rows)
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup(spread).collect()}
+    # all lines of a block go, those of documents that are copied to many sites too
+    assert out[3] == ("own 3\n" + "\n".join(f"more 3 {j}" for j in range(6)), 12, 5) and out[105] == ("", 3, 3) and out[205] == ("end 5", 4, 3) and out[305][2] == 0
+    kept = line_dedup(spread, copied_share=0.5, counts=False)
+    assert kept.columns == spread.columns
+    out = {r.doc_id: r.text for r in kept.collect()}
+    assert out[3].startswith("own 3\nmore 3 0") and out[105] == "copied\ntext here\nend" and out[205] == "copied\ntext here\nend 5"
+    assert line_dedup(spread).exceptAll(line_dedup(spread, filter_lines=0)).count() == 0
+
+
+CLASHING = ["gone", "id", "lines", "left", "__gone", "__id", "__found", "_found", "found", "N_Lines", "n_words", "n_hit", "contaminated", "n_removed", "items", "a.b", "back`tick", "h", "g", "wide", "hit", "row"]
+
+
+def test_columns_of_any_name_pass_through(spark, sf):
+    docs = docs_of(spark, [(k, f"w{k} " * 30 + "\nshared line", f"s{k}") for k in range(20)]).withColumns({c: F.lit(f"<{c}>") for c in CLASHING})
+    want = {c: f"<{c}>" for c in CLASHING}
+    own = lambda df, but=(): {k: v for k, v in df.first().asDict().items() if k in want and k.lower() not in but}
+    assert own(line_dedup(docs), ("n_lines", "n_removed")) == {k: v for k, v in want.items() if k not in ("N_Lines", "n_removed")}
+    assert own(line_dedup(docs, filter_lines=0), ("n_lines", "n_removed")) == {k: v for k, v in want.items() if k not in ("N_Lines", "n_removed")}
+    replaced = ("n_words", "n_hit", "contaminated", "items", "spans", "longest", "clean_text")
+    bench = spark.createDataFrame([(1, "w3 w3"), (2, "x y")], "item_id long, text string")
+    assert own(decontaminate(docs, bench), replaced) == {k: v for k, v in want.items() if k not in replaced}
+    assert without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int")).columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and own(out) == want, name
 
 
 def test_near_dedup_against_brute_force(spark, odd, none):
@@ -168,6 +209,12 @@ def test_decontamination_on_odd_rows(spark, odd, none):
     rows = decontaminate(odd, bench).collect()
     assert [r.n_hit for r in rows if r.doc_id == 4] == [2, 2] and all(r.contaminated and r["items"] == ["1"] and r.clean_text == "same text" for r in rows if r.doc_id in (4, 5) and r.text == "same text")
     assert all(r.n_words == 0 and not r.contaminated for r in rows if r.text is None) and len(rows) == len(ODD)
+    few = decontaminate(odd, bench, block_words=1)  # an automaton for each item, more than one pass takes
+    more = spark.createDataFrame([(k, f"w{k} x") for k in range(12)] + [(50, "same text"), (51, "text same"), (52, "long word")], "item_id long, text string")
+    assert few.select("doc_id", "n_hit", "items").exceptAll(decontaminate(odd, bench).select("doc_id", "n_hit", "items")).count() == 0
+    shown = ["doc_id", "text", "n_words", "n_hit", "items", "longest", "contaminated", "clean_text"]
+    many = decontaminate(odd, more, block_words=1)
+    assert many.count() == len(ODD) and many.select(shown).exceptAll(decontaminate(odd, more).select(shown)).count() == 0
     assert decontaminate(none, bench).count() == 0 and decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
@@ -234,6 +281,10 @@ def test_warc_round_trip(spark, tmp_path):
     got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in read_records(spark, str(tmp_path / "one")).collect()}
     assert got == {(1, "revisit", 2, 8), (2, "response", None, 8), (3, "revisit", 4, 0), (4, "response", None, 0), (None, "response", None, 7)}
     back = reconstruct(spark, str(tmp_path / "one")).collect()
+    assert {(r.page_id, r.url) for r in back} == {(r.page_id, r.url) for r in read_records(spark, str(tmp_path / "one")).collect()} == {(r[0], r[1]) for r in rows}
+    texts = spark.createDataFrame([("a>b", "u", "x"), ("ä 1", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    write_archive(texts, str(tmp_path / "text"))
+    assert {(r.page_id, r.refers_to) for r in read_records(spark, str(tmp_path / "text")).collect()} == {("a>b", "ä 1"), ("ä 1", None), (None, None)}
     assert sorted(bytes(r.payload).decode() for r in back) == sorted(r[2] or "" for r in rows) and all(bytes(r.record).startswith(b"WARC/1.1\r\n") and bytes(r.record).endswith(b"\r\n\r\n") for r in back)
     assert spark.read.parquet(str(tmp_path / "one" / "payloads")).count() == 3
     write_archive(pages, str(tmp_path / "two"), min_bytes=8)
@@ -258,6 +309,15 @@ def test_damaged_payloads_stop_the_read(spark, tmp_path):
         read_records(spark, str(tmp_path / "a")).collect()
 
 
+def test_wrong_headers_stop_the_read(spark, tmp_path):
+    write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), str(tmp_path / "a"))
+    records = spark.read.parquet(str(tmp_path / "a" / "records"))
+    wrong = records.withColumn("header", F.regexp_replace("header", "sha1:..", "sha1:22")).toPandas()
+    spark.createDataFrame(wrong, records.schema).write.mode("overwrite").parquet(str(tmp_path / "a" / "records"))
+    with pytest.raises(Exception, match="wrong digest"):
+        read_records(spark, str(tmp_path / "a")).collect()
+
+
 def test_page_text(spark, sf, tmp_path):
     page = lambda k: f"<html><body><nav>Menu here</nav><div class=x><p>Say no to spam</p></div><article><p>Join us today</p><p>Story {k} tells of {k * 7}.</p></article></body></html>"
     rows = [(k, f"https://Host.org:80/{k}", page(k), 1) for k in range(8)] + [(90, None, None, 1), (91, "http://x/", "", 1), (92, "http://host.org/", page(3), 1), (None, "http://y", "<p>a</p>", 1)]

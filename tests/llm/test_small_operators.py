@@ -276,6 +276,41 @@ def test_disguised_words_are_restored():
     assert model.score("the nice house m0r0n and s t u p i d") > 0.5 > model.score("a nice house") and 0 <= model.score(None) == model.score("") < 0.5
 
 
+def test_decoding_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    cost = rng.uniform(0.1, 6, [toxicity.SYMBOLS] * 3).astype(np.float32)
+    channel = toxicity.Channel(cost)
+
+    def total(path, costs):
+        a = b = 0
+        out = sum(costs)
+        for c in path:
+            s = toxicity._symbol(ord(c))
+            out += float(cost[a, b, s])
+            a, b = b, s
+        return out + float(cost[a, b, 0])
+
+    for word in ("m0r0n", "a$$", "iddiot", "1d!ot", "h3ll0", "sh!7", "f-o-o", "6oo"):
+        readings = [[]]
+        for here in toxicity.lattice(word):
+            readings = [[*r, x] for r in readings for x in here]
+        best = min(readings, key=lambda r: total([c for c, _ in r if c], [n for _, n in r]))
+        least = total([c for c, _ in best if c], [n for _, n in best])
+        got = channel.decode(word)
+        among = [r for r in readings if "".join(c for c, _ in r) == got]
+        assert min(total([c for c, _ in r if c], [n for _, n in r]) for r in among) == pytest.approx(least, abs=1e-4)
+
+
+def test_what_is_remembered_is_bounded():
+    from tidewind.llm.common import Remembered
+
+    known = Remembered(10_000, 10)
+    for k in range(5_000):
+        assert known.put(f"w{k}", (f"w{k}",)) == (f"w{k}",)
+        known.put("x" * 100 + str(k), b"y" * 1000)
+    assert 0 < len(known) < 60 and all(len(k) <= 10 for k in known)
+
+
 def test_fit_without_both_labels():
     assert toxicity.fit([]) [0] == {} and toxicity.fit([(0, ["a"])])[0] == {}
     assert zlib.crc32(b"5") % 5 in range(5)
