@@ -4,8 +4,9 @@ Payload bytes are stored once, under a strong digest (SHA-256, with the SHA-1 of
 record is stored separately; the original records come back by joining both. Reading verifies that each payload has the digest and the
 length it is stored under. Rows are cut by nothing: a group of equal payloads of any size moves only its headers.
 
-Defined results: a null payload is empty; a null url gives an empty target URI; a null identifier is written as an empty one and read
-as null; rows that repeat an identifier and payload are records each, all of them response if they are the ones referred to; an empty
+Defined results: a null payload is empty; a null url gives an empty target URI; line ends in a url can't stand in a header, so they are
+left out there, while the record's table keeps the url as it was; identifiers of any type are percent-encoded in headers; a null
+identifier is written as an empty one and read as null; rows that repeat an identifier and payload are records each, all of them response if they are the ones referred to; an empty
 table gives an archive without records; other columns are ignored.
 """
 
@@ -35,13 +36,13 @@ def base32(hexed: Column) -> Column:
 def header(page_id: Column, url: Column, n_bytes: Column, digest: Column, refers_to: Column) -> Column:
     """The record's header block, to its empty line. A revisit has no block."""
     text = lambda *x: F.concat(*[c if isinstance(c, Column) else F.lit(c) for c in x])
-    ident = F.coalesce(page_id.cast("string"), F.lit(""))
+    ident = F.coalesce(F.url_encode(page_id.cast("string")), F.lit(""))
     revisit = refers_to.isNotNull()
     http = text("HTTP/1.1 200 OK", END, "Content-Type: text/html; charset=utf-8", END, "Content-Length: ", n_bytes, END, END)
     return text(
         "WARC/1.1", END, "WARC-Type: ", F.when(revisit, "revisit").otherwise("response"), END, "WARC-Record-ID: <urn:page:", ident, ">", END,
         "WARC-Target-URI: ", F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]", ""), END, "WARC-Payload-Digest: sha1:", digest, END,
-        F.when(revisit, text("WARC-Refers-To: <urn:page:", F.coalesce(refers_to.cast("string"), F.lit("")), ">", END,
+        F.when(revisit, text("WARC-Refers-To: <urn:page:", F.coalesce(F.url_encode(refers_to.cast("string")), F.lit("")), ">", END,
                              "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", END)).otherwise(""),
         "Content-Type: application/http; msgtype=response", END,
         "Content-Length: ", F.when(revisit, F.length(http)).otherwise(F.length(http) + n_bytes).cast("string"), END, END, http,
@@ -49,7 +50,7 @@ def header(page_id: Column, url: Column, n_bytes: Column, digest: Column, refers
 
 
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
-    """Writes folder/payloads (address, sha1, n_bytes, payload; once each) and folder/records (page_id, address, header).
+    """Writes folder/payloads (address, sha1, n_bytes, payload; once each) and folder/records (page_id, url, address, header).
 
     Of records with equal payloads of at least min_bytes, that with the largest identifier is a response and the others revisit it."""
     rows = columns(pages, page_id=id_col, url=url_col, payload=payload_col)
@@ -64,7 +65,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     same = F.col("page_id").eqNullSafe(F.col("owner")) | (F.col("n_bytes") < min_bytes)
     refers_to = F.when(~same, F.col("owner"))
     head = header(F.col("page_id"), F.col("url"), F.col("n_bytes").cast("string"), base32(F.col("sha1")), refers_to)
-    found.select("page_id", "address", head.alias("header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/records")
+    found.select("page_id", "url", "address", head.alias("header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/records")
 
 
 def verified(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,20 +81,23 @@ def field(name: str) -> Column:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to: from each record's header and from the payload stored for it."""
-    ident = lambda x: F.regexp_extract(x, "<urn:page:([^>]*)>", 1)
-    number = lambda x: F.when(x != "", x).cast("long")
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to: from each record's header and from the payload stored for it.
+
+    A header whose payload digest isn't that of the stored payload stops the read."""
+    records = spark.read.parquet(f"{folder}/records")
+    kind = records.schema["page_id"].dataType
+    ident = lambda name: F.url_decode(F.nullif(F.regexp_extract(field(name), "<urn:page:([^>]*)>", 1), F.lit(""))).cast(kind)
     payloads = verified(spark, folder).select("address", F.col("n_bytes").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    records = spark.read.parquet(f"{folder}/records").select(
-        "address", number(ident(field("WARC-Record-ID"))).alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), number(ident(field("WARC-Refers-To"))).alias("refers_to"),
-    )
-    return records.join(payloads, "address").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    own = records.select("address", "url", "header", ident("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), ident("WARC-Refers-To").alias("refers_to"))
+    told = F.concat(F.lit("sha1:"), F.col("payload_digest"))
+    digest = F.when(field("WARC-Payload-Digest") == told, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("wrong digest in the header of "), F.hex("address"))).cast("string"))
+    return own.join(payloads, "address").select("page_id", "url", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id and record: the original record as bytes (header, payload, end), whether it was stored as a response or a revisit."""
+    """page_id, url and record: the original record as bytes (header, payload, end), whether it was stored as a response or a revisit."""
     records, payloads = spark.read.parquet(f"{folder}/records"), verified(spark, folder).select("address", "payload", "n_bytes")
-    return records.join(payloads, "address").select("page_id", F.concat(F.encode("header", "UTF-8"), "payload", F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return records.join(payloads, "address").select("page_id", "url", F.concat(F.encode("header", "UTF-8"), "payload", F.lit(b"\r\n\r\n")).alias("record"), "payload")
 
 
 def export_files(spark: SparkSession, folder: str, path: str) -> None:
