@@ -115,3 +115,10 @@ def by_rows(rows: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame
     kind = rows.schema[key].dataType
     out = rows.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"{key} string, {schema}")
     return out.withColumn(key, F.col(key).cast(kind))
+
+
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """df.mapInArrow(run, df.schema) for columns of any name: run gets them as c0, c1 and so on, in their order."""
+    names = df.columns
+    safe = df.toDF(*[f"c{k}" for k in range(len(names))])
+    return safe.mapInArrow(run, safe.schema).toDF(*names)

@@ -5,8 +5,12 @@ it and the longest match that ends at each word is tracked. A window of an item
 has fewer; whenever a match is as long as a window, its words are hit. A document is contaminated if its hit words reach the coverage
 limit; decontaminate() also returns the hit spans and the text without those that reach the length limit.
 
+Up to BLOCKS_A_PASS automata are used in one pass over the documents. A larger benchmark takes several passes, each of which writes only the
+rows that it hits (row key and hit words, no texts); they are merged by row at the end.
+
 Defined results: null texts have no words; an item without words, or with a null identifier, has no windows; items that are repeated
-count once by identifier; an empty benchmark hits nothing; an empty table gives an empty result; other columns are ignored by the query.
+count once by identifier; an empty benchmark hits nothing; an empty table gives an empty result; other columns are passed on, whatever their names, but for those that
+decontaminate() says it adds, which are replaced; the query ignores them.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
-from .common import columns, table, written
+from .common import columns, every, fresh, map_rows, quoted, shared_dir, table, written
 
 SIZE = 13
 #: Words of one automaton; a larger benchmark is dealt into blocks of so many, so what is broadcast stays below some 100 MB.
@@ -167,36 +171,81 @@ def blocks(items: Iterator[tuple[str | None, str | None]], most: int = BLOCK_WOR
 FOUND = "n_words: bigint, n_hit: bigint, hit: binary, items: array<string>, longest: int"
 
 
-def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with __found: n_words, hit (a byte for each word; null if none is hit), items, longest (match in words)."""
-    spark = docs.sparkSession
-    df = docs.selectExpr("*", f"CAST(NULL AS struct<{FOUND}>) AS __found")
-    shape = df.schema
-
-    def through(automaton):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a = automaton.value
-            for batch in batches:
-                out = []
-                for text, was in zip(batch.column(text_col).to_pylist(), batch.column("__found").to_pylist(), strict=True):
-                    words = words_of(text)
-                    found = set(was["items"]) if was is not None else set()
-                    hit = bytearray(was["hit"]) if was is not None and was["hit"] is not None else None
-                    hit, longest = a.hits(words, hit, found) if a else (None, 0)
-                    longest = max(longest, was["longest"] if was is not None else 0)
-                    out.append({"n_words": len(words), "n_hit": sum(hit) if hit else 0, "hit": bytes(hit) if hit else None, "items": sorted(found), "longest": longest})
-                k = batch.schema.get_field_index("__found")
-                yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
-
-        return run
+@F.pandas_udf(BinaryType())
+def _merged(hits: pd.Series) -> pd.Series:
+    return hits.map(lambda x: None if x is None or not len(x) else np.bitwise_or.reduce([np.frombuffer(h, np.uint8) for h in x]).tobytes())
 
+
+def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, str]:
+    """docs with a column more, and its name: n_words, hit (a byte for each word; null if none is hit), items, longest (match in words)."""
+    spark = docs.sparkSession
+    (found,) = fresh(docs.columns, "found")
     rows = columns(benchmark, item=item_col, text=item_text).where("item IS NOT NULL AND text IS NOT NULL")
-    k = 0
-    for k, block in enumerate(blocks(((str(r.item), r.text) for r in rows.toLocalIterator())), 1):
-        if k > 1 and k % BLOCKS_A_PASS == 1:
-            df = written(df, f"pass{k}")
-        df = df.mapInArrow(through(spark.sparkContext.broadcast(Automaton(block))), shape)
-    return df if k else df.mapInArrow(through(spark.sparkContext.broadcast(None)), shape)
+    groups: list[list] = [[]]
+    folder = part = None
+    for block in blocks(((str(r.item), r.text) for r in rows.toLocalIterator()), block_words):
+        if len(groups[-1]) == BLOCKS_A_PASS:
+            # a larger benchmark: rows get a key that every pass sees
+            if folder is None:
+                folder = shared_dir(spark)
+                (key,) = fresh([*docs.columns, found], "row")
+                docs = written(docs.withColumn(key, F.monotonically_increasing_id()), "docs", folder)
+            part = _hit_rows(docs, key, text_col, groups[-1], folder, len(groups), part)
+            groups.append([])
+        groups[-1].append(spark.sparkContext.broadcast(Automaton(block)))
+    automata = groups[-1]
+    full = docs.withColumn(found, F.lit(None).cast(f"struct<{FOUND}>"))
+    names = full.columns
+    at, last = names.index(text_col), len(names) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_found(words_of(text), automata) for text in batch.column(at).to_pylist()]
+            yield batch.set_column(last, batch.schema.field(last), pa.array(out, batch.schema.field(last).type))
+
+    full = map_rows(full, run)
+    if folder is None:
+        return full, found
+    was, late = fresh([*names, key], "was", "late")
+    part = part.groupBy(F.col("row").alias(was)).agg(F.struct(F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest")).alias(late))
+    both = full.join(part, F.col(quoted(key)) == F.col(quoted(was)), "left")
+    f, w = quoted(found), quoted(late)
+    hits = F.filter(F.concat(F.coalesce(F.col(f"{w}.hits"), F.array().cast("array<binary>")), F.array(F.col(f"{f}.hit"))), lambda x: x.isNotNull())
+    hit = _merged(hits)
+    ones = F.length(F.replace(F.hex(hit), F.lit("00"), F.lit(""))) / 2
+    new = F.struct(
+        F.col(f"{f}.n_words").alias("n_words"), F.coalesce(ones, F.lit(0)).cast("long").alias("n_hit"), hit.alias("hit"),
+        F.array_sort(F.array_union(F.col(f"{f}.items"), F.coalesce(F.col(f"{w}.items"), F.array().cast("array<string>")))).alias("items"),
+        F.greatest(F.col(f"{f}.longest"), F.col(f"{w}.longest")).alias("longest"),
+    )
+    return both.select(*[F.col(quoted(c)) if c != found else new.alias(found) for c in names if c != key]), found
+
+
+def _found(words: list[bytes], automata: list) -> dict:
+    items: set[str] = set()
+    hit, longest = None, 0
+    for a in automata:
+        hit, n = a.value.hits(words, hit, items)
+        longest = max(longest, n)
+    return {"n_words": len(words), "n_hit": sum(hit) if hit else 0, "hit": bytes(hit) if hit else None, "items": sorted(items), "longest": longest}
+
+
+def _hit_rows(docs: DataFrame, key: str, text_col: str, automata: list, folder: str, k: int, before: DataFrame | None) -> DataFrame:
+    """row, hit, items, longest of the rows that these automata match at all, and those of the passes before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                got = _found(words_of(text), automata)
+                if got["longest"]:
+                    rows.append({"row": row, "hit": got["hit"], "items": got["items"], "longest": got["longest"]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("row", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string())), ("longest", pa.int32())]))
+
+    out = written(columns(docs, row=key, text=text_col).mapInArrow(run, "row long, hit binary, items array<string>, longest int"), f"pass{k}", folder)
+    for a in automata:
+        a.destroy()
+    return out if before is None else before.unionByName(out)
 
 
 @F.pandas_udf(StringType())
@@ -224,9 +273,11 @@ def without(text: str, hit: bytes | None, longest_span: int) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = 0.05, longest_span: int = SIZE) -> DataFrame:
-    """docs with n_words, n_hit, spans, items, longest, contaminated (coverage reached) and clean_text (hit spans of that length cut)."""
-    found = match(docs, benchmark, text_col)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = 0.05, longest_span: int = SIZE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with n_words, n_hit, contaminated (coverage reached), spans, clean_text (hit spans of that length cut), items and longest; columns of these names are replaced."""
+    added = ["n_words", "n_hit", "contaminated", "spans", "clean_text", "items", "longest"]
+    docs = docs.select(*every(docs, added))
+    found, name = match(docs, benchmark, text_col, block_words=block_words)
 
     @F.pandas_udf("array<struct<start: int, end: int>>")
     def spans(hit: pd.Series) -> pd.Series:
@@ -236,21 +287,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def clean(text: pd.Series, hit: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or h is None else without(t, h, longest_span) for t, h in zip(text, hit, strict=True)])
 
-    return counted(found, coverage).withColumns(
-        {"spans": spans("__found.hit"), "clean_text": clean(F.col(f"`{text_col}`"), F.col("__found.hit")), "items": F.col("__found.items"), "longest": F.col("__found.longest")}
-    ).drop("__found")
+    got = lambda x: F.col(f"{quoted(name)}.{x}")
+    return found.select(
+        *every(docs), got("n_words").alias("n_words"), got("n_hit").alias("n_hit"), contaminated(name, coverage).alias("contaminated"),
+        spans(got("hit")).alias("spans"), clean(F.col(quoted(text_col)), got("hit")).alias("clean_text"), got("items").alias("items"), got("longest").alias("longest"),
+    )
+
+
+def contaminated(name: str, coverage: float = 0.05) -> Column:
+    """Whether the hit words in column name reach the coverage limit."""
+    n_hit, n_words = F.col(f"{quoted(name)}.n_hit"), F.col(f"{quoted(name)}.n_words")
+    return (n_hit > 0) & (n_hit >= F.lit(str(coverage)).cast("decimal(10,6)") * n_words)
 
 
-def counted(found: DataFrame, coverage: float = 0.05) -> DataFrame:
-    return found.withColumns({"n_words": F.col("__found.n_words"), "n_hit": F.col("__found.n_hit")}).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= coverage * F.col("n_words")))
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = 0.05) -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated."""
+    found, name = match(docs, benchmark, text_col)
+    return found.where(~contaminated(name, coverage)).select(*every(docs))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    found = match(docs, table(spark, sf_dir, "benchmark"))
-    return counted(found).select(
-        "doc_id", "n_words", "n_hit", F.size("__found.items").cast("long").alias("n_items"), _digest("__found.items").alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    found, name = match(docs, table(spark, sf_dir, "benchmark"))
+    got = lambda x: F.col(f"{name}.{x}")
+    return found.select(
+        "doc_id", got("n_words").alias("n_words"), got("n_hit").alias("n_hit"), F.size(got("items")).cast("long").alias("n_items"), _digest(got("items")).alias("items_sha256"),
+        ((got("n_hit") > 0) & (20 * got("n_hit") >= got("n_words"))).alias("contaminated"),
     )
 
 

@@ -26,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, columns, hinted, shared_dir, table, written
+from .common import Remembered, by_rows, columns, hinted, map_rows, shared_dir, table, written
 
 #: Symbols of the character model: 0 is what is no letter, 1 to 26 are a to z, other letters share the rest by their code points.
 SYMBOLS = 64
-#: Labelled rows that the classifier is fitted on, at most; and its features, at most.
+#: Labelled rows that the classifier is fitted on, at most; and its features, at most (those that tell the labels best apart).
 TRAIN_ROWS, FEATURES = 12_000, 6_000
 #: Letters of the word beginnings that are features beside the word itself.
 PREFIXES = (4, 5, 6)
 BROADCAST_ROWS = 1_000_000
-REMEMBERED = 600_000
+#: Bytes of restored words that a task remembers.
+REMEMBERED = 24 << 20
 #: Characters of text that the counting works on at once.
 PART = 1 << 19
 
@@ -129,7 +130,7 @@ class Channel:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known = Remembered(REMEMBERED)
 
     def decode(self, word: str) -> str:
         cost = self.cost
@@ -173,9 +174,7 @@ class Channel:
         for token in set(text.split()):
             got = self.known.get(token)
             if got is None:
-                got = self.words(token)
-                if len(self.known) < REMEMBERED:
-                    self.known[token] = got
+                got = self.known.put(token, self.words(token))
             out.update(got)
         for m in _SPACED.finditer(text) if _HINT.search(text) else ():
             out.update(_LETTERS.findall(self.decode(m[0])))
@@ -191,14 +190,12 @@ class Model:
 
     def __init__(self, cost: np.ndarray, weights: dict[str, float], bias: float):
         self.channel, self.weights, self.bias = Channel(cost), weights, bias
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known = Remembered(REMEMBERED)
 
     def _own(self, token: str) -> tuple[str, ...]:
         got = self.known.get(token)
         if got is None:
-            got = tuple({f for w in self.channel.words(token) for f in features(w) if f in self.weights})
-            if len(self.known) < REMEMBERED:
-                self.known[token] = got
+            got = self.known.put(token, tuple({f for w in self.channel.words(token) for f in features(w) if f in self.weights}))
         return got
 
     def score(self, text: str | None) -> float:
@@ -316,15 +313,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs, with all their columns, whose score is below one half."""
-    model = train(columns(docs, doc_id=id_col, text=text_col), columns(labels, doc_id=id_col, toxic=label_col))
+    model, at = train(columns(docs, doc_id=id_col, text=text_col), columns(labels, doc_id=id_col, toxic=label_col)), docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((np.array(model.channel.cost, np.float32), model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(text_col).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
