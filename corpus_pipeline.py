@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import columns, hinted, shared_dir, table, written
-from tidewind.llm.decontamination import counted, match
+from tidewind.llm.common import columns, every, fresh, hinted, quoted, shared_dir, table, written
+from tidewind.llm.decontamination import uncontaminated
 from tidewind.llm.line_dedup import line_dedup
 from tidewind.llm.near_dedup import near_dedup
 from tidewind.llm.packing import pack_documents
 from tidewind.llm.toxicity import without_toxic
 
 BROADCAST_ROWS = 1_000_000
+#: Documents of which more than this share of the lines are on many sites are copies; their lines are left to the near-duplicate stage.
+COPIED_SHARE = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +28,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without boilerplate lines; n_chars follows the text."""
-    cleaned = line_dedup(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    (before,) = fresh(docs.columns, "before")
+    cleaned = line_dedup(docs.withColumn(before, F.length("text")), copied_share=COPIED_SHARE, counts=False)
+    n_chars = F.when(F.length("text") < F.col(before), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*[F.col(quoted(c)) if c != "n_chars" else n_chars.alias(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = written(near_dedup(docs).where("NOT kept").select("doc_id").distinct(), "gone", shared_dir(spark))
-    return docs.join(hinted(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+    (gone_id,) = fresh(docs.columns, "gone_id")
+    gone = written(near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct(), "gone", shared_dir(spark))
+    return docs.join(hinted(gone, BROADCAST_ROWS), F.col("doc_id") == F.col(gone_id), "left_anti").select(*every(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated: benchmark windows hit less than a twentieth of their words."""
-    found = counted(match(docs, table(spark, sf_dir, "benchmark")))
-    return found.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(docs.columns)
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
