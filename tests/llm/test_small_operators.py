@@ -56,7 +56,45 @@ def test_ibans_before_capitals_and_digits():
     assert pii.redact("DE89370400440532013000 GB82WEST12345698765432") == "<iban> <iban>" and "<" not in pii.redact("IBAN DE88370400440532013000 BIC COBADEFFXXX")
 
 
-@pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000 + "@", "1." * 200_000, "+1 " * 100_000, "@" * 100_000, "DE12" + "A1" * 100_000])
+def test_secrets_need_a_word_before_them():
+    token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    for before in ('token = "', "api_key: ", "Authorization: Bearer ", "secret='", "| token = "):
+        assert [s[:3] for s in pii.spans(f"x {before}{token}' y")] == [("secret", 2 + len(before), 42 + len(before))]
+    assert not pii.spans(f"commit {token} fixes it") and not pii.spans("token = internationalisation_of_words") and pii.redact(f"key: {token}.") == "key: <secret>."
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_added_spans_against_brute_force(seed):
+    """Planted numbers between words that are none: all that brute force confirms are found, and nothing else."""
+    rng = random.Random(seed)
+
+    def iban(good):
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int(body + "131400") % 97
+        return f"DE{check if good else (check % 97) + 2 if check < 98 and (check % 97) + 2 != check else 3:02d}{body}"
+
+    def card(good):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        last = next(d for d in "0123456789" if pii.luhn(body + d))
+        return body + (last if good else str((int(last) + 1) % 10))
+
+    words, planted = [], []
+    for k in range(200):
+        words.append(rng.choice(["nothing", "here", "é", "stands,"]))
+        good, kind = rng.random() < 0.5, rng.choice(["iban", "card"])
+        number = iban(good) if kind == "iban" else card(good)
+        plain = number[4:] + number[:4]
+        right = int("".join(str(int(c, 36)) for c in plain)) % 97 == 1 if kind == "iban" else sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(number[::-1])) % 10 == 0
+        at = len(" ".join(words)) + 1
+        words.append(number)
+        if right:
+            planted.append((kind, at, at + len(number)))
+    found = [s[:3] for s in pii.spans(" ".join(words)) if s[0] in ("iban", "card")]
+    assert [s for s in found if s[0] == "iban"] == [s for s in planted if s[0] == "iban"]
+    assert {s for s in planted if s[0] == "card"} <= {s for s in found if s[0] == "card"}
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000 + "@", "1." * 200_000, "+1 " * 100_000, "@" * 100_000, "DE12" + "A1" * 100_000, "token=" + "a1" * 150_000, "a1-" * 100_000])
 def test_long_texts_take_linear_time(text):
     pii.spans(text)
 

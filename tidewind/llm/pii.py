@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Base spans are fixed by plain patterns (email, ip, card, phone; see base()). The method proposes more: cards and phones that stand right
-beside other digits, spelled-out emails, IBANs and national numbers. A proposal is dropped if its checksum is wrong (Luhn, mod 97) or if
+beside other digits, spelled-out emails, IBANs, national numbers and secrets (keys and tokens, which need a word nearby). A proposal is dropped if its checksum is wrong (Luhn, mod 97) or if
 it overlaps a span of its kind; it starts with its kind's score, words nearby raise it, and it counts from THRESHOLD on. Base spans stay
 whatever their score. Each pattern reads a text in a time that is linear in its length.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import by_rows, columns, table
 
 #: Kinds in the order in which spans with equal starts are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 THRESHOLD = 0.5
 #: Code points on either side of a proposal in which context words count.
 NEARBY = 48
@@ -49,6 +49,7 @@ _MORE = (
     ("phone", 0.6, re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"), r"tel|phone|call|mobile|fax|cell|whatsapp", r"isbn|order|version"),
     ("phone", 0.3, re.compile(r"(?<![0-9+(.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"), r"tel|phone|call|mobile|fax|cell|whatsapp", r"isbn|order|version|invoice"),
     ("iban", 0.7, _IBAN, r"iban|account|bank|konto|compte|cuenta", r"$^"),
+    ("secret", 0.3, re.compile(r"(?<![0-9A-Za-z+/_=-])(?=[0-9+/_-]{0,40}+[A-Za-z])(?=[A-Za-z+/_-]{0,40}+[0-9])[A-Za-z0-9+/_-]{20,200}+={0,2}(?![0-9A-Za-z+/_-])"), r"(?<![a-z])(?:api[ _-]?key|key|token|secret|passw(?:or)?d|pwd|bearer|credential|auth)s?\W{0,6}$|(?:key|token|secret|password)[\"']?\s*[:=]\s*[\"']?$", r"$^"),
     ("ssn", 0.4, re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), r"ssn|social|security|taxpayer", r"phone|tel|part|order"),
 )
 _WORDS = {(kind, k): (re.compile(up, re.I), re.compile(down, re.I)) for k, (kind, _, _, up, down) in enumerate(_MORE)}
@@ -150,7 +151,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float, bool]]:
         for a, b in _proposals(kind, pattern, text):
             if _overlaps(taken.get(kind, []), a, b):
                 continue
-            near = text[max(0, a - NEARBY) : a] + " " + text[b : b + NEARBY]
+            near = text[max(0, a - NEARBY) : a] + (" " + text[b : b + NEARBY] if kind != "secret" else "")  # a secret's word stands before it
             now = min(1.0, max(0.0, score + RAISE * bool(up.search(near)) - LOWER * bool(down.search(near))))
             if now >= THRESHOLD:
                 added.append((a, b))
@@ -186,6 +187,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("kind", "start", "end", "score", "base")
         for pdf in batches:
+            # read once: the redacted text follows from the spans
             found = [[dict(zip(names, s, strict=True)) for s in spans(t)] for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": found, "redacted": [redact(t) if s else t for t, s in zip(pdf["text"], found, strict=True)]})
 
@@ -198,7 +200,7 @@ def joined(found: list) -> str:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_spans (of all kinds)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -208,7 +210,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out[f"n_{kind}"] = [sum(s["kind"] == kind for s in found) for found in own]
             out["base_sha256"] = [hashlib.sha256(joined(found).encode()).hexdigest() for found in own]
             out["spans"] = [joined(found) for found in pdf["spans"]]
+            out["n_spans"] = [len(found) for found in pdf["spans"]]
             yield pd.DataFrame(out)
 
     found = find_pii(table(spark, sf_dir, "documents")).select("doc_id", "spans")
-    return by_rows(found, run, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return by_rows(found, run, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint")
