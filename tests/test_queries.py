@@ -8,7 +8,9 @@ QUERIES, SQL = all_queries()
 #: A query of each operator family; the driver compares them all.
 NAMES = """panel_log_returns panel_quality_by_asset universe_select na_report_by_date source_corr source_merge ticks_last_close cross_section_vol clean_flag_dates clean_winsorize cellwise_mask extreme_class
 tier_stats split_pattern_match window_validity window_impute cov_long cov_trace_guardrail vol_metrics vol_stats_embedding knn_l2 knn_angular knn_eligible regime_weights euclidean_forecast prototype_softmax
-transition_soft forward_filter asof_alpha portfolio_stats turnover logm_2 logeuc_mean_2 kl_2 gmvp_2 report_pivot paired_wilcoxon rolling_median max_drawdown kde_grid pareto3 regime_profile simplex_grid""".split()
+transition_soft forward_filter asof_alpha portfolio_stats turnover logm_2 logeuc_mean_2 kl_2 gmvp_2 report_pivot paired_wilcoxon rolling_median max_drawdown kde_grid pareto3 regime_profile simplex_grid
+confidence_blend neighbour_regime_parts regime_top3 prob_normalised pooled_percentiles cellwise_worst unit_comparison run_summary spd_floor_2 corr_target_2 gmvp_shrink_blend_2 vol_stats_embed corr_eig_embed_2
+pca_window_2 hybrid_embed_2 ward_groups signed_spectral_groups two_stage_groups gmm_fixed_point fcm_fixed_point kmeans_fixed_point""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -16,6 +18,12 @@ def test_plan_matches_sql(name, same):
     same(QUERIES[name], SQL[name])
 
 
+def test_rolling_queries_have_the_reference_stride():
+    from tidewind.plans import forecasts
+
+    assert (forecasts.L, forecasts.H, forecasts.STRIDE) == (50, 20, 5) and "% 7" not in SQL["asof_alpha"] and "dim <" not in SQL["euclidean_forecast"]
+
+
 def test_every_sql_has_a_plan():
     assert set(SQL) <= set(QUERIES) and set(NAMES) <= set(SQL)
 
@@ -40,4 +48,4 @@ def test_backtests_and_embeddings_have_the_reference_steps(spark, sf, monkeypatc
     fit = backtest.EMBEDDERS["pca"].fit
     monkeypatch.setattr(backtest.EMBEDDERS["pca"], "fit", lambda self, x: fitted.append(len(x)) or fit(self, x))
     rows = backtest.matrix(flags_panel(spark, sf))[0].shape[0]
-    assert QUERIES["pca_embed"](spark, sf).count() == len(range(49, rows - 20, 5)) and fitted == [rows - 50]
+    assert QUERIES["pca_embed"](spark, sf).count() == 25 * len(range(49, rows - 20, 5)) and fitted == [rows - 50]

@@ -55,6 +55,16 @@ METRICS = {
 }
 
 
+def canonical(name: str) -> str:
+    """lp, or the first of the names that a distance has."""
+    name = name.strip().lower()
+    if name == "lp":
+        return name
+    if name not in METRICS:
+        raise ValueError(f"unknown distance {name!r}; known: lp, {', '.join(METRICS)}")
+    return next(k for k in METRICS if METRICS[k] is METRICS[name])
+
+
 def metric(name: str, p: float | None = None) -> Callable[[Column, Column], Column]:
     """The distance of that name; "lp" takes the order p."""
     name = name.strip().lower()

@@ -154,7 +154,8 @@ def density(rows: DataFrame, points: int = 200) -> DataFrame:
     per = per.where("n > 1 AND sd > 0").withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
     grid = per.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (points - 1))
     z = (F.col("x") - F.col("value")) / F.col("h")
-    both = grid.join(rows.where("value IS NOT NULL").select("method", "value"), "method")
+    # the grid is points rows for each method; values stay where they are and meet it as a broadcast table
+    both = rows.where("value IS NOT NULL").select("method", "value").join(F.broadcast(grid) if points <= 10_000 else grid, "method")
     return both.groupBy("method", "k", "x", "h", "n").agg((F.sum(F.exp(-0.5 * z * z)) / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density")).select("method", "k", "x", "density")
 
 
@@ -163,6 +164,35 @@ def guardrail_stats(rows: DataFrame) -> DataFrame:
     return rows.agg((100 * F.avg(F.col("triggered").cast("double"))).alias("triggered_pct"), F.avg("ratio").alias("mean_ratio"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason") == "invalid").alias("n_invalid"))
 
 
+def blend_stats(rows: DataFrame) -> DataFrame:
+    """Of rows (lambda, confidence): share blended towards persistence in percent, mean and least lambda, mean confidence."""
+    return rows.agg(
+        (100 * F.avg((F.col("lambda") < 0.999999).cast("double"))).alias("blended_pct"), F.avg("lambda").alias("lambda_mean"), F.min("lambda").alias("lambda_min"), F.avg("confidence").alias("confidence_mean"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def reason_counts(rows: DataFrame) -> DataFrame:
+    """reason, n: how often each reason of a guardrail stands in rows; none is the empty text."""
+    return rows.groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def beyond(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Rows (date, method, metric, value) whose value is larger, in size, than its metric's limit."""
+    limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v)))])
+    return rows.withColumn("limit", F.element_at(limit, F.col("metric"))).where(F.abs("value") > F.col("limit"))
+
+
+def unit_comparison(rows: DataFrame, inside: Column) -> DataFrame:
+    """method, metric, n, mean and max of value inside a part of the dates, and the mean outside."""
+    own = F.when(inside, F.col("value"))
+    return rows.groupBy("method", "metric").agg(F.count(own).alias("n"), F.avg(own).alias("mean"), F.max(own).alias("most"), F.avg(F.when(~inside, F.col("value"))).alias("mean_outside"))
+
+
+def run_summary(rows: DataFrame, method: str) -> DataFrame:
+    """run, metric, mean, n: the means of one method's metrics for each run."""
+    return rows.where(F.col("method") == method).groupBy("run", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+
+
 def pareto(runs: DataFrame, up: list[str], down: list[str], key: str = "run") -> DataFrame:
     """Runs that no other run is as good as everywhere and better than somewhere; equal runs stay together. A theta join over runs, of which there are hundreds."""
     better = [(c, F.greatest) for c in up] + [(c, F.least) for c in down]

@@ -38,6 +38,13 @@ def cleaning_log(flags: DataFrame, policy: str, worst: int = 5) -> DataFrame:
     return flags.where("flagged").withColumn("action", F.lit(policy)).orderBy(F.desc("max_abs"), "date").limit(worst)
 
 
+def worst_cells(cells: DataFrame, n: int = 10) -> DataFrame:
+    """The removed cells (date, asset, r, reason) with the largest values, each once: its first reason stays."""
+    first = Window.partitionBy("date", "asset").orderBy("reason")
+    once = cells.where("reason IS NOT NULL").withColumn("k", F.row_number().over(first)).where("k = 1")
+    return once.orderBy(F.desc(F.abs("r")), "date", "asset").limit(n).select("date", "asset", "r", "reason")
+
+
 def in_periods(date: Column, periods: list[tuple[str, str]]) -> Column:
     out = F.lit(False)
     for first, last in periods:

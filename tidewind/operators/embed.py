@@ -52,6 +52,12 @@ class VolStats:
         return np.array([log.mean(), log.std(ddof=1) if len(log) > 1 else 0.0, *q, q[3] - q[1], change, ((s / (s.sum() + FLOOR)) ** 2).sum()])
 
 
+def lag_correlation(x: np.ndarray) -> np.ndarray:
+    """Each column's correlation of all rows but the last with all but the first."""
+    one, two = (y - y.mean(0) for y in (x[:-1], x[1:]))
+    return (one * two).sum(0) / (np.sqrt((one**2).sum(0) * (two**2).sum(0)) + FLOOR)
+
+
 class HybridState:
     """Spectrum, volatility, autocorrelation, correlation and size of a window: 2k + 13 numbers."""
 
@@ -61,24 +67,24 @@ class HybridState:
     def embed(self, x: np.ndarray) -> np.ndarray:
         x = imputed(x)
         c = x - x.mean(0)
+        n = x.shape[1]
         sv = np.linalg.svd(c, compute_uv=False)
-        var = sv**2 / max((sv**2).sum(), FLOOR)
+        share = sv**2 / ((sv**2).sum() + FLOOR)
         pad = lambda v: np.pad(v[: self.k], (0, max(0, self.k - len(v))))
-        p = pad(var)[pad(var) > 0]
         vol = x.std(0, ddof=1)
-        sd = np.maximum(c.std(0), FLOOR)
-        auto = (c[1:] * c[:-1]).mean(0) / sd**2 if len(x) > 2 else np.zeros(x.shape[1])
-        corr = (c / sd).T @ (c / sd) / len(x)
-        off = corr[~np.eye(len(corr), dtype=bool)]
+        spread = lambda v: v.std(ddof=1) if v.size > 1 else 0.0
+        corr = (c / (vol + FLOOR)).T @ (c / (vol + FLOOR)) / (len(x) - 1 + FLOOR)
         w = np.linalg.eigvalsh(corr)[::-1]
+        auto = lag_correlation(x)
         return np.array([
-            *np.log(np.maximum(pad(sv), FLOOR)), *pad(var), -(p * np.log(p)).sum(), vol.mean(), vol.std(), *np.quantile(vol, [0.25, 0.5, 0.75]),
-            auto.mean(), auto.std(), off.mean() if off.size else 0.0, w[0], w[0] - w[1] if len(w) > 1 else 0.0, np.abs(x).mean(), np.abs(x).std(),
+            *pad(np.log(sv + FLOOR)), *pad(share), -(share * np.log(share + FLOOR)).sum(), vol.mean(), spread(vol), *np.quantile(vol, [0.25, 0.5, 0.75]), auto.mean(), spread(auto),
+            (corr.sum() - np.trace(corr)) / (n * (n - 1) + FLOOR), w[0], w[0] - w[1] if n > 1 else 0.0, np.abs(x).mean(), spread(np.abs(x).ravel()),
         ])
 
 
 class PcaWindow:
-    """Principal coordinates of flattened windows, then shares, singular values and moments of the scores, each padded to k: 5k numbers.
+    """Principal coordinates of flattened windows, then of the window's own decomposition shares, log singular values and, over time, means
+    and deviations of the scores of each component; each padded to k: 5k numbers.
 
     The decomposition is exact, with the sign that makes each axis' largest loading positive."""
 
@@ -106,10 +112,10 @@ class PcaWindow:
     def embed(self, x: np.ndarray) -> np.ndarray:
         scores = ((self._flat(x[None]) - self.mean) / self.sd @ self.axes)[0]
         c = imputed(x)
-        sv = np.linalg.svd(c - c.mean(0), compute_uv=False)
-        share = sv**2 / max((sv**2).sum(), FLOOR)
-        pad = lambda v: np.pad(np.atleast_1d(v)[: self.k], (0, max(0, self.k - len(np.atleast_1d(v)))))
-        return np.concatenate([pad(scores), pad(share), pad(np.log(np.maximum(sv, FLOOR))), pad(scores.mean()), pad(scores.std(ddof=1) if len(scores) > 1 else 0.0)])
+        u, sv, _ = np.linalg.svd(c - c.mean(0), full_matrices=False)
+        own = u[:, : self.k] * sv[: self.k]
+        pad = lambda v: np.pad(v[: self.k], (0, max(0, self.k - len(v))))
+        return np.concatenate([pad(scores), pad(sv**2 / ((sv**2).sum() + FLOOR)), pad(np.log(sv + FLOOR)), pad(own.mean(0)), pad(own.std(0, ddof=min(1, len(own) - 1)))])
 
 
 EMBEDDERS = {"corr_eigen": CorrEigen, "vol_stats": VolStats, "hybrid": HybridState, "pca": PcaWindow}

@@ -9,11 +9,27 @@ from pyspark.sql.window import WindowSpec
 from ..functions.vectors import metric
 
 
+#: Queries that are sent to the index at once.
+BLOCK = 100_000
+
+
 def neighbours(queries: DataFrame, index: DataFrame, k: int, distance: str = "l2", p: float | None = None, exclude_self: bool = True) -> DataFrame:
     """q, id, dist, rank: the k nearest of index (id, z) to each query (id, z); ties by id.
 
     The stated queries are sent to the index, which is never moved: every task keeps its own k best, and only those are shuffled."""
-    asked = F.broadcast(queries.select(F.col("id").alias("q"), F.col("z").alias("zq")))
+    asked = queries.select(F.col("id").alias("q"), F.col("z").alias("zq"))
+    blocks = -(-asked.count() // BLOCK)
+    if blocks > 1:  # block by block, so that what is sent at once is bounded
+        out = None
+        for b in range(blocks):
+            part = _nearest(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b), index, k, distance, p, exclude_self)
+            out = part if out is None else out.unionByName(part)
+        return out
+    return _nearest(asked, index, k, distance, p, exclude_self)
+
+
+def _nearest(asked: DataFrame, index: DataFrame, k: int, distance: str, p: float | None, exclude_self: bool) -> DataFrame:
+    asked = F.broadcast(asked)
     near = asked.join(index.select("id", "z"), F.col("q") != F.col("id") if exclude_self else F.lit(True))
     near = near.select("q", "id", metric(distance, p)(F.col("zq"), F.col("z")).alias("dist"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).where(F.col("rank") <= k)
@@ -64,6 +80,12 @@ def regime_mix(per_regime: DataFrame, alpha: DataFrame, keys: list[str]) -> Data
     return per_regime.join(a, ["q", "k"]).groupBy("q", *keys).agg(F.sum(F.col("ak") * F.col("y")).alias("v"))
 
 
+def regime_parts(weights: DataFrame, near: DataFrame, alpha: DataFrame) -> DataFrame:
+    """q, id, k, kappa, pk, w, ak, part: what each regime gives to a neighbour's total weight."""
+    a = alpha.select(F.col("anchor").alias("q"), F.posexplode("alpha").alias("k", "ak"))
+    return weights.join(a, ["q", "k"]).select("q", "id", "k", "kappa", "pk", "w", "ak", (F.col("ak") * F.col("w")).alias("part"))
+
+
 def exported(weights: DataFrame, near: DataFrame, alpha: DataFrame) -> DataFrame:
     """q, id, lag, dist, total_weight: what a forecast was made of."""
     a = alpha.select(F.col("anchor").alias("q"), F.posexplode("alpha").alias("k", "ak"))

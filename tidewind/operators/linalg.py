@@ -76,6 +76,34 @@ def log_eigenvalue_mse(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((la - lb) ** 2).mean(-1)
 
 
+def correlation(a: np.ndarray) -> np.ndarray:
+    """Clipped to [-1, 1], with ones on the diagonal."""
+    d = np.sqrt(np.maximum(np.diagonal(a, axis1=-2, axis2=-1), 1e-12))
+    c = np.clip(a / d[..., :, None] / d[..., None, :], -1, 1)
+    return np.where(np.eye(a.shape[-1], dtype=bool), 1.0, c)
+
+
+def correlation_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Frobenius distance of the correlations beside the diagonal."""
+    d = correlation(a) - correlation(b)
+    return np.sqrt((np.where(np.eye(a.shape[-1], dtype=bool), 0.0, d) ** 2).sum((-2, -1)))
+
+
+def mean_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1; ties get their mean rank."""
+    _, group, n = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[group]
+
+
+def correlation_spearman(a: np.ndarray, b: np.ndarray) -> float:
+    """Rank correlation of the correlations above the diagonal; NaN if one side has no order."""
+    at = np.triu_indices(a.shape[-1], 1)
+    x, y = mean_ranks(correlation(a)[at]), mean_ranks(correlation(b)[at])
+    if len(x) < 2 or x.std() == 0 or y.std() == 0:
+        return float("nan")
+    return float(np.corrcoef(x, y)[0, 1])
+
+
 def condition(a: np.ndarray) -> np.ndarray:
     w = np.maximum(np.linalg.eigvalsh(sym(a)), 1e-12)
     return w[..., -1] / w[..., 0]

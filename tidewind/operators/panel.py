@@ -90,6 +90,12 @@ def last_close(ticks: DataFrame, keys: list[str], order: Column, close: Column,
     return ticks.groupBy(*keys).agg(F.max_by(price, order).alias("close"), F.count(F.lit(1)).alias("n_ticks"))
 
 
+def pooled_percentiles(panel: DataFrame, shares: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), value: str = "r") -> DataFrame:
+    """share, value: percentiles of all values of all assets together."""
+    out = panel.agg(F.percentile(value, F.array(*[F.lit(s) for s in shares])).alias("v"))
+    return out.select(F.inline(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("v").alias("value"))))
+
+
 def cross_section(panel: DataFrame, window: int = 60) -> DataFrame:
     """Per date: volatility over assets, and its mean over the last dates (NULL until there are as many)."""
     per = panel.groupBy("date", "t").agg(F.stddev_samp("r").alias("vol"))

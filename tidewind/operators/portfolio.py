@@ -12,7 +12,9 @@ def hold_stats(weights: DataFrame, ahead: DataFrame, n_assets: int) -> DataFrame
     per = days.groupBy("anchor", "method").agg(
         F.count("rp").alias("days"), (F.product(1 + F.col("rp")) - 1).alias("cumret"), F.avg("rp").alias("mean"), F.var_samp("rp").alias("var")
     )
-    return per.withColumn("vol", F.sqrt("var")).withColumn("sharpe", F.col("mean") / (F.col("vol") + 1e-12) * F.sqrt(F.lit(252.0)))
+    # of a single day the variance is 0; without days, or without volatility, there is no Sharpe ratio
+    per = per.withColumn("var", F.when(F.col("days") == 1, 0.0).otherwise(F.col("var"))).withColumn("cumret", F.when(F.col("days") > 0, F.col("cumret"))).withColumn("vol", F.sqrt("var"))
+    return per.withColumn("sharpe", F.when(F.col("vol") > 0, F.col("mean") / (F.col("vol") + 1e-12) * F.sqrt(F.lit(252.0))))
 
 
 def turnover(weights: DataFrame) -> DataFrame:

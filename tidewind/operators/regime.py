@@ -8,14 +8,14 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions.vectors import entropy, normalised, total
 
-def in_order() -> WindowSpec:
-    """One series of memberships: as many rows as the series has anchors."""
-    return Window.orderBy("anchor")
+def in_order(rows: DataFrame) -> WindowSpec:
+    """A series of memberships in order; rows without a column series are one series."""
+    return Window.partitionBy("series" if "series" in rows.columns else F.lit(0)).orderBy("anchor")
 
 
 def assigned(pi: DataFrame) -> DataFrame:
     """anchor, state: the first most likely regime."""
-    return pi.select("anchor", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("state"))
+    return pi.select(*[c for c in ("series",) if c in pi.columns], "anchor", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("state"))
 
 
 def _row_normalised(counts: DataFrame, k: int, smooth: float, empty_uniform: bool = True) -> DataFrame:
@@ -29,14 +29,14 @@ def _row_normalised(counts: DataFrame, k: int, smooth: float, empty_uniform: boo
 
 
 def transition_hard(states: DataFrame, k: int, smooth: float = 10.0, empty_uniform: bool = True) -> DataFrame:
-    """From (anchor, state): counts of consecutive states, smoothed and normalised by row."""
-    steps = states.select(F.lag("state").over(in_order()).alias("i"), F.col("state").alias("j")).where("i IS NOT NULL")
+    """From (anchor, state): counts of consecutive states of each series, smoothed and normalised by row."""
+    steps = states.select(F.lag("state").over(in_order(states)).alias("i"), F.col("state").alias("j")).where("i IS NOT NULL")
     return _row_normalised(steps.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("n")), k, smooth, empty_uniform)
 
 
 def transition_soft(pi: DataFrame, k: int, smooth: float = 10.0) -> DataFrame:
     """From (anchor, p): sums of products of consecutive memberships, smoothed and normalised by row."""
-    steps = pi.select(F.lag("p").over(in_order()).alias("b"), F.col("p").alias("a")).where("b IS NOT NULL")
+    steps = pi.select(F.lag("p").over(in_order(pi)).alias("b"), F.col("p").alias("a")).where("b IS NOT NULL")
     cells = F.flatten(F.transform("b", lambda x, i: F.transform("a", lambda y, j: F.struct(i.alias("i"), j.alias("j"), (x * y).alias("x")))))
     return _row_normalised(steps.select(F.inline(cells)).groupBy("i", "j").agg(F.sum("x").alias("n")), k, smooth)
 
@@ -87,11 +87,12 @@ def forward_filter(pi: DataFrame, trans: list[list[float]], alpha0: list[float]
 
 
 def as_of(queries: DataFrame, alpha: DataFrame) -> DataFrame:
-    """For each query (anchor): the latest alpha with a smaller anchor. Both lists are merged by one sorted window, without a join of all pairs."""
-    both = alpha.select("anchor", "alpha", F.lit(0).alias("q")).unionByName(queries.select("anchor", F.lit(None).cast("array<double>").alias("alpha"), F.lit(1).alias("q")))
-    before = Window.orderBy("anchor", F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
+    """For each query (anchor, of a series if there are several): the latest alpha with a smaller anchor. Both lists are merged by one sorted window, without a join of all pairs."""
+    own = ["series"] if "series" in queries.columns else []
+    both = alpha.select(*own, "anchor", "alpha", F.lit(0).alias("q")).unionByName(queries.select(*own, "anchor", F.lit(None).cast("array<double>").alias("alpha"), F.lit(1).alias("q")))
+    before = Window.partitionBy(*(own or [F.lit(0)])).orderBy("anchor", F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
     latest = both.withColumn("latest", F.last("alpha", ignorenulls=True).over(before))
-    return latest.where("q = 1").select("anchor", F.col("latest").alias("alpha"))
+    return latest.where("q = 1").select(*own, "anchor", F.col("latest").alias("alpha"))
 
 
 def diagnostics(pi: DataFrame, top: int = 3) -> DataFrame:

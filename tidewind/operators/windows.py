@@ -80,11 +80,16 @@ def shrunk(cov: DataFrame, gamma: float) -> DataFrame:
     return cov.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v")).otherwise((1 - gamma) * F.col("v")))
 
 
-def mixed(methods: dict[str, DataFrame], weights: dict[str, float], fallback: str = "shrink") -> DataFrame:
-    """Weighted sum of covariances; weights are floored at 0 and normalised, the fallback alone counts if none is left."""
+def mix_weights(weights: dict[str, float], methods: list[str], fallback: str = "shrink") -> dict[str, float]:
+    """Floored at 0 and normalised; the fallback alone if none is left."""
     w = {k: max(0.0, weights.get(k, 0.0)) for k in methods}
     total = sum(w.values())
-    w = {k: x / total for k, x in w.items()} if total > 0 else {k: float(k == fallback) for k in methods}
+    return {k: x / total for k, x in w.items()} if total > 0 else {k: float(k == fallback) for k in methods}
+
+
+def mixed(methods: dict[str, DataFrame], weights: dict[str, float], fallback: str = "shrink") -> DataFrame:
+    """Weighted sum of covariances; weights are floored at 0 and normalised, the fallback alone counts if none is left."""
+    w = mix_weights(weights, list(methods), fallback)
     out = None
     for k, cov in methods.items():
         one = cov.select("anchor", "i", "j", (w[k] * F.col("v")).alias("v"))
@@ -123,6 +128,33 @@ def confidence_blend(model: DataFrame, persistent: DataFrame, alpha: DataFrame,
     return both.withColumn("v", F.col("lambda") * F.col("v") + (1 - F.col("lambda")) * F.col("p")).drop("p")
 
 
+def kinds(panel: DataFrame, lookback: int, horizon: int, stride: int, last: int, value: str = "r") -> DataFrame:
+    """anchor, kind, t, asset, r: of each anchor the past rows (roll), the last horizon of them (pers) and the next horizon (truth), in one pass over the panel."""
+    span = past(panel, lookback + horizon, stride, last + horizon, lookback + horizon - 1, value).withColumn("anchor", F.col("anchor") - horizon)
+    before, recent = F.col("t") <= F.col("anchor"), F.col("t") > F.col("anchor") - horizon
+    names = F.when(~before, F.array(F.lit("truth"))).when(recent, F.array(F.lit("roll"), F.lit("pers"))).otherwise(F.array(F.lit("roll")))
+    return span.select("anchor", F.explode(names).alias("kind"), "t", "asset", "r")
+
+
+def kind_covariances(panel: DataFrame, lookback: int, horizon: int, stride: int, last: int) -> DataFrame:
+    """anchor, i, j, roll, pers, truth: the covariances of the three windows side by side."""
+    rows = kinds(panel, lookback, horizon, stride, last)
+    number = F.when(F.col("kind") == "roll", 0).when(F.col("kind") == "pers", 1).otherwise(2)
+    cov = covariance(rows.select((F.col("anchor") * 3 + number).alias("anchor"), "t", "asset", "r"))
+    at = lambda k: F.max(F.when(F.col("anchor") % 3 == k, F.col("v")))
+    return cov.groupBy(F.floor(F.col("anchor") / 3).cast("int").alias("anchor"), "i", "j").agg(at(0).alias("roll"), at(1).alias("pers"), at(2).alias("truth"))
+
+
+def kind_log_vols(panel: DataFrame, lookback: int, horizon: int, stride: int, last: int, floor: float = 1e-12) -> DataFrame:
+    """anchor, asset, roll, pers, truth: log volatilities of the three windows side by side, by one aggregation.
+
+    A missing value is imputed with its window's mean, so it adds nothing to the sum of squares."""
+    rows = past(panel, lookback + horizon, stride, last + horizon, lookback + horizon - 1).withColumn("anchor", F.col("anchor") - horizon)
+    parts = {"roll": F.col("t") <= F.col("anchor"), "pers": (F.col("t") <= F.col("anchor")) & (F.col("t") > F.col("anchor") - horizon), "truth": F.col("t") > F.col("anchor")}
+    v = lambda cond: F.coalesce(F.var_pop(F.when(cond, F.col("r"))) * F.count(F.when(cond, F.col("r"))), F.lit(0.0)) / F.greatest(F.lit(1), F.count_if(cond) - 1) + RIDGE
+    return rows.groupBy("anchor", "asset").agg(*[(0.5 * F.log(F.greatest(v(cond), F.lit(floor)))).alias(name) for name, cond in parts.items()])
+
+
 def log_vol(cov: DataFrame, floor: float = 1e-12) -> DataFrame:
     """anchor, asset, v: half the log of the variance."""
     return diagonal(cov).withColumn("v", 0.5 * F.log(F.greatest("v", F.lit(floor))))
@@ -175,10 +207,13 @@ def spearman(one: DataFrame, two: DataFrame) -> DataFrame:
 
 def vol_metrics(forecast: DataFrame, truth: DataFrame) -> DataFrame:
     """anchor, mse, mae, rmse, qlike, r2 of log volatilities."""
-    both = forecast.join(truth.select("anchor", "asset", F.col("v").alias("y")), ["anchor", "asset"])
-    mean = both.groupBy("anchor").agg(F.avg("y").alias("m"))
+    return vol_losses(forecast.join(truth.select("anchor", "asset", F.col("v").alias("y")), ["anchor", "asset"]), "anchor")
+
+
+def vol_losses(both: DataFrame, *keys: str) -> DataFrame:
+    """keys, mse, mae, qlike, r2, rmse of forecasts v beside truths y, in one aggregation."""
     e, variance = F.col("v") - F.col("y"), F.greatest(F.exp(2 * F.col("v")), F.lit(1e-12))
-    per = both.join(mean, "anchor").groupBy("anchor").agg(
-        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.log(variance) + F.exp(2 * F.col("y")) / variance).alias("qlike"), (1 - F.try_divide(F.sum(e * e), F.sum(F.pow(F.col("y") - F.col("m"), F.lit(2.0))))).alias("r2")
+    per = both.groupBy(*keys).agg(
+        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.log(variance) + F.exp(2 * F.col("y")) / variance).alias("qlike"), (1 - F.try_divide(F.sum(e * e), F.var_pop("y") * F.count("y"))).alias("r2")
     )
     return per.withColumn("rmse", F.sqrt("mse"))

@@ -86,7 +86,23 @@ def _(spark, d):
     return an.wilcoxon(results(spark, d), "roll").select("method", "n", "median_advantage", "w")
 
 
-@query("paired_pvalues")
+#: Student's t by its finite sums for whole degrees of freedom, the normal distribution by Simpson's rule.
+_T_TAIL = """CASE WHEN df % 2 = 0 THEN sin(th) * list_sum([exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * cos(th) ** (2 * j) FOR j IN range(df // 2)])
+  ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * cos(th) ** (2 * j + 1) FOR j IN range((df - 1) // 2)]), 0)) END"""
+_NORMAL = "least(1, 1 - 2 * z / 2000 / 3 / sqrt(2 * pi()) * list_sum([CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (z * j / 2000) ** 2) FOR j IN range(2001)]))"
+_STARS = "CASE WHEN {0} < 0.01 THEN '***' WHEN {0} < 0.05 THEN '**' WHEN {0} < 0.1 THEN '*' ELSE '' END"
+
+
+@query(
+    "paired_pvalues",
+    f"""WITH {_PAIR}, tt AS (SELECT method, count(*) - 1 AS df, atan(abs(avg(value - base) / (stddev_samp(value - base) / sqrt(count(*)))) / sqrt(count(*) - 1)) AS th FROM pair GROUP BY method),
+tp AS (SELECT method, 1 - ({_T_TAIL}) AS t_p FROM tt),
+x AS (SELECT method, base - value AS d FROM pair), r AS (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY method, abs(d)) AS m FROM x WHERE d <> 0),
+w AS (SELECT method, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, sum(m * m - 1) AS ties FROM r GROUP BY method),
+zz AS (SELECT method, abs(w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM w)
+SELECT method, t_p, {_STARS.format("t_p")} AS stars, {_NORMAL} AS wilcoxon_p FROM tp JOIN zz USING (method)""",
+    "t_p wilcoxon_p",
+)
 def _(spark, d):
     rows = results(spark, d)
     return an.paired_t(rows, "roll").select("method", F.col("p").alias("t_p"), "stars").join(an.wilcoxon(rows, "roll").select("method", F.col("p").alias("wilcoxon_p")), "method")
@@ -322,3 +338,20 @@ SELECT q, id, step, q + step AS moved, value, total_weight FROM n, (SELECT unnes
 def _(spark, d):
     near = spark.createDataFrame([(q, q - 24 * k, 1.0 / k) for q in (200, 300) for k in (1, 2, 3)], "q int, id int, total_weight double")
     return an.overlay(near, results(spark, d).where("method = 'model'").select("t", "value"), 5)
+
+
+@query("beyond_limits", f"WITH {_LONG} SELECT date, method, metric, value FROM long WHERE abs(value) > CASE metric WHEN 'ret' THEN 0.004 ELSE 0.005 END", "value", "", "", "date")
+def _(spark, d):
+    return an.beyond(long_results(spark, d), {"ret": 0.004, "size": 0.005}).select("date", "method", "metric", "value")
+
+
+@query("unit_comparison", f"WITH {_LONG} SELECT method, metric, count(value) FILTER (day(date) = 15) AS n, avg(value) FILTER (day(date) = 15) AS mean, max(value) FILTER (day(date) = 15) AS most, avg(value) FILTER (day(date) <> 15) AS mean_outside FROM long GROUP BY ALL", "mean most mean_outside", "n")
+def _(spark, d):
+    """The 15th of the month stands for the year that is looked at."""
+    return an.unit_comparison(long_results(spark, d), F.dayofmonth("date") == 15)
+
+
+@query("run_summary", f"WITH {_LONG} SELECT hour(date)::VARCHAR AS run, metric, avg(value) AS mean, count(value) AS n FROM long WHERE method = 'model' GROUP BY ALL", "mean", "n")
+def _(spark, d):
+    """Hours of the day stand for the runs of an ablation."""
+    return an.run_summary(long_results(spark, d).withColumn("run", F.hour("date").cast("string")), "model")

@@ -14,12 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linalg
+from ..functions.vectors import canonical
+from ..operators import analytics, linalg
 from ..operators.cluster import clusterer
 from ..operators.embed import EMBEDDERS, covariance, imputed, valid
 
-#: Cells of a panel that may be broadcast (8 bytes each): a century of days for a thousand assets.
-BROADCAST_CELLS = 40_000_000
+#: Cells of a panel that may be collected and broadcast (8 bytes each): forty years of days for a thousand assets.
+BROADCAST_CELLS = 10_000_000
+#: Cells of all windows that a fit may hold at once.
+FIT_CELLS = 60_000_000
+#: Rows that a fit takes; those of DENSE need matrices of rows by rows.
+FIT_ROWS, DENSE_ROWS, DENSE = 20_000, 4_000, ("agglomerative_ward", "spectral_rbf", "spectral_knn", "signed_knn_spectral")
 #: Options of clusterers for the registered fits.
 OPTIONS = {"spectral_rbf": {"gamma": 0.05}}
 
@@ -64,6 +69,7 @@ class Config:
     blend_strength: float = 0.35
     blend_threshold: float = 0.75
     blend_power: float = 2.0
+    gmvp_shrink_blend: float = 0.0  # share of the shrunk matrix in what the model's minimum-variance weights are made of
     floor: float = 1.5e-3
     long_only: bool = False
     max_na: float = 0.3
@@ -78,19 +84,22 @@ def matrix(panel: DataFrame) -> tuple[np.ndarray, list[str]]:
         return np.empty((0, 0)), []
     if (size.t + 1) * size.n > BROADCAST_CELLS:
         raise ValueError(f"{size.t + 1} dates of {size.n} assets are too many cells for a fit; choose a universe first")
-    rows = panel.select("t", "asset", "r").toPandas()
-    wide = rows.pivot(index="t", columns="asset", values="r").sort_index()
-    return wide.to_numpy(float), list(wide.columns)
+    assets = sorted(r.asset for r in panel.select("asset").distinct().collect())
+    # an array for each date, so that names aren't collected with each value
+    rows = panel.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("x")).select("t", F.transform(F.col("x.r"), lambda x: F.coalesce(x, F.lit(float("nan")))).alias("r"))
+    wide = rows.toPandas().sort_values("t")
+    if any(len(x) != len(assets) for x in wide["r"]):
+        raise ValueError("the panel is not dense: a date has not every asset once")
+    return np.stack(wide["r"]).astype(float), assets
 
 
 def distances(z: np.ndarray, q: np.ndarray, metric: str, p: float = 2.0) -> np.ndarray:
     d = np.abs(z - q)
-    orders = {"l1": 1, "manhattan": 1, "cityblock": 1, "l2": 2, "euclidean": 2, "lp": p, "chebyshev": np.inf, "linf": np.inf}
+    metric = canonical(metric)
+    orders = {"l1": 1, "l2": 2, "lp": p, "chebyshev": np.inf}
     if metric in orders:
         o = orders[metric]
         return d.max(1) if o == np.inf else (d**o).sum(1) ** (1 / o)
-    if metric not in ("cosine", "angular"):
-        raise ValueError(f"unknown distance {metric!r}")
     c = np.clip(z @ q / np.maximum(np.linalg.norm(z, axis=1) * np.linalg.norm(q), 1e-12), -1, 1)
     return 1 - c if metric == "cosine" else np.arccos(c)
 
@@ -108,6 +117,30 @@ def target_of(x: np.ndarray, kind: str) -> np.ndarray:
     return s
 
 
+def fit_windows(r: np.ndarray, lookback: int) -> list[np.ndarray]:
+    """All windows that embedders are fitted on: each ends before its anchor, whatever the strides."""
+    if max(0, len(r) - lookback) * lookback * r.shape[-1] > FIT_CELLS:
+        raise ValueError(f"{len(r) - lookback} windows of {lookback} dates and {r.shape[-1]} assets are too many cells for a fit; choose a universe or a later start")
+    return [r[a - lookback : a] for a in range(lookback, len(r))]
+
+
+class RegimeModel:
+    """Regimes on their own: fitted to embeddings, asked for memberships."""
+
+    def __init__(self, name: str = "gmm", k: int = 4, **options: float):
+        self.name, self.k, self.options, self.clusters = name, k, options, None
+
+    def fit(self, z: np.ndarray) -> RegimeModel:
+        self.clusters = clusterer(self.name, self.k, **self.options)
+        self.pi = self.clusters.fit(z)
+        return self
+
+    def predict(self, z: np.ndarray) -> np.ndarray:
+        if self.clusters is None:
+            raise RuntimeError("fit() comes first")
+        return self.clusters.predict(np.atleast_2d(z))
+
+
 class Forecaster:
     """Fit on rows up to a date, then forecast from anchors after it."""
 
@@ -121,8 +154,7 @@ class Forecaster:
         c = self.c
         make = EMBEDDERS[c.embedder](**c.embed_options)
         if hasattr(make, "fit"):
-            own = [r[a - c.lookback : a] for a in range(c.lookback, len(r))]
-            make.fit(np.stack([x for x in own if self._valid(x)]))
+            make.fit(np.stack([x for x in fit_windows(r, c.lookback) if self._valid(x)]))
         self.embedder = make
         self.anchors, z, y = [], [], []
         for a in range(c.lookback - 1, len(r) - c.horizon, c.sample_stride):
@@ -245,17 +277,18 @@ def _cov_rows(a: int, c: Config, model: np.ndarray, alpha: np.ndarray, past: np.
     methods["mix"] = linalg.project_spd(sum(w[m] / total * methods[m] for m in methods if m in w)) if total > 0 else shrink
     out = [(a, "model", "guardrail_ratio", float(ratio)), (a, "model", "guardrail_triggered", float(bad)), (a, "model", "blend_lambda", lam), (a, "model", "confidence", conf)]
     for name, s in methods.items():
-        floored = linalg.project_spd(s + c.floor * np.eye(len(s))) if c.floor > 0 else s
+        held = linalg.project_spd((1 - c.gmvp_shrink_blend) * s + c.gmvp_shrink_blend * shrink) if name == "model" and c.gmvp_shrink_blend > 0 else s
+        floored = linalg.project_spd(held + c.floor * np.eye(len(s))) if c.floor > 0 else held
         weights = linalg.gmvp_long_only(floored) if c.long_only else linalg.gmvp(floored)
         rp = ahead @ weights
         rp = rp[np.isfinite(rp)]
         values = {
             "fro": np.linalg.norm(s - truth), "kl": linalg.kl(s, truth), "stein": linalg.stein(s, truth), "logeuc": linalg.log_euclidean_distance(s, truth), "eig_mse": linalg.log_eigenvalue_mse(s, truth),
-            "cond_ratio": linalg.condition(s) / linalg.condition(truth), "nll": linalg.nll(s, imputed(ahead)), "gmvp_hhi": (weights**2).sum(), "gmvp_max_abs": np.abs(weights).max(),
+            "cond_ratio": linalg.condition(s) / linalg.condition(truth), "corr_offdiag": linalg.correlation_distance(s, truth), "corr_spearman": linalg.correlation_spearman(s, truth), "nll": linalg.nll(s, imputed(ahead)), "gmvp_hhi": (weights**2).sum(), "gmvp_max_abs": np.abs(weights).max(),
         }
-        if len(rp) > 1:
-            var = rp.var(ddof=1)
-            values |= {"gmvp_cumret": np.prod(1 + rp) - 1, "gmvp_mean": rp.mean(), "gmvp_var": var, "gmvp_vol": np.sqrt(var), "gmvp_sharpe": rp.mean() / (np.sqrt(var) + 1e-12) * np.sqrt(252)}
+        if len(rp):
+            var = rp.var(ddof=1) if len(rp) > 1 else 0.0
+            values |= {"gmvp_cumret": np.prod(1 + rp) - 1, "gmvp_mean": rp.mean(), "gmvp_var": var, "gmvp_vol": np.sqrt(var), "gmvp_sharpe": rp.mean() / (np.sqrt(var) + 1e-12) * np.sqrt(252) if var > 0 else np.nan}
         out += [(a, name, m, float(x)) for m, x in values.items()]
         out += [(a, name, f"w_{i}", float(x)) for i, x in enumerate(weights)]
     return out
@@ -316,14 +349,14 @@ def one_at_a_time(base: Config, axes: dict[str, list]) -> dict[str, Config]:
 
 def ablation(panel: DataFrame, configs: dict[str, Config]) -> DataFrame:
     """run, metric, mean: means of the model's metrics for each run."""
-    return runs(panel, configs).where("method = 'model'").groupBy("run", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    return analytics.run_summary(runs(panel, configs), "model")
 
 
 def fitted(vectors: DataFrame, name: str, k: int, options: dict) -> DataFrame:
     """id, p: memberships of a clusterer fitted to all vectors (id, z). A fit needs its rows together: a few thousand anchors."""
-    n = vectors.count()
-    if n > 20_000:
-        raise ValueError(f"{n} rows are too many for a fit; sample anchors first")
+    n, most = vectors.count(), DENSE_ROWS if name in DENSE else FIT_ROWS
+    if n > most:
+        raise ValueError(f"{n} rows are too many for a fit of {name}, which takes {most}; sample anchors first")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -333,13 +366,26 @@ def fitted(vectors: DataFrame, name: str, k: int, options: dict) -> DataFrame:
     return vectors.select("id", "z", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, p array<double>")
 
 
+def fitted_labels(vectors: DataFrame, name: str, k: int, **options: float) -> DataFrame:
+    """id, label: the groups that a clusterer with groups of its own (and prototypes of them) makes of all vectors (id, z)."""
+    n = vectors.count()
+    if n > (DENSE_ROWS if name in DENSE else FIT_ROWS):
+        raise ValueError(f"{n} rows are too many for a fit of {name}; sample anchors first")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        return pd.DataFrame({"id": pdf["id"], "label": clusterer(name, k, **options).labels(np.stack(pdf["z"]).astype(float))})
+
+    return vectors.select("id", "z", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, label int")
+
+
 def embedded(panel: DataFrame, name: str, lookback: int, horizon: int, stride: int, options: dict) -> DataFrame:
     """anchor, z: embeddings of a panel's windows. Embedders are fitted on the windows of all rows, whatever the stride."""
     r, _ = matrix(panel)
     spark = panel.sparkSession
     made = EMBEDDERS[name](**options)
     if hasattr(made, "fit"):
-        made.fit(np.stack([r[a - lookback : a] for a in range(lookback, len(r))]))
+        made.fit(np.stack(fit_windows(r, lookback)))
     shared = spark.sparkContext.broadcast((r, made))
 
     def run(batches):

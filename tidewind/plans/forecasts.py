@@ -10,7 +10,7 @@ from ..sources import panels as src
 from .catalog import FLAGS, HOURS, STATUS, VECTORS, query, sql_cov, sql_windows
 from .panels import flags_panel, hours_panel, last_anchor, status_panel
 
-L, H, STRIDE = 50, 20, 60
+L, H, STRIDE = 50, 20, 5
 
 
 def _past_future(spark, d, panel=flags_panel, lookback=L, horizon=H, stride=STRIDE):
@@ -32,6 +32,12 @@ _CORR = "SELECT s.anchor, s.i, s.j, s.v / sqrt(greatest(a.v, 1e-12) * greatest(b
 _SCALED = "v * 1e6 AS v"
 
 
+def kinds(spark, d, panel=flags_panel, made=windows.kind_covariances):
+    """Rolling, persistence and truth side by side, in one pass over the panel."""
+    p = panel(spark, d)
+    return made(p, L, H, STRIDE, last_anchor(p, H))
+
+
 def big(df, c="v"):
     """Variances are of the order of 1e-4: results are compared in millionths."""
     return df.withColumn(c, F.col(c) * 1e6)
@@ -54,8 +60,10 @@ def _(spark, d):
 
 @query("cov_mix", f"WITH {_ALL} SELECT anchor, i, j, 1e6 * (0.25 * roll.v + 0.35 * roll.v * CASE WHEN i = j THEN 1 ELSE 0.7 END + 0.4 * pers.v) AS v FROM roll JOIN pers USING (anchor, i, j)", "v", "anchor")
 def _(spark, d):
-    roll, pers, _ = covs(spark, d)
-    return big(windows.mixed({"model": roll, "shrink": windows.shrunk(roll, 0.3), "pers": pers}, {"model": 0.25, "shrink": 0.35, "pers": 0.4}))
+    w = windows.mix_weights({"model": 0.25, "shrink": 0.35, "pers": 0.4}, ["model", "shrink", "pers"])
+    shrink = F.when(F.col("i") == F.col("j"), F.col("roll")).otherwise(0.7 * F.col("roll"))
+    v = w["model"] * F.col("roll") + w["shrink"] * shrink + w["pers"] * F.col("pers")
+    return big(kinds(spark, d).select("anchor", "i", "j", v.alias("v")))
 
 
 _TRACE = "(SELECT anchor, sum(v) AS trace FROM {} WHERE i = j GROUP BY anchor)"
@@ -80,20 +88,18 @@ vd AS (SELECT anchor, asset, 0.35 * vp.v + 0.5 * vr.v + 0.15 * vs.v AS v FROM vp
 
 
 def vols(spark, d):
-    past, ahead = _past_future(spark, d)
-    parts = (past, past.where(F.col("t") > F.col("anchor") - H), ahead)
-    roll, pers, truth = (windows.log_vol(windows.variances(x)) for x in parts)
-    shrink = windows.vol_to_mean(roll, 0.3)
-    return {"roll": roll, "pers": pers, "shrink": shrink, "damped": windows.damped(pers, roll, shrink, 0.5, 0.15)}, truth
+    """method, anchor, asset, v, y: the baselines beside the truth; one pass over the panel, the methods made of its columns."""
+    from pyspark.sql import Window
+
+    own = kinds(spark, d, made=windows.kind_log_vols).withColumn("shrink", 0.7 * F.col("roll") + 0.3 * F.avg("roll").over(Window.partitionBy("anchor")))
+    own = own.withColumn("damped", (1 - min(1.0, 0.5 + 0.15)) * F.col("pers") + 0.5 * F.col("roll") + 0.15 * F.col("shrink"))
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("v")) for m in ("roll", "pers", "shrink", "damped")])
+    return own.select("anchor", "asset", F.col("truth").alias("y"), F.inline(methods))
 
 
 @query("vol_baselines", f"WITH {_VOLS} SELECT 'roll' AS method, * FROM vr UNION ALL SELECT 'pers', * FROM vp UNION ALL SELECT 'shrink', * FROM vs UNION ALL SELECT 'damped', * FROM vd", "v", "anchor")
 def _(spark, d):
-    out = None
-    for name, v in vols(spark, d)[0].items():
-        one = v.select(F.lit(name).alias("method"), "anchor", "asset", "v")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return vols(spark, d).select("method", "anchor", "asset", "v")
 
 
 _METRIC = """SELECT '{0}' AS method, anchor, avg((h.v - t.v) ** 2) AS mse, avg(abs(h.v - t.v)) AS mae, avg(ln(greatest(exp(2 * h.v), 1e-12)) + exp(2 * t.v) / greatest(exp(2 * h.v), 1e-12)) AS qlike,
@@ -102,18 +108,13 @@ _METRIC = """SELECT '{0}' AS method, anchor, avg((h.v - t.v) ** 2) AS mse, avg(a
 
 @query("vol_metrics", f"WITH {_VOLS} {' UNION ALL '.join(_METRIC.format(m, 'v' + m[0]) for m in ('roll', 'pers', 'shrink', 'damped'))}", "mse mae qlike r2 rmse", "anchor")
 def _(spark, d):
-    forecasts, truth = vols(spark, d)
-    out = None
-    for name, v in forecasts.items():
-        one = windows.vol_metrics(v, truth).select(F.lit(name).alias("method"), "anchor", "mse", "mae", "qlike", "r2", "rmse")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return windows.vol_losses(vols(spark, d), "method", "anchor")
 
 
 @query("cov_fro", f"WITH {_ALL} SELECT anchor, 1e6 * sqrt(sum((roll.v - truth.v) ** 2)) AS value FROM roll JOIN truth USING (anchor, i, j) GROUP BY anchor", "value", "anchor")
 def _(spark, d):
-    roll, _, truth = covs(spark, d)
-    return big(windows.frobenius(roll, truth), "value")
+    gap = F.pow(F.col("roll") - F.col("truth"), F.lit(2.0))
+    return big(kinds(spark, d).groupBy("anchor").agg(F.sqrt(F.sum(gap)).alias("value")), "value")
 
 
 @query("cov_corr_offdiag", f"WITH {_ALL}, a AS ({_CORR.format('roll')}), b AS ({_CORR.format('truth')}) SELECT anchor, sqrt(sum((a.v - b.v) ** 2)) AS value FROM a JOIN b USING (anchor, i, j) WHERE i <> j GROUP BY anchor", "value", "anchor")
@@ -214,11 +215,11 @@ def _(spark, d):
     return _regime_weights(spark, d)
 
 
-_FORECAST = f"{_RW}, y AS (SELECT q, k, dim, sum(w * x) AS y FROM rw JOIN (SELECT id, unnest(z) AS x, unnest(range(len(z))) AS dim FROM v) USING (id) WHERE dim < 8 GROUP BY ALL)"
+_FORECAST = f"{_RW}, y AS (SELECT q, k, dim, sum(w * x) AS y FROM rw JOIN (SELECT id, unnest(z) AS x, unnest(range(len(z))) AS dim FROM v) USING (id) GROUP BY ALL)"
 
 
 def _targets(spark, d):
-    return src.vectors(spark, d).select("id", F.posexplode("z").alias("dim", "v")).where("dim < 8")
+    return src.vectors(spark, d).select("id", F.posexplode("z").alias("dim", "v"))
 
 
 @query("euclidean_forecast", f"WITH {_FORECAST} SELECT q, dim, sum(y * p[k + 1]) AS v FROM y JOIN pi ON pi.id = q GROUP BY ALL", "v", "dim")
@@ -318,10 +319,10 @@ def _(spark, d):
     return filtered(spark, d).select("anchor", F.posexplode("alpha").alias("k", "alpha"))
 
 
-@query("asof_alpha", f"WITH RECURSIVE {_FILTER}, s AS (SELECT * FROM fw WHERE anchor % 10 = 0), q AS (SELECT anchor FROM pi WHERE anchor % 7 = 3) SELECT q.anchor, unnest(range(3)) AS k, unnest(s.x) AS alpha FROM q ASOF JOIN s ON s.anchor < q.anchor", "alpha", "anchor k")
+@query("asof_alpha", f"WITH RECURSIVE {_FILTER}, q AS (SELECT anchor FROM pi) SELECT q.anchor, unnest(range(3)) AS k, unnest(s.x) AS alpha FROM q ASOF JOIN fw s ON s.anchor < q.anchor", "alpha", "anchor k")
 def _(spark, d):
     p = memberships(spark, d)
-    found = regime.as_of(p.where("anchor % 7 = 3").select("anchor"), filtered(spark, d).where("anchor % 10 = 0"))
+    found = regime.as_of(p.select("anchor"), filtered(spark, d))
     return found.select("anchor", F.posexplode("alpha").alias("k", "alpha"))
 
 
@@ -387,3 +388,55 @@ def _(spark, d):
 def _(spark, d):
     w, ahead, _ = fixed_weights(spark, d)
     return big(portfolio.portfolio_variance(w, windows.covariance(ahead)), "variance")
+
+
+# what the model adds to them ----------------------------------------------------------------------------------------------------------
+
+_CONF = "least(greatest((list_max(p) - 1.0 / 3) / (1 - 1.0 / 3), 0), 1)"
+_BLEND = f"""{_ALL}, {_MEMBER}, lm AS (SELECT anchor, {_CONF} AS confidence, 1 - 0.35 * greatest(0.75 - {_CONF}, 0) ** 2 / 0.75 ** 2 AS lam FROM pi)"""
+
+
+def _blended(spark, d):
+    k = kinds(spark, d)
+    one = lambda name: k.select("anchor", "i", "j", F.col(name).alias("v"))
+    return windows.confidence_blend(one("roll"), one("pers"), memberships(spark, d).withColumnRenamed("p", "alpha"))
+
+
+@query("confidence_blend", f"WITH {_BLEND} SELECT anchor, i, j, 1e6 * (lam * roll.v + (1 - lam) * pers.v) AS v, confidence, lam FROM roll JOIN pers USING (anchor, i, j) JOIN lm USING (anchor)", "v confidence lam", "anchor")
+def _(spark, d):
+    return big(_blended(spark, d)).select("anchor", "i", "j", "v", "confidence", F.col("lambda").alias("lam"))
+
+
+@query("blend_stats", f"WITH {_BLEND} SELECT 100.0 * avg((lam < 0.999999)::INT) AS blended_pct, avg(lam) AS lambda_mean, min(lam) AS lambda_min, avg(confidence) AS confidence_mean, count(*) AS n FROM lm WHERE anchor IN (SELECT anchor FROM ends)", "blended_pct lambda_mean lambda_min confidence_mean", "n")
+def _(spark, d):
+    from ..operators import analytics
+
+    return analytics.blend_stats(_blended(spark, d).select("anchor", "confidence", "lambda").distinct())
+
+
+@query("guardrail_reasons", f"WITH {_GUARD} SELECT reason, count(*) AS n FROM gs GROUP BY reason", "", "n")
+def _(spark, d):
+    from ..operators import analytics
+
+    roll, pers, _ = covs(spark, d)
+    return analytics.reason_counts(windows.guarded(pers, roll, windows.shrunk(roll, 0.3), 0.8, 1.2, "ratio_or_invalid").select("anchor", "reason").distinct())
+
+
+@query("neighbour_regime_parts", f"WITH {_RW} SELECT q, rw.id, k, kappa, pk, w, p[k + 1] AS ak, w * p[k + 1] AS part FROM rw JOIN pi ON pi.id = q", "kappa pk w ak part", "k")
+def _(spark, d):
+    return knn.regime_parts(_regime_weights(spark, d), near(spark, d), pi(spark, d).withColumnRenamed("p", "alpha"))
+
+
+@query("regime_top3", f"WITH {_MEMBER} SELECT anchor, place, k FROM (SELECT anchor, row_number() OVER (PARTITION BY anchor ORDER BY x DESC, k) AS place, k FROM (SELECT anchor, unnest(p) AS x, unnest(range(3)) AS k FROM pi))", "", "anchor place k")
+def _(spark, d):
+    found = regime.diagnostics(memberships(spark, d)).select("anchor", F.posexplode("best").alias("place", "k"))
+    return found.select("anchor", (F.col("place") + 1).alias("place"), "k")
+
+
+@query("prob_normalised", f"WITH {HOURS}, s AS (SELECT t AS anchor, list(coalesce(x, 0) - 50 ORDER BY asset) AS x FROM hours GROUP BY t) SELECT anchor, unnest(range(len(x))) AS k, unnest(CASE WHEN list_sum(x) > 0 THEN [v / list_sum(x) FOR v IN x] ELSE [1.0 / len(x) FOR v IN x] END) AS p FROM s", "p", "anchor k")
+def _(spark, d):
+    from ..functions.vectors import normalised
+
+    rows = hours_panel(spark, d).groupBy(F.col("t").alias("anchor")).agg(F.array_sort(F.collect_list(F.struct("asset", "x"))).alias("x"))
+    x = F.transform(F.col("x.x"), lambda v: F.coalesce(v, F.lit(0.0)) - 50)
+    return rows.select("anchor", F.posexplode(normalised(x)).alias("k", "p"))

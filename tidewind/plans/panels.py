@@ -272,6 +272,16 @@ def _(spark, d):
     return flags_panel(spark, d).join(F.broadcast(periods), F.col("date").between(F.col("first"), F.col("last"))).select("date", "label").distinct()
 
 
+@query("cellwise_worst", f"WITH {_CELLS} SELECT date, asset, r, reason FROM cells WHERE reason IS NOT NULL ORDER BY abs(r) DESC, date, asset LIMIT 10", "r", "", "date")
+def _(spark, d):
+    return clean.worst_cells(_cells(spark, d))
+
+
+@query("pooled_percentiles", f"WITH {FLAGS}, s AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS share, unnest(q) AS value FROM (SELECT quantile_cont(r, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q FROM panel)) SELECT * FROM s", "share value")
+def _(spark, d):
+    return panel.pooled_percentiles(flags_panel(spark, d))
+
+
 # windows -----------------------------------------------------------------------------------------------------------------------------
 
 

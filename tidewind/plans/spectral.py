@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import linalg, portfolio
 from . import backtest
-from .catalog import STATUS, query, sql_cov, sql_windows
+from .catalog import FLAGS, SQL, STATUS, query, sql_cov, sql_windows
 from .forecasts import H, L, STRIDE, covs
 from .panels import flags_panel, hours_panel, status_panel
 from ..sources import panels as src
@@ -136,29 +136,238 @@ def _(spark, d):
     return out.select("anchor", F.explode(F.arrays_zip("assets", "w")).alias("z")).select("anchor", F.col("z.assets").alias("asset"), F.round("z.w", 4).alias("w"))
 
 
-# whole fits, without SQL: iterative numerics ------------------------------------------------------------------------------------------
+_FLOOR = f"(SELECT anchor, a + 1.5e-3 AS a, b, d + 1.5e-3 AS d FROM e_roll)"
+
+
+@query("spd_floor_2", f"WITH {_BASE} {_LONG.format('1e3', _FLOOR)}", "v", "anchor")
+def _(spark, d):
+    import numpy as np
+
+    out = linalg.mapped(two(spark, d)[0], ["anchor"], lambda a: linalg.project_spd(a + 1.5e-3 * np.eye(2)))
+    return linalg.unpacked(out, ["anchor"]).withColumn("v", 1e3 * F.col("v"))
+
+
+@query("diag_shrink_2", f"WITH {_BASE}, x AS (SELECT anchor, a, 0.88 * b AS b, d FROM e_roll) {_LONG.format('1e6', 'x')}", "v", "anchor")
+def _(spark, d):
+    import numpy as np
+
+    half = lambda a: linalg.project_spd(0.88 * a + 0.12 * a * np.eye(2), 1e-12)
+    return linalg.unpacked(linalg.mapped(two(spark, d)[0], ["anchor"], half), ["anchor"]).withColumn("v", 1e6 * F.col("v"))
+
+
+@query("corr_target_2", f"WITH {_BASE}, x AS (SELECT anchor, 1.0 AS a, b / sqrt(a * d) AS b, 1.0 AS d FROM e_truth) {_LONG.format('1', 'x')}", "v", "anchor")
+def _(spark, d):
+    out = linalg.mapped(two(spark, d)[2], ["anchor"], lambda a: linalg.project_spd(linalg.correlation(linalg.project_spd(a))))
+    return linalg.unpacked(out, ["anchor"])
+
+
+@query("spd_mean_2", f"WITH {_BASE}, x AS (SELECT anchor, 0.4 * r.a + 0.6 * p.a AS a, 0.4 * r.b + 0.6 * p.b AS b, 0.4 * r.d + 0.6 * p.d AS d FROM e_roll r JOIN e_pers p USING (anchor)) {_LONG.format('1e6', 'x')}", "v", "anchor")
+def _(spark, d):
+    roll, pers, _ = covs(spark, d, status_panel)
+    mean = roll.withColumn("v", 0.4 * F.col("v")).unionByName(pers.withColumn("v", 0.6 * F.col("v"))).groupBy("anchor", "i", "j").agg(F.sum("v").alias("v"))
+    return linalg.unpacked(linalg.mapped(linalg.packed(mean, "anchor"), ["anchor"], linalg.project_spd), ["anchor"]).withColumn("v", 1e6 * F.col("v"))
+
+
+_GW = "(SELECT anchor, (d + 1e-8 - b) / (a + d + 2e-8 - 2 * b) AS wf, (a + 1e-8 - b) / (a + d + 2e-8 - 2 * b) AS wo FROM x)"
+
+
+@query("gmvp_shrink_blend_2", f"WITH {_BASE}, x AS (SELECT anchor, r.a + 1.5e-3 AS a, 0.6 * r.b + 0.4 * 0.7 * r.b AS b, r.d + 1.5e-3 AS d FROM e_roll r), g AS {_GW} SELECT anchor, 'F' AS asset, wf AS w FROM g UNION ALL SELECT anchor, 'O', wo FROM g", "w", "anchor")
+def _(spark, d):
+    """Weights of the matrix blended with the shrunk one (by 0.4), then floored."""
+    import numpy as np
+
+    eye = np.eye(2)
+    blend = lambda a: linalg.project_spd(0.6 * a + 0.4 * (0.7 * a + 0.3 * a * eye))
+    out = linalg.mapped(two(spark, d)[0], ["anchor"], lambda a: linalg.gmvp(linalg.project_spd(blend(a) + 1.5e-3 * eye)), "w array<double>", "w")
+    return out.select("anchor", F.explode(F.arrays_zip("assets", "w")).alias("z")).select("anchor", F.col("z.assets").alias("asset"), "z.w")
+
+
+# embeddings: on two assets they have closed forms ---------------------------------------------------------------------------------------
+
+
+def _embedded(name, panel, columns=None, **options):
+    def run(spark, d):
+        out = backtest.embedded(panel(spark, d), name, L, H, STRIDE, options)
+        return out.select("anchor", F.posexplode("z").alias("dim", "v")) if columns is None else out.select("anchor", *[F.element_at("z", k + 1).alias(c) for c, k in columns.items()])
+
+    return run
+
+
+_STATS = "mean sd q05 q25 q50 q75 q95 iqr change hhi".split()
+query("vol_stats_embed", f"SELECT anchor, {', '.join(_STATS)} FROM ({SQL['vol_stats_embedding']})")(_embedded("vol_stats", flags_panel, {c: k for k, c in enumerate(_STATS)}))
+for _name, _short in (("pca", "pca_embed"), ("corr_eigen", "corr_eig_embed"), ("hybrid", "hybrid_embed")):
+    query(_short)(_embedded(_name, flags_panel, k=5))
+
+query("corr_eig_embed_2", f"WITH {_BASE} SELECT anchor, ln(1 + abs(b) / sqrt(a * d)) AS first, ln(greatest(1 - abs(b) / sqrt(a * d), 1e-12)) AS second FROM e_roll", "first second", "anchor")(_embedded("corr_eigen", status_panel, {"first": 0, "second": 1}, k=2))
+
+#: Imputed rows of each window side by side (x: F, y: O), and sums of squares and products of what is left without the means.
+_PAIRED = f"""{STATUS}, {sql_windows('panel', L, STRIDE, H)},
+im AS (SELECT anchor, t, asset, coalesce(r, avg(r) OVER (PARTITION BY anchor, asset), 0) AS r FROM w),
+xy AS (SELECT anchor, t, max(r) FILTER (asset = 'F') AS x, max(r) FILTER (asset = 'O') AS y FROM im GROUP BY ALL),
+ss AS (SELECT anchor, var_pop(x) * count(*) AS a, covar_pop(x, y) * count(*) AS b, var_pop(y) * count(*) AS d, stddev_samp(x) AS vx, stddev_samp(y) AS vy FROM xy GROUP BY anchor),
+sv AS (SELECT *, sqrt((a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b)) AS s1, sqrt(greatest((a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b), 0)) AS s2, b / (({L} - 1) * (vx + 1e-12) * (vy + 1e-12)) AS c FROM ss),
+sh AS (SELECT *, s1 * s1 / (s1 * s1 + s2 * s2 + 1e-12) AS e1, s2 * s2 / (s1 * s1 + s2 * s2 + 1e-12) AS e2 FROM sv)"""
+
+_TAIL = {"e1": 5, "e2": 6, "l1": 10, "l2": 11, "m1": 15, "m2": 16, "d1": 20, "d2": 21, "pad": 24}
+query("pca_window_2", f"WITH {_PAIRED} SELECT anchor, e1, e2, ln(s1 + 1e-12) AS l1, ln(s2 + 1e-12) AS l2, 0.0::DOUBLE AS m1, 0.0::DOUBLE AS m2, s1 / sqrt({L} - 1) AS d1, s2 / sqrt({L} - 1) AS d2, 0.0::DOUBLE AS pad FROM sh", " ".join(_TAIL), "anchor")(_embedded("pca", status_panel, _TAIL, k=5))
+
+_HYBRID = "l1 l2 e1 e2 entropy vol_mean vol_sd q25 q50 q75 auto_mean auto_sd corr top gap abs_mean abs_sd".split()
+query(
+    "hybrid_embed_2",
+    f"""WITH {_PAIRED}, lg AS (SELECT anchor, x, y, lead(x) OVER o AS x1, lead(y) OVER o AS y1 FROM xy WINDOW o AS (PARTITION BY anchor ORDER BY t)),
+ac AS (SELECT anchor, covar_pop(x, x1) / (sqrt(var_pop(x) * var_pop(x1)) + 1e-12 / count(*)) AS ax, covar_pop(y, y1) / (sqrt(var_pop(y) * var_pop(y1)) + 1e-12 / count(*)) AS ay FROM lg WHERE x1 IS NOT NULL GROUP BY anchor),
+ab AS (SELECT anchor, avg(abs(r)) AS abs_mean, stddev_samp(abs(r)) AS abs_sd FROM im GROUP BY anchor)
+SELECT anchor, ln(s1 + 1e-12) AS l1, ln(s2 + 1e-12) AS l2, e1, e2, -e1 * ln(e1 + 1e-12) - e2 * ln(e2 + 1e-12) AS entropy, (vx + vy) / 2 AS vol_mean, abs(vx - vy) / sqrt(2) AS vol_sd,
+  least(vx, vy) + 0.25 * abs(vx - vy) AS q25, (vx + vy) / 2 AS q50, least(vx, vy) + 0.75 * abs(vx - vy) AS q75, (ax + ay) / 2 AS auto_mean, abs(ax - ay) / sqrt(2) AS auto_sd, c AS corr, 1 + abs(c) AS top, 2 * abs(c) AS gap, abs_mean, abs_sd
+FROM sh JOIN ac USING (anchor) JOIN ab USING (anchor)""",
+    " ".join(_HYBRID), "anchor",
+)(_embedded("hybrid", status_panel, {c: k for k, c in enumerate(_HYBRID)}, k=2))
+
+
+@query("window_spectrum_2", f"WITH {STATUS}, {sql_windows('panel', L, STRIDE, H)}, x AS (SELECT anchor, t, max(r) FILTER (asset = 'F') AS x, max(r) FILTER (asset = 'O') AS y FROM w GROUP BY ALL HAVING count(r) = 2), c AS (SELECT anchor, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM x GROUP BY anchor HAVING count(*) = {L}), e AS ({_EIG.format('c')}) SELECT anchor, 1e6 * hi AS hi, 1e6 * lo AS lo FROM e", "hi lo", "anchor")
+def _(spark, d):
+    """Eigenvalues of the plain covariance of windows without gaps."""
+    import numpy as np
+
+    from ..operators import windows
+    from .forecasts import _past_future
+
+    past = _past_future(spark, d, status_panel)[0]
+    full = past.groupBy("anchor").agg(F.count("r").alias("n")).where(F.col("n") == 2 * L).select("anchor")
+    cov = windows.covariance(past.join(full, "anchor", "left_semi"), ridge=0.0)
+    out = linalg.mapped(linalg.packed(cov, "anchor"), ["anchor"], lambda a: np.linalg.eigvalsh(linalg.sym(a)), "w array<double>", "w")
+    return out.select("anchor", (1e6 * F.element_at("w", 2)).alias("hi"), (1e6 * F.element_at("w", 1)).alias("lo"))
+
+
+# fits -----------------------------------------------------------------------------------------------------------------------------------
+
+_FITS = {"gmm": "gmm_fit", "kmeans_soft": "kmeans_fit", "fuzzy_cmeans": "fcm_fit", "agglomerative_ward": "ward_fit", "spectral_rbf": "spectral_fit", "spectral_knn": "spectral_knn_fit", "signed_knn_spectral": "signed_spectral_fit", "modified_two_stage": "two_stage_fit"}
 
 
 def _fit(name):
     def run(spark, d):
-        return backtest.fitted(src.vectors(spark, d), name, 4, backtest.OPTIONS.get(name, {}))
+        return backtest.fitted(src.vectors(spark, d), name, 4, backtest.OPTIONS.get(name, {})).select("id", F.posexplode("p").alias("k", "p"))
 
     return run
 
 
-for _name, _short in (("gmm", "gmm_fit"), ("kmeans_soft", "kmeans_fit"), ("fuzzy_cmeans", "fcm_fit"), ("agglomerative_ward", "ward_fit"), ("spectral_rbf", "spectral_fit"), ("spectral_knn", "spectral_knn_fit"), ("signed_knn_spectral", "signed_spectral_fit"), ("modified_two_stage", "two_stage_fit")):
+for _name, _short in _FITS.items():
     query(_short)(_fit(_name))
 
 
-def _embed(name):
+#: How far the vectors of a label are moved along their label's axis, so that ten groups stand apart.
+APART = 6.0
+_OUTLIERS = f"""z AS (SELECT vec_id AS id, label, [x + CASE WHEN i - 1 = label THEN {APART} ELSE 0 END FOR x, i IN embedding::DOUBLE[]] AS z FROM (SELECT vec_id, label, embedding FROM embeddings)),
+e AS (SELECT id, unnest(z) AS x, unnest(range(len(z))) AS dim FROM z), m AS (SELECT dim, avg(x) AS m FROM e GROUP BY dim), q AS (SELECT id, sum((x - m) ** 2) AS d2 FROM e JOIN m USING (dim) GROUP BY id)"""
+
+
+def separated(spark, d):
+    v = src.vectors(spark, d)
+    return v.withColumn("z", F.transform("z", lambda x, k: x + F.when(k == F.col("label"), APART).otherwise(0.0)))
+
+
+#: Ten groups want several starts of the mixture, and less fuzziness.
+_GROUP_OPTIONS = {"spectral_rbf": {"gamma": 0.02}, "gmm": {"n_init": 25}, "fuzzy_cmeans": {"m": 1.2}}
+
+
+def _partition(name, k):
     def run(spark, d):
-        return backtest.embedded(flags_panel(spark, d), name, 50, 20, 5, {"k": 5} if name != "vol_stats" else {})
+        """id and the smallest id of its group."""
+        v = separated(spark, d)
+        p = backtest.fitted(v, name, k, _GROUP_OPTIONS.get(name, {}))
+        group = p.select("id", (F.array_position("p", F.array_max("p"))).alias("g"))
+        return group.join(group.groupBy("g").agg(F.min("id").alias("first")), "g").select("id", "first")
 
     return run
 
 
-for _name, _short in (("pca", "pca_embed"), ("corr_eigen", "corr_eig_embed"), ("hybrid", "hybrid_embed"), ("vol_stats", "vol_stats_embed")):
-    query(_short)(_embed(_name))
+for _name, _short in _FITS.items():
+    if _name != "modified_two_stage":
+        query(_short.replace("_fit", "_groups"), "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label) AS first FROM embeddings", "", "id first")(_partition(_name, 10))
+
+
+@query(
+    "two_stage_groups",
+    f"WITH {_OUTLIERS}, o AS (SELECT id, label, d2 >= (SELECT quantile_cont(d2, 0.98) FROM q) AS outlier FROM q JOIN z USING (id)) SELECT id, outlier, min(id) OVER (PARTITION BY outlier, CASE WHEN NOT outlier THEN label END) AS first FROM o",
+    "", "id first",
+)
+def _(spark, d):
+    v = separated(spark, d)
+    p = backtest.fitted_labels(v, "modified_two_stage", 11, quantile=0.98)
+    return p.join(p.groupBy("label").agg(F.min("id").alias("first")), "label").select("id", (F.col("label") == 0).alias("outlier"), "first")
+
+
+# a fit is a fixed point of its own step: the step is made relationally, from the memberships that the fit gives
+
+
+def _long(v):
+    return v.select("id", F.posexplode("z").alias("dim", "x"))
+
+
+def _weighted_means(p, x, w):
+    """k, dim, c: means of x weighted by w, a column of p."""
+    return p.join(x, "id").groupBy("k", "dim").agg((F.sum(w * F.col("x")) / F.sum(w)).alias("c"))
+
+
+_STILL = "SELECT vec_id AS id, 0.0::DOUBLE AS drift FROM embeddings"
+
+
+def _drift(one, two):
+    both = one.join(two.withColumnRenamed("p", "now"), ["id", "k"])
+    return both.groupBy("id").agg(F.round(F.max(F.abs(F.col("p") - F.col("now"))), 3).alias("drift"))
+
+
+@query("kmeans_fixed_point", _STILL, "drift", "id")
+def _(spark, d):
+    """Means of the fit's groups, and each vector's nearest of them: it is in that group again."""
+    v = src.vectors(spark, d)
+    x, p = _long(v), backtest.fitted_labels(v, "kmeans_soft", 4).withColumnRenamed("label", "k")
+    c = x.join(p, "id").groupBy("k", "dim").agg(F.avg("x").alias("c"))
+    far = x.join(F.broadcast(c), "dim").groupBy("id", "k").agg(F.sum(F.pow(F.col("x") - F.col("c"), F.lit(2.0))).alias("d2"))
+    near = far.groupBy("id").agg(F.min_by("k", F.struct("d2", "k")).alias("now"))
+    return p.join(near, "id").select("id", (F.col("k") != F.col("now")).cast("double").alias("drift"))
+
+
+@query("fcm_fixed_point", _STILL, "drift", "id")
+def _(spark, d):
+    """Centres of the fit's memberships (squared), and memberships of those centres: the same again."""
+    v = src.vectors(spark, d)
+    x, p = _long(v), _fit("fuzzy_cmeans")(spark, d)
+    c = _weighted_means(p, x, F.pow("p", F.lit(2.0)))
+    far = x.join(F.broadcast(c), "dim").groupBy("id", "k").agg(F.sum(F.pow(F.col("x") - F.col("c"), F.lit(2.0))).alias("d2"))
+    total = far.groupBy("id").agg(F.sum(1 / F.col("d2")).alias("s"))
+    return _drift(p, far.join(total, "id").select("id", "k", (1 / F.col("d2") / F.col("s")).alias("p")))
+
+
+@query("gmm_fixed_point", _STILL, "drift", "id")
+def _(spark, d):
+    """Weights, means and variances of the fit's memberships, and memberships of those: the same again."""
+    v = separated(spark, d)
+    x, p = _long(v), backtest.fitted(v, "gmm", 10, _GROUP_OPTIONS["gmm"]).select("id", F.posexplode("p").alias("k", "p"))
+    mu = p.join(x, "id").groupBy("k", "dim").agg((F.sum(F.col("p") * F.col("x")) / F.sum("p")).alias("c"), (F.sum(F.col("p") * F.col("x") * F.col("x")) / F.sum("p")).alias("xx"))
+    mu = mu.withColumn("var", F.greatest(F.col("xx") - F.col("c") * F.col("c"), F.lit(0.0)) + 1e-3)
+    weight = p.groupBy("k").agg(F.avg("p").alias("w"))
+    far = x.join(F.broadcast(mu), "dim").groupBy("id", "k").agg(F.sum(F.pow(F.col("x") - F.col("c"), F.lit(2.0)) / F.col("var") + F.log(2 * F.pi() * F.col("var"))).alias("q"))
+    log = far.join(F.broadcast(weight), "k").select("id", "k", (F.log("w") - 0.5 * F.col("q")).alias("l"))
+    top = log.groupBy("id").agg(F.max("l").alias("top"))
+    e = log.join(top, "id").select("id", "k", F.exp(F.col("l") - F.col("top")).alias("e"))
+    return _drift(p, e.join(e.groupBy("id").agg(F.sum("e").alias("s")), "id").select("id", "k", (F.col("e") / F.col("s")).alias("p")))
+
+
+# walk-forward ----------------------------------------------------------------------------------------------------------------------------
+
+_WALK = f"""{FLAGS}, {sql_windows('panel', L, 1, H)}, ok AS (SELECT anchor FROM ends WHERE anchor >= {L + H + 252} AND (anchor - {L + H + 252}) % 5 = 0)"""
+
+
+def _walk(windows, name):
+    return f"{name}_w AS (SELECT * FROM {windows} WHERE anchor IN (SELECT anchor FROM ok)), {sql_cov(f'{name}_w', name)}"
+
+
+_WALKED = f"{_WALK}, {_walk('w', 'roll')}, {_walk(f'(SELECT * FROM w WHERE t > anchor - {H})', 'pers')}, {_walk('f', 'truth')}, shrink AS (SELECT anchor, i, j, v * CASE WHEN i = j THEN 1 ELSE 0.7 END AS v FROM roll)"
+_VOL = "v{0} AS (SELECT anchor, i AS asset, 0.5 * ln(greatest(v, 1e-12)) AS v FROM {1} WHERE i = j)"
+_VOLS = f"{_WALKED}, {_VOL.format('r', 'roll')}, {_VOL.format('p', 'pers')}, {_VOL.format('t', 'truth')}, vs AS (SELECT anchor, asset, 0.7 * v + 0.3 * avg(v) OVER (PARTITION BY anchor) AS v FROM vr)"
+_VOL_ROWS = """SELECT '{0}' AS method, anchor, avg((h.v - t.v) ** 2) AS mse, avg(abs(h.v - t.v)) AS mae, sqrt(avg((h.v - t.v) ** 2)) AS rmse,
+avg(2 * h.v + exp(2 * t.v) / exp(2 * h.v)) AS qlike, 1 - sum((h.v - t.v) ** 2) / (var_pop(t.v) * count(*)) AS r2 FROM v{1} h JOIN vt t USING (anchor, asset) GROUP BY anchor"""
 
 
 @query("backtest_cov")
@@ -166,9 +375,27 @@ def _(spark, d):
     return backtest.run(flags_panel(spark, d), backtest.Config()).select("anchor", "method", "metric", "value")
 
 
+def _baselines(spark, d, config, metrics):
+    rows = backtest.run(flags_panel(spark, d), config).where(F.col("method").isin("roll", "pers", "shrink") & F.col("metric").isin(list(metrics)))
+    return rows.groupBy("method", "anchor").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(name) for m, name in metrics.items()])
+
+
+@query("backtest_cov_baselines", f"WITH {_WALKED} {' UNION ALL '.join(f"SELECT '{m}' AS method, anchor, 1e6 * sqrt(sum((h.v - t.v) ** 2)) AS fro FROM {m} h JOIN truth t USING (anchor, i, j) GROUP BY anchor" for m in ('roll', 'pers', 'shrink'))}", "fro", "anchor")
+def _(spark, d):
+    return _baselines(spark, d, backtest.Config(), {"fro": "fro"}).withColumn("fro", 1e6 * F.col("fro"))
+
+
+VOL_CONFIG = backtest.Config(target="vol", embedder="vol_stats", embed_options={}, clusterer="gmm", metric="l2")
+
+
+@query("backtest_vol_baselines", f"WITH {_VOLS} {' UNION ALL '.join(_VOL_ROWS.format(m, m[0]) for m in ('roll', 'pers', 'shrink'))}", "mse mae rmse qlike r2", "anchor")
+def _(spark, d):
+    return _baselines(spark, d, VOL_CONFIG, {f"vol_{m}": m for m in ("mse", "mae", "rmse", "qlike", "r2")})
+
+
 @query("backtest_vol")
 def _(spark, d):
-    return backtest.run(flags_panel(spark, d), backtest.Config(target="vol", embedder="vol_stats", embed_options={}, clusterer="gmm", metric="l2")).select("anchor", "method", "metric", "value")
+    return backtest.run(flags_panel(spark, d), VOL_CONFIG).select("anchor", "method", "metric", "value")
 
 
 @query("ablation_grid")

@@ -4,23 +4,39 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .panels import parse_date
 
-#: Column names that hold a close, a time, a bid and an ask (fixed values; compared in lower case).
-CLOSE = ("close", "last", "price", "mid")
-TIME = ("timestamp", "datetime", "date_time", "date", "time")
+#: Column names that hold a close and a time, best first, and those of the best quotes (fixed values; compared in lower case).
+CLOSE = ("close", "last", "cl", "adj close", "adj_close")
+TIME = ("timestamp", "date", "datetime", "time", "t")
 BID, ASK = "bid_1", "ask_1"
 
 
+def close_column(names: list[str]) -> str | None:
+    """The column that holds the close: one of CLOSE, else the first whose name has close or last in it."""
+    return next((c for c in CLOSE if c in names), next((n for n in names if "close" in n or "last" in n), None))
+
+
+def quote_column(names: list[str], exact: str, part: str) -> str | None:
+    """The column of the best bid or ask: its own name, else the first that has bid or ask in it and is no size."""
+    return exact if exact in names else next((n for n in names if part in n and "size" not in n), None)
+
+
+def time_column(names: list[str]) -> str | None:
+    """The column that holds the time: one of TIME, else the first."""
+    return next((t for t in TIME if t in names), names[0] if names else None)
+
+
 def ticker_of(path: Column) -> Column:
     """Ticker in an archive's name: what stands before "__", 2 to 5 letters."""
     name = F.regexp_extract(path, r"([^/]+?)\.[A-Za-z0-9.]+$", 1)
@@ -66,15 +82,18 @@ def last_row(raw: bytes) -> tuple[float | None, float | None, float | None, str
         pass
     if last is None:
         return None, None, None, None
-    low = {(k or "").strip().lower(): v for k, v in last.items()}
+    low = {(k or "").strip().lower(): v for k, v in last.items() if isinstance(v, str)}
+    names = list(low)
 
     def number(name: str | None) -> float | None:
         try:
-            return float(low[name]) if name else None
-        except (KeyError, TypeError, ValueError):
+            x = float(low[name]) if name is not None else math.nan
+        except ValueError:
             return None
+        return x if math.isfinite(x) else None
 
-    return number(next((c for c in CLOSE if c in low), None)), number(BID), number(ASK), next((low[t] for t in TIME if t in low), None)
+    when = time_column(names)
+    return number(close_column(names)), number(quote_column(names, BID, "bid")), number(quote_column(names, ASK, "ask")), low[when] if when is not None else None
 
 
 def daily_closes(spark: SparkSession, path: str) -> DataFrame:
@@ -100,9 +119,43 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)$", 1).alias("ending")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
 
 
-def synthetic_panel(spark: SparkSession, n_dates: int = 500, n_assets: int = 20, seed: int = 42, missing: float = 0.012) -> DataFrame:
-    """date, asset, r: business days, later starts of some assets, gaps."""
-    dates = spark.range(n_dates * 2).select(F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date")).where(F.weekday("date") < 5).limit(n_dates)
-    assets = spark.range(n_assets).select(F.format_string("A%03d", "id").alias("asset"), (F.rand(seed) * n_dates / 4).alias("start"))
-    rows = dates.crossJoin(assets).withColumns({"z": F.randn(seed + 1) * 0.01, "u": F.rand(seed + 2)})
-    return rows.select("date", "asset", F.when((F.date_diff("date", F.lit("2010-01-01").cast("date")) >= F.col("start")) & (F.col("u") >= missing), F.col("z")).alias("r"))
+def sample_columns(spark: SparkSession, path: str, rows: int = 5) -> DataFrame:
+    """archive, member, column, kind (double, long or string), role (close, time, bid, ask or null) and the first values, of the first CSV of each archive."""
+
+    def kind(values: list[str]) -> str:
+        for name, of in (("long", int), ("double", float)):
+            try:
+                [of(v) for v in values if v]
+            except ValueError:
+                continue
+            return name
+        return "string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                member, content = next(members(name, bytes(raw)), (None, b""))
+                table = list(csv.reader(io.StringIO(content.decode("utf-8", "replace"))))[: rows + 1]
+                names = [c.strip().lower() for c in table[0]] if table else []
+                roles = {close_column(names): "close", time_column(names): "time"}
+                roles |= {quote_column(names, BID, "bid"): "bid", quote_column(names, ASK, "ask"): "ask"} if close_column(names) is None else {}
+                for k, column in enumerate(names):
+                    values = [row[k] for row in table[1:] if k < len(row)]
+                    out.append((name, member, column, kind(values), roles.get(column), values))
+            yield pd.DataFrame(out, columns=["archive", "member", "column", "kind", "role", "first"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "archive string, member string, column string, kind string, role string, first array<string>")
+
+
+def synthetic_panel(spark: SparkSession, n_dates: int = 3655, n_assets: int = 100, seed: int = 42, missing: float = 0.012, latest: int = 800, outliers: int = 120, size: float = 6.0) -> DataFrame:
+    """date, asset, r: business days, later starts of assets, gaps, and planted outliers of plus or minus size (where a value stands)."""
+    first = F.lit("2007-06-27").cast("date")
+    days = spark.range(n_dates * 2).select(F.date_add(first, F.col("id").cast("int")).alias("date")).where(F.weekday("date") < 5)
+    dates = days.orderBy("date").limit(n_dates).withColumn("t", F.row_number().over(Window.orderBy("date")) - 1)
+    assets = spark.range(n_assets).select(F.format_string("S%03d", "id").alias("asset"), F.col("id").alias("a"), F.floor(F.rand(seed) * latest).alias("start"))
+    rows = dates.crossJoin(F.broadcast(assets)).withColumns({"z": F.randn(seed + 1) * 0.015, "u": F.rand(seed + 2)})
+    planted = spark.range(outliers).select(F.floor(F.rand(seed + 3) * n_dates).alias("t"), F.floor(F.rand(seed + 4) * n_assets).alias("a"), F.when(F.rand(seed + 5) < 0.5, -size).otherwise(size).alias("out")).dropDuplicates(["t", "a"])
+    there = (F.col("t") >= F.col("start")) & (F.col("u") >= missing)
+    return rows.join(F.broadcast(planted), ["t", "a"], "left").select("date", "asset", F.when(there, F.coalesce("out", "z")).alias("r"))

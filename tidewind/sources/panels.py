@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,9 @@ def read_daily_csv(spark: SparkSession, glob: str, value: str = "pvCLCL") -> Dat
 
 
 def read_matrix(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
-    """A matrix in CSV, gzipped or zipped (told by its first bytes), as rows of line number and fields."""
+    """A matrix in CSV, gzipped or zipped (told by its first bytes; of an archive, the named member or its first CSV or parquet), as rows of line number and fields.
+
+    A parquet member's rows are its index or first column and its values as text, under a line of its column names."""
     import csv
     import gzip
     import io
@@ -67,7 +70,15 @@ def read_matrix(spark: SparkSession, path: str, member: str | None = None) -> Da
                 raw = bytes(raw)
                 if raw[:2] == b"PK":
                     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        raw = z.read(member or next(n for n in z.namelist() if n.endswith(".csv")))
+                        name = member or next(n for n in z.namelist() if n.endswith((".csv", ".parquet")))
+                        raw = z.read(name)
+                    if name.endswith(".parquet"):
+                        wide = pd.read_parquet(io.BytesIO(raw))
+                        wide = wide.reset_index() if wide.index.name is not None or wide.index.dtype == object else wide
+                        text = lambda v: "" if pd.isna(v) else str(v)
+                        rows = [[str(c) for c in wide.columns], *([text(v) for v in row] for row in wide.itertuples(index=False))]
+                        yield pd.DataFrame({"line": range(len(rows)), "fields": rows})
+                        continue
                 elif raw[:2] == b"\x1f\x8b":
                     raw = gzip.decompress(raw)
                 rows = list(csv.reader(io.StringIO(raw.decode("utf-8"))))
@@ -76,6 +87,42 @@ def read_matrix(spark: SparkSession, path: str, member: str | None = None) -> Da
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line long, fields array<string>")
 
 
+def read_first_matrix(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """date, asset, value of the first of the paths that loads, a matrix of assets by dates; an error that names them all if none does."""
+    why = []
+    for path in paths:
+        try:
+            lines = read_matrix(spark, path)
+            head = lines.where("line = 0").first()
+        except Exception as e:  # the next one may load; all reasons are told if none does
+            why.append(f"{path}: {str(e).splitlines()[0][:120]}")
+            continue
+        if head is None:
+            why.append(f"{path}: empty")
+            continue
+        dates = F.array(*[F.lit(x) for x in head.fields[1:]])
+        cells = F.arrays_zip(dates.alias("date"), F.slice("fields", 2, max(1, len(head.fields) - 1)).alias("value"))
+        rows = lines.where("line > 0").select(F.trim(F.element_at("fields", 1)).alias("asset"), F.inline(cells))
+        rows = rows.select(parse_date(F.substring("date", 1, 11)).alias("date"), "asset", F.expr("try_cast(value AS DOUBLE)").alias("value"))
+        return rows.where("date IS NOT NULL AND asset <> ''").withColumn("value", finite(F.col("value")))
+    raise FileNotFoundError(f"no matrix could be read: {'; '.join(why) or 'no paths'}")
+
+
+def clean_file(spark: SparkSession, path: str, out: str | None = None, log: str | None = None, policy: str = "drop_date", q99: float = 0.5, largest: float = 1.0, least_filled: float = 0.2) -> DataFrame:
+    """The cleaned panel of a wide parquet table; written to out as a wide table, and its log (a row for each date) to log as CSV, where those are given."""
+    from ..operators import clean
+
+    panel = read_wide(spark, path)
+    flags = clean.date_flags(panel, q99, largest, least_filled)
+    cleaned = clean.apply_policy(panel, flags, policy)
+    if log:
+        action = F.when(F.col("flagged"), policy).otherwise("keep")
+        flags.withColumn("action", action).orderBy("date").coalesce(1).write.mode("overwrite").option("header", True).csv(log)
+    if out:
+        cleaned.groupBy("date").pivot("asset").agg(F.first("r")).orderBy("date").write.mode("overwrite").parquet(out)
+    return cleaned
+
+
 def indexed(rows: DataFrame) -> DataFrame:
     """With t, the place of each date among the distinct dates. There are as many dates as days, so one task numbers them."""
     dates = rows.select("date").distinct().withColumn("t", (F.row_number().over(Window.orderBy("date")) - 1).cast("int"))
@@ -122,14 +169,54 @@ def write_backtest(rows: DataFrame, report: DataFrame, folder: str, config: dict
     rows.write.mode("overwrite").parquet(f"{folder}/backtest.parquet")
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/backtest_csv")
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/report_csv")
-    for name, what in (("config_used", config), ("stats", stats)):
-        if what is not None:
-            rows.sparkSession.createDataFrame([(json.dumps(what, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    if config is not None:
+        import yaml
+
+        write_text(rows.sparkSession, yaml.safe_dump(json.loads(json.dumps(config, default=str)), sort_keys=False), f"{folder}/config_used.yaml")
+    if stats is not None:
+        write_text(rows.sparkSession, json.dumps(stats, indent=2, default=str), f"{folder}/stats.json")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text, through Spark's writers, so that any store that Spark reaches will do."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
 def read_backtest(spark: SparkSession, path: str) -> DataFrame:
-    """A backtest table: the parquet file, or the CSV folder beside it where that is missing."""
+    """A backtest table: the parquet table, or the CSV folder beside it where that is missing. Other errors of reading are errors."""
     try:
         return spark.read.parquet(path)
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.read.option("header", True).option("inferSchema", True).csv(str(Path(path).with_suffix("")) + "_csv")
+
+
+def row_of(rows: DataFrame, **keys) -> DataFrame:
+    """The rows with these values (a date, a choice, an anchor); an error if there are none."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    if not rows.head(1):
+        raise LookupError(f"no row with {', '.join(f'{k} = {v}' for k, v in keys.items())}")
+    return rows
+
+
+def write_universe(spark: SparkSession, universe: DataFrame, folder: str, n: int, facts: dict) -> None:
+    """The first n assets (by place) as a CSV of one column, and a summary of the facts and assets as text."""
+    chosen = universe.where(F.col("place") <= n).orderBy("place").select(F.col("asset").alias("ticker"))
+    chosen.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/universe_{n}")
+    names = [r.ticker for r in chosen.collect()]  # n at most
+    lines = ["Universe summary", *(f"{k}: {v}" for k, v in facts.items()), f"assets: {len(names)}", *(", ".join(names[k : k + 15]) for k in range(0, len(names), 15))]
+    write_text(spark, "\n".join(lines), f"{folder}/universe_summary")
+
+
+def preview(panel: DataFrame, dates: int = 5, assets: int = 5, value: str = "r") -> DataFrame:
+    """The panel's corner: the first dates by the first assets, wide."""
+    first = panel.select("asset").distinct().orderBy("asset").limit(assets)
+    days = panel.select("date").distinct().orderBy("date").limit(dates)
+    rows = panel.join(F.broadcast(first), "asset", "left_semi").join(F.broadcast(days), "date", "left_semi")
+    return rows.groupBy("date").pivot("asset").agg(F.first(value)).orderBy("date")
