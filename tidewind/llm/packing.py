@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +91,7 @@ class Encoder:
         parts = text.split(" ")
         out.append(self._ids(parts[0]) if parts[0] else b"")
         for word in parts[1:]:
-            got = known.get(word)
+            got = known[word]
             if got is None:
                 got = known.put(word, self._ids(" " + word))
             out.append(got)
@@ -288,53 +287,47 @@ def _plain(capacity: int, slack: float):
 
 
 def _island(capacity: int, number: int):
-    """One epoch of one island. Rows: shard, island, elite (whether it comes from the island before), at, length, bins (of each packing), n (bins of the best), least."""
+    """One epoch of one island: its row (shard, island, lengths, packings: the bin of each piece), and the elite that comes from the island before."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        shard, island = key[0].as_py(), key[1].as_py()
-        rows = rows.sort_by([("elite", "ascending"), ("at", "ascending")])
-        mine = rows.filter(pc.invert(rows.column("elite")))
-        lengths = mine.column("length").to_pylist()
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        shard, island = key
+        rows = rows.sort_values("elite")
+        lengths = [int(n) for n in rows["lengths"].iloc[0]]
         rng = random.Random(f"{shard} {island} {number}")
-        packings = []
-        for part in (mine, rows.filter(rows.column("elite"))):
-            if part.num_rows:
-                each = np.array(part.column("bins").to_pylist(), np.int32).T
-                packings += [of_bins(bins.tolist(), lengths) for bins in each]
+        packings = [of_bins([int(b) for b in bins], lengths) for own in rows["packings"] for bins in own]
         if number == 0:
             packings = population(packings[0], lengths, capacity, rng)
         least = least_bins(lengths, capacity)
         packings = epoch(packings, lengths, capacity, rng, least)
-        bins = np.stack([_numbers(p, len(lengths)) for p in packings], axis=1)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(bins.ravel()), bins.shape[1]).cast(pa.list_(pa.int32()))
-        same = lambda x, kind: pa.array(np.full(len(lengths), x), kind)
-        return pa.table(
-            {"shard": same(shard, pa.int64()), "island": same(island, pa.int32()), "elite": same(False, pa.bool_()), "at": mine.column("at"), "length": mine.column("length"), "bins": lists,
-             "n": same(packings[0].score[0], pa.int32()), "square": same(packings[0].score[1], pa.int64()), "least": same(least, pa.int32())}
-        )
+        bins = [_numbers(p, len(lengths)) for p in packings]
+        return pd.DataFrame([(shard, island, False, np.array(lengths, np.int32), bins, packings[0].score[0], packings[0].score[1], least)], columns=["shard", "island", "elite", "lengths", "packings", "n", "square", "least"])
 
     return run
 
 
-_STATE = "shard long, island int, elite boolean, at int, length long, bins array<int>, n int, square long, least int"
+_STATE = "shard long, island int, elite boolean, lengths array<int>, packings array<array<int>>, n int, square long, least int"
 
 
 def evolved(shards: DataFrame, capacity: int, folder: str, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """shard, at, bin: the best packing that a shard's islands find, for each piece of shards (shard, at, length, bin).
 
-    The islands are tasks; after each epoch their packings are written, and the elite of each goes to the next one through the shuffle."""
+    A row of the state is an island (of no more than some thousand pieces), and a task of its own; after each epoch the rows are written,
+    and the elite of each island goes to the next one through the shuffle."""
+    own = shards.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", F.col("length").cast("int").alias("length"), "bin"))).alias("p"))
     zero = F.lit(0).cast("int")
-    state = shards.select("shard", F.explode(F.array(*[F.lit(i).cast("int") for i in range(islands)])).alias("island"), F.lit(False).alias("elite"), "at", "length", F.array("bin").alias("bins"), zero.alias("n"), zero.cast("long").alias("square"), zero.alias("least"))
+    state = own.select(
+        "shard", F.explode(F.array(*[F.lit(i).cast("int") for i in range(islands)])).alias("island"), F.lit(False).alias("elite"), F.col("p.length").alias("lengths"), F.array("p.bin").alias("packings"), zero.alias("n"), zero.cast("long").alias("square"), zero.alias("least")
+    )
     for k in range(epochs):
         if k:
-            moved = state.withColumns({"island": ((F.col("island") + 1) % islands).cast("int"), "elite": F.lit(True), "bins": F.slice("bins", 1, 1)})
+            moved = state.withColumns({"island": ((F.col("island") + 1) % islands).cast("int"), "elite": F.lit(True), "packings": F.slice("packings", 1, 1)})
             state = state.unionByName(moved)
-        state = written(state.groupBy("shard", "island").applyInArrow(_island(capacity, k), _STATE), f"epoch{k}", folder)
+        state = written(state.groupBy("shard", "island").applyInPandas(_island(capacity, k), _STATE), f"epoch{k}", folder)
         best = state.groupBy("shard").agg(F.min(F.struct("n", "square", "island")).alias("b"), F.first("least").alias("least"))
         if not best.where("b.n > least").head(1):
             break
     best = best.select("shard", F.col("b.island").alias("island"))
-    return state.join(best, ["shard", "island"]).select("shard", "at", F.element_at("bins", 1).alias("bin"))
+    return state.join(best, ["shard", "island"]).select("shard", F.posexplode(F.element_at("packings", 1)).alias("at", "bin"))
 
 
 def packed(pieces: DataFrame, capacity: int, folder: str, size: int = SHARD, slack: float = 0.0, **islands: int) -> DataFrame:
