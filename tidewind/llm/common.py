@@ -40,16 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Remembered(dict):
-    """What a task has worked out for short strings, up to a number of bytes; put() forgets all when that is reached."""
+    """What a task has worked out for short strings, up to a number of bytes; None for what it doesn't know.
+
+    When half of the bytes are used, what is there becomes old, and what was old before is forgotten; old things that are asked for become
+    new again, so frequent ones stay."""
 
     def __init__(self, most: int = 24 << 20, longest: int = 48):
         super().__init__()
-        self.most, self.longest, self.held = most, longest, 0
+        self.most, self.longest, self.held, self.old = most // 2, longest, 0, {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key)
+        return None if got is None else self.put(key, got)
 
     def put(self, key: str, value):
         if len(key) <= self.longest:
             self.held += 160 + len(key) + (sum(map(sys.getsizeof, value)) if isinstance(value, tuple) else sys.getsizeof(value))
             if self.held > self.most:
+                self.old = dict(self)
                 self.clear()
                 self.held = 0
             self[key] = value

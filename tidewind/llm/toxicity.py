@@ -172,7 +172,7 @@ class Channel:
         text = text.lower()
         out: set[str] = set()
         for token in set(text.split()):
-            got = self.known.get(token)
+            got = self.known[token]
             if got is None:
                 got = self.known.put(token, self.words(token))
             out.update(got)
@@ -193,7 +193,7 @@ class Model:
         self.known = Remembered(REMEMBERED)
 
     def _own(self, token: str) -> tuple[str, ...]:
-        got = self.known.get(token)
+        got = self.known[token]
         if got is None:
             got = self.known.put(token, tuple({f for w in self.channel.words(token) for f in features(w) if f in self.weights}))
         return got
@@ -293,7 +293,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pd.DataFrame({"toxic": pdf["toxic"], "words": [" ".join(sorted(channel.restore(t))) for t in pdf["text"]]})
 
     sample = docs.join(told, "doc_id").select("toxic", "text").mapInPandas(restored, "toxic int, words string").distinct()
-    rows = [(int(r.toxic), r.words.split(" ")) for r in sample.toLocalIterator()]
+    pool: dict[str, str] = {}  # a word of many texts is held once
+    rows = [(int(r.toxic), [pool.setdefault(w, w) for w in r.words.split(" ")]) for r in sample.toLocalIterator()]
     rows.sort()
     return Model(cost, *fit(rows))
 
