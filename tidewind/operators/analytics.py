@@ -193,8 +193,13 @@ def run_summary(rows: DataFrame, method: str) -> DataFrame:
     return rows.where(F.col("method") == method).groupBy("run", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
+PARETO_RUNS = 20_000
+
+
 def pareto(runs: DataFrame, up: list[str], down: list[str], key: str = "run") -> DataFrame:
-    """Runs that no other run is as good as everywhere and better than somewhere; equal runs stay together. A theta join over runs, of which there are hundreds."""
+    """Runs that no other run is as good as everywhere and better than somewhere; equal runs stay together. A theta join over runs, of which there are hundreds; more than PARETO_RUNS are refused."""
+    if (n := runs.count()) > PARETO_RUNS:
+        raise ValueError(f"{n} runs are too many to compare each with each")
     better = [(c, F.greatest) for c in up] + [(c, F.least) for c in down]
     other = runs.select(*[F.col(c).alias(f"o_{c}") for c, _ in better])
     ge = lambda c, strict: (F.col(f"o_{c}") > F.col(c) if strict else F.col(f"o_{c}") >= F.col(c)) if c in up else (F.col(f"o_{c}") < F.col(c) if strict else F.col(f"o_{c}") <= F.col(c))

@@ -29,7 +29,7 @@ def apply_policy(panel: DataFrame, flags: DataFrame, policy: str, low: float = -
     }
     if policy not in values:
         raise ValueError(f"unknown policy {policy!r}; known: {', '.join(values)}")
-    marked = panel.join(F.broadcast(flags.select("date", "flagged")), "date")
+    marked = panel.join(flags.select("date", "flagged"), "date")
     return marked.withColumn("r", F.when(F.col("flagged"), values[policy]).otherwise(F.col("r"))).drop("flagged")
 
 
@@ -107,7 +107,7 @@ TIERS = {"strict": ("ARTIFACT",), "moderate": ("ARTIFACT", "SUSPICIOUS"), "lenie
 
 
 def drop_tier(panel: DataFrame, classified: DataFrame, tier: str) -> DataFrame:
-    return panel.join(F.broadcast(classified.where(F.col("kind").isin(*TIERS[tier])).select("date")), "date", "left_anti")
+    return panel.join(classified.where(F.col("kind").isin(*TIERS[tier])).select("date"), "date", "left_anti")
 
 
 def tier_stats(panel: DataFrame, classified: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def histogram(panel: DataFrame, unit: str, least: float = 0.5) -> DataFrame:
 def winsorize(panel: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clipped at each asset's quantiles."""
     q = panel.groupBy("asset").agg(F.percentile("r", low).alias("lo"), F.percentile("r", high).alias("hi"))
-    return panel.join(F.broadcast(q), "asset").withColumn("r", F.when(F.col("r").isNotNull(), F.least(F.greatest("r", "lo"), "hi"))).drop("lo", "hi")
+    return panel.join(q, "asset").withColumn("r", F.when(F.col("r").isNotNull(), F.least(F.greatest("r", "lo"), "hi"))).drop("lo", "hi")
 
 
 def clean_on_load(panel: DataFrame, policy: str = "drop_date", **limits: float) -> tuple[DataFrame, DataFrame]:

@@ -49,7 +49,7 @@ def coverage(panel: DataFrame, outlier: float, value: str = "r") -> DataFrame:
 def dense_assets(panel: DataFrame, most_missing: float = 0.6) -> DataFrame:
     """The panel without assets of which more than that share is missing."""
     keep = na_report(panel, "asset").where(F.col("missing") <= most_missing).select("asset")
-    return panel.join(F.broadcast(keep), "asset", "left_semi")
+    return panel.join(keep, "asset", "left_semi")
 
 
 def select_top(quality_rows: DataFrame, forced: list[str], n: int = 150) -> DataFrame:

@@ -126,12 +126,13 @@ def clean_file(spark: SparkSession, path: str, out: str | None = None, log: str
 def indexed(rows: DataFrame) -> DataFrame:
     """With t, the place of each date among the distinct dates. There are as many dates as days, so one task numbers them."""
     dates = rows.select("date").distinct().withColumn("t", (F.row_number().over(Window.orderBy("date")) - 1).cast("int"))
-    return rows.join(F.broadcast(dates), "date")
+    return rows.join(dates, "date")
 
 
 def dense(rows: DataFrame, value: str = "close") -> DataFrame:
     """date, t, asset, value for every date and asset; NULL where rows have none."""
     dates = indexed(rows.select("date").distinct())
+    # the assets of a panel are a few thousand names, however many rows it has
     grid = dates.crossJoin(F.broadcast(rows.select("asset").distinct()))
     return grid.join(rows.select("date", "asset", value), ["date", "asset"], "left")
 
