@@ -423,3 +423,20 @@ def test_pipeline(spark, sf):
     texts = {r.doc_id: r.text for r in now.collect()}
     sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in texts.items() if t and t.split()}
     assert not [(a, b) for a in sets for b in sets if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+
+
+def test_folders_are_shared_and_can_be_tidied(spark):
+    from types import SimpleNamespace
+
+    from tidewind.llm import common
+
+    common.tidy(spark)
+    one = common.written(spark.range(3).toDF("x"), "a")
+    path = one.inputFiles()[0]
+    assert one.count() == 3 and common.tidy(spark) == 1 and common.tidy(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT|No such file"):
+        spark.read.schema("x long").parquet(path).collect()
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default, set=lambda name, value: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+    assert common.fresh(["A", "_a"], "a", "b") == ["__a", "b"] and common.quoted("x`y") == "`x``y`"

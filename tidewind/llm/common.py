@@ -36,7 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidewind-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidewind-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/tidewind-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+#: Folders that this session has made.
+_MADE: list[str] = []
+
+
+def tidy(spark: SparkSession) -> int:
+    """Deletes all folders that this session has made, once their results are written or shown; how many there were."""
+    made = list(dict.fromkeys(_MADE))
+    _MADE.clear()
+    for folder in made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 class Remembered(dict):
