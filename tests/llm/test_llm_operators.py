@@ -409,20 +409,100 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     assert without_toxic(odd, labels.limit(0)).columns == odd.columns and without_toxic(odd, labels.limit(0)).count() == len(ODD)
 
 
-def test_pipeline(spark, sf):
+def brute_lines(rows):
+    """Texts without the lines on ten sites, counted without documents of which more than half of the lines are so spread."""
+    trim = lambda x: x.strip(" \t\n\x0b\x0c\r")
+
+    def spread(among):
+        sites = {}
+        for r in among:
+            for line in (r.text or "").split("\n"):
+                if trim(line):
+                    sites.setdefault(trim(line), set()).add(r.source)
+        return {line for line, at in sites.items() if len(at) >= 10}
+
+    wide = spread(rows)
+    share = lambda r: [trim(x) in wide for x in (r.text or "").split("\n") if trim(x)]
+    gone = spread([r for r in rows if 2 * sum(share(r)) <= len(share(r))])
+    return {r.doc_id: None if r.text is None else "\n".join(x for x in r.text.split("\n") if trim(x) not in gone) for r in rows}
+
+
+def brute_near(rows):
+    """Identifiers that are the least of their components."""
+    sets, root = {}, {}
+    for r in rows:
+        w = re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", w)
+        sets[r.doc_id] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {i for i in ids if top(i) == i}
+
+
+def brute_contaminated(rows, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for i in items:
+        w = words(i.text)
+        k = min(13, len(w))
+        if k:
+            windows.setdefault(k, set()).update(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+    out = set()
+    for r in rows:
+        w = words(r.text)
+        hit = {p for k, known in windows.items() for j in range(len(w) - k + 1) if tuple(w[j : j + k]) in known for p in range(j, j + k)}
+        if hit and 20 * len(hit) >= len(w):
+            out.add(r.doc_id)
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, sf):
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, now = docs.columns, docs
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r.doc_id for r in now.collect()}
-        now = stage(spark, now, sf)
-        after = {r.doc_id for r in now.collect()}
-        assert now.columns == columns and after <= before and (name != "line_dedup" or after == before), name
-    packed = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in packed.collect()} == after
-    texts = {r.doc_id: r.text for r in now.collect()}
-    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in texts.items() if t and t.split()}
-    assert not [(a, b) for a in sets for b in sets if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    before = docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, rows):
+        out = stages[name](spark, spark.createDataFrame(rows, docs.schema), sf)
+        assert out.columns == docs.columns
+        return out.collect()
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    clean = {r.doc_id for r in toxicity(docs, labels).where("predicted = 0").collect()}
+    kept = after("toxicity", before)
+    assert sorted(kept) == sorted(r for r in before if r.doc_id in clean)
+    texts = brute_lines(kept)
+    cut = after("line_dedup", kept)
+    assert {r.doc_id: r.text for r in cut} == texts and len(cut) == len(kept) and any(texts[r.doc_id] != r.text for r in kept)
+    assert all(r.n_chars == (len(r.text) if r.text != old.text else old.n_chars) for r, old in zip(sorted(cut), sorted(kept), strict=True))
+    alone = brute_near(cut)
+    apart = after("near_dedup", cut)
+    assert sorted(apart) == sorted(r for r in cut if r.doc_id in alone) and len(apart) < len(cut)
+    dirty = brute_contaminated(apart, spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+    last = after("decontamination", apart)
+    assert sorted(last) == sorted(r for r in apart if r.doc_id not in dirty) and dirty
+    pieces = stages["packing"](spark, spark.createDataFrame(last, docs.schema), sf).collect()
+    model, fill, lengths = Tokenizer.from_file(packing.default_vocabulary()), {}, {}
+    for r in pieces:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    assert lengths == {r.doc_id: len(model.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in last} and max(fill.values()) <= 1024
+    assert len(fill) <= packing.least_bins([r.length for r in pieces]) + 1
+    # run() is the stages, one after the other
+    whole = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in pieces)
 
 
 def test_folders_are_shared_and_can_be_tidied(spark):
