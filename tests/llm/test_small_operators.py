@@ -195,7 +195,8 @@ def test_tokens_are_the_tokenizers():
     path = packing.default_vocabulary()
     model, mine = Tokenizer.from_file(path), packing.Encoder(path)
     texts = ["", "a", " a  b   c ", "x\n y\t z", "don't stop 123 !!", "<|endoftext|> a", "é à b  c", "a " * 50, "\n\n  x", "日本 語"]
-    for text in texts * 2:
+    long = [" " * 9000, "a" + " " * 9000 + "b", "x" + "\n" * 5000 + " y" + " \t" * 4000 + "z", " " * 5000 + "\n", "a" * 20_000, "é" + "\u3000" * 4500 + "1"]
+    for text in texts + long:
         assert np.frombuffer(mine(text), np.uint32).tolist() == model.encode(text, add_special_tokens=False).ids
 
 

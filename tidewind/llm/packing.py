@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, by_rows, columns, shared_dir, table, written
+from .common import by_rows, columns, shared_dir, table, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -39,14 +39,13 @@ SLACK = 0.002
 WELL_FILLED = 0.998
 #: Lengths among which a bin's exact fill is looked for.
 TRIED = 48
-#: Bytes of words' ids that a task remembers.
-REMEMBERED = 32 << 20
-
 #: Pre-tokenisation of the byte-level BPE vocabulary (a fixed value of its format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The vocabulary file writes bytes as printable characters: these stand for themselves, the others for U+0100 onwards (fixed values).
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: White space as the patterns have it, in very long runs.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4000,}")
 #: The last vocabulary that a worker read.
 _MODELS: dict = {}
 
@@ -70,32 +69,25 @@ def vocabulary(path: str):
 
 
 class Encoder:
-    """Token ids of texts, in 4 bytes each, least first. What lies between single spaces is encoded once and remembered: a token never
-    reaches over the border between a character and a space after it."""
+    """Token ids of texts, in 4 bytes each, least first. A text is encoded whole, outside of Python; nothing is remembered between texts."""
 
     def __init__(self, path: str):
         if path not in _MODELS:
             _MODELS.clear()
             _MODELS[path] = vocabulary(path)
-        self.model, self.known, self.plain = _MODELS[path], Remembered(REMEMBERED), re.compile(r"\s ").search
+        self.model = _MODELS[path]
 
     def _ids(self, text: str) -> bytes:
-        return array("I", self.model.encode(text, allowed_special="all")).tobytes()
+        return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes() if text else b""
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.plain(text):  # white space before a space: its tokens depend on both sides
-            return self._ids(text)
-        known, out = self.known, []
-        parts = text.split(" ")
-        out.append(self._ids(parts[0]) if parts[0] else b"")
-        for word in parts[1:]:
-            got = known[word]
-            if got is None:
-                got = known.put(word, self._ids(" " + word))
-            out.append(got)
-        return b"".join(out)
+        out, last = [], 0
+        # the tokenizer's patterns can't take very long runs of white space: such a run, but for its last character before other text, is one piece
+        for m in _LONG_RUN.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += [self._ids(text[last : m.start()]), array("I", self.model._core_bpe.encode_single_piece(text[m.start() : end].encode())).tobytes()]
+            last = end
+        return b"".join([*out, self._ids(text[last:] if last else text)])
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
