@@ -1,5 +1,6 @@
 """Personal data, packing, page text, toxicity and the automaton against brute force, without Spark where it isn't needed."""
 
+import math
 import random
 import re
 import zlib
@@ -340,6 +341,20 @@ def test_decoding_finds_the_best_of_all_paths():
         assert min(total([c for c, _ in r if c], [n for _, n in r]) for r in among) == pytest.approx(least, abs=1e-4)
 
 
+def test_scores_are_those_of_all_restored_words():
+    rng = np.random.default_rng(5)
+    cost = rng.uniform(0.1, 6, [toxicity.SYMBOLS] * 3).astype(np.float32)
+    channel = toxicity.Channel(cost)
+    words = "idiot moron stupid foo aa sheep ass llama pathetic otter zz".split()
+    weights = {f: float(w) for f, w in zip((f for word in words[::2] for f in toxicity.features(word)), rng.normal(size=40), strict=False)}
+    model, pick = toxicity.Model(cost, weights, -0.3), random.Random(4)
+    change = [lambda w: w, lambda w: w + pick.choice(".,;:"), lambda w: re.sub(f"([{pick.choice('aeiost')}])", r"\1\1\1", w), lambda w: w.replace("o", "0").replace("i", "!"), lambda w: " ".join(w), lambda w: w[0] + w, lambda w: w.upper() + "...", lambda w: f"({w})"]
+    for _ in range(400):
+        text = " ".join(pick.choice(change)(pick.choice([*words, "otherwise", "llano", "aardvark", "x1y"])) for _ in range(6))
+        x = -0.3 + sum(weights[f] for f in {f for w in channel.restore(text) for f in toxicity.features(w)} if f in weights)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-x)))
+
+
 def test_what_is_remembered_is_bounded():
     from tidewind.llm.common import Remembered
 

@@ -55,6 +55,7 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+](?=[ ._*~-]))(?:[ ._*~-]++[^\
 _HINT = re.compile(r"[ ._*~-][^\s][ ._*~-]+[^\s](?![^\W_])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1")
+_ONCE = re.compile(r"(.)\1+")
 
 
 def _symbol(c: int) -> int:
@@ -190,6 +191,9 @@ class Model:
 
     def __init__(self, cost: np.ndarray, weights: dict[str, float], bias: float):
         self.channel, self.weights, self.bias = Channel(cost), weights, bias
+        # how words that have a feature begin: as they are, and with repeated letters once
+        self.heads = {f.rstrip("*")[:4] for f in weights}
+        self.once = {_ONCE.sub(r"\1", h) for h in self.heads}
         self.known = Remembered(REMEMBERED)
 
     def _own(self, token: str) -> tuple[str, ...]:
@@ -198,12 +202,23 @@ class Model:
             got = self.known.put(token, tuple({f for w in self.channel.words(token) for f in features(w) if f in self.weights}))
         return got
 
+    def _may_begin(self, word: str) -> bool:
+        """Whether a reading of a word of letters can begin like a feature: readings differ in how often letters are repeated."""
+        if not _RUN.search(word):
+            return False
+        word, once = _ONCE.sub(r"\1", word), self.once
+        return word[:4] in once or word[:3] in once or word[:2] in once or word[:1] in once
+
     def score(self, text: str | None) -> float:
         found: set[str] = set()
         if text:
             text = text.lower()
+            heads, own_of = self.heads, self._own
             for token in set(text.split()):
-                if own := self._own(token):
+                word = token.rstrip(".,;:")
+                if word.isalpha() and word[:4] not in heads and not self._may_begin(word):
+                    continue  # none of its readings has a feature
+                if own := own_of(token):
                     found.update(own)
             for m in _SPACED.finditer(text) if _HINT.search(text) else ():
                 for w in _LETTERS.findall(self.channel.decode(m[0])):
