@@ -28,14 +28,19 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Where tables go in a local session that names no folder: Spark lets no session set spark.checkpoint.dir once it runs.
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares (spark.checkpoint.dir). Where that is unset, a temporary one for a local master; an error on a cluster."""
     base = bounded(spark).conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidewind-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="tidewind-"))
+        base = _LOCAL[0]
     folder = f"{base.rstrip('/')}/tidewind-{uuid.uuid4().hex}"
     _MADE.append(folder)
     return folder

@@ -4,9 +4,6 @@ For each line hash, a HyperLogLog sketch of its sites is merged by aggregation.
 least. Lines whose estimate is so near to the threshold that the sketch can't decide get exact distinct counts. Every occurrence of a
 boilerplate line goes.
 
-With copied_share (off by default), documents of which more than that share of the lines are so spread are copies of one another rather
-than documents with boilerplate: they count no sites, so that their own lines stay for the near-duplicate operators.
-
 Lines are compared by two independent 64-bit hashes. The thin table of lines (identifier, site, hashes) is written once; texts are read
 for it and for the removal. Up to FILTER_LINES boilerplate lines are a filter in the plan, so that no text is shuffled; more are joined.
 
@@ -66,17 +63,9 @@ def spread_lines(lines: DataFrame, min_sites: int, folder: str, name: str) -> Da
     return written(spread.where(sure).select("h", "g").unionByName(exact.where(F.col("n_sites") >= min_sites).select("h", "g")), name, folder)
 
 
-def boilerplate(docs: DataFrame, min_sites: int, copied_share: float | None, folder: str) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int, folder: str) -> DataFrame:
     """The hashes of boilerplate lines of docs (doc_id, text, site)."""
-    lines = written(line_table(docs), "lines", folder)
-    found = spread_lines(lines, min_sites, folder, "found")
-    if copied_share is None:
-        return found
-    marked = lines.join(hinted(found.withColumn("wide", F.lit(True)), BROADCAST_LINES), ["h", "g"], "left")
-    copied = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("wide").alias("k")).where(F.col("k") > copied_share * F.col("n")).select("doc_id")
-    copied = hinted(written(copied, "copied", folder), BROADCAST_LINES).withColumnRenamed("doc_id", "copy")
-    rest = marked.where("wide").join(copied, F.col("doc_id").eqNullSafe(F.col("copy")), "left_anti").select("doc_id", "site", "h", "g")
-    return spread_lines(rest, min_sites, folder, "rest")
+    return spread_lines(written(line_table(docs), "lines", folder), min_sites, folder, "found")
 
 
 def without_lines(docs: DataFrame, flagged: DataFrame, text_col: str, id_col: str, filter_lines: int = FILTER_LINES) -> tuple[DataFrame, Column, Column]:
@@ -103,10 +92,10 @@ def without_lines(docs: DataFrame, flagged: DataFrame, text_col: str, id_col: st
     return docs, all_lines, kept
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, copied_share: float | None = None, filter_lines: int = FILTER_LINES, counts: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, filter_lines: int = FILTER_LINES, counts: bool = True) -> DataFrame:
     """docs with the boilerplate lines taken from the text, and (with counts) n_lines and n_removed. Kept lines stay as they were, joined by line feeds."""
     folder = shared_dir(docs.sparkSession)
-    flagged = boilerplate(columns(docs, doc_id=id_col, text=text_col, site=site_col), min_sites, copied_share, folder)
+    flagged = boilerplate(columns(docs, doc_id=id_col, text=text_col, site=site_col), min_sites, folder)
     replaced = ["n_lines", "n_removed"] if counts else []
     names = [c for c in docs.columns if c.lower() not in replaced]
     joined, all_lines, kept = without_lines(docs, flagged, text_col, id_col, filter_lines)
