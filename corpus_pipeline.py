@@ -17,8 +17,6 @@ from tidewind.llm.packing import pack_documents
 from tidewind.llm.toxicity import without_toxic
 
 BROADCAST_ROWS = 1_000_000
-#: Documents of which more than this share of the lines are on many sites are copies; their lines are left to the near-duplicate stage.
-COPIED_SHARE = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without boilerplate lines; n_chars follows the text."""
     (before,) = fresh(docs.columns, "before")
-    cleaned = line_dedup(docs.withColumn(before, F.length("text")), copied_share=COPIED_SHARE, counts=False)
+    cleaned = line_dedup(docs.withColumn(before, F.length("text")), counts=False)
     n_chars = F.when(F.length("text") < F.col(before), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cleaned.select(*[F.col(quoted(c)) if c != "n_chars" else n_chars.alias(c) for c in docs.columns])
 
