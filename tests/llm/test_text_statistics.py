@@ -2,12 +2,17 @@
 
 import hashlib
 import random
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tidewind.llm import sentencepieces as sp
+from tidewind.llm import spelling_variants as sv
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -72,3 +77,70 @@ def test_query_13_is_brute_force(spark, sf):
 def test_only_repeated_chunks_are_in_the_table(spark):
     got = {r.chunk: r.n for r in sp.chunk_table(docs_of(spark, [(1, "a b  c", None, None), (2, "b c", None, None), (3, None, None, None), (4, "a", None, None)]), sp.default_model()).collect()}
     assert got == {"a": 2, "b": 2}
+
+
+def edits(word, alphabet):
+    """All words that one edit makes of a word."""
+    out = {word[:k] + word[k + 1 :] for k in range(len(word))}
+    out |= {word[:k] + c + word[k + 1 :] for c in alphabet for k in range(len(word))}
+    out |= {word[:k] + c + word[k:] for c in alphabet for k in range(len(word) + 1)}
+    return out - {word}
+
+
+def test_neighbourhoods_are_full_and_distinct(monkeypatch):
+    monkeypatch.setattr(sv, "AT_ONCE", 64)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 7))) for _ in range(100)] + ["ab" * 90]
+    alphabet, made = np.array(sorted(map(ord, "abéz")), np.uint32), {k: [] for k in range(len(words))}
+    for edit, h, word, place, letter in sv.neighbours(words, alphabet):
+        new = [sv.edited(words[w], edit, p, chr(alphabet[c])) for w, p, c in zip(word.tolist(), place.tolist(), letter.tolist(), strict=True)]
+        for w, c in zip(word.tolist(), new, strict=True):
+            made[w].append(c)
+        full = [k for k, c in enumerate(new) if c]
+        assert (sv.hashes([new[k] for k in full]) == h[full]).all()
+    assert all(sorted(made[k]) == sorted(edits(w, "abéz")) for k, w in enumerate(words))
+
+
+def brute_variants(rows, shortest=7, least=2, ratio=10, every=31):
+    count = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            count[run if every is None or h % every else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    words = {w: n for w, n in count.items() if len(w) >= shortest and n >= least}
+    alphabet, form, out = sorted({c for w in words for c in w}), {}, []
+    for w, n in words.items():
+        near = sorted((c for c in edits(w, alphabet) if c in words), key=lambda c: (-words[c], c))
+        form[w] = (near[0] if near and words[near[0]] >= ratio * n else None, len(near))
+    for w, n in words.items():
+        root = w
+        while form[root][0]:
+            root = form[root][0]
+        out.append((w, form[w][0], root, n, form[w][1], words.get(form[w][0])))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("filter_bytes", [sv.FILTER_BYTES, 1])
+def test_variants_against_brute_force(spark, monkeypatch, filter_bytes):
+    monkeypatch.setattr(sv, "FILTER_BYTES", filter_bytes)  # 1: a filter of one segment
+    rng = random.Random(9)
+    rows = [(None, None), (1, ""), (2, "x" * 4_000 + " " + "x" * 4_000), (3, "x" * 3_999 + " " + "x" * 3_999), (4, "Über Ünder \u00d7\u00f7 123"), (4, "no ids here"), (None, "Straße straße STRASSE " * 5)]
+    stems = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(6, 10))) for _ in range(6)]
+    for k in range(300):
+        words = []
+        for _ in range(rng.randrange(30)):
+            w = rng.choice(stems)
+            if rng.random() < 0.1:
+                w = rng.choice(sorted(edits(w, "abcdéF")))
+            words.append(w.upper() if rng.random() < 0.05 else w)
+        rows.append((k, " ".join(words)))
+    chain = ["aaaaaaa", "aaaaaab", "aaaaabb", "aaaabbb"]  # each form is another word's variant
+    rows += [(5000 + k, " ".join(w for w, n in zip(chain, (2, 20, 200, 2000), strict=True) for _ in range(n // 2))) for k in range(2)]
+    docs = docs_of(spark, [(d, t, None, None) for d, t in rows]).withColumns({"word": F.lit("clash"), "n": F.lit(1)}).repartition(3)
+    for every in (31, None):
+        got = sv.spelling_variants(docs, every=every)
+        assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_variants(rows, every=every)
+    roots = {r.word: r.root for r in got.collect()}
+    assert roots["aaaaaaa"] == roots["aaaabbb"] == "aaaabbb" and sv.spelling_variants(docs.limit(0)).count() == 0

@@ -10,6 +10,7 @@ from .near_dedup import OP9_SQL, op9_near_dedup
 from .packing import op8_packing
 from .pii import op4_pii
 from .sentencepieces import op13_sentencepiece
+from .spelling_variants import OP11_SQL, op11_spelling_variants
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .toxicity import op1_toxicity
 from .warc_archive import OP2_SQL, op2_warc_archive
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
-SQL = {"op2_warc_archive": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL}
+SQL = {"op2_warc_archive": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op11_spelling_variants": OP11_SQL}
