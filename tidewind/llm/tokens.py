@@ -38,7 +38,8 @@ def _weights(offset: np.ndarray, kind: int) -> np.ndarray:
     """The weight of each place of a word."""
     if not len(offset) or offset.max() < _LONGEST:
         return _POWERS[kind][offset]
-    return _POWERS[kind][offset % _LONGEST] * mix((offset // _LONGEST + 1).astype(np.uint64))
+    high = (offset // _LONGEST).astype(np.uint64)
+    return _POWERS[kind][offset % _LONGEST] * np.where(high, mix(high), np.uint64(1))  # short words hash alike beside long ones
 
 
 def _hash(buf: np.ndarray, starts: np.ndarray, lower: bool, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
