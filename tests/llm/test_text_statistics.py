@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from tidewind.llm import phrases as ph
 from tidewind.llm import sentencepieces as sp
 from tidewind.llm import spelling_variants as sv
 
@@ -144,3 +145,71 @@ def test_variants_against_brute_force(spark, monkeypatch, filter_bytes):
         assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_variants(rows, every=every)
     roots = {r.word: r.root for r in got.collect()}
     assert roots["aaaaaaa"] == roots["aaaabbb"] == "aaaabbb" and sv.spelling_variants(docs.limit(0)).count() == 0
+
+
+def brute_phrases(rows, min_count, longest=5, top=2000):
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    f = {key: c for key, c in f.items() if c >= min_count}
+    inside = {}
+    for (lang, w), c in f.items():
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                if j - i < len(w):
+                    inside[lang, w[i:j]] = max(c, inside.get((lang, w[i:j]), 0))
+    out = {}
+    for (lang, w), a in f.items():
+        if len(w) > 1 and inside.get((lang, w), 0) < a:
+            score, cut = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+            out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:cut]], f[lang, w[cut:]]))
+    return sorted((lang, k, w.decode(), -a, left, right, n[lang], -score) for lang, own in out.items() for k, (score, a, w, left, right) in enumerate(sorted(own)[:top], 1))
+
+
+@pytest.mark.parametrize(("part", "largest", "top"), [(1 << 21, 24, 2000), (40, 16, 5)])
+def test_phrases_against_brute_force(spark, monkeypatch, part, largest, top):
+    monkeypatch.setattr(ph, "PART", part)
+    monkeypatch.setattr(ph, "LARGEST", largest)
+    rng = random.Random(part)
+    odd = [None, "", " \t ", "...!?", "one", "a  b\tc\x0bd", "x" * 5_000, "Ünï cödé \u00a0 A\u00a0B", "no end " * 3_000, "a, b; c: d! e? f\ng\rh\x0ci"]
+    rows = [(t, lang) for t in odd for lang in ("en", None, "")]
+    words = ["The", "the", "of", "é", "big", "cat", "sat", "日本", "on"]
+    for k in range(250):
+        text = "".join(rng.choice(words[: rng.randrange(2, 10)]) + rng.choice(["  ", " ", "\t", " ", " ", " ", ". ", "\n"]) for _ in range(rng.randrange(40)))
+        rows.append((text + "once upon a time there was", rng.choice(["en", "de", None, "und"])))
+    docs = docs_of(spark, [(k, t, lang, None) for k, (t, lang) in enumerate(rows)]).withColumns({"phrase": F.lit("clash"), "f": F.lit(1), "k": F.lit(2)}).repartition(3)
+    for least in (2, 12, 300):
+        got = ph.collocations(docs, min_count=least, top=top)
+        assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows, least, top=top)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and ph.collocations(docs.limit(0)).count() == 0
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    n, a, left, right = 9_876_543_210_987, 123_456_789_012, 345_678_901_234, 234_567_890_123
+    counts = spark.createDataFrame([("en", "x y", 2, a), ("en", "x", 1, left), ("en", "y", 1, right)], "lang string, phrase string, k int, f long")
+    from tidewind.llm.common import shared_dir
+
+    got = ph.scored(counts, spark.createDataFrame([("en", n)], "lang string, n long"), shared_dir(spark)).first()
+    assert got.score == 1000 * a * n // (left * right) and 1000 * a * n > 1 << 64
+
+
+def test_sketches_never_underestimate(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd"]) for _ in range(400)) for _ in range(20)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(4)
+    import pyarrow as pa
+
+    for least in (100, 1_000):
+        sketch = ph.sketched(docs, 3, least, f"{tmp_path}/{least}")
+        top, true, of = np.iinfo(sketch.kind).max, Counter(), {}
+        for first, words, own in ph.parts(pa.array(texts), 3):
+            for n, h, whole in words.runs(3, np.repeat(ph._salts(["en"]), len(words.begin)), own):
+                for k in np.flatnonzero(whole).tolist():
+                    true[words.text(k, n)] += 1
+                    of[words.text(k, n)] = h[k]
+        est = sketch.estimate(np.array([of[t] for t in true], np.uint64))
+        assert all(int(e) >= min(top, true[t]) for e, t in zip(est, true, strict=True)) and top >= least

@@ -8,6 +8,7 @@ from .html_extraction import op10_html_extraction
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .packing import op8_packing
+from .phrases import OP12_SQL, op12_phrases
 from .pii import op4_pii
 from .sentencepieces import op13_sentencepiece
 from .spelling_variants import OP11_SQL, op11_spelling_variants
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_html_extraction": op10_html_extraction,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrases": op12_phrases,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
-SQL = {"op2_warc_archive": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op11_spelling_variants": OP11_SQL}
+SQL = {"op2_warc_archive": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_phrases": OP12_SQL}
