@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from ..functions.vectors import entropy, normalised, total
+from . import scan
 
-def in_order(rows: DataFrame) -> WindowSpec:
-    """A series of memberships in order; rows without a column series are one series."""
-    return Window.partitionBy("series" if "series" in rows.columns else F.lit(0)).orderBy("anchor")
+
+def series_of(rows: DataFrame) -> list[str]:
+    """What names a row's series; rows without a column series are one series."""
+    return ["series"] if "series" in rows.columns else []
+
+
+def steps(rows: DataFrame, value: str, size: int = scan.SIZE) -> DataFrame:
+    """b, a: the value of each row but the first of a series, and the one before it."""
+    pairs = scan.latest_before(rows, value, "before", series_of(rows), size=size)
+    return pairs.where("before IS NOT NULL").select(F.col("before").alias("b"), F.col(value).alias("a"))
 
 
 def assigned(pi: DataFrame) -> DataFrame:
     """anchor, state: the first most likely regime."""
-    return pi.select(*[c for c in ("series",) if c in pi.columns], "anchor", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("state"))
+    return pi.select(*series_of(pi), "anchor", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("state"))
 
 
 def _row_normalised(counts: DataFrame, k: int, smooth: float, empty_uniform: bool = True) -> DataFrame:
@@ -30,15 +37,13 @@ def _row_normalised(counts: DataFrame, k: int, smooth: float, empty_uniform: boo
 
 def transition_hard(states: DataFrame, k: int, smooth: float = 10.0, empty_uniform: bool = True) -> DataFrame:
     """From (anchor, state): counts of consecutive states of each series, smoothed and normalised by row."""
-    steps = states.select(F.lag("state").over(in_order(states)).alias("i"), F.col("state").alias("j")).where("i IS NOT NULL")
-    return _row_normalised(steps.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("n")), k, smooth, empty_uniform)
+    return _row_normalised(steps(states, "state").groupBy(F.col("b").alias("i"), F.col("a").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("n")), k, smooth, empty_uniform)
 
 
 def transition_soft(pi: DataFrame, k: int, smooth: float = 10.0) -> DataFrame:
     """From (anchor, p): sums of products of consecutive memberships, smoothed and normalised by row."""
-    steps = pi.select(F.lag("p").over(in_order(pi)).alias("b"), F.col("p").alias("a")).where("b IS NOT NULL")
     cells = F.flatten(F.transform("b", lambda x, i: F.transform("a", lambda y, j: F.struct(i.alias("i"), j.alias("j"), (x * y).alias("x")))))
-    return _row_normalised(steps.select(F.inline(cells)).groupBy("i", "j").agg(F.sum("x").alias("n")), k, smooth)
+    return _row_normalised(steps(pi, "p").select(F.inline(cells)).groupBy("i", "j").agg(F.sum("x").alias("n")), k, smooth)
 
 
 def given_switch(trans: DataFrame) -> DataFrame:
@@ -61,37 +66,18 @@ def step(alpha: Column, p: Column, trans: list[list[float]]) -> Column:
     return F.when(total(now) > 1e-12, F.transform(now, lambda x: x / total(now))).otherwise(p)
 
 
-def forward_filter(pi: DataFrame, trans: list[list[float]], alpha0: list[float] | None = None) -> DataFrame:
-    """anchor, alpha: filtered memberships along a series (one per key is small: K numbers for each anchor). A grouped function, as each step needs the one before."""
-    import numpy as np
-    import pandas as pd
-
-    a = np.array(trans)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("anchor")
-        out, now = [], None if alpha0 is None else np.array(alpha0)
-        for p in pdf["p"]:
-            p = np.asarray(p, float)
-            if now is None:
-                now = p
-            else:
-                q = (now @ a) * p
-                now = q / q.sum() if q.sum() > 1e-12 else p
-            out.append(now.tolist())
-        return pd.DataFrame({"series": pdf["series"], "anchor": pdf["anchor"], "alpha": out})
-
-    series = pi if "series" in pi.columns else pi.withColumn("series", F.lit(0))
-    out = series.select("series", "anchor", "p").groupBy("series").applyInPandas(run, "series int, anchor int, alpha array<double>")
-    return out if "series" in pi.columns else out.drop("series")
+def forward_filter(pi: DataFrame, trans: list[list[float]], alpha0: list[float] | None = None, size: int = scan.SIZE) -> DataFrame:
+    """anchor, alpha (and series): filtered memberships along each series, by a scan over blocks of anchors."""
+    if "series" in pi.columns:
+        return scan.forward_filter(pi, trans, alpha0, size)
+    return scan.forward_filter(pi.withColumn("series", F.lit(0)), trans, alpha0, size).drop("series")
 
 
-def as_of(queries: DataFrame, alpha: DataFrame) -> DataFrame:
-    """For each query (anchor, of a series if there are several): the latest alpha with a smaller anchor. Both lists are merged by one sorted window, without a join of all pairs."""
-    own = ["series"] if "series" in queries.columns else []
+def as_of(queries: DataFrame, alpha: DataFrame, size: int = scan.SIZE) -> DataFrame:
+    """For each query (anchor, of a series if there are several): the latest alpha with a smaller anchor. Both lists are merged and scanned in blocks, without a join of all pairs."""
+    own = series_of(queries)
     both = alpha.select(*own, "anchor", "alpha", F.lit(0).alias("q")).unionByName(queries.select(*own, "anchor", F.lit(None).cast("array<double>").alias("alpha"), F.lit(1).alias("q")))
-    before = Window.partitionBy(*(own or [F.lit(0)])).orderBy("anchor", F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
-    latest = both.withColumn("latest", F.last("alpha", ignorenulls=True).over(before))
+    latest = scan.latest_before(both, "alpha", "latest", own, F.desc("q"), size)
     return latest.where("q = 1").select(*own, "anchor", F.col("latest").alias("alpha"))
 
 
