@@ -80,6 +80,15 @@ def test_only_repeated_chunks_are_in_the_table(spark):
     assert got == {"a": 2, "b": 2}
 
 
+def test_entries_are_found_by_their_digest():
+    own = [f"w{k}" for k in range(500)]
+    ids = [list(range(k % 7)) for k in range(500)]
+    edges = np.append(0, np.cumsum([len(x) for x in ids]))
+    f = sp.Frequent(b"".join(map(sp.digest, own)), np.array([i for x in ids for i in x], "<u2"), edges)
+    at = f.find(own + ["none"])
+    assert at[-1] == -1 and [f.ids[f.edges[k] : f.edges[k + 1]].tolist() for k in at[:-1]] == ids
+
+
 def edits(word, alphabet):
     """All words that one edit makes of a word."""
     out = {word[:k] + word[k + 1 :] for k in range(len(word))}

@@ -5,7 +5,7 @@ crosses the border of a chunk, so each chunk is segmented on its own and a text'
 
 All chunks are counted by aggregation. Those that stand in the documents more than once make up the table and are segmented once, in tasks;
 a chunk that stands there once is segmented where it stands. The most frequent entries of the table, up to TABLE_BYTES, are sent to every
-executor (28 bytes for each, and 2 or 4 for each id) and joined back by position there. If the table has more entries, the chunks of each
+executor (20 bytes for each, and 2 or 4 for each id) and joined back by position there. If the table has more entries, the chunks of each
 distinct text that are not among those are joined with it by shuffles, and what a text needs comes to it as a map. Both ways give the
 same ids.
 
@@ -17,7 +17,6 @@ null; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,11 +32,11 @@ from .common import by_rows, columns, shared_dir, table, written
 #: What a space becomes (a fixed value of the format).
 MARK = "▁"
 #: Bytes of the part of the table that goes to every executor.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 128 << 20
 #: Characters of text of which the chunks are worked on at once; a longer text is worked on alone.
 PART = 4 << 20
-#: Bytes of an entry besides its ids: two hashes, and where its ids begin and end.
-ENTRY = 28
+#: Bytes of an entry besides its ids: two hashes, and where its ids end.
+ENTRY = 20
 
 #: The last model that a worker read.
 _MODELS: dict = {}
@@ -108,7 +107,7 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def chunk_table(docs: DataFrame, path: str) -> DataFrame:
-    """chunk, n, ids (2 or 4 bytes each) of the chunks that docs (text) hold more than once."""
+    """chunk, n, digest, ids (2 or 4 bytes each) of the chunks that docs (text) hold more than once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,43 +122,48 @@ def chunk_table(docs: DataFrame, path: str) -> DataFrame:
         model = model_of(path)
         kind = width(model)
         for batch in batches:
-            ids = segmented(model, batch.column("chunk").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("n"), pa.array([np.array(x, kind).tobytes() for x in ids], pa.binary())], names=["chunk", "n", "ids"])
+            own = batch.column("chunk").to_pylist()
+            ids = pa.array([np.array(x, kind).tobytes() for x in segmented(model, own)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("n"), pa.array([digest(c) for c in own], pa.binary()), ids], names=["chunk", "n", "digest", "ids"])
 
     counted = docs.select("text").mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return counted.where("n > 1").mapInArrow(encode, "chunk string, n long, ids binary")
+    return counted.where("n > 1").mapInArrow(encode, "chunk string, n long, digest binary, ids binary")
 
 
 def width(model) -> str:
     return "<u2" if model.get_piece_size() <= 1 << 16 else "<u4"
 
 
-def digests(own: list[str]) -> np.ndarray:
-    """Two 64-bit halves of a 128-bit hash of each chunk."""
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(c.encode("utf-8", "surrogatepass")) for c in own]), ">u8").reshape(-1, 2).astype(np.uint64)
+def digest(chunk: str) -> bytes:
+    return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
+
+
+def halves(digests: bytes) -> np.ndarray:
+    """The two 64-bit halves of each digest."""
+    return np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64)
 
 
 class Frequent:
-    """The entries that every task has, in arrays sorted by hash."""
+    """The entries that every task has, in arrays sorted by digest. ids: of all entries one after the other, edges: where each one's begin and the last one's end."""
 
-    def __init__(self, own: list[str], ids: list[bytes], kind: str):
-        d = digests(own)
+    def __init__(self, digests: bytes, ids: np.ndarray, edges: np.ndarray):
+        d = halves(digests)
         order = np.argsort(d[:, 0], kind="stable")
         self.h, self.g = d[order, 0], d[order, 1]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))[order] // np.dtype(kind).itemsize
-        self.edges = np.append(0, np.cumsum(sizes)).astype(np.int64 if sizes.sum() >= 1 << 31 else np.int32)
-        self.ids = np.frombuffer(b"".join([ids[k] for k in order]), kind)
+        sizes = np.diff(edges)[order]
+        self.edges = np.append(0, np.cumsum(sizes)).astype(np.int64 if edges[-1] >= 1 << 31 else np.int32)
+        self.ids = ids[np.arange(len(ids)) - np.repeat(self.edges[:-1] - edges[:-1][order], sizes)]
 
     def find(self, own: list[str]) -> np.ndarray:
         """The place of each chunk, or -1."""
         if not len(self.h) or not own:
             return np.full(len(own), -1)
-        d = digests(own)
+        d = halves(b"".join(map(digest, own)))
         at = np.minimum(np.searchsorted(self.h, d[:, 0]), len(self.h) - 1)
         return np.where((self.h[at] == d[:, 0]) & (self.g[at] == d[:, 1]), at, -1)
 
 
-def frequent_level(entries: DataFrame, kind: str, most: int) -> int:
+def frequent_level(entries: DataFrame, most: int) -> int:
     """The least n from which on the table's entries have no more than so many bytes together; 0: all of them."""
     size = F.sum(F.octet_length("ids") + ENTRY)
     levels = entries.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("level")).agg(size.alias("bytes")).collect()  # 63 rows at most
@@ -172,8 +176,18 @@ def frequent_level(entries: DataFrame, kind: str, most: int) -> int:
 
 
 def _collected(entries: DataFrame, kind: str) -> Frequent:
-    got = entries.select("chunk", "ids").toArrow()  # TABLE_BYTES at most, and the chunks themselves
-    return Frequent(got.column("chunk").to_pylist(), got.column("ids").to_pylist(), kind)
+    got = entries.select("digest", "ids").toArrow().combine_chunks()  # TABLE_BYTES at most
+    if not got.num_rows:
+        return Frequent(b"", np.empty(0, kind), np.zeros(1, np.int64))
+
+    def flat(name: str) -> tuple[pa.Buffer, np.ndarray]:
+        c = got.column(name).cast(pa.large_binary()).combine_chunks()
+        c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+        edges = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+        return c.buffers()[2].slice(int(edges[0]), int(edges[-1] - edges[0])), edges - edges[0]
+
+    ids, edges = flat("ids")
+    return Frequent(flat("digest")[0], np.frombuffer(ids, kind), edges // np.dtype(kind).itemsize)
 
 
 def _unknown(shared):
@@ -231,7 +245,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     kind = width(model_of(path))
     docs = columns(docs, doc_id=id_col, text=text_col)
     entries = written(chunk_table(docs, path), "chunks", shared_dir(spark))
-    least = frequent_level(entries, kind, table_bytes)
+    least = frequent_level(entries, table_bytes)
     shared = spark.sparkContext.broadcast(_collected(entries.where(F.col("n") >= least), kind))
     if least:
         # texts are known by a digest, so equal ones share a map and no row number is needed
