@@ -241,3 +241,25 @@ def test_more_queries_than_one_block(spark, monkeypatch):
     whole = {(r.q, r.id, r["rank"]) for r in knn.neighbours(df, df, 3).collect()}
     monkeypatch.setattr(knn, "BLOCK", 9)
     assert {(r.q, r.id, r["rank"]) for r in knn.neighbours(df, df, 3).collect()} == whole and len(whole) == 120
+
+
+@pytest.mark.parametrize(("lookback", "horizon", "stride"), [(20, 5, 7), (20, 10, 5), (12, 4, 8), (7, 3, 2)])
+def test_panes_make_the_covariances_of_all_windows(spark, lookback, horizon, stride):
+    r = np.random.default_rng(lookback).normal(size=(60, 4)) + 5
+    r[np.random.default_rng(1).random(r.shape) < 0.3] = np.nan
+    r[:, 3] = np.nan  # an asset that has nothing
+    p = panel_of(spark, r)
+    got = {(x.anchor, x.i, x.j): (x.roll, x.pers, x.truth) for x in windows.kind_covariances(p, lookback, horizon, stride, 59 - horizon).collect()}
+    one = {(x.anchor, x.i, x.j): x.v for x in windows.rolling_covariance(p, lookback, stride, 59 - horizon).collect()}
+    anchors = range(lookback - 1, 60 - horizon, stride)
+    assert len(got) == len(one) == 16 * len(anchors)
+    for a in anchors:
+        parts = [embed.covariance(x) for x in (r[a - lookback + 1 : a + 1], r[a - horizon + 1 : a + 1], r[a + 1 : a + 1 + horizon])]
+        for i, j in itertools.product(range(4), repeat=2):
+            assert np.allclose(got[a, f"a{i}", f"a{j}"], [s[i, j] for s in parts]) and np.allclose(one[a, f"a{i}", f"a{j}"], parts[0][i, j])
+
+
+def test_dates_are_paired_once(spark):
+    p = panel_of(spark, np.ones((30, 2)))
+    plan = windows.rolling_covariance(p, 10, 1, 29)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan  # no row is repeated for the windows that it is in

@@ -21,8 +21,8 @@ def _past_future(spark, d, panel=flags_panel, lookback=L, horizon=H, stride=STRI
 
 def covs(spark, d, panel=flags_panel):
     """Rolling covariance, persistence (last H rows) and truth (next H rows) of each anchor."""
-    past, ahead = _past_future(spark, d, panel)
-    return windows.covariance(past), windows.covariance(past.where(F.col("t") > F.col("anchor") - H)), windows.covariance(ahead)
+    own = kinds(spark, d, panel)
+    return tuple(own.select("anchor", "i", "j", F.col(name).alias("v")) for name in ("roll", "pers", "truth"))
 
 
 _COV = f"{FLAGS}, {sql_windows('panel', L, STRIDE, H)}, {sql_cov('w', 'roll')}"
@@ -45,7 +45,8 @@ def big(df, c="v"):
 
 @query("cov_long", f"WITH {_COV} SELECT anchor, i, j, {_SCALED} FROM roll", "v", "anchor")
 def _(spark, d):
-    return big(windows.covariance(_past_future(spark, d)[0]))
+    p = flags_panel(spark, d)
+    return big(windows.rolling_covariance(p, L, STRIDE, last_anchor(p, H)))
 
 
 @query("corr_long", f"WITH {_COV} {_CORR.format('roll')}", "v", "anchor")
@@ -386,8 +387,8 @@ def _(spark, d):
 
 @query("portfolio_variance", f"WITH {_W}, {sql_cov('f', 'truth')} SELECT a.anchor, a.method, 1e6 * sum(a.w * v * b.w) AS variance FROM truth JOIN wt a ON a.anchor = truth.anchor AND a.asset = i JOIN wt b ON b.anchor = truth.anchor AND b.asset = j AND b.method = a.method GROUP BY ALL", "variance", "anchor")
 def _(spark, d):
-    w, ahead, _ = fixed_weights(spark, d)
-    return big(portfolio.portfolio_variance(w, windows.covariance(ahead)), "variance")
+    w, _, _ = fixed_weights(spark, d)
+    return big(portfolio.portfolio_variance(w, covs(spark, d)[2]), "variance")
 
 
 # what the model adds to them ----------------------------------------------------------------------------------------------------------

@@ -88,12 +88,11 @@ def _(spark, d):
     import numpy as np
     import pandas as pd
 
-    from ..operators import windows
     from .forecasts import _past_future
 
-    past, ahead = _past_future(spark, d, status_panel)
+    ahead = _past_future(spark, d, status_panel)[1]
     rows = ahead.groupBy("anchor", "t").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("x")).groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("t", F.col("x.r").alias("x")))).alias("x"))
-    both = linalg.packed(windows.covariance(past), "anchor").join(rows.select("anchor", F.col("x.x").alias("x")), "anchor").select("anchor", "m", "x")
+    both = linalg.packed(covs(spark, d, status_panel)[0], "anchor").join(rows.select("anchor", F.col("x.x").alias("x")), "anchor").select("anchor", "m", "x")
 
     def run(batches):
         for pdf in batches:
