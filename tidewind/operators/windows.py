@@ -130,52 +130,48 @@ def confidence_blend(model: DataFrame, persistent: DataFrame, alpha: DataFrame,
     return both.withColumn("v", F.col("lambda") * F.col("v") + (1 - F.col("lambda")) * F.col("p")).drop("p")
 
 
+#: Sums that a covariance is made of: dates, dates with both assets, their products and sums, and each asset's own dates and sum.
+_SUMS = ("n", "both", "xy", "x", "y", "ni", "xi", "nj", "yj")
+
+
 def comoments(panel: DataFrame, width: int, offset: int = 0, value: str = "r") -> DataFrame:
-    """pane, i, j (i <= j), n, both, xy, x, y: of the dates t with floor((t - offset) / width) = pane, how many there are, and sums over those on which both assets have a value.
+    """pane, i, j (i <= j) and _SUMS over the dates t with floor((t - offset) / width) = pane.
 
     A date's pairs are made next to its values and summed before they are shuffled; nothing is repeated for the windows that a pane is in."""
     pane = F.floor((F.col("t") - offset) / width).cast("int")
     rows = panel.groupBy(pane.alias("pane"), "t").agg(F.array_sort(F.collect_list(F.struct("asset", F.col(value).alias("r")))).alias("a"))
-    pairs = F.flatten(F.transform("a", lambda p, k: F.transform(F.slice("a", k + 1, F.size("a") - k), lambda q: F.struct(p["asset"].alias("i"), q["asset"].alias("j"), p["r"].alias("x"), q["r"].alias("y")))))
-    there = F.col("x").isNotNull() & F.col("y").isNotNull()
-    part = lambda x: F.coalesce(F.sum(F.when(there, x)), F.lit(0.0))
+    pairs = F.flatten(F.transform("a", lambda p, k: F.transform(F.slice("a", k + 1, F.size("a") - k), lambda q: F.struct(p["asset"].alias("i"), q["asset"].alias("j"), p["r"].alias("u"), q["r"].alias("v")))))
+    there = F.col("u").isNotNull() & F.col("v").isNotNull()
+    total = lambda x, cond=None: F.coalesce(F.sum(x if cond is None else F.when(cond, x)), F.lit(0.0))
     return rows.select("pane", F.inline(pairs)).groupBy("pane", "i", "j").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(there).alias("both"), part(F.col("x") * F.col("y")).alias("xy"), part(F.col("x")).alias("x"), part(F.col("y")).alias("y")
+        F.count(F.lit(1)).alias("n"), F.count_if(there).alias("both"), total(F.col("u") * F.col("v")).alias("xy"), total(F.col("u"), there).alias("x"), total(F.col("v"), there).alias("y"),
+        F.count("u").alias("ni"), total(F.col("u")).alias("xi"), F.count("v").alias("nj"), total(F.col("v")).alias("yj"),
     )
 
 
-#: Sums that a covariance is made of.
-_SUMS = ("n", "both", "xy", "x", "y")
-
-
 def rolling_covariances(panel: DataFrame, spans: dict[str, tuple[int, int]], first: int, stride: int, last: int, value: str = "r", ddof: int = 1, ridge: float = RIDGE) -> DataFrame:
     """anchor, i, j and a covariance for each span (name: first and last date, counted from the anchor), for the anchors first, first + stride, ... <= last.
 
-    Dates are summed in panes that all spans are made of, and a span's sums are running sums of panes, so a date's pairs are made once,
-    however many windows hold it. A missing value is imputed with its window's mean: with m the means of what is there, the sum of
-    products is xy - m_i * y - m_j * x + both * m_i * m_j."""
-    begin = min(a for a, _ in spans.values())
+    Dates are summed in panes that all spans are made of, and a span's sums are those of its panes, by one window over a pair's panes. A
+    missing value is imputed with its window's mean: with m the means of what is there, the sum of products is
+    xy - m_i * y - m_j * x + both * m_i * m_j."""
+    begin, end = min(a for a, _ in spans.values()), max(b for _, b in spans.values())
     width = math.gcd(stride, *[a - begin for a, _ in spans.values()], *[b - a + 1 for a, b in spans.values()])
     offset = (first + begin) % width
-    panes = comoments(panel, width, offset, value)
-    ends = F.col("pane") * width + offset + width - 1  # the last date of a pane
     by = Window.partitionBy("i", "j").orderBy("pane")
-    out = None
-    for name, (a, b) in spans.items():
-        # the sums of the panes up to the one that ends the span
-        over = by.rowsBetween(-((b - a + 1) // width) + 1, 0)
-        sums = panes.select("i", "j", (ends - b).alias("anchor"), *[F.sum(c).over(over).alias(c) for c in _SUMS])
-        sums = sums.where((F.col("anchor") >= first) & (F.col("anchor") <= last) & ((F.col("anchor") - first) % stride == 0))
-        part = F.array(F.struct(F.lit(name).alias("span"), *_SUMS))
-        sums = sums.select(F.col("anchor").cast("int").alias("anchor"), "i", "j", F.inline(part))
-        out = sums if out is None else out.unionByName(sums)
-    mean = out.where("i = j").select("anchor", "span", F.col("i").alias("asset"), F.coalesce(F.try_divide("x", "both"), F.lit(0.0)).alias("m"))
-    keys = ["anchor", "span"]
-    both = out.join(mean.select(*keys, F.col("asset").alias("i"), F.col("m").alias("mi")), [*keys, "i"]).join(mean.select(*keys, F.col("asset").alias("j"), F.col("m").alias("mj")), [*keys, "j"])
-    s = F.col("xy") - F.col("mi") * F.col("y") - F.col("mj") * F.col("x") + F.col("both") * F.col("mi") * F.col("mj")
-    v = s / F.greatest(F.lit(1), F.col("n") - ddof) + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)
-    cov = both.groupBy("anchor", "i", "j").agg(*[F.max(F.when(F.col("span") == name, v)).alias(name) for name in spans])
-    return cov.unionByName(cov.where("i <> j").select("anchor", F.col("j").alias("i"), F.col("i").alias("j"), *spans))
+
+    def covariance_of(a: int, b: int) -> Column:
+        over = by.rowsBetween(-((end - a + 1) // width) + 1, -((end - b) // width))
+        n, both, xy, x, y, ni, xi, nj, yj = (F.sum(c).over(over) for c in _SUMS)
+        mi, mj = (F.coalesce(F.try_divide(total, count), F.lit(0.0)) for total, count in ((xi, ni), (yj, nj)))
+        return (xy - mi * y - mj * x + both * mi * mj) / F.greatest(F.lit(1), n - ddof) + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)
+
+    # a row of a pane stands for the anchor whose last span ends with it
+    anchor = (F.col("pane") * width + (offset + width - 1 - end)).cast("int")
+    cov = comoments(panel, width, offset, value).select(anchor.alias("anchor"), "i", "j", *[covariance_of(a, b).alias(name) for name, (a, b) in spans.items()])
+    cov = cov.where((F.col("anchor") >= first) & (F.col("anchor") <= last) & ((F.col("anchor") - first) % stride == 0))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return cov.select("anchor", F.inline(both), *spans)
 
 
 def rolling_covariance(panel: DataFrame, lookback: int, stride: int, last: int) -> DataFrame:
