@@ -12,7 +12,7 @@ from tidewind.functions import stats
 from tidewind.functions.vectors import lp, metric
 from tidewind.operators import embed, linalg
 from tidewind.operators.cluster import CLUSTERERS, UNSUPPORTED, clusterer, kmeans
-from tidewind.plans import backtest
+from tidewind.plans import backtest, walkforward
 from tidewind.sources import config
 
 
@@ -115,8 +115,8 @@ def test_metric_names():
     with pytest.raises(ValueError):
         lp(0)
     assert metric("Manhattan") is metric("l1") and metric("l_inf") is metric("chebyshev")
-    assert backtest.distances(np.array([[0.0, 3.0], [4.0, 0.0]]), np.zeros(2), "l2").tolist() == [3, 4]
-    assert backtest.distances(np.array([[0.0, 1.0]]), np.array([1.0, 0.0]), "angular")[0] == pytest.approx(math.pi / 2)
+    assert walkforward.distances(np.array([[0.0, 3.0], [4.0, 0.0]]), np.zeros(2), "l2").tolist() == [3, 4]
+    assert walkforward.distances(np.array([[0.0, 1.0]]), np.array([1.0, 0.0]), "angular")[0] == pytest.approx(math.pi / 2)
 
 
 def test_config(tmp_path):
@@ -152,4 +152,5 @@ def test_schedule_and_grid():
     assert plan[0] == (85, 85) and all(a - f < SMALL.refit and f <= a for a, f in plan) and plan[-1][0] <= 214
     assert len(backtest.grid(SMALL, {"tau": [1.0, 2.0], "x": [{"metric": "l1"}, {"metric": "l2", "k_neighbors": 3}]})) == 4
     assert len(backtest.one_at_a_time(SMALL, {"tau": [1.0, 2.0], "metric": ["l1"]})) == 3
-    assert backtest._epoch(prices()[:30], SMALL, 25, [25]) == []
+    first, step, number = walkforward.starts(SMALL, 220)
+    assert sorted({f for _, f in plan}) == [first + step * k for k in range(number)] and walkforward.starts(SMALL, 60)[2] == 0

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewind.operators import analytics, clean, knn, panel, regime, windows
-from tidewind.plans import backtest
+from tidewind.plans import backtest, walkforward
 from tidewind.sources import archives, panels
 from tidewind.streaming.regimes import filter_stream, panel_stream
 
@@ -55,7 +55,7 @@ def test_neighbours_are_all_of_brute_force(spark):
     for name in ("l1", "l2", "chebyshev", "cosine", "angular"):
         got = knn.neighbours(df.where("id % 10 = 0"), df, 4, name).orderBy("q", "rank").collect()
         for q in range(0, 60, 10):
-            d = backtest.distances(z, z[q], name)
+            d = walkforward.distances(z, z[q], name)
             order = [i for i in np.lexsort((np.arange(60), np.round(d, 12))) if i != q][:4]
             assert [x.id for x in got if x.q == q] == order
     assert knn.eligible(knn.neighbours(df.where("id = 5"), df, 20), 4, 20, 10).count() == 0

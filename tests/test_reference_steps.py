@@ -1,6 +1,5 @@
 """Steps of the reference against plain formulas: embeddings, clusterers, hold statistics, series, sources."""
 
-import dataclasses
 import datetime as dt
 import itertools
 import math
@@ -10,12 +9,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from test_numerics import SMALL, prices, spd
+from test_numerics import spd
 from test_operators import panel_of
 
 from tidewind.functions.vectors import canonical
 from tidewind.operators import cluster, embed, linalg, portfolio, regime, windows
-from tidewind.plans import backtest
+from tidewind.plans import backtest, walkforward
 from tidewind.sources import archives, panels, paths
 
 
@@ -120,16 +119,6 @@ def test_correlation_losses():
     assert linalg.mean_ranks(np.array([3.0, 1.0, 3.0, 2.0])).tolist() == [3.5, 1, 3.5, 2] and math.isnan(linalg.correlation_spearman(np.eye(3), a[:3, :3]))
 
 
-def test_backtest_has_the_whole_bundle(spark):
-    rows = {(m, k): v for _, m, k, v in backtest._epoch(prices(), SMALL, 100, [105])}
-    for method in ("model", "mix", "roll", "pers", "shrink"):
-        assert {"fro", "kl", "stein", "logeuc", "eig_mse", "cond_ratio", "corr_offdiag", "corr_spearman", "nll", "gmvp_sharpe", "gmvp_var"} <= {k for m, k in rows if m == method}
-    blended = {(m, k): v for _, m, k, v in backtest._epoch(prices(), dataclasses.replace(SMALL, gmvp_shrink_blend=1.0, diag_shrink=0.0), 100, [105])}
-    assert blended["model", "fro"] != blended["shrink", "fro"] and blended["model", "w_0"] == pytest.approx(blended["shrink", "w_0"]) and blended["model", "w_0"] != pytest.approx(rows["model", "w_0"])
-    with pytest.raises(ValueError, match="too many cells"):
-        backtest.fit_windows(np.zeros((30_000, 100)), 50)
-
-
 def test_regime_model():
     z = np.vstack([np.random.default_rng(0).normal(c, 0.1, size=(20, 2)) for c in (0, 5)])
     model = backtest.RegimeModel("gmm", 2)
@@ -139,7 +128,7 @@ def test_regime_model():
     with pytest.raises(ValueError):
         canonical("nothing")
     assert canonical(" L_inf ") == "chebyshev" and canonical("euclidean") == "l2" and canonical("LP") == "lp"
-    assert backtest.distances(np.array([[0.0, 3.0]]), np.zeros(2), "infinity").tolist() == [3]
+    assert walkforward.distances(np.array([[0.0, 3.0]]), np.zeros(2), "infinity").tolist() == [3]
 
 
 def test_columns_of_archives(spark, tmp_path):

@@ -26,7 +26,16 @@ def valid(x: np.ndarray, most_na: float = 0.3, least_assets: float = 0.8, least_
     return bool(x.size and (~ok).mean() <= most_na and ok.any(0).mean() >= least_assets and ok.any(1).mean() >= least_dates)
 
 
-class CorrEigen:
+class Embedder:
+    def embed(self, x: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """What the window gives without the others: all of it, unless there is a fit."""
+        return self.embed(x)
+
+
+class CorrEigen(Embedder):
     """Logs of the k largest eigenvalues of the correlation matrix; zeros if there are fewer assets."""
 
     def __init__(self, k: int = 32):
@@ -40,7 +49,7 @@ class CorrEigen:
         return np.log(np.maximum(np.linalg.eigvalsh(s / d[:, None] / d[None])[::-1][: self.k], FLOOR))
 
 
-class VolStats:
+class VolStats(Embedder):
     def embed(self, x: np.ndarray) -> np.ndarray:
         x = imputed(x)
         t = len(x)
@@ -58,7 +67,7 @@ def lag_correlation(x: np.ndarray) -> np.ndarray:
     return (one * two).sum(0) / (np.sqrt((one**2).sum(0) * (two**2).sum(0)) + FLOOR)
 
 
-class HybridState:
+class HybridState(Embedder):
     """Spectrum, volatility, autocorrelation, correlation and size of a window: 2k + 13 numbers."""
 
     def __init__(self, k: int = 5):
@@ -82,25 +91,46 @@ class HybridState:
         ])
 
 
-class PcaWindow:
+class PcaWindow(Embedder):
     """Principal coordinates of flattened windows, then of the window's own decomposition shares, log singular values and, over time, means
     and deviations of the scores of each component; each padded to k: 5k numbers.
 
     The decomposition is exact, with the sign that makes each axis' largest loading positive."""
 
+    #: Windows that are flattened at once.
+    PART = 512
+
     def __init__(self, k: int = 40):
         self.k = k
 
-    def fit(self, windows: np.ndarray) -> PcaWindow:
-        flat = self._flat(windows)
-        self.mean, sd = flat.mean(0), flat.std(0)
+    def fit(self, windows: np.ndarray, rows: np.ndarray | None = None) -> PcaWindow:
+        """From the windows [M, T, N], or those of the given rows. A view of a panel will do: it is taken part by part, and the largest matrix has the smaller of M and T * N rows."""
+        rows = np.arange(len(windows)) if rows is None else rows
+        parts = [rows[a : a + self.PART] for a in range(0, len(rows), self.PART)]
+        n, d = len(rows), windows.shape[1] * windows.shape[2]
+        total, square = np.zeros(d), np.zeros(d)
+        for own in parts:
+            total += self._flat(windows[own]).sum(0)
+        self.mean = total / n
+        for own in parts:
+            square += ((self._flat(windows[own]) - self.mean) ** 2).sum(0)
+        sd = np.sqrt(square / n)
         self.sd = np.where(sd > 0, sd, 1.0)
-        z = (flat - self.mean) / self.sd
-        wide = z.shape[1] > len(z)
-        w, u = np.linalg.eigh(z @ z.T if wide else z.T @ z)  # the smaller of both
-        order = np.argsort(w)[::-1][: min(max(self.k, 1), len(z) - 1)]
+        wide = d > n
+        if wide:  # asset by asset, each with all windows
+            columns = [np.arange(windows.shape[1]) * windows.shape[2] + j for j in range(windows.shape[2])]
+            of = lambda j: (self._flat(windows[rows][:, :, [j]]) - self.mean[columns[j]]) / self.sd[columns[j]]
+            gram = sum((x := of(j)) @ x.T for j in range(windows.shape[2]))
+        else:
+            gram = sum((z := self._scaled(windows[own])).T @ z for own in parts)
+        w, u = np.linalg.eigh(gram)
+        order = np.argsort(w)[::-1][: min(max(self.k, 1), n - 1)]
         order = order[w[order] > 1e-10 * max(w.max(), FLOOR)]
-        axes = (z.T @ u[:, order]) / np.sqrt(w[order]) if wide else u[:, order]
+        axes = u[:, order]
+        if wide:
+            axes = np.zeros((d, len(order)))
+            for j, at in enumerate(columns):
+                axes[at] = of(j).T @ u[:, order] / np.sqrt(w[order])
         self.axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
         return self
 
@@ -109,13 +139,26 @@ class PcaWindow:
         x = imputed(windows)
         return (x - x.mean(-2, keepdims=True)).reshape(len(x), -1)
 
-    def embed(self, x: np.ndarray) -> np.ndarray:
-        scores = ((self._flat(x[None]) - self.mean) / self.sd @ self.axes)[0]
+    def _scaled(self, windows: np.ndarray) -> np.ndarray:
+        return (self._flat(windows) - self.mean) / self.sd
+
+    def _padded(self, v: np.ndarray) -> np.ndarray:
+        return np.pad(v[..., : self.k], [(0, 0)] * (v.ndim - 1) + [(0, max(0, self.k - v.shape[-1]))])
+
+    def coordinates(self, windows: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The principal coordinates of the windows of the given rows, padded to k."""
+        parts = [self._scaled(windows[rows[a : a + self.PART]]) @ self.axes for a in range(0, len(rows), self.PART)]
+        return self._padded(np.vstack(parts))
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """What the window gives without the others."""
         c = imputed(x)
         u, sv, _ = np.linalg.svd(c - c.mean(0), full_matrices=False)
-        own = u[:, : self.k] * sv[: self.k]
-        pad = lambda v: np.pad(v[: self.k], (0, max(0, self.k - len(v))))
-        return np.concatenate([pad(scores), pad(sv**2 / ((sv**2).sum() + FLOOR)), pad(np.log(sv + FLOOR)), pad(own.mean(0)), pad(own.std(0, ddof=min(1, len(own) - 1)))])
+        scores = u[:, : self.k] * sv[: self.k]
+        return np.concatenate([self._padded(v) for v in (sv**2 / ((sv**2).sum() + FLOOR), np.log(sv + FLOOR), scores.mean(0), scores.std(0, ddof=min(1, len(scores) - 1)))])
+
+    def embed(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.coordinates(x[None], np.zeros(1, int))[0], self.own(x)])
 
 
 EMBEDDERS = {"corr_eigen": CorrEigen, "vol_stats": VolStats, "hybrid": HybridState, "pca": PcaWindow}

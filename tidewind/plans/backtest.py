@@ -1,28 +1,20 @@
-"""Walk-forward backtest: fits are independent of each other, so each refit epoch is one group of one distributed job.
-
-The panel of a run is a matrix of dates by assets, broadcast once its size is checked; embeddings, memberships, neighbours and forecasts
-of an epoch are made from rows up to its refit date alone, then evaluated on what follows."""
+"""Walk-forward backtests, ablations and fits: what they are configured by, and the forecaster on its own. walkforward.py runs them."""
 
 from __future__ import annotations
 
 import dataclasses
 import itertools
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import canonical
 from ..operators import analytics, linalg
 from ..operators.cluster import clusterer
-from ..operators.embed import EMBEDDERS, covariance, imputed, valid
+from ..operators.embed import EMBEDDERS, valid
+from . import walkforward
+from .walkforward import Regimes, combined, target_of
 
-#: Cells of a panel that may be collected and broadcast (8 bytes each): forty years of days for a thousand assets.
-BROADCAST_CELLS = 10_000_000
-#: Cells of all windows that a fit may hold at once.
-FIT_CELLS = 60_000_000
 #: Rows that a fit takes; those of DENSE need matrices of rows by rows.
 FIT_ROWS, DENSE_ROWS, DENSE = 20_000, 4_000, ("agglomerative_ward", "spectral_rbf", "spectral_knn", "signed_knn_spectral")
 #: Options of clusterers for the registered fits.
@@ -77,53 +69,6 @@ class Config:
     min_dates: float = 0.5
 
 
-def matrix(panel: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Dates by assets, and the assets' names. The size is checked before anything is collected."""
-    size = panel.agg(F.max("t").alias("t"), F.count_distinct("asset").alias("n")).first()
-    if size.t is None:
-        return np.empty((0, 0)), []
-    if (size.t + 1) * size.n > BROADCAST_CELLS:
-        raise ValueError(f"{size.t + 1} dates of {size.n} assets are too many cells for a fit; choose a universe first")
-    assets = sorted(r.asset for r in panel.select("asset").distinct().collect())
-    # an array for each date, so that names aren't collected with each value
-    rows = panel.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("x")).select("t", F.transform(F.col("x.r"), lambda x: F.coalesce(x, F.lit(float("nan")))).alias("r"))
-    wide = rows.toPandas().sort_values("t")
-    if any(len(x) != len(assets) for x in wide["r"]):
-        raise ValueError("the panel is not dense: a date has not every asset once")
-    return np.stack(wide["r"]).astype(float), assets
-
-
-def distances(z: np.ndarray, q: np.ndarray, metric: str, p: float = 2.0) -> np.ndarray:
-    d = np.abs(z - q)
-    metric = canonical(metric)
-    orders = {"l1": 1, "l2": 2, "lp": p, "chebyshev": np.inf}
-    if metric in orders:
-        o = orders[metric]
-        return d.max(1) if o == np.inf else (d**o).sum(1) ** (1 / o)
-    c = np.clip(z @ q / np.maximum(np.linalg.norm(z, axis=1) * np.linalg.norm(q), 1e-12), -1, 1)
-    return 1 - c if metric == "cosine" else np.arccos(c)
-
-
-def target_of(x: np.ndarray, kind: str) -> np.ndarray:
-    s = covariance(x)
-    if kind == "vol":
-        return 0.5 * np.log(np.maximum(np.diag(s), 1e-12))
-    s = linalg.project_spd(s)
-    if kind == "precision":
-        return linalg.precision(s)
-    if kind == "corr":
-        d = np.sqrt(np.maximum(np.diag(s), 1e-12))
-        return linalg.project_spd(s / d[:, None] / d[None])
-    return s
-
-
-def fit_windows(r: np.ndarray, lookback: int) -> list[np.ndarray]:
-    """All windows that embedders are fitted on: each ends before its anchor, whatever the strides."""
-    if max(0, len(r) - lookback) * lookback * r.shape[-1] > FIT_CELLS:
-        raise ValueError(f"{len(r) - lookback} windows of {lookback} dates and {r.shape[-1]} assets are too many cells for a fit; choose a universe or a later start")
-    return [r[a - lookback : a] for a in range(lookback, len(r))]
-
-
 class RegimeModel:
     """Regimes on their own: fitted to embeddings, asked for memberships."""
 
@@ -142,7 +87,7 @@ class RegimeModel:
 
 
 class Forecaster:
-    """Fit on rows up to a date, then forecast from anchors after it."""
+    """Fit on a matrix of dates by assets up to a date, then forecast from anchors after it."""
 
     def __init__(self, c: Config):
         self.c = c
@@ -152,67 +97,28 @@ class Forecaster:
 
     def fit(self, r: np.ndarray) -> Forecaster:
         c = self.c
-        make = EMBEDDERS[c.embedder](**c.embed_options)
-        if hasattr(make, "fit"):
-            make.fit(np.stack([x for x in fit_windows(r, c.lookback) if self._valid(x)]))
-        self.embedder = make
-        self.anchors, z, y = [], [], []
+        self.embedder = EMBEDDERS[c.embedder](**c.embed_options)
+        if hasattr(self.embedder, "fit"):
+            # each window ends before its anchor, whatever the strides
+            self.embedder.fit(np.stack([x for x in (r[a - c.lookback : a] for a in range(c.lookback, len(r))) if self._valid(x)]))
+        anchors, z, y = [], [], []
         for a in range(c.lookback - 1, len(r) - c.horizon, c.sample_stride):
             past, ahead = r[a - c.lookback + 1 : a + 1], r[a + 1 : a + 1 + c.horizon]
             if self._valid(past) and self._valid(ahead):
-                self.anchors.append(a), z.append(make.embed(past)), y.append(target_of(ahead, c.target))
+                anchors.append(a), z.append(self.embedder.embed(past)), y.append(target_of(ahead, c.target))
         if len(z) < c.min_samples:
             raise ValueError(f"{len(z)} windows, {c.min_samples} needed")
-        self.anchors, self.z, self.y = np.array(self.anchors), np.stack(z), np.stack(y)
+        self.y = np.stack(y)
         if c.target != "vol" and c.aggregator == "logeuc":
             self.y = linalg.logm(self.y)  # once for each window, not for each forecast
-        self.clusters = clusterer(c.clusterer, c.n_regimes, **c.cluster_options)
-        self.pi = self.clusters.fit(self.z)
-        k = c.n_regimes
-        if len(self.pi) < 2:
-            self.a = np.eye(k)
-        else:
-            rows = self.pi if c.transition == "soft" else np.eye(k)[self.pi.argmax(1)]
-            self.a = rows[:-1].T @ rows[1:] + c.trans_smooth
-            self.a /= self.a.sum(1, keepdims=True)
-        self.alpha = [self.pi[0]]
-        for p in self.pi[1:]:
-            self.alpha.append(self._step(self.alpha[-1], p))
+        self.regimes = Regimes(c, np.array(anchors), np.stack(z))
         return self
 
-    def _step(self, alpha: np.ndarray, p: np.ndarray) -> np.ndarray:
-        q = (alpha @ self.a) * p
-        return q / q.sum() if q.sum() > 1e-12 else p
-
     def predict(self, r: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray]:
         """Forecast and regime probabilities at an anchor, of r up to it."""
-        c = self.c
-        e = self.embedder.embed(r[anchor - c.lookback + 1 : anchor + 1])
-        p = self.clusters.predict(e[None])[0]
-        before = np.flatnonzero(self.anchors <= anchor - 1)
-        alpha = {"filtered": self._step(self.alpha[before[-1]], p) if len(before) else p, "pi": p, "uniform": np.full(c.n_regimes, 1 / c.n_regimes)}[c.alpha_source]
-        alpha = (1 - c.alpha_smooth) * alpha + c.alpha_smooth / c.n_regimes
-        if c.alpha_hard:
-            alpha = np.eye(c.n_regimes)[alpha.argmax()]
-        d = distances(self.z, e, c.metric, c.p)
-        order = np.lexsort((self.anchors, d))
-        k = min(c.k_neighbors, len(order))
-        order = order if c.strict else order[: min(c.overshoot * k, len(order))]
-        near = order[self.anchors[order] <= anchor - c.horizon - max(c.gap, 0)][:k]
-        if not len(near):
-            raise ValueError("no neighbour is old enough")
-        kappa = np.exp(-(d[near] - d[near].min()) / max(c.tau, 1e-12))
-        w = (kappa / kappa.sum())[:, None] * self.pi[near]
-        w /= np.maximum(w.sum(0, keepdims=True), 1e-12)
-        per = np.tensordot(w.T, self.y[near], 1)
-        if c.target == "vol":
-            return alpha @ per, alpha
-        if c.aggregator == "logeuc":
-            per = linalg.expm(per)
-        s = linalg.project_spd(np.tensordot(alpha, linalg.project_spd(per), 1))
-        if c.diag_shrink > 0:
-            s = linalg.project_spd((1 - c.diag_shrink) * s + c.diag_shrink * np.diag(np.diag(s)), 1e-12)
-        return s, alpha
+        e = self.embedder.embed(r[anchor - self.c.lookback + 1 : anchor + 1])
+        alpha, near, w = self.regimes.ask(self.c, e, anchor)
+        return combined(self.c, alpha, w, self.y[near]), alpha
 
 
 def schedule(n_dates: int, c: Config) -> list[tuple[int, int]]:
@@ -225,93 +131,13 @@ def schedule(n_dates: int, c: Config) -> list[tuple[int, int]]:
     return out
 
 
-def _epoch(r: np.ndarray, c: Config, refit: int, anchors: Iterable[int]) -> list[tuple[int, str, str, float]]:
-    """(anchor, method, metric, value) of the anchors of one fit; an anchor that can't be forecast is left out."""
-    try:
-        f = Forecaster(c).fit(r[: refit + 1])
-    except ValueError:
-        return []
-    out = []
-    for a in sorted(anchors):
-        past, ahead = r[a - c.lookback + 1 : a + 1], r[a + 1 : a + 1 + c.horizon]
-        if not (valid(past, c.max_na, c.min_assets, c.min_dates) and valid(ahead, c.max_na, c.min_assets, c.min_dates)):
-            continue
-        try:
-            model, alpha = f.predict(r, a)
-        except ValueError:
-            continue
-        out += [(a, "model", f"regime_prob_{k}", float(x)) for k, x in enumerate(alpha)]
-        out += (_vol_rows if c.target == "vol" else _cov_rows)(a, c, model, alpha, past, ahead)
-    return out
-
-
-def _vol_rows(a: int, c: Config, model: np.ndarray, alpha: np.ndarray, past: np.ndarray, ahead: np.ndarray) -> list:
-    truth, roll, pers = (target_of(x, "vol") for x in (ahead, past, past[-c.horizon :]))
-    shrink = (1 - c.shrink_gamma) * roll + c.shrink_gamma * roll.mean()
-    model = (1 - min(1.0, c.vol_roll + c.vol_shrink)) * model + c.vol_roll * roll + c.vol_shrink * shrink
-    out = []
-    for name, v in {"model": model, "mix": c.vol_mix * model + (1 - c.vol_mix) * shrink, "roll": roll, "pers": pers, "shrink": shrink}.items():
-        e, var = v - truth, np.maximum(np.exp(2 * v), 1e-12)
-        sst = ((truth - truth.mean()) ** 2).sum()
-        values = {"vol_mse": (e**2).mean(), "vol_mae": np.abs(e).mean(), "vol_rmse": np.sqrt((e**2).mean()), "vol_qlike": (np.log(var) + np.exp(2 * truth) / var).mean(), "vol_r2": 1 - (e**2).sum() / sst if sst > 0 else np.nan}
-        out += [(a, name, m, float(x)) for m, x in values.items()]
-    return out
-
-
-def _cov_rows(a: int, c: Config, model: np.ndarray, alpha: np.ndarray, past: np.ndarray, ahead: np.ndarray) -> list:
-    truth, roll, pers = (linalg.project_spd(covariance(x)) for x in (ahead, past, past[-c.horizon :]))
-    shrink = linalg.project_spd((1 - c.shrink_gamma) * roll + c.shrink_gamma * np.diag(np.diag(roll)))
-    ratio = np.trace(model) / np.trace(roll) if np.trace(roll) > 0 else np.nan
-    if np.isfinite(ratio) and ratio > 0:
-        model = model * (np.clip(ratio, c.trace_lo, c.trace_hi) / ratio)
-    bad = not np.isfinite(ratio) or c.guardrail == "ratio_or_invalid" and not c.trace_lo <= ratio <= c.trace_hi
-    model = shrink if bad else model
-    k = len(alpha)
-    conf = float(np.clip((alpha.max() - 1 / k) / (1 - 1 / k), 0, 1)) if k > 1 else 1.0
-    unc = max(0.0, (c.blend_threshold - conf) / c.blend_threshold) if c.blend_threshold > 0 else 1 - conf
-    lam = 1 - c.blend_strength * unc**c.blend_power
-    model = linalg.project_spd(lam * model + (1 - lam) * pers)
-    methods = {"model": model, "roll": roll, "pers": pers, "shrink": shrink}
-    w = {m: max(0.0, c.mix.get(m, 0.0)) for m in methods}
-    total = sum(w.values())
-    methods["mix"] = linalg.project_spd(sum(w[m] / total * methods[m] for m in methods if m in w)) if total > 0 else shrink
-    out = [(a, "model", "guardrail_ratio", float(ratio)), (a, "model", "guardrail_triggered", float(bad)), (a, "model", "blend_lambda", lam), (a, "model", "confidence", conf)]
-    for name, s in methods.items():
-        held = linalg.project_spd((1 - c.gmvp_shrink_blend) * s + c.gmvp_shrink_blend * shrink) if name == "model" and c.gmvp_shrink_blend > 0 else s
-        floored = linalg.project_spd(held + c.floor * np.eye(len(s))) if c.floor > 0 else held
-        weights = linalg.gmvp_long_only(floored) if c.long_only else linalg.gmvp(floored)
-        rp = ahead @ weights
-        rp = rp[np.isfinite(rp)]
-        values = {
-            "fro": np.linalg.norm(s - truth), "kl": linalg.kl(s, truth), "stein": linalg.stein(s, truth), "logeuc": linalg.log_euclidean_distance(s, truth), "eig_mse": linalg.log_eigenvalue_mse(s, truth),
-            "cond_ratio": linalg.condition(s) / linalg.condition(truth), "corr_offdiag": linalg.correlation_distance(s, truth), "corr_spearman": linalg.correlation_spearman(s, truth), "nll": linalg.nll(s, imputed(ahead)), "gmvp_hhi": (weights**2).sum(), "gmvp_max_abs": np.abs(weights).max(),
-        }
-        if len(rp):
-            var = rp.var(ddof=1) if len(rp) > 1 else 0.0
-            values |= {"gmvp_cumret": np.prod(1 + rp) - 1, "gmvp_mean": rp.mean(), "gmvp_var": var, "gmvp_vol": np.sqrt(var), "gmvp_sharpe": rp.mean() / (np.sqrt(var) + 1e-12) * np.sqrt(252) if var > 0 else np.nan}
-        out += [(a, name, m, float(x)) for m, x in values.items()]
-        out += [(a, name, f"w_{i}", float(x)) for i, x in enumerate(weights)]
-    return out
-
-
 ROWS = "run string, anchor int, method string, metric string, value double"
 
 
 def runs(panel: DataFrame, configs: dict[str, Config]) -> DataFrame:
-    """run, anchor, method, metric, value: all epochs of all runs side by side."""
-    spark: SparkSession = panel.sparkSession
-    r, _ = matrix(panel)
-    shared = spark.sparkContext.broadcast(r)
-    plans = [(name, refit, [a for a, _ in own]) for name, c in configs.items() for refit, own in itertools.groupby(schedule(len(r), c), key=lambda x: x[1])]
-    if not plans:
-        return spark.createDataFrame([], ROWS)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(p.run, *row) for p in pdf.itertuples() for row in _epoch(shared.value, configs[p.run], p.refit, p.anchors)]
-        return pd.DataFrame(rows, columns=["run", "anchor", "method", "metric", "value"])
-
-    epochs = spark.createDataFrame(plans, "run string, refit int, anchors array<int>")
-    return with_turnover(epochs.groupBy("run", "refit").applyInPandas(run, ROWS))
+    """run, anchor, method, metric, value: all runs, which share the fits that they can."""
+    out = walkforward.runs(panel, configs)
+    return panel.sparkSession.createDataFrame([], ROWS) if out is None else with_turnover(out)
 
 
 def with_turnover(rows: DataFrame) -> DataFrame:
@@ -377,20 +203,3 @@ def fitted_labels(vectors: DataFrame, name: str, k: int, **options: float) -> Da
         return pd.DataFrame({"id": pdf["id"], "label": clusterer(name, k, **options).labels(np.stack(pdf["z"]).astype(float))})
 
     return vectors.select("id", "z", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, label int")
-
-
-def embedded(panel: DataFrame, name: str, lookback: int, horizon: int, stride: int, options: dict) -> DataFrame:
-    """anchor, z: embeddings of a panel's windows. Embedders are fitted on the windows of all rows, whatever the stride."""
-    r, _ = matrix(panel)
-    spark = panel.sparkSession
-    made = EMBEDDERS[name](**options)
-    if hasattr(made, "fit"):
-        made.fit(np.stack(fit_windows(r, lookback)))
-    shared = spark.sparkContext.broadcast((r, made))
-
-    def run(batches):
-        for pdf in batches:
-            r, made = shared.value
-            yield pd.DataFrame({"anchor": pdf["id"].astype("int32"), "z": [made.embed(r[a - lookback + 1 : a + 1]) for a in pdf["id"]]})
-
-    return spark.range(lookback - 1, len(r) - horizon, stride).mapInPandas(run, "anchor int, z array<double>")

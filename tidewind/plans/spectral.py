@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import linalg, portfolio
-from . import backtest
+from . import backtest, walkforward
 from .catalog import FLAGS, SQL, STATUS, query, sql_cov, sql_windows
 from .forecasts import H, L, STRIDE, covs
 from .panels import flags_panel, hours_panel, status_panel
@@ -186,7 +186,7 @@ def _(spark, d):
 
 def _embedded(name, panel, columns=None, **options):
     def run(spark, d):
-        out = backtest.embedded(panel(spark, d), name, L, H, STRIDE, options)
+        out = walkforward.embedded(panel(spark, d), name, L, H, STRIDE, options)
         return out.select("anchor", F.posexplode("z").alias("dim", "v")) if columns is None else out.select("anchor", *[F.element_at("z", k + 1).alias(c) for c, k in columns.items()])
 
     return run
@@ -375,7 +375,7 @@ def _(spark, d):
 
 
 def _baselines(spark, d, config, metrics):
-    rows = backtest.run(flags_panel(spark, d), config).where(F.col("method").isin("roll", "pers", "shrink") & F.col("metric").isin(list(metrics)))
+    rows = walkforward.baseline_runs(flags_panel(spark, d), config).where(F.col("metric").isin(list(metrics)))
     return rows.groupBy("method", "anchor").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(name) for m, name in metrics.items()])
 
 
