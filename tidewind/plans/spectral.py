@@ -384,6 +384,34 @@ def _(spark, d):
     return _baselines(spark, d, backtest.Config(), {"fro": "fro"}).withColumn("fro", 1e6 * F.col("fro"))
 
 
+#: The bundle of losses on two assets, and of what the minimum-variance weights earn: closed forms for each method.
+_BUNDLE = "fro kl stein logeuc eig_mse cond_ratio corr_offdiag nll gmvp_hhi gmvp_max_abs gmvp_cumret gmvp_mean gmvp_var gmvp_vol gmvp_sharpe".split()
+_FIRST = L + H + 249  # an anchor of the windows above
+_USABLE = """(SELECT anchor FROM (SELECT anchor, avg((r IS NULL)::INT) AS na, count(DISTINCT asset) FILTER (r IS NOT NULL) / 2.0 AS assets, count(DISTINCT t) FILTER (r IS NOT NULL)::DOUBLE / count(DISTINCT t) AS dates FROM {} GROUP BY anchor)
+WHERE na <= 0.3 AND assets >= 0.8 AND dates >= 0.5)"""
+_RHO = "least(greatest({0}.b / sqrt(greatest({0}.a, 1e-12) * greatest({0}.d, 1e-12)), -1), 1)"
+_BUNDLED = f"""{_BASE}, e_shrink AS ({_EIG.format('(SELECT anchor, a, 0.7 * b AS b, d FROM e_roll)')}), l_shrink AS ({_LOG.format('shrink')}),
+ok AS (SELECT anchor FROM ends WHERE anchor >= {_FIRST} AND anchor IN {_USABLE.format('w')} AND anchor IN {_USABLE.format('f')}),
+every AS ({' UNION ALL '.join(f"SELECT '{m}' AS method, s.*, l.a AS la, l.b AS lb, l.d AS ld FROM e_{m} s JOIN l_{m} l USING (anchor)" for m in ('roll', 'pers', 'shrink'))}),
+ahead AS (SELECT anchor, t, max(r) FILTER (asset = 'F') AS x, max(r) FILTER (asset = 'O') AS y, max(i) FILTER (asset = 'F') AS ix, max(i) FILTER (asset = 'O') AS iy
+  FROM (SELECT anchor, t, asset, r, coalesce(r, avg(r) OVER (PARTITION BY anchor, asset), 0) AS i FROM f) GROUP BY ALL),
+wt AS (SELECT method, anchor, (d + 1.5e-3 + 1e-8 - b) / (a + d + 3e-3 + 2e-8 - 2 * b) AS wf, (a + 1.5e-3 + 1e-8 - b) / (a + d + 3e-3 + 2e-8 - 2 * b) AS wo FROM every),
+earned AS (SELECT method, anchor, wf, wo, product(1 + wf * x + wo * y) - 1 AS cumret, avg(wf * x + wo * y) AS mean, coalesce(var_samp(wf * x + wo * y), 0) AS var, count(x + y) AS n FROM wt JOIN ahead USING (anchor) GROUP BY ALL),
+dense AS (SELECT s.method, s.anchor, avg(0.5 * (2 * ln(2 * pi()) + ln({_DET.format('s')}) + ((s.d + 1e-10) * ix * ix - 2 * s.b * ix * iy + (s.a + 1e-10) * iy * iy) / {_DET.format('s')})) AS nll FROM every s JOIN ahead USING (anchor) GROUP BY ALL)
+SELECT s.method, s.anchor, 1e6 * sqrt((s.a - y.a) ** 2 + 2 * (s.b - y.b) ** 2 + (s.d - y.d) ** 2) AS fro, 0.5 * ({_TR} - 2 + ln({_DET.format('s')}) - ln({_DET.format('y')})) AS kl, {_TR} - ln({_DET.format('y')} / {_DET.format('s')}) - 2 AS stein,
+  sqrt((s.la - ly.a) ** 2 + 2 * (s.lb - ly.b) ** 2 + (s.ld - ly.d) ** 2) AS logeuc, ((ln(s.hi) - ln(y.hi)) ** 2 + (ln(s.lo) - ln(y.lo)) ** 2) / 2 AS eig_mse, s.hi / s.lo / (y.hi / y.lo) AS cond_ratio,
+  sqrt(2) * abs({_RHO.format('s')} - {_RHO.format('y')}) AS corr_offdiag, nll, wf * wf + wo * wo AS gmvp_hhi, greatest(abs(wf), abs(wo)) AS gmvp_max_abs, cumret AS gmvp_cumret, mean AS gmvp_mean, CASE WHEN n > 0 THEN 1e3 * var END AS gmvp_var,
+  CASE WHEN n > 0 THEN sqrt(var) END AS gmvp_vol, CASE WHEN var > 0 THEN mean / (sqrt(var) + 1e-12) * sqrt(252.0) END AS gmvp_sharpe
+FROM every s JOIN ok USING (anchor) JOIN e_truth y USING (anchor) JOIN l_truth ly USING (anchor) JOIN earned e ON e.anchor = s.anchor AND e.method = s.method JOIN dense n ON n.anchor = s.anchor AND n.method = s.method"""
+
+
+@query("backtest_bundle_2", f"WITH {_BUNDLED}", " ".join(_BUNDLE), "anchor")
+def _(spark, d):
+    rows = walkforward.baseline_runs(status_panel(spark, d), backtest.Config(burn_in=249))
+    out = rows.groupBy("method", "anchor").agg(*[F.max(F.when(F.col("metric") == m, F.nanvl("value", F.lit(None).cast("double")))).alias(m) for m in _BUNDLE])
+    return out.withColumns({"fro": 1e6 * F.col("fro"), "gmvp_var": 1e3 * F.col("gmvp_var")})
+
+
 VOL_CONFIG = backtest.Config(target="vol", embedder="vol_stats", embed_options={}, clusterer="gmm", metric="l2")
 
 

@@ -419,5 +419,5 @@ def embedded(panel: DataFrame, name: str, lookback: int, horizon: int, stride: i
         make = EMBEDDERS[name](**options).fit(every, np.arange(len(r) - lookback))
         return pd.DataFrame({"anchor": at.astype("int32"), "c": list(make.coordinates(every, at - lookback + 1))})
 
-    found = rows.groupBy(F.lit(0)).applyInPandas(coordinates, "anchor int, c array<double>")
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(coordinates, "anchor int, c array<double>")
     return out.join(found, "anchor").select("anchor", F.concat("c", "z").alias("z"))
