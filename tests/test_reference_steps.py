@@ -13,7 +13,7 @@ from test_numerics import spd
 from test_operators import panel_of
 
 from tidewind.functions.vectors import canonical
-from tidewind.operators import cluster, embed, linalg, portfolio, regime, windows
+from tidewind.operators import analytics, cluster, embed, linalg, portfolio, regime, windows
 from tidewind.plans import backtest, walkforward
 from tidewind.sources import archives, panels, paths
 
@@ -252,3 +252,45 @@ def test_dates_are_paired_once(spark):
     p = panel_of(spark, np.ones((30, 2)))
     plan = windows.rolling_covariance(p, 10, 1, 29)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence" not in plan  # no row is repeated for the windows that it is in
+
+
+def test_long_only_weights_take_the_stated_steps():
+    """One matrix at a time, by the projection's definition: the level at which what is above it sums to 1."""
+
+    def projected(v):
+        low, high = v.min() - 1, v.max()
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.maximum(v - mid, 0).sum() > 1 else (low, mid)
+        return np.maximum(v - high, 0)
+
+    rng = np.random.default_rng(5)
+    stack = np.stack([spd(rng, 6) * s for s in (1e-4, 1e-2, 1.0, 30.0)] * 3)
+    got = linalg.gmvp_long_only(stack)
+    for a, w in zip(stack, got, strict=True):
+        s, x, last, step = a + 1e-8 * np.eye(6), np.full(6, 1 / 6), np.inf, 0.5
+        for _ in range(500):
+            new = projected(x - step * 2 * s @ x)
+            value = new @ s @ new
+            if abs(last - value) < 1e-10:
+                x = new
+                break
+            if value > last:
+                step /= 2
+                if step < 1e-12:
+                    break
+            else:
+                x, last = new, value
+        assert np.allclose(w, x, atol=1e-7) and np.allclose(linalg.gmvp_long_only(a), w)
+    # at daily variances the steps end before the optimum
+    best = min((w for w in rng.dirichlet(np.ones(6), 20_000)), key=lambda w: w @ stack[0] @ w)
+    assert got[0] @ stack[0] @ got[0] > best @ stack[0] @ best
+
+
+def test_names_of_regimes(spark):
+    rows = [(31.0, 2.0, 0.1, 0.0, 0.0), (30.0, 1.6, 0.4, 0.0, 0.06), (0.0, 0.4, 0.4, 0.03, 0.05), (0.0, 1.0, 0.9, 0.03, None), (0.0, 1.6, 0.9, 0.02, 0.0), (0.0, 1.0, 0.6, 0.02, 0.0), (0.0, None, None, None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, crisis_overlap double, mean_gmvp_sharpe double, mean_turnover double, mean_fro double, mean_vol_mse double")
+    got = {r.k: (r.a, r.b) for r in df.select("k", analytics.regime_name().alias("a"), analytics.regime_name(vol=True).alias("b")).collect()}
+    other = "Normal/Transition"
+    assert [got[k][0] for k in range(7)] == ["Crisis/High Stress", "Calm Bull", "Stress/Low Sharpe", "High Uncertainty", "Volatile/Choppy", other, other]
+    assert [got[k][1] for k in range(7)] == ["Crisis/High Stress", "High Vol MSE", other, other, other, other, other]

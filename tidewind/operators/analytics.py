@@ -121,14 +121,26 @@ def by_regime(rows: DataFrame, regimes: DataFrame, base: str) -> DataFrame:
     return both.groupBy("state", "method").agg(F.avg("value").alias("mean"), F.count("value").alias("n"), F.avg((F.col("value") < F.col("base")).cast("double")).alias("win"))
 
 
-def regime_profile(regimes: DataFrame, market: DataFrame, periods: DataFrame) -> DataFrame:
-    """state, n, share, mean and vol of the market (date, r), share of days in crises, name; periods: first, last, label."""
-    inside = regimes.join(F.broadcast(periods), F.col("date").between(F.col("first"), F.col("last")), "left_semi").select("date", F.lit(1.0).alias("crisis"))
-    both = regimes.join(market, "date", "left").join(inside, "date", "left")
-    per = both.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("vol"), F.avg(F.coalesce("crisis", F.lit(0.0))).alias("crisis"))
-    total = per.agg(F.sum("n").alias("all"), F.avg("vol").alias("mid"))
-    name = F.when(F.col("crisis") > 0.5, "crisis").when(F.col("vol") > F.col("mid"), F.when(F.col("mean") < 0, "stress").otherwise("rally")).otherwise("calm")
-    return per.crossJoin(F.broadcast(total)).select("state", "n", (F.col("n") / F.col("all")).alias("share"), "mean", "vol", "crisis", name.alias("name"))
+#: Names of regimes (fixed values): the first whose condition holds, of covariance and of volatility runs.
+CRISIS_NAME, OTHER_NAME = "Crisis/High Stress", "Normal/Transition"
+
+
+def regime_name(vol: bool = False) -> Column:
+    """The name of a regime with crisis_overlap (percent) and the means mean_gmvp_sharpe, mean_turnover and mean_fro, or mean_vol_mse; a missing mean fulfils no condition."""
+    sharpe, turnover, crisis = F.col("mean_gmvp_sharpe"), F.col("mean_turnover"), F.col("crisis_overlap") > 30
+    if vol:
+        return F.when(crisis, CRISIS_NAME).when(F.col("mean_vol_mse") > 0.05, "High Vol MSE").otherwise(OTHER_NAME)
+    named = F.when(crisis, CRISIS_NAME).when((sharpe > 1.5) & (turnover < 0.5), "Calm Bull").when(sharpe < 0.5, "Stress/Low Sharpe")
+    return named.when(F.col("mean_fro") > 0.025, "High Uncertainty").when(turnover > 0.7, "Volatile/Choppy").otherwise(OTHER_NAME)
+
+
+def regime_profile(rows: DataFrame, periods: DataFrame, vol: bool = False) -> DataFrame:
+    """state, n, share (percent of days), means of the model's fro, gmvp_sharpe, turnover and vol_mse, crisis_overlap (percent of days within the periods, one decimal) and name; rows: date, state and these four, periods: first, last."""
+    metrics = ("fro", "gmvp_sharpe", "turnover", "vol_mse")
+    inside = rows.select("date").distinct().join(periods, F.col("date").between(F.col("first"), F.col("last")), "left_semi").withColumn("crisis", F.lit(1.0))
+    per = rows.join(inside, "date", "left").groupBy("state").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"mean_{m}") for m in metrics], F.round(100 * F.avg(F.coalesce("crisis", F.lit(0.0))), 1).alias("crisis_overlap"))
+    share = 100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row for each regime
+    return per.select("state", "n", share.alias("share"), *[f"mean_{m}" for m in metrics], "crisis_overlap", regime_name(vol).alias("name"))
 
 
 def detection_lag(regimes: DataFrame, periods: DataFrame, state: int) -> DataFrame:

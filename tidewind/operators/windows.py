@@ -212,6 +212,12 @@ def damped(knn: DataFrame, roll: DataFrame, shrink: DataFrame, a: float, b: floa
     return both.select(*keys, ((1 - min(1.0, a + b)) * F.col("v") + a * F.col("x") + b * F.col("y")).alias("v"))
 
 
+def vol_mixed(model: DataFrame, shrink: DataFrame, weight: float) -> DataFrame:
+    """weight * model + (1 - weight) * shrink."""
+    keys = ["anchor", "asset"]
+    return model.join(shrink.select(*keys, F.col("v").alias("x")), keys).select(*keys, (weight * F.col("v") + (1 - weight) * F.col("x")).alias("v"))
+
+
 def vol_statistics(windows: DataFrame, floor: float = 1e-12) -> DataFrame:
     """Ten numbers of each window: mean, deviation, quantiles and range of log volatilities, their change between halves, concentration."""
     full = imputed(windows)

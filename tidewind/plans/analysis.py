@@ -178,16 +178,28 @@ def _(spark, d):
     return an.by_regime(results(spark, d), states(spark, d), "roll")
 
 
-@query(
-    "regime_profile",
-    f"""WITH {_BOTH}, x AS (SELECT state, value AS r, EXISTS (SELECT 1 FROM {_PERIOD_SQL} WHERE reg.date BETWEEN first AND last) AS c FROM reg JOIN rows ON rows.date = reg.date AND method = 'model'),
-s AS (SELECT state, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS vol, avg(c::INT) AS crisis FROM x GROUP BY state)
-SELECT state, n, n / sum(n) OVER () AS share, mean, vol, crisis, CASE WHEN crisis > 0.5 THEN 'crisis' WHEN vol > avg(vol) OVER () THEN CASE WHEN mean < 0 THEN 'stress' ELSE 'rally' END ELSE 'calm' END AS name FROM s""",
-    "share mean vol crisis", "state n",
-)
-def _(spark, d):
-    market = results(spark, d).where("method = 'model'").select("date", F.col("value").alias("r"))
-    return an.regime_profile(states(spark, d), market, periods(spark))
+#: Columns of an hour's losses, made of the methods' results.
+_LOSS = {"fro": "abs(model)", "gmvp_sharpe": "100 * mix", "turnover": "60 * abs(roll)", "vol_mse": "5 * abs(pers)"}
+
+
+def losses(spark, d):
+    wide = results(spark, d).groupBy("date").agg(*[F.max(F.when(F.col("method") == m, F.col("value"))).alias(m) for m in ("model", "mix", "roll", "pers")])
+    return states(spark, d).join(wide, "date", "left").select("date", "state", *[F.expr(x).alias(name) for name, x in _LOSS.items()])
+
+
+for _vol in (False, True):
+    _NAMED = "WHEN mean_vol_mse > 0.05 THEN 'High Vol MSE'" if _vol else "WHEN mean_gmvp_sharpe > 1.5 AND mean_turnover < 0.5 THEN 'Calm Bull' WHEN mean_gmvp_sharpe < 0.5 THEN 'Stress/Low Sharpe' WHEN mean_fro > 0.025 THEN 'High Uncertainty' WHEN mean_turnover > 0.7 THEN 'Volatile/Choppy'"
+
+    @query(
+        "regime_profile_vol" if _vol else "regime_profile",
+        f"""WITH {_BOTH}, wide AS (SELECT date, {', '.join(f"max(value) FILTER (method = '{m}') AS {m}" for m in ('model', 'mix', 'roll', 'pers'))} FROM rows GROUP BY date),
+x AS (SELECT state, {', '.join(f'{x} AS {name}' for name, x in _LOSS.items())}, EXISTS (SELECT 1 FROM {_PERIOD_SQL} WHERE reg.date BETWEEN first AND last) AS c FROM reg LEFT JOIN wide ON wide.date = reg.date),
+s AS (SELECT state, count(*) AS n, {', '.join(f'avg({m}) AS mean_{m}' for m in _LOSS)}, round(100.0 * avg(c::INT), 1) AS crisis_overlap FROM x GROUP BY state)
+SELECT state, n, 100.0 * n / sum(n) OVER () AS share, {', '.join(f'mean_{m}' for m in _LOSS)}, crisis_overlap, CASE WHEN crisis_overlap > 30 THEN 'Crisis/High Stress' {_NAMED} ELSE 'Normal/Transition' END AS name FROM s""",
+        f"share {' '.join(f'mean_{m}' for m in _LOSS)} crisis_overlap", "state n",
+    )
+    def _(spark, d, vol=_vol):
+        return an.regime_profile(losses(spark, d), periods(spark), vol)
 
 
 @query("crisis_overlap", f"WITH {_REG} SELECT state, label, count(*) AS n FROM reg JOIN {_PERIOD_SQL} ON date BETWEEN first AND last GROUP BY ALL", "", "state n")

@@ -54,6 +54,11 @@ def _(spark, d):
     return windows.correlation(covs(spark, d)[0])
 
 
+@query("corr_clipped", f"WITH {_COV} SELECT anchor, i, j, CASE WHEN i = j THEN 1 ELSE least(greatest(v, -1), 1) END AS v FROM ({_CORR.format('roll')})", "v", "anchor")
+def _(spark, d):
+    return windows.correlation(covs(spark, d)[0], clipped=True)
+
+
 @query("cov_shrink", f"WITH {_COV} SELECT anchor, i, j, 1e6 * v * CASE WHEN i = j THEN 1 ELSE 0.7 END AS v FROM roll", "v", "anchor")
 def _(spark, d):
     return big(windows.shrunk(covs(spark, d)[0], 0.3))
@@ -263,6 +268,43 @@ def _(spark, d):
     return e.crossJoin(F.broadcast(e.agg(F.percentile("d2", 0.9).alias("q")))).select("id", "d2", (F.col("d2") >= F.col("q")).alias("outlier"))
 
 
+# a volatility forecast from embedding to losses, without a fit: neighbours of the window's statistics, dampened and mixed ------------------
+
+_STATISTICS = "mean sd q05 q25 q50 q75 q95 iqr change hhi".split()
+
+
+@query(
+    "vol_knn_dampened",
+    f"""WITH {_VOLS},
+sx AS (SELECT anchor, asset, t - anchor + {L} - 1 >= {L // 2} AS late, coalesce(r, avg(r) OVER (PARTITION BY anchor, asset), 0) AS r FROM w),
+sd AS (SELECT anchor, asset, greatest(stddev_samp(r), 1e-12) AS s, greatest(stddev_samp(r) FILTER (NOT late), 1e-12) AS s1, greatest(stddev_samp(r) FILTER (late), 1e-12) AS s2 FROM sx GROUP BY ALL),
+e AS (SELECT anchor AS id, [avg(ln(s)), stddev_samp(ln(s)), quantile_cont(ln(s), 0.05), quantile_cont(ln(s), 0.25), quantile_cont(ln(s), 0.5), quantile_cont(ln(s), 0.75), quantile_cont(ln(s), 0.95),
+  quantile_cont(ln(s), 0.75) - quantile_cont(ln(s), 0.25), avg(ln(s2)) - avg(ln(s1)), sum(s * s) / (sum(s) + 1e-12) ** 2] AS z FROM sd GROUP BY anchor),
+pool AS (SELECT a.id AS q, b.id, list_distance(a.z, b.z) AS dist FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.z, b.z), b.id) <= 75),
+near AS (SELECT q, id, dist FROM pool WHERE id <= q - {H} - 10 QUALIFY row_number() OVER (PARTITION BY q ORDER BY dist, id) <= 15),
+kw AS (SELECT q, id, exp(-dist / 2.0) / sum(exp(-dist / 2.0)) OVER (PARTITION BY q) AS kappa FROM near),
+vk AS (SELECT q AS anchor, asset, sum(kappa * v) AS v FROM kw JOIN vt ON vt.anchor = kw.id GROUP BY ALL),
+vm AS (SELECT anchor, asset, 0.35 * vk.v + 0.5 * vr.v + 0.15 * vs.v AS v FROM vk JOIN vr USING (anchor, asset) JOIN vs USING (anchor, asset)),
+vx AS (SELECT anchor, asset, 0.2 * vm.v + 0.8 * vs.v AS v FROM vm JOIN vs USING (anchor, asset))
+{' UNION ALL '.join(_METRIC.format(m, v) for m, v in (('model', 'vm'), ('mix', 'vx')))}""",
+    "mse mae qlike r2 rmse", "anchor",
+)
+def _(spark, d):
+    p = flags_panel(spark, d)
+    last = last_anchor(p, H)
+    e = windows.vol_statistics(windows.past(p, L, STRIDE, last)).select(F.col("anchor").alias("id"), F.array(*_STATISTICS).alias("z"))
+    near = knn.eligible(knn.neighbours(e, e, 75, "l2"), 15, H, 10)
+    own = windows.kind_log_vols(p, L, H, STRIDE, last)
+    one = lambda name: own.select("anchor", "asset", F.col(name).alias("v"))
+    weighted = knn.kernel_weights(near, 2.0).select("q", "id", "kappa").join(one("truth").withColumnRenamed("anchor", "id"), "id")
+    model = weighted.groupBy(F.col("q").alias("anchor"), "asset").agg(F.sum(F.col("kappa") * F.col("v")).alias("v"))
+    shrink = windows.vol_to_mean(one("roll"), 0.3)
+    model = windows.damped(model, one("roll"), shrink, 0.5, 0.15)
+    mix = windows.vol_mixed(model, shrink, 0.2)
+    both = model.withColumn("method", F.lit("model")).unionByName(mix.withColumn("method", F.lit("mix")))
+    return windows.vol_losses(both.join(one("truth").withColumnRenamed("v", "y"), ["anchor", "asset"]), "method", "anchor")
+
+
 # regimes -----------------------------------------------------------------------------------------------------------------------------
 
 #: Memberships of three regimes by hour: shares of three event types' mean values (1 where one is missing).

@@ -123,16 +123,21 @@ def _(spark, d):
     return portfolio.precision_weights(linalg.unpacked(linalg.mapped(two(spark, d)[0], ["anchor"], linalg.precision), ["anchor"]))
 
 
-@query(
-    "gmvp_long_only_2",
-    f"WITH {_BASE}, x AS (SELECT anchor, least(greatest((d - b) / (a + d - 2 * b), 0), 1) AS w FROM e_roll) SELECT anchor, 'F' AS asset, round(w, 4) AS w FROM x UNION ALL SELECT anchor, 'O', round(1 - w, 4) FROM x",
-    "w", "anchor",
-)
+#: The steps of the projected gradient on two assets: the first one's weight moves by half of the step times the gradients' difference, within 0 and 1.
+_STEPS = f"""WITH RECURSIVE {_BASE}, g AS (
+  SELECT anchor, a + 1e-8 AS a, b, d + 1e-8 AS d, 0 AS k, 0.5::DOUBLE AS w, 'inf'::DOUBLE AS last, 0.5::DOUBLE AS step, FALSE AS done FROM e_roll
+  UNION ALL
+  SELECT anchor, a, b, d, k + 1, CASE WHEN abs(last - now) < 1e-10 OR now <= last THEN new ELSE w END, CASE WHEN abs(last - now) < 1e-10 OR now <= last THEN now ELSE last END,
+    CASE WHEN abs(last - now) < 1e-10 OR now <= last THEN step ELSE step / 2 END, abs(last - now) < 1e-10 OR (now > last AND step / 2 < 1e-12)
+  FROM (SELECT *, a * new * new + 2 * b * new * (1 - new) + d * (1 - new) * (1 - new) AS now
+        FROM (SELECT *, least(greatest(w - step * ((a - b) * w + (b - d) * (1 - w)), 0), 1) AS new FROM g WHERE NOT done AND k < 500)))
+SELECT anchor, arg_max(w, k) AS w FROM g GROUP BY anchor"""
+
+
+@query("gmvp_long_only_2", f"WITH x AS ({_STEPS}) SELECT anchor, 'F' AS asset, w FROM x UNION ALL SELECT anchor, 'O', 1 - w FROM x", "w", "anchor")
 def _(spark, d):
-    import numpy as np
-
-    out = linalg.mapped(two(spark, d)[0], ["anchor"], lambda a: np.stack([linalg.gmvp_long_only(x) for x in a]), "w array<double>", "w")
-    return out.select("anchor", F.explode(F.arrays_zip("assets", "w")).alias("z")).select("anchor", F.col("z.assets").alias("asset"), F.round("z.w", 4).alias("w"))
+    out = linalg.mapped(two(spark, d)[0], ["anchor"], linalg.gmvp_long_only, "w array<double>", "w")
+    return out.select("anchor", F.explode(F.arrays_zip("assets", "w")).alias("z")).select("anchor", F.col("z.assets").alias("asset"), "z.w")
 
 
 _FLOOR = f"(SELECT anchor, a + 1.5e-3 AS a, b, d + 1.5e-3 AS d FROM e_roll)"
