@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.nulls import ratio
+from .selection import quantiles
 
 
 def by_asset() -> WindowSpec:
@@ -92,8 +93,8 @@ def last_close(ticks: DataFrame, keys: list[str], order: Column, close: Column,
 
 def pooled_percentiles(panel: DataFrame, shares: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), value: str = "r") -> DataFrame:
     """share, value: percentiles of all values of all assets together."""
-    out = panel.agg(F.percentile(value, F.array(*[F.lit(s) for s in shares])).alias("v"))
-    return out.select(F.inline(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("v").alias("value"))))
+    found = quantiles(panel.select(F.col(value).alias("v")), list(shares))
+    return panel.sparkSession.createDataFrame(list(zip(shares, found, strict=True)), "share double, value double")
 
 
 def cross_section(panel: DataFrame, window: int = 60) -> DataFrame:

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import analytics, linalg
+from ..operators import analytics, fits, linalg
 from ..operators.cluster import clusterer
 from ..operators.embed import EMBEDDERS, valid
 from . import walkforward
 from .walkforward import Regimes, combined, target_of
 
-#: Rows that a fit takes; those of DENSE need matrices of rows by rows.
-FIT_ROWS, DENSE_ROWS, DENSE = 20_000, 4_000, ("agglomerative_ward", "spectral_rbf", "spectral_knn", "signed_knn_spectral")
+#: Rows that a fit takes that needs a matrix of rows by rows.
+DENSE_ROWS = 4_000
 #: Options of clusterers for the registered fits.
 OPTIONS = {"spectral_rbf": {"gamma": 0.05}}
 
@@ -179,10 +179,13 @@ def ablation(panel: DataFrame, configs: dict[str, Config]) -> DataFrame:
 
 
 def fitted(vectors: DataFrame, name: str, k: int, options: dict) -> DataFrame:
-    """id, p: memberships of a clusterer fitted to all vectors (id, z). A fit needs its rows together: a few thousand anchors."""
-    n, most = vectors.count(), DENSE_ROWS if name in DENSE else FIT_ROWS
-    if n > most:
-        raise ValueError(f"{n} rows are too many for a fit of {name}, which takes {most}; sample anchors first")
+    """id, p: memberships of a clusterer fitted to all vectors (id, z). Those of fits.ROUNDS take rows of any number; the others need their rows together."""
+    if name in fits.ROUNDS:
+        v = fits.Vectors(vectors)
+        if v.n < k:
+            raise ValueError(f"{v.n} rows for {k} regimes")
+        return v.mapped(fits.ROUNDS[name](v, k, **options).predict, "p array<double>")
+    _bounded(vectors, name)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -192,11 +195,21 @@ def fitted(vectors: DataFrame, name: str, k: int, options: dict) -> DataFrame:
     return vectors.select("id", "z", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, p array<double>")
 
 
+def _bounded(vectors: DataFrame, name: str) -> None:
+    n = vectors.count()
+    if n > DENSE_ROWS:
+        raise ValueError(f"{n} rows are too many for a fit of {name}, which takes {DENSE_ROWS}; sample anchors first")
+
+
 def fitted_labels(vectors: DataFrame, name: str, k: int, **options: float) -> DataFrame:
     """id, label: the groups that a clusterer with groups of its own (and prototypes of them) makes of all vectors (id, z)."""
-    n = vectors.count()
-    if n > (DENSE_ROWS if name in DENSE else FIT_ROWS):
-        raise ValueError(f"{n} rows are too many for a fit of {name}; sample anchors first")
+    if name in fits.ROUNDS:
+        v = fits.Vectors(vectors)
+        labels = fits.ROUNDS[name](v, k, **options).labels
+        if labels is None:
+            raise ValueError(f"{name} has no groups of its own")
+        return v.mapped(lambda x: labels(x).astype(np.int32), "label int")
+    _bounded(vectors, name)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
