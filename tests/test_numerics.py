@@ -106,7 +106,7 @@ def test_p_values():
     assert math.isclose(stats.t_pvalue(2.228138852, 10), 0.05, rel_tol=1e-6) and math.isclose(stats.t_pvalue(0.0, 5), 1.0)
     assert math.isclose(stats.t_pvalue(1.812461123, 10, "greater"), 0.05, rel_tol=1e-6) and math.isclose(stats.t_pvalue(-1.812461123, 10, "less"), 0.05, rel_tol=1e-6)
     assert stats.wilcoxon_pvalue(0, 5) == 2 / 32 and stats.wilcoxon_pvalue(8, 10) == pytest.approx(0.048828125) and stats.wilcoxon_pvalue(0, 0) == 1
-    assert stats.wilcoxon_pvalue(800, 60) == pytest.approx(0.396, abs=5e-3) and [stats.stars(p) for p in (0.001, 0.02, 0.07, 0.5)] == ["***", "**", "*", ""]
+    assert stats.wilcoxon_pvalue(800, 60) == pytest.approx(0.396, abs=5e-3)
 
 
 def test_metric_names():

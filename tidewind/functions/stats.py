@@ -49,7 +49,3 @@ def wilcoxon_pvalue(w: float, n: int, ties: float = 0.0) -> float:
         return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
     var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return min(1.0, 2 * normal_tail(abs(w - n * (n + 1) / 4) / math.sqrt(var)))
-
-
-def stars(p: float) -> str:
-    return "***" if p < 0.01 else "**" if p < 0.05 else "*" if p < 0.1 else ""

@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..functions.stats import stars, t_pvalue, wilcoxon_pvalue
+from ..functions.stats import t_pvalue, wilcoxon_pvalue
+from .ranks import mean_rank, medians, placed
+from .skyline import skyline
+
+
+def stars(p: Column) -> Column:
+    """Marks of a p-value (fixed values); null of none."""
+    return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.10, "*").when(p.isNotNull(), "")
+
 
 
 def by_method() -> WindowSpec:
@@ -53,20 +61,18 @@ def paired_t(rows: DataFrame, base: str, alternative: str = "two-sided") -> Data
     """method, n, mean_diff, t, p, stars."""
     d = F.col("value") - F.col("base")
     per = paired(rows, base).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_diff"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))).alias("t"))
-    p = F.udf(lambda t, n: None if t is None or n < 2 else float(t_pvalue(t, n - 1, alternative)), "double")  # a handful of rows
-    mark = F.udf(lambda p: None if p is None else stars(p), "string")
-    return per.withColumn("p", p("t", "n")).withColumn("stars", mark("p"))
+    p = F.udf(lambda t, n: None if t is None or n < 2 else float(t_pvalue(t, n - 1, alternative)), "double")  # a row for each method
+    return per.withColumn("p", p("t", "n")).withColumn("stars", stars(F.col("p")))
 
 
 def wilcoxon(rows: DataFrame, base: str) -> DataFrame:
     """method, n, median_advantage (base - value), w, ties, p: signed ranks of the non-zero differences."""
-    d = paired(rows, base).withColumn("d", F.col("base") - F.col("value"))
-    own = Window.partitionBy("method")
-    size = F.count(F.lit(1)).over(Window.partitionBy("method", F.abs("d")))
-    ranked = d.where("d <> 0").withColumns({"r": F.rank().over(own.orderBy(F.abs("d"))) + (size - 1) / 2, "tie": F.pow(size.cast("double"), F.lit(2.0)) - 1})
-    per = ranked.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("minus"), F.sum("tie").alias("ties"))
-    median = d.groupBy("method").agg(F.percentile("d", 0.5).alias("median_advantage"))
-    p = F.udf(lambda w, n, ties: float(wilcoxon_pvalue(w, n, ties)), "double")
+    d = paired(rows, base).select("method", (F.col("base") - F.col("value")).alias("v"))
+    ranked = placed(d.where("v <> 0").select("method", F.abs("v").alias("v"), (F.col("v") > 0).alias("up")), ["method"], F.count_if("up").alias("ups"))
+    size = F.col("size").cast("double")
+    per = ranked.groupBy("method").agg(F.sum("size").alias("n"), F.sum(F.col("ups") * mean_rank()).alias("plus"), F.sum((F.col("size") - F.col("ups")) * mean_rank()).alias("minus"), F.sum(size * (size * size - 1)).alias("ties"))
+    median = medians(placed(d, ["method"]), ["method"], "median_advantage")
+    p = F.udf(lambda w, n, ties: float(wilcoxon_pvalue(w, n, ties)), "double")  # a row for each method
     return median.join(per, "method").withColumn("w", F.least("plus", "minus")).withColumn("p", p("w", "n", "ties")).select("method", "n", "median_advantage", "w", "ties", "p")
 
 
@@ -205,20 +211,9 @@ def run_summary(rows: DataFrame, method: str) -> DataFrame:
     return rows.where(F.col("method") == method).groupBy("run", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
-PARETO_RUNS = 20_000
-
-
-def pareto(runs: DataFrame, up: list[str], down: list[str], key: str = "run") -> DataFrame:
-    """Runs that no other run is as good as everywhere and better than somewhere; equal runs stay together. A theta join over runs, of which there are hundreds; more than PARETO_RUNS are refused."""
-    if (n := runs.count()) > PARETO_RUNS:
-        raise ValueError(f"{n} runs are too many to compare each with each")
-    better = [(c, F.greatest) for c in up] + [(c, F.least) for c in down]
-    other = runs.select(*[F.col(c).alias(f"o_{c}") for c, _ in better])
-    ge = lambda c, strict: (F.col(f"o_{c}") > F.col(c) if strict else F.col(f"o_{c}") >= F.col(c)) if c in up else (F.col(f"o_{c}") < F.col(c) if strict else F.col(f"o_{c}") <= F.col(c))
-    every, some = F.lit(True), F.lit(False)
-    for c, _ in better:
-        every, some = every & ge(c, False), some | ge(c, True)
-    return runs.join(F.broadcast(other), every & some, "left_anti")
+def pareto(runs: DataFrame, up: list[str], down: list[str]) -> DataFrame:
+    """Runs that no other run is as good as everywhere and better than somewhere; equal runs stay together."""
+    return skyline(runs, up, down)
 
 
 def knee(front: DataFrame, gain: str, cost: str) -> DataFrame:
