@@ -10,7 +10,7 @@ NAMES = """panel_log_returns panel_quality_by_asset universe_select na_report_by
 tier_stats split_pattern_match window_validity window_impute cov_long cov_trace_guardrail vol_metrics vol_stats_embedding knn_l2 knn_angular knn_eligible regime_weights euclidean_forecast prototype_softmax
 transition_soft forward_filter asof_alpha portfolio_stats turnover logm_2 logeuc_mean_2 kl_2 gmvp_2 report_pivot paired_wilcoxon rolling_median max_drawdown kde_grid pareto3 regime_profile simplex_grid
 confidence_blend neighbour_regime_parts regime_top3 prob_normalised pooled_percentiles cellwise_worst unit_comparison run_summary spd_floor_2 corr_target_2 gmvp_shrink_blend_2 vol_stats_embed corr_eig_embed_2
-pca_window_2 hybrid_embed_2 ward_groups signed_spectral_groups two_stage_groups gmm_fixed_point fcm_fixed_point kmeans_fixed_point backtest_bundle_2 backtest_cov_baselines gmvp_long_only_2 regime_profile_vol corr_clipped vol_knn_dampened""".split()
+pca_window_2 hybrid_embed_2 ward_groups signed_spectral_groups two_stage_groups gmm_fixed_point fcm_fixed_point kmeans_fixed_point backtest_bundle_2 backtest_cov_baselines gmvp_long_only_2 regime_profile_vol corr_clipped vol_knn_dampened wide_file_scan clean_file_scan archive_closes_between matrix_scan results_file_scan row_lookup""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)

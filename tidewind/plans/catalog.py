@@ -91,6 +91,6 @@ def sql_cov(windows: str, name: str) -> str:
 
 
 def all_queries() -> tuple[dict[str, Plan], dict[str, str]]:
-    from . import analysis, forecasts, panels, spectral  # noqa: F401  they register themselves
+    from . import analysis, files, forecasts, panels, spectral  # noqa: F401  they register themselves
 
     return QUERIES, SQL

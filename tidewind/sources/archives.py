@@ -8,7 +8,8 @@ import math
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -74,11 +75,10 @@ def members(name: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
                     yield m.name, t.extractfile(m).read()
 
 
-def last_row(raw: bytes) -> tuple[float | None, float | None, float | None, str | None]:
-    """(close, bid, ask, time) of the last row of a CSV."""
-    rows = csv.DictReader(io.StringIO(raw.decode("utf-8", "replace")))
+def last_row(lines: Iterable[str]) -> tuple[float | None, float | None, float | None, str | None]:
+    """(close, bid, ask, time) of the last row of a CSV, of which only the row at hand is held."""
     last = None
-    for last in rows:
+    for last in csv.DictReader(lines):
         pass
     if last is None:
         return None, None, None, None
@@ -96,20 +96,88 @@ def last_row(raw: bytes) -> tuple[float | None, float | None, float | None, str
     return number(close_column(names)), number(quote_column(names, BID, "bid")), number(quote_column(names, ASK, "ask")), low[when] if when is not None else None
 
 
-def daily_closes(spark: SparkSession, path: str) -> DataFrame:
-    """date, asset, close of each archive's members: the last row's close, else the middle of bid and ask if both are positive. One task for each archive."""
+def _store(path: str):
+    """The store of a path, as pyarrow reaches it, and the path there."""
+    from pyarrow import fs
+
+    if ":" not in path:
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(re.sub("^file:/+", "/", path))
+    return fs.FileSystem.from_uri(path)
+
+
+def opened(path: str):
+    """A file of any store that pyarrow reaches, to read parts of."""
+    store, place = _store(path)
+    return store.open_input_file(place)
+
+
+def written(path: str, content: bytes) -> None:
+    store, place = _store(path)
+    store.create_dir(place.rsplit("/", 1)[0])
+    with store.open_output_stream(place) as f:
+        f.write(content)
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """path, member, bytes of the CSVs in zip archives: only the archives' directories are read, at their ends."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name in pdf["path"]:
+                with opened(name) as f, zipfile.ZipFile(f) as z:
+                    rows += [(name, m.filename, m.file_size) for m in z.infolist() if m.filename.lower().endswith(".csv")]
+            yield pd.DataFrame(rows, columns=["path", "member", "bytes"])
+
+    files = spark.read.format("binaryFile").load(path).select("path").where(F.lower("path").endswith(".zip"))
+    return files.mapInPandas(run, "path string, member string, bytes long")
+
+
+#: Members of a task.
+MEMBERS = 64
+_LAST = "path string, member string, close double, bid double, ask double, time string"
+
+
+def zip_last_rows(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """path, member, close, bid, ask, time of the last row of each CSV in zip archives. Members are dealt to tasks one by one and read as streams; those whose names have a date outside first to last are not read."""
+    found = zip_members(spark, path)
+    date = date_of(F.col("member"))
+    for edge, inside in ((first, date >= F.lit(first)), (last, date <= F.lit(last))):
+        if edge is not None:
+            found = found.where(date.isNull() | inside)
+    tasks = max(1, -(-found.count() // MEMBERS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, own in pdf.groupby("path"):
+                with opened(name) as f, zipfile.ZipFile(f) as z:
+                    for member in own["member"]:
+                        with z.open(member) as raw:
+                            rows.append((name, member, *last_row(io.TextIOWrapper(raw, "utf-8", "replace", newline=""))))
+            yield pd.DataFrame(rows, columns=["path", "member", "close", "bid", "ask", "time"])
+
+    return found.repartition(tasks, "path", "member").mapInPandas(run, _LAST)
+
+
+def daily_closes(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """date, asset, close of each archive's members (from first to last, where given): the last row's close, else the middle of bid and ask if both are positive. Members of zip archives are tasks of their own, other archives are a task each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(name, member, *last_row(content)) for member, content in members(name, bytes(raw))]
+                rows = [(name, member, *last_row(io.StringIO(content.decode("utf-8", "replace"), newline=""))) for member, content in members(name, bytes(raw))]
                 yield pd.DataFrame(rows, columns=["path", "member", "close", "bid", "ask", "time"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(run, "path string, member string, close double, bid double, ask double, time string")
+    files = spark.read.format("binaryFile").load(path).select("path", "content").where(~F.lower("path").endswith(".zip"))
+    rows = zip_last_rows(spark, path, first, last).unionByName(files.mapInPandas(run, _LAST))
     close = F.coalesce("close", F.when((F.col("bid") > 0) & (F.col("ask") > 0), (F.col("bid") + F.col("ask")) / 2))
     date = F.coalesce(date_of(F.col("member")), parse_date(F.substring("time", 1, 10)))
     rows = rows.select(date.alias("date"), ticker_of(F.col("path")).alias("asset"), close.alias("close"), "member")
+    for edge, inside in ((first, F.col("date") >= F.lit(first)), (last, F.col("date") <= F.lit(last))):
+        rows = rows.where(inside) if edge is not None else rows
     return rows.where("date IS NOT NULL AND asset <> '' AND close IS NOT NULL").groupBy("date", "asset").agg(F.max_by("close", "member").alias("close"))
 
 

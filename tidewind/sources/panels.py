@@ -183,6 +183,22 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_files(files: DataFrame, folder: str) -> str:
+    """Each row (name, content: bytes) as a file of that name in a folder of any store that pyarrow reaches, written by tasks; the folder."""
+    from .archives import written
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                written(f"{folder}/{name}", bytes(content))
+            yield pd.DataFrame({"name": pdf["name"]})
+
+    files.select("name", "content").mapInPandas(run, "name string").count()
+    return folder
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 

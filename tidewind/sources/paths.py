@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -26,6 +28,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: Where files go in a local session that names no folder.
+_LOCAL: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir); a temporary one only for a local master, an error on a cluster that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        _LOCAL[:] = _LOCAL or [tempfile.mkdtemp(prefix="tidewind-files-")]
+        base = _LOCAL[0]
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def data_dir(given: str | None = None, root: str = ".", env: dict | None = None) -> Path:
     """The folder of archives: the given one, the variable's, or one of PLACES, whichever is there first; else what was asked for."""
     env = os.environ if env is None else env
