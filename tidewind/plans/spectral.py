@@ -360,7 +360,10 @@ def _(spark, d):
 
 # walk-forward ----------------------------------------------------------------------------------------------------------------------------
 
-_WALK = f"""{FLAGS}, {sql_windows('panel', L, 1, H)}, ok AS (SELECT anchor FROM ends WHERE anchor >= {L + H + 252} AND (anchor - {L + H + 252}) % 5 = 0)"""
+#: Anchors of windows that can be used.
+_USABLE = """(SELECT anchor FROM (SELECT anchor, avg((r IS NULL)::INT) AS na, count(DISTINCT asset) FILTER (r IS NOT NULL)::DOUBLE / count(DISTINCT asset) AS assets, count(DISTINCT t) FILTER (r IS NOT NULL)::DOUBLE / count(DISTINCT t) AS dates FROM {} GROUP BY anchor)
+WHERE na <= 0.3 AND assets >= 0.8 AND dates >= 0.5)"""
+_WALK = f"""{FLAGS}, {sql_windows('panel', L, 1, H)}, ok AS (SELECT anchor FROM ends WHERE anchor >= {L + H + 252} AND (anchor - {L + H + 252}) % 5 = 0 AND anchor IN {_USABLE.format('w')} AND anchor IN {_USABLE.format('f')})"""
 
 
 def _walk(windows, name):
@@ -392,8 +395,6 @@ def _(spark, d):
 #: The bundle of losses on two assets, and of what the minimum-variance weights earn: closed forms for each method.
 _BUNDLE = "fro kl stein logeuc eig_mse cond_ratio corr_offdiag nll gmvp_hhi gmvp_max_abs gmvp_cumret gmvp_mean gmvp_var gmvp_vol gmvp_sharpe".split()
 _FIRST = L + H + 249  # an anchor of the windows above
-_USABLE = """(SELECT anchor FROM (SELECT anchor, avg((r IS NULL)::INT) AS na, count(DISTINCT asset) FILTER (r IS NOT NULL) / 2.0 AS assets, count(DISTINCT t) FILTER (r IS NOT NULL)::DOUBLE / count(DISTINCT t) AS dates FROM {} GROUP BY anchor)
-WHERE na <= 0.3 AND assets >= 0.8 AND dates >= 0.5)"""
 _RHO = "least(greatest({0}.b / sqrt(greatest({0}.a, 1e-12) * greatest({0}.d, 1e-12)), -1), 1)"
 _BUNDLED = f"""{_BASE}, e_shrink AS ({_EIG.format('(SELECT anchor, a, 0.7 * b AS b, d FROM e_roll)')}), l_shrink AS ({_LOG.format('shrink')}),
 ok AS (SELECT anchor FROM ends WHERE anchor >= {_FIRST} AND anchor IN {_USABLE.format('w')} AND anchor IN {_USABLE.format('f')}),
