@@ -353,7 +353,7 @@ fw AS (SELECT anchor, p AS x FROM pi WHERE anchor = 0 UNION ALL SELECT pi.anchor
 
 
 def filtered(spark, d):
-    p = memberships(spark, d)
+    p = memberships(spark, d).persist()  # for the transitions and both passes of the scan
     return regime.forward_filter(p, regime.as_matrix(regime.transition_soft(p, 3)))
 
 
